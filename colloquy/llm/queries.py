@@ -34,6 +34,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import find_components
+
+    found = find_components(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -57,6 +64,7 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN its USING (doc_id)
 QUERIES = {
     "op2_rendezvous_shards": op2_rendezvous_shards,
     "op3_decontaminate": op3_decontaminate,
+    "op10_simhash_components": op10_simhash_components,
 }
 
 ORACLES = {
