@@ -21,7 +21,10 @@ pass through, and columns named ``ids`` or ``decoded`` are replaced.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -36,7 +39,7 @@ from .common import slices
 
 SLICE_BYTES = 4 << 20
 #: Words that a task remembers; beyond it, it starts afresh.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -50,6 +53,37 @@ def byte_symbols() -> list[str]:
     return out
 
 
+#: Letters (L) and numbers (N) that Unicode 16 added; the tokenizers library knows them, Python's tables may not.
+UNICODE_16 = {
+    "L": "\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4"
+    "\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0"
+    "\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0",
+    "N": "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa",
+}
+#: Below this code point a text needs short character classes only.
+LATIN_END = 0x250
+
+
+def char_class(kind: str, end: int = sys.maxunicode + 1) -> str:
+    """The inside of a regular expression's class: all characters below end of a general category L or N."""
+    out, first = [], None
+    for c in range(end + 1):
+        if c < end and unicodedata.category(chr(c))[0] == kind:
+            first = c if first is None else first
+        elif first is not None:
+            out.append(f"{chr(first)}-{chr(c - 1)}")
+            first = None
+    return "".join(out) + (UNICODE_16[kind] if end > LATIN_END else "")
+
+
+def compiled(pattern: str, end: int = sys.maxunicode + 1) -> re.Pattern:
+    """The pattern with \\p{L}, \\p{N} and white space spelled out, so that it doesn't hang on a library's Unicode version."""
+    space = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    for name, chars in (("\\p{L}", char_class("L", end)), ("\\p{N}", char_class("N", end)), ("\\s", space)):
+        pattern = pattern.replace(name, chars)
+    return re.compile(pattern)
+
+
 class Bpe:
     """The tables of a tokenizer file (BPE with a word-end suffix): bounded by its vocabulary."""
 
@@ -77,6 +111,13 @@ class Bpe:
         keys = self.left * size + self.right
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
+        self._encoder: Encoder | None = None
+
+    def encoder(self) -> Encoder:
+        """The encoder of this process: a worker that runs further tasks goes on with the words it knows."""
+        if self._encoder is None:
+            self._encoder = Encoder(self)
+        return self._encoder
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, _NONE where the file has no such merge."""
@@ -130,7 +171,8 @@ class Bpe:
             at = at[alive[at] & (symbols[at] == a)]
             at = at[symbols[after[at]] == b]
             if len(at) > 1:
-                at = np.unique(at)
+                at = np.sort(at)
+                at = at[np.append(True, at[1:] != at[:-1])]
                 if a == b:  # in a chain of overlapping positions, every second one from the left
                     chained = np.append(False, after[at[:-1]] == at[1:])
                     heads = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
@@ -144,7 +186,7 @@ class Bpe:
             before[after[gone]] = at
             before[n] = n
             left = before[at]
-            add(np.unique(np.concatenate([at, left[left < n]])))
+            add(np.concatenate([at, left[left < n]]))
         keep = alive[:n]
         counts = np.add.reduceat(keep, ends - lengths) if n else np.zeros(0, np.int64)
         return symbols[:n][keep].astype(np.int32), np.append(0, np.cumsum(counts))
@@ -154,11 +196,10 @@ class Encoder:
     """Encodes texts in one task, remembering the words it has seen."""
 
     def __init__(self, bpe: Bpe):
-        import regex
-
         self.bpe = bpe
-        self.find = regex.compile(bpe.pattern).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, bpe.special)) + ")").split if bpe.special else None
+        self.find, self.find_latin = compiled(bpe.pattern).findall, compiled(bpe.pattern, LATIN_END).findall
+        self.beyond_latin = re.compile(f"[^\0-{chr(LATIN_END - 1)}]").search
+        self.cut = re.compile("(" + "|".join(map(re.escape, bpe.special)) + ")").split
         self.forget()
 
     def forget(self) -> None:
@@ -175,7 +216,7 @@ class Encoder:
 
     def words(self, text: str) -> list[str]:
         """The words of a text; white space falls between them, so runs of it need no replacing."""
-        if self.cut and any(s in text for s in self.bpe.special):
+        if any(s in text for s in self.bpe.special):
             out = []
             for part in self.cut(text):
                 out += [f"\0{part}"] if part in self.bpe.special else self.plain(part)
@@ -187,17 +228,21 @@ class Encoder:
             text = unicodedata.normalize("NFC", text)
         if self.bpe.lower:
             text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        return self.find(text)
+        return (self.find if self.beyond_latin(text) else self.find_latin)(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the offsets of the texts."""
         words = [self.words(t) for t in texts]
         if len(self.word) > KNOWN_WORDS:
             self.forget()
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.word))
-        if new:
+        total = sum(map(len, words))
+        at = np.fromiter(map(self.word.get, itertools.chain.from_iterable(words), itertools.repeat(-1)), dtype=np.int64, count=total)
+        if len(missing := np.flatnonzero(at < 0)):
+            flat = list(itertools.chain.from_iterable(words))
+            late = [flat[k] for k in missing.tolist()]
+            new = list(dict.fromkeys(late))
             self._enter(new, *self.bpe.encode_words(new))
-        at = np.fromiter((self.word[w] for ws in words for w in ws), dtype=np.int64, count=sum(map(len, words)))
+            at[missing] = [self.word[w] for w in late]
         counts = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
@@ -229,7 +274,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", decoded
     take = text if text in names else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tokens = Encoder(bpe.value), pa.array(bpe.value.tokens, pa.large_string())
+        encoder, tokens = bpe.value.encoder(), pa.array(bpe.value.tokens, pa.large_string())
         for batch in batches:
             column = batch.column(batch.schema.names.index(take))
             for first, end, _, _ in slices(column, SLICE_BYTES):

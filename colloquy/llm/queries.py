@@ -34,6 +34,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode
+
+    coded = encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import find_components
 
@@ -64,6 +76,7 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN its USING (doc_id)
 QUERIES = {
     "op2_rendezvous_shards": op2_rendezvous_shards,
     "op3_decontaminate": op3_decontaminate,
+    "op5_bpe": op5_bpe,
     "op10_simhash_components": op10_simhash_components,
 }
 
