@@ -262,7 +262,7 @@ def load(path: str | None = None) -> Bpe:
 
 
 def _strings(tokens: pa.Array, ids: pa.ListArray) -> pa.Array:
-    return pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets, tokens.take(ids.values)), " ")
+    return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, tokens.take(ids.values)), " ")
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", decoded: bool = False) -> DataFrame:
@@ -274,13 +274,13 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", decoded
     take = text if text in names else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tokens = bpe.value.encoder(), pa.array(bpe.value.tokens, pa.large_string())
+        encoder, tokens = bpe.value.encoder(), pa.array(bpe.value.tokens, pa.string())
         for batch in batches:
             column = batch.column(batch.schema.names.index(take))
             for first, end, _, _ in slices(column, SLICE_BYTES):
                 ids, offsets = encoder.encode([t or "" for t in column.slice(first, end - first).to_pylist()])
-                lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                made = [lists.cast(pa.list_(pa.int32())), *([_strings(tokens, lists).cast(pa.string())] if decoded else [])]
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                made = [lists, *([_strings(tokens, lists)] if decoded else [])]
                 part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.names.index(c)) for c in names), *made], names=[*names, *(f.name for f in new)])
 
