@@ -59,6 +59,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import compare_neighbours
+
+    return compare_neighbours(_read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import find_components
 
@@ -91,6 +97,7 @@ QUERIES = {
     "op2_rendezvous_shards": op2_rendezvous_shards,
     "op3_decontaminate": op3_decontaminate,
     "op5_bpe": op5_bpe,
+    "op9_fingerprints": op9_fingerprints,
     "op10_simhash_components": op10_simhash_components,
 }
 
