@@ -66,6 +66,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_templates import dedup_lines
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, counts=True).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import compare_neighbours
 
@@ -112,12 +119,37 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGIN
 FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP7_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+ln AS (SELECT r, pos, ls[pos] AS line, substr(md5(ls[pos]), 1, 16) AS h FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS pos FROM docs) WHERE trim(ls[pos], ' ') <> ''),
+ends AS (SELECT r, min(h) AS least FROM ln GROUP BY r),
+seconds AS (SELECT r, min(h) AS second FROM ln JOIN ends USING (r) WHERE h > least GROUP BY r),
+tok AS (SELECT r, pos, line, CASE WHEN h = least THEN coalesce(second, '') ELSE least END AS sig, string_split(line, ' ') AS ts
+        FROM ln JOIN ends USING (r) LEFT JOIN seconds USING (r)),
+lf AS (SELECT r, pos, line, sig, list_transform(ts, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS ms FROM tok),
+leafed AS (SELECT r, pos, line, sig, ms, concat(len(ms), ' ', array_to_string(ms[1:3], ' ')) AS leaf FROM lf),
+leaves AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT sig) >= 3),
+own AS (SELECT * FROM leafed SEMI JOIN leaves USING (leaf)),
+seen AS (SELECT DISTINCT leaf, line, ms, sig FROM own),
+words AS (SELECT leaf, line, sig, i, ms[i] AS w FROM (SELECT leaf, line, sig, ms, unnest(range(1, len(ms) + 1)) AS i FROM seen)),
+constants AS (SELECT leaf, i, w FROM words WHERE w <> '<*>' GROUP BY leaf, i, w HAVING count(DISTINCT sig) >= 3),
+placed AS (SELECT d.leaf, d.line, d.i, c.w AS c FROM (SELECT DISTINCT leaf, line, i, w FROM words) d LEFT JOIN constants c USING (leaf, i, w)),
+lines AS (SELECT leaf, line, string_agg(coalesce(c, '<*>'), ' ' ORDER BY i) AS template FROM placed GROUP BY leaf, line HAVING count(c) >= 0.7 * count(*)),
+templates AS (SELECT leaf, template FROM seen JOIN lines USING (leaf, line) GROUP BY leaf, template HAVING count(DISTINCT sig) >= 3),
+gone AS (SELECT r, pos FROM own JOIN lines USING (leaf, line) SEMI JOIN templates USING (leaf, template)),
+kept AS (SELECT r, string_agg(ls[p], chr(10) ORDER BY p) AS t FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS p FROM docs) a ANTI JOIN gone g ON a.r = g.r AND a.p = g.pos GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM ln GROUP BY r), g AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.n, 0) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN n USING (r) LEFT JOIN g USING (r) LEFT JOIN kept USING (r)
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_rendezvous_shards": op2_rendezvous_shards,
     "op3_decontaminate": op3_decontaminate,
     "op4_remove_repeats": op4_remove_repeats,
     "op5_bpe": op5_bpe,
+    "op7_line_templates": op7_line_templates,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash_components": op10_simhash_components,
 }
@@ -125,4 +157,5 @@ QUERIES = {
 ORACLES = {
     "op3_decontaminate": OP3_SQL,
     "op4_remove_repeats": OP4_SQL,
+    "op7_line_templates": OP7_SQL,
 }
