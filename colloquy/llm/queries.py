@@ -73,6 +73,23 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, counts=True).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive, read_records, resolve_revisits
+    from .common import written
+
+    pages = _read(spark, sf_dir, "pages")
+    index = archive(pages)
+    records = resolve_revisits(written(read_records(index.captures(spark)), "warc-records"))
+    id_type = pages.schema["page_id"].dataType
+    return records.select(
+        F.col("page_id").cast(id_type).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("kind").alias("record_type"),
+        F.col("refers_to").cast(id_type).alias("refers_to"),
+    )
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import compare_neighbours
 
@@ -143,6 +160,15 @@ SELECT doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.n, 0) AS n_dropped, sha25
 FROM docs LEFT JOIN n USING (r) LEFT JOIN g USING (r) LEFT JOIN kept USING (r)
 """
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT d, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last <> page_id THEN last END AS refers_to
+FROM p LEFT JOIN g USING (d)
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_rendezvous_shards": op2_rendezvous_shards,
@@ -150,6 +176,7 @@ QUERIES = {
     "op4_remove_repeats": op4_remove_repeats,
     "op5_bpe": op5_bpe,
     "op7_line_templates": op7_line_templates,
+    "op8_warc_index": op8_warc_index,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash_components": op10_simhash_components,
 }
@@ -158,4 +185,5 @@ ORACLES = {
     "op3_decontaminate": OP3_SQL,
     "op4_remove_repeats": OP4_SQL,
     "op7_line_templates": OP7_SQL,
+    "op8_warc_index": OP8_SQL,
 }
