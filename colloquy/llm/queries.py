@@ -66,6 +66,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_templates import dedup_lines
 
@@ -175,6 +181,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_remove_repeats": op4_remove_repeats,
     "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality,
     "op7_line_templates": op7_line_templates,
     "op8_warc_index": op8_warc_index,
     "op9_fingerprints": op9_fingerprints,
