@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, lower_ascii, slices, word_hashes, word_spans, word_table, written
+from .common import gram_hashes, lower_ascii, slices, word_hashes, word_spans, word_table
 
 K = 128
 SHINGLE = 5
@@ -142,16 +142,17 @@ _RESULT = "doc_id {id}, n_chars long, edited_sha256 string, fingerprint string,
 def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """Each document's sketch beside that of its edited text and of the next document by descending id (the last one's next is the first).
 
-    One range shuffle by id brings neighbours together; each task compares its
-    sorted documents in a stream. The first and the last document of each task
-    are written along with the results, and a small second pass joins the ends:
-    two documents for each task.
+    One range shuffle by id (and a hash of the text, so that even one id may
+    have very many rows) brings neighbours together; each task compares its
+    sorted documents in a stream. The first and last document of each task,
+    read from the same shuffle, are compared in a second pass: two documents
+    for each of at most ``MOST_TASKS`` tasks.
     """
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     tasks = min(MOST_TASKS, max(12, docs.count() // ROWS_PER_TASK))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
     schema = T.StructType.fromDDL(_RESULT.format(id=rows.schema["doc_id"].dataType.simpleString()))
-    both = T.StructType([*schema.fields, T.StructField("edge", T.StringType()), T.StructField("text", T.StringType())])
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[rows.schema["doc_id"].dataType.simpleString()]
 
     def results(ids: list, texts: list[str]) -> list[list]:
@@ -169,50 +170,52 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
             [resemblance(a, b, k) for a, b in zip(own[:-1], own[1:], strict=True)],
         ]
 
-    def batch_of(columns: list[list], edge: list, texts: list) -> pa.RecordBatch:
-        kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, edge, texts], kinds, strict=True)], names=both.names)
-
-    def edge_row(doc_id, kind: str, text: str) -> pa.RecordBatch:
-        return batch_of([[doc_id], *([[None]] * 6)], [kind], [text])
+    def batch_of(columns: list[list]) -> pa.RecordBatch:
+        kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=schema.names)
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size, first = [], [], 0, True
+        ids, texts, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if first:
-                    yield edge_row(doc_id, "first", text)
-                    first = False
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ids.append(doc_id)
                 texts.append(text)
                 size += len(text)
                 if size >= CHARS_AT_ONCE and len(ids) > 1:
-                    out = results(ids, texts)
-                    yield batch_of(out, [None] * len(out[0]), [None] * len(out[0]))
+                    yield batch_of(results(ids, texts))
                     ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
-        if ids:
-            if len(ids) > 1:
-                out = results(ids, texts)
-                yield batch_of(out, [None] * len(out[0]), [None] * len(out[0]))
-            yield edge_row(ids[-1], "last", texts[-1])
+        if len(ids) > 1:
+            yield batch_of(results(ids, texts))
+
+    def ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first and the last row of a task, told apart by ``edge``."""
+        last = None
+        for batch in batches:
+            if batch.num_rows and last is None:
+                yield with_edge(batch.slice(0, 1), "first")
+            last = batch.slice(batch.num_rows - 1, 1) if batch.num_rows else last
+        if last is not None:
+            yield with_edge(last, "last")
+
+    def with_edge(row: pa.RecordBatch, edge: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*row.columns, pa.array([edge])], names=["doc_id", "h", "text", "edge"])
 
     def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ends come as first, last, first, last, ...: each last one with the first that follows, the very last with the very first."""
         head, last = None, None
         for batch in batches:
-            for row in batch.select(["doc_id", "edge", "text"]).to_pylist():
+            for row in batch.to_pylist():
                 head = head or row
                 if row["edge"] == "last":
                     last = row
                 elif last:
-                    yield batch_of(results([last["doc_id"], None], [last["text"], row["text"]]), [None], [None])
+                    yield batch_of(results([last["doc_id"], None], [last["text"], row["text"]]))
                     last = None
         if last:
-            yield batch_of(results([last["doc_id"], None], [last["text"], head["text"]]), [None], [None])
-
-    ranged = rows.repartitionByRange(tasks, order[0]).sortWithinPartitions(*order)
-    found = written(ranged.mapInArrow(pair_up, both), "fingerprints")
-    ends = found.filter("edge IS NOT NULL").select("doc_id", "edge", "text")
-    # within a task of one document "first" stands before "last"; tasks don't share an id
-    ends = ends.repartition(1).sortWithinPartitions(order[0], F.col("edge").asc())
-    return found.filter("edge IS NULL").select(*schema.names).unionAll(ends.mapInArrow(join_ends, both).select(*schema.names))
+            yield batch_of(results([last["doc_id"], None], [last["text"], head["text"]]))
+
+    ranged = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    ends = ranged.mapInArrow(ends_of, T.StructType([*rows.schema.fields, T.StructField("edge", T.StringType())]))
+    # within a task of one document "first" stands before "last"; tasks don't share an id and hash
+    ends = ends.repartition(1).sortWithinPartitions(*order, F.col("edge").asc())
+    return ranged.mapInArrow(pair_up, schema).unionAll(ends.mapInArrow(join_ends, schema))
