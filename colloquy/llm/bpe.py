@@ -29,6 +29,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -290,8 +291,6 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", decoded
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """rows with the text of each array of ids; null ids decode to the empty text."""
     bpe = rows.sparkSession.sparkContext.broadcast(load(path))
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(column: pd.Series) -> pd.Series:
         tokens = bpe.value.tokens

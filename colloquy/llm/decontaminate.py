@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,8 +171,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     back = {c: own.get(c, c) for c in docs.columns}
     if remove == "documents":
         return found.filter(~F.col("contaminated")).select(*(F.col(f"`{now}`").alias(c) for c, now in back.items()))
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(texts: pd.Series, hits: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or not len(h) else remove_spans(t, list(h)) for t, h in zip(texts, hits, strict=True)], dtype=object)
