@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +77,41 @@ def containment_of_tokens(n: Column, h: Column) -> Column:
     return F.when((F.size(n) == 0) | (F.size(h) == 0), 0.0).when(aligned, 1.0).otherwise(best / F.size(n))
 
 
+def sliding_containment(needle: Column | str, hay: Column | str) -> Column:
+    """containment_of_tokens() for long arrays: an Arrow function that slides the window, in time linear in the hay.
+
+    The expression form counts anew in each window; beyond a few tokens it is
+    slower than the trip to Python.
+    """
+    @F.pandas_udf("double")
+    def best(needles: pd.Series, hays: pd.Series) -> pd.Series:
+        out = []
+        for n, h in zip(needles, hays, strict=True):
+            if n is None or h is None or not len(n) or not len(h):
+                out.append(0.0)
+                continue
+            need: dict[str, int] = {}
+            for t in n:
+                need[t] = need.get(t, 0) + 1
+            if f" {' '.join(n)} " in f" {' '.join(h)} ":
+                out.append(1.0)
+                continue
+            width, seen, hits, most = min(len(h), len(n) + -(-len(n) // 4)), dict.fromkeys(need, 0), 0, 0
+            for i, t in enumerate(h):
+                if t in seen:
+                    seen[t] += 1
+                    hits += seen[t] <= need[t]
+                if i >= width and (old := h[i - width]) in seen:
+                    hits -= seen[old] <= need[old]
+                    seen[old] -= 1
+                if i + 1 >= width:
+                    most = max(most, hits)
+            out.append(most / len(n))
+        return pd.Series(out)
+
+    return best(_col(needle), _col(hay))
+
+
 def overlap_score(a: Column | str, b: Column | str) -> Column:
     return F.greatest(containment(a, b), containment(b, a))
 

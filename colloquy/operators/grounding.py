@@ -28,7 +28,7 @@ def find_quotes(quotes: DataFrame, turns: DataFrame, keys: list[str] | None = No
     probes = q.select(*keys, "quote_id", "needle", F.explode(F.array_distinct(F.slice(by_length, F.lit(1), need))).alias("probe"))
     held = t.select(*keys, "turn_ord", "hay", F.explode(F.array_distinct("hay")).alias("probe"))
     met = probes.join(held, [*keys, "probe"]).dropDuplicates([*keys, "quote_id", "turn_ord"])
-    scored = met.select(*keys, "quote_id", "turn_ord", tx.containment_of_tokens(F.col("needle"), F.col("hay")).alias("score")).filter(F.col("score") >= least)
+    scored = met.select(*keys, "quote_id", "turn_ord", tx.sliding_containment("needle", "hay").alias("score")).filter(F.col("score") >= least)
     best = scored.groupBy(*keys, "quote_id").agg(F.max(F.struct("score", (-F.col("turn_ord")).alias("back"))).alias("b"))
     return best.select(*keys, "quote_id", (-F.col("b.back")).alias("turn_ord"), F.col("b.score").alias("score"))
 

@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import judging, speaking
+
+_MODULES = (speaking, judging)
+
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: text for m in _MODULES for name, text in m.ORACLES.items()}
