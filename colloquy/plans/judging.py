@@ -200,8 +200,13 @@ ORACLES = {
     "verification_tally": sql("SELECT meeting_id, count(*) FILTER (verdict = 'SUPPORTED') AS supported, count(*) FILTER (verdict = 'PARTIAL') AS partial, count(*) FILTER (verdict = 'AMBIGUOUS') AS ambiguous, count(*) FILTER (verdict = 'UNSUPPORTED') AS unsupported, round(avg(CASE WHEN verdict = 'UNSUPPORTED' THEN 1.0 ELSE 0 END), 6) AS unsupported_rate, count(*) FILTER (verdict = 'UNSUPPORTED' AND critical) AS critical_unsupported FROM claims GROUP BY 1", "claims"),
     "critical_claims": sql("SELECT meeting_id, claim_ix, critical OR claim_ix % 13 IN (0, 5, 10) AS critical FROM claims", "claims"),
     "unsupported_claims": sql("SELECT meeting_id, claim_ix FROM claims WHERE verdict = 'UNSUPPORTED' AND meeting_id % 2 = 0", "claims"),
-    "quote_validation": sql(f"""SELECT quote_id, arg_max(turn_ord, (score, -turn_ord)) AS turn_ord, round(max(score), 6) AS score FROM (SELECT q.item_id AS quote_id, turn_ord, {_containment('n', 'h')} AS score FROM
-        (SELECT item_id, {i.tokens('text')} AS n FROM benchmark) q JOIN (SELECT doc_id * 100000 + ord AS turn_ord, {i.tokens('text')} AS h FROM lines) l ON len(list_intersect(n, h)) >= 0.8 * len(list_distinct(n)) - 0.2 * len(n) - 1) WHERE score >= 0.8 GROUP BY 1""", "lines"),
+    "quote_validation": "WITH lines AS MATERIALIZED (" + i.CTES["lines"] + f"""),
+        q AS MATERIALIZED (SELECT item_id AS quote_id, {i.tokens('text')} AS n FROM benchmark),
+        l AS MATERIALIZED (SELECT doc_id * 100000 + ord AS turn_ord, {i.tokens('text')} AS h FROM lines),
+        qt AS (SELECT quote_id, len(list_distinct(n)) - 0.2 * len(n) AS need, unnest(list_distinct(n)) AS t FROM q), lt AS (SELECT turn_ord, unnest(list_distinct(h)) AS t FROM l WHERE len(h) > 0),
+        near AS MATERIALIZED (SELECT quote_id, turn_ord FROM qt JOIN lt USING (t) GROUP BY quote_id, turn_ord HAVING count(*) >= max(need)),
+        scored AS (SELECT quote_id, turn_ord, {_containment('n', 'h')} AS score FROM near JOIN q USING (quote_id) JOIN l USING (turn_ord))
+        SELECT quote_id, arg_max(turn_ord, (score, -turn_ord)) AS turn_ord, round(max(score), 6) AS score FROM scored WHERE score >= 0.8 GROUP BY 1""",
     "quote_containment": sql(rf"""SELECT meeting_id, ord, round({_containment('n', 'h')}, 6) AS score FROM (SELECT meeting_id, ord, {i.tokens('q')} AS n, {i.tokens('text')} AS h FROM
         (SELECT meeting_id, ord, text, array_to_string(CASE WHEN ord % 3 = 0 THEN list_reverse(half) ELSE half END, ' ') AS q FROM (SELECT *, w[1 : greatest(len(w) // 2, 1)] AS half FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM turns))))""", "base", "turns"),
     "bullet_match": sql(f"""SELECT meeting_id, ord, a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a) OR coalesce(len(list_intersect(x, y)) / nullif(least(len(x), len(y)), 0), 0) >= 0.1) AS matches FROM
