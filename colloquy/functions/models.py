@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 Model = Callable[[str, str | None], str]
 
@@ -37,11 +36,26 @@ VERDICTS = ("SUPPORTED", "PARTIAL", "AMBIGUOUS", "UNSUPPORTED")
 EMBED_CHARS = 40_000
 
 
+#: Fields that an answer may lack.
+OPTIONAL = ("dateFrom", "dateTo", "sufficient", "participants", "targetTypes")
+
+
+def field_names(ddl: str) -> list[str]:
+    """The names at the top level of a schema."""
+    out, depth, start = [], 0, 0
+    for at, c in enumerate(f"{ddl},"):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(ddl[start:at].split()[0])
+            start = at + 1
+    return out
+
+
 def invalid(name: str, data: object, turn_ids: set[str] | None = None) -> str | None:
     """Why an answer breaks its contract, with the path of the fault; None if it holds."""
     if not isinstance(data, dict):
         return "$: not an object"
-    if missing := [f.name for f in T.StructType.fromDDL(CONTRACTS[name]).fields if f.name not in data and f.name not in ("owner", "due", "dateFrom", "dateTo", "sufficient", "participants", "targetTypes")]:
+    if missing := [f for f in field_names(CONTRACTS[name]) if f not in data and f not in OPTIONAL]:
         return f"$.{missing[0]}: missing"
     if name == "clean":
         if not data["turns"]:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions import values as v
@@ -35,7 +36,7 @@ def window_bounds(costs: list[int], target: int = TURN_TARGET, most: int = TURN_
 def turn_windows(turns: DataFrame, keys: tuple[str, ...] = ("meeting_id", "chapter_ix"), order: str = "ord", cost: str = "tokens", target: int = TURN_TARGET, most: int = TURN_MOST) -> DataFrame:
     """keys, window_ix, first_ord, last_ord. A window's start hangs on the end of the one before, so each group is walked in order: only (order, tokens) of a group travel, and rows stream through in sorted partitions."""
     slim = turns.select(*keys, F.col(order).cast("long").alias("_o"), F.col(cost).cast("long").alias("_c"))
-    schema = slim.select(*keys).schema.add("window_ix", "int").add("first_ord", "long").add("last_ord", "long")
+    schema = T.StructType([*slim.select(*keys).schema.fields, T.StructField("window_ix", T.IntegerType()), T.StructField("first_ord", T.LongType()), T.StructField("last_ord", T.LongType())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, orders, costs = None, [], []

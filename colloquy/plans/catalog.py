@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import judging, speaking
+from . import judging, speaking, stores, texts
 
-_MODULES = (speaking, judging)
+_MODULES = (speaking, judging, texts, stores)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: text for m in _MODULES for name, text in m.ORACLES.items()}
