@@ -116,6 +116,7 @@ def find_contamination(
     spark = docs.sparkSession
     items = [(r[0], r[1]) for r in benchmark.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{item_text}`").cast("string")).toLocalIterator() if r[0] is not None and r[1] is not None]
     blocks = _blocks(items, broadcast_bytes)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in _RESULTS or c == text))
     out = docs.select("*", F.lit(None).cast("array<int>").alias(_HIT), F.lit(None).cast("array<string>").alias(_ITEMS))
     schema = T.StructType([*docs.schema.fields, T.StructField(_HIT, T.ArrayType(T.IntegerType())), T.StructField(_ITEMS, T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())])
     for k, block in enumerate(blocks):
