@@ -73,6 +73,11 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         first = end
 
 
+def release() -> None:
+    """Gives memory back that Arrow keeps after a task, as the worker may stay on, idle, beside other stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def word_table(pattern: str) -> np.ndarray:
     """Which bytes belong to a word: 'alnum' (0-9, letters, all beyond ASCII) or 'nonspace'."""
     table = np.ones(256, dtype=bool)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, slices
+from .common import lower_ascii, release, slices
 
 BUCKET_BITS = 16
 #: Languages that a model may have at most.
@@ -80,6 +80,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
                 for name in dict.fromkeys(langs[first:end]):
                     own = np.repeat(langs[first:end] == name, np.diff(bounds))
                     sums[name] = sums.get(name, 0) + np.bincount(grams[own], minlength=1 << BUCKET_BITS)
+        release()
         for name, values in sums.items():
             at = np.flatnonzero(values)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(values[at].astype(np.int64))], names=["lang", "bucket", "n"])
@@ -144,17 +145,21 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     """The kept columns with lang_pred, score and langs (array of language and share, the largest first)."""
     names, logs = model
     shared = docs.sparkSession.sparkContext.broadcast(logs)
-    kept = [F.col(f"`{c}`") for c in keep if c not in ("lang_pred", "score", "langs")]
-    rows = docs.select(*kept, F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("_letter"), F.col(f"`{text}`").alias("_text"))
-    schema = T.StructType([*(f for f in rows.schema.fields[:-2]), *T.StructType.fromDDL("lang_pred string, score double, langs array<struct<lang:string,share:double>>").fields])
-
-    n, columns = len(kept), [f.name for f in schema.fields]
+    names_kept = [c for c in keep if c not in ("lang_pred", "score", "langs")]
+    kept = [F.col(f"`{c}`") for c in names_kept]
+    letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    # a text that is kept goes to Python once
+    rows = docs.select(*kept, letter, *([] if text in names_kept else [F.col(f"`{text}`").alias("_text")]))
+    n = len(kept)
+    at = names_kept.index(text) if text in names_kept else n + 1
+    schema = T.StructType([*rows.schema.fields[:n], *T.StructType.fromDDL("lang_pred string, score double, langs array<struct<lang:string,share:double>>").fields])
+    columns = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letter = batch.column(n).to_numpy(zero_copy_only=False)
             pred, score, langs = [], [], []
-            for first, end, data, offsets in slices(batch.column(n + 1), SLICE):
+            for first, end, data, offsets in slices(batch.column(at), SLICE):
                 chosen, full = infer(shared.value, data, offsets) if names else (np.zeros((end - first, 0)),) * 2
                 for row in range(end - first):
                     if not letter[first + row] or not chosen[row].any():
@@ -169,5 +174,6 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
                     langs.append([{"lang": names[k], "share": float(chosen[row, k])} for k in order if chosen[row, k] > 1e-4])
             made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=columns)
+        release()
 
     return rows.mapInArrow(run, schema)
