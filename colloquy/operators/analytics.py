@@ -196,3 +196,24 @@ def recall_report(truth: DataFrame, stages: list[str]) -> tuple[DataFrame, DataF
     kept = F.col("stage").isNull()
     overall = rows.agg(F.avg(kept.cast("double")).alias("line_recall"), (F.sum(F.when(kept, F.col("words")).otherwise(0)) / F.sum("words")).alias("word_recall"))
     return overall, rows.filter(~kept).groupBy("stage").agg(F.count("*").alias("lines"), F.sum("words").alias("words"))
+
+
+def align_recall(truth: DataFrame, emitted: DataFrame, least: float = 0.6, keys: list[str] | None = None, slack: float = 30.0) -> DataFrame:
+    """truth (keys, ord, t, text) with best (highest sequence ratio to a line emitted within ``slack`` seconds, 0 if none) and found."""
+    from ..functions.models import sequence_ratio
+    from .intervals import band_join
+
+    keys = ["meeting_id"] if keys is None else keys
+    said = truth.select(*keys, "ord", F.col("t").alias("said_at"), tx.normalize("text").alias("said"))
+    shown = emitted.select(*keys, F.col("t").alias("shown_at"), tx.normalize("text").alias("shown"))
+    at, shown_at = F.col("said_at"), F.col("shown_at")
+    pairs = band_join(said, shown, keys, (at - slack, at + slack), (shown_at, shown_at), F.abs(at - shown_at) <= slack)
+    best = pairs.withColumn("ratio", sequence_ratio("said", "shown")).groupBy(*keys, "ord").agg(F.max("ratio").alias("best"))
+    joined = truth.join(best, [*keys, "ord"], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    return joined.withColumn("found", F.col("best") >= least)
+
+
+def dictation_text(results: DataFrame) -> DataFrame:
+    """session_id, text: the final results of a dictation (session_id, ord, final, text) in order; partial ones are left out."""
+    rows = results.filter("final").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("r"))
+    return rows.select("session_id", F.array_join("r.text", " ").alias("text"))

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SETTLE_SECONDS = 1.2
@@ -48,7 +47,7 @@ class RevisionMerger(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", T.StructType.fromDDL("speaker string, text string, since timestamp"))
+        self.pending = handle.getValueState("pending", "speaker string, text string, since timestamp")
 
     def _timer(self, at: pd.Timestamp) -> None:
         for old in list(self.handle.listTimers()):
