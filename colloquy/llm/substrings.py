@@ -288,7 +288,8 @@ def remove_repeats(
     )
     passages = written(_passages(candidates.select("doc", "tk", "text").join(placed, ["doc", "tk"]).select("doc", "tk", "text", "windows"), threshold), "substrings-passages")
 
-    parts = passages.filter("query = 1").groupBy("shard").agg(F.ceil(F.sum("n") / slice_words).cast("int").alias("parts"))
+    # written, so that the joins deal both sides themselves and Spark can split a shard with very many passages
+    parts = written(passages.filter("query = 1").groupBy("shard").agg(F.ceil(F.sum("n") / slice_words).cast("int").alias("parts")), "substrings-parts")
     queries = passages.filter("query = 1").join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc", "tk", "start"), F.col("parts")).cast("int"))
     references = passages.filter("query = 0").join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     columns = ["shard", "part", "query", "doc", "tk", "start", "text"]
