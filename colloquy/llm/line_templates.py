@@ -14,6 +14,14 @@ MD5 of their other lines (16 hex digits each); documents that agree in both are
 of one kind, and kinds are counted. As near copies differ in some lines, a
 template must also have at least half as many kinds as documents. A line that
 stands in many copies of one text stays, a line in many different texts goes.
+This is the rule of op7's SQL.
+
+With ``classes`` (the pipeline) the kind is the class of near copies, found over
+the whole texts: five-word shingles of Jaccard index 0.8 or more (near_copies).
+Each class counts once, and there is no share of kinds: copies neither make a
+line recur nor stop one that recurs in ``min_docs`` different texts. Pages that
+are alike beyond that index through their boilerplate alone are near copies, and
+their lines stay.
 
 Everything is grouped on hashes of lines, leaves or templates with partial
 aggregation first; no group of lines is gathered in one place. Only lines of
@@ -31,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .near_copies import near_classes
 
 MIN_DOCS = 3
 LEADING = 3
@@ -63,12 +72,25 @@ def _lines(docs: DataFrame, key: str, text: str, leading: int) -> DataFrame:
     return each.select("_id", "_tk", "pos", "line", sig.alias("sig"), leaf.alias("leaf"))
 
 
-def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, leading: int = LEADING, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def _with_classes(own: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """own with the class of near copies as ``sig``; only texts that have a line in own are classed."""
+    asked = own.select("_tk").distinct()
+    texts = written(docs.select(F.xxhash64(F.col(f"`{text}`")).alias("_tk"), F.col(f"`{text}`").alias("text")).join(asked, "_tk", "left_semi").dropDuplicates(["_tk"]), "lines-texts")
+    roots, words = near_classes(texts)
+    named = written(texts.select("_tk", words.alias("words")).join(roots, "words", "left").select("_tk", F.coalesce("root", "words").alias("sig")), "lines-classes")
+    return written(own.drop("sig").join(named, "_tk"), "lines-classed")
+
+
+def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, leading: int = LEADING, similarity: float = SIMILARITY, classes: bool = False) -> tuple[DataFrame, DataFrame]:
     """(templates, places): (leaf, template, kinds, docs) that recur, and (_id, _tk, pos, leaf, template) of their lines."""
     lines = _lines(docs, key, text, leading)
+    if classes:  # different texts first, as there are no more classes than texts
+        lines = lines.withColumn("sig", F.col("_tk"))
     # written, so that the join deals both sides itself and Spark can split a leaf with very many lines
     leaves = written(lines.select("leaf", "sig").distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf"), "lines-leaves")
     own = written(lines.join(leaves, "leaf", "left_semi").select("_id", "_tk", "pos", "leaf", "sig", "line", F.md5("line").alias("lk")), "lines-in-leaves")
+    if classes:
+        own = _with_classes(own, docs, text)
 
     # one row for each line text and kind of document (with the number of documents), then one for each token of it
     once = own.groupBy("leaf", "lk", "sig", "_id", "_tk").agg(F.first("line").alias("line"))
@@ -82,7 +104,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
         of_line.filter(F.col("constants") >= similarity * F.size("ws")).select("leaf", "lk", F.array_join(F.col("ws.w"), " ").alias("template")), "lines-templates"
     )
     kinds = seen.select("leaf", "lk", "sig", "n").join(of_line, ["leaf", "lk"]).groupBy("leaf", "template", "sig").agg(F.sum("n").alias("n"))
-    templates = kinds.groupBy("leaf", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("docs")).filter((F.col("kinds") >= min_docs) & (F.col("kinds") >= KINDS_SHARE * F.col("docs")))
+    templates = kinds.groupBy("leaf", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("docs")).filter((F.col("kinds") >= min_docs) & (F.col("kinds") >= (0 if classes else KINDS_SHARE) * F.col("docs")))
     dropped = of_line.join(templates, ["leaf", "template"]).select("leaf", "lk", "template")
     return templates, own.select("_id", "_tk", "pos", "leaf", "lk").join(dropped, ["leaf", "lk"]).select("_id", "_tk", "pos", "leaf", "template")
 

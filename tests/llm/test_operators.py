@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -196,6 +197,30 @@ def test_line_templates(spark, awkward, nothing):
     assert ("posted on <*> by <*> at noon", 5) in rows_of(templates, "template", "kinds")
 
 
+def test_line_templates_by_classes(spark, awkward, nothing):
+    """With classes of near copies: mostly shared pages lose their shared lines, and copies neither make a line recur nor stop one."""
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abdeghilmnorstu") for _ in range(rng.randrange(3, 8))) for _ in range(3000)]
+    line = lambda n=10: " ".join(rng.choice(vocabulary) for _ in range(n))
+    shared = [line() for _ in range(10)]
+    pages = [(k, "\n".join([*shared, line(), line()])) for k in range(30)]
+    notice = "All rights are with the owner of this page"
+    body, near, near_rows = "\n".join(line(40) for _ in range(4)), [line(40) for _ in range(6)], []
+    different = [(100 + k, f"{line()}\n{notice}\n{line()}") for k in range(8)]
+    copies = [(200 + k, f"{body}\n{notice}") for k in range(20)]
+    for k in range(8):
+        words = near[k % 6].split()
+        words[k] = f"changed{k}"
+        near_rows.append((300 + k, "\n".join([*near[: k % 6], " ".join(words), *near[k % 6 + 1 :]])))
+    df = spark.createDataFrame([*pages, *different, *copies, *near_rows], "doc_id long, text string")
+    found = {r.doc_id: r for r in line_templates.dedup_lines(df, counts=True, classes=True).collect()}
+    assert all(found[k].n_dropped == 10 and not set(shared) & set(found[k].text.split("\n")) for k, _ in pages)
+    assert all(found[k].n_dropped == 1 and notice not in found[k].text for k, _ in [*different, *copies])
+    assert all(found[k].n_dropped == 0 for k, _ in near_rows)
+    assert line_templates.dedup_lines(nothing, classes=True).count() == 0
+    assert line_templates.dedup_lines(awkward, classes=True).count() == awkward.count()
+
+
 # 8 ---------------------------------------------------------------------------
 def test_warc(spark, tmp_path):
     big = "<p>" + "é" * 1200

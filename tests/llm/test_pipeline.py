@@ -30,6 +30,15 @@ def test_stages_keep_columns(spark, awkward, nothing, tmp_path):
         assert last.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and last.count() == rows.count()
 
 
+def test_line_dedup_counts_different_texts(spark):
+    """The stage cuts lines that most of a page is made of."""
+    rng = random.Random(2)
+    line = lambda: " ".join("".join(rng.choice("abdeghilmnorstu") for _ in range(6)) for _ in range(10))
+    shared = [line() for _ in range(10)]
+    docs = spark.createDataFrame([(k, "\n".join([*shared, line(), line()])) for k in range(30)], "doc_id long, text string")
+    assert {r.text.count("\n") for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1}
+
+
 def test_run_against_brute_force(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
