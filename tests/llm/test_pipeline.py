@@ -39,6 +39,26 @@ def test_line_dedup_counts_different_texts(spark):
     assert {r.text.count("\n") for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1}
 
 
+def test_near_dedup_reaches_its_index(spark, awkward, nothing):
+    """Pairs with five-word Jaccard 0.8 or more lose the later one, others and unrelated texts stay."""
+    rng, texts = random.Random(3), []
+    word = lambda: "".join(rng.choice("abdeghilmnorstu") for _ in range(7))
+    for n, changes in ((100, 1), (200, 1), (500, 5), (1000, 10), (1000, 20), (100, 8)) * 5:
+        words = [word() for _ in range(n)]
+        other = list(words)
+        for at in rng.sample(range(n), changes):
+            other[at] = word()
+        texts.append((words, other))
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    docs = [(2 * k + j, " ".join(w)) for k, pair in enumerate(texts) for j, w in enumerate(pair)] + [(1000, "two words"), (1001, "Two\nWORDS"), (1002, "two other words"), (None, "two words"), (1003, None), (1004, "")]
+    want = {2 * k for k in range(len(texts))} | {2 * k + 1 for k, (a, b) in enumerate(texts) if len(grams(a) & grams(b)) < 0.8 * len(grams(a) | grams(b))} | {1000, 1002, 1003}
+    assert len(want) < len(docs) - 20
+    found = [r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()]
+    assert sorted(found) == sorted(want)
+    assert corpus_pipeline.near_dedup(spark, nothing, "").count() == 0
+    assert corpus_pipeline.near_dedup(spark, awkward, "").columns == awkward.columns
+
+
 def test_run_against_brute_force(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
