@@ -64,22 +64,31 @@ def top_k(vectors: DataFrame, query: Sequence[float], where: Column, k: int = TO
 
 
 def top_k_join(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "key", embedding: str = "embedding", most_queries: int = 1000) -> DataFrame:
-    """query_id, rank, key, distance: for a bounded set of queries (query_id, query), each against all vectors.
+    """query_id, rank, key, distance: for each query (query_id, query) the nearest of all vectors.
 
-    The queries travel to the vectors as one literal array, so vectors are read
-    once and each task keeps its k best for each query before the shuffle.
+    The queries travel to the vectors in blocks of about ``most_queries``, each
+    as one literal array, so vectors are read once for each block and each task
+    keeps its k best for each query before the shuffle. Rows of one query_id
+    stay in one block.
     """
-    rows = queries.select("query_id", F.col("query").cast("array<double>")).orderBy("query_id").limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries; call it in blocks")
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, rank int, key {vectors.schema[key].dataType.simpleString()}, distance double")
-    literal = F.array(*(F.struct(F.lit(r[0]).alias("query_id"), F.lit(list(r[1])).alias("query")) for r in rows))
-    pairs = vectors.select(F.col(key).alias("key"), F.col(embedding).alias("e"), F.explode(literal).alias("q"))
-    scored = pairs.select("q.query_id", "key", cosine_distance(F.col("e"), F.col("q.query")).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "key")
-    # Spark puts a group limit before the exchange for a rank below a constant
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "key", "distance")
+
+    def of_block(rows: list) -> DataFrame:
+        literal = F.array(*(F.struct(F.lit(r[0]).alias("query_id"), F.lit(list(r[1])).alias("query")) for r in rows))
+        pairs = vectors.select(F.col(key).alias("key"), F.col(embedding).alias("e"), F.explode(literal).alias("q"))
+        scored = pairs.select("q.query_id", "key", cosine_distance(F.col("e"), F.col("q.query")).alias("distance"))
+        # Spark puts a group limit before the exchange for a rank below a constant
+        return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "key", "distance")
+
+    out, block = None, []
+    for row in queries.select("query_id", F.col("query").cast("array<double>")).orderBy("query_id").toLocalIterator():
+        if len(block) >= most_queries and row[0] != block[-1][0]:
+            out = of_block(block) if out is None else out.unionByName(of_block(block))
+            block = []
+        block.append(row)
+    if not block:
+        return vectors.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, rank int, key {vectors.schema[key].dataType.simpleString()}, distance double")
+    return of_block(block) if out is None else out.unionByName(of_block(block))
 
 
 def ranking_metrics(hits: DataFrame, golden: DataFrame, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:

@@ -246,3 +246,13 @@ def test_silence_batch(spark):
     t0 = dt.datetime(2026, 1, 1)
     df = spark.createDataFrame([("m", t0 + dt.timedelta(seconds=s)) for s in (0, 299, 700)], "meeting_id string, ts timestamp")
     assert sorted(r.captions for r in streams.silence_sessions(df).collect()) == [1, 2]
+
+
+def test_top_k_join_of_many_queries(spark):
+    """More queries than a block holds: all get their nearest rows, as in one block."""
+    vectors = spark.range(90).select(F.col("id").alias("key"), F.array(F.cos("id"), F.sin("id"), F.lit(0.5)).alias("embedding"))
+    queries = vectors.select(F.col("key").alias("query_id"), F.col("embedding").alias("query"))
+    whole = sorted(tuple(r) for r in search.top_k_join(vectors, queries, 3).collect())
+    blocks = sorted(tuple(r) for r in search.top_k_join(vectors, queries, 3, most_queries=40).collect())
+    assert blocks == whole and len(whole) == 270
+    assert [q for q, rank, key, _ in blocks if rank == 1 and q == key] == list(range(90))
