@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,51 +33,120 @@ CONTRACTS = {
     "clean_note": "title string, text string",
     "memory": "answer string, refs array<string>",
 }
-VERDICTS = ("SUPPORTED", "PARTIAL", "AMBIGUOUS", "UNSUPPORTED")
+#: Verdicts on a claim.
+VERDICTS = ("SUPPORTED", "PARTIAL", "UNSUPPORTED", "UNCERTAIN")
 EMBED_CHARS = 40_000
 
 
-#: Fields that an answer may lack.
-OPTIONAL = ("dateFrom", "dateTo", "sufficient", "participants", "targetTypes")
+class Broken(ValueError):
+    """An answer that breaks its contract; the text names the place."""
 
 
-def field_names(ddl: str) -> list[str]:
-    """The names at the top level of a schema."""
-    out, depth, start = [], 0, 0
-    for at, c in enumerate(f"{ddl},"):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(ddl[start:at].split()[0])
-            start = at + 1
-    return out
+def _need(holds: bool, path: str, what: str) -> None:
+    if not holds:
+        raise Broken(f"{path}: {what}")
+
+
+def _text(data: dict, name: str, path: str, optional: bool = False) -> str | None:
+    value = data.get(name)
+    if optional and value in (None, ""):
+        return None
+    _need(isinstance(value, str), f"{path}.{name}", "not a string")
+    return value
+
+
+def _number(data: dict, name: str, path: str, optional: bool = False) -> None:
+    value = data.get(name)
+    if not (optional and value is None):
+        _need(isinstance(value, int | float) and not isinstance(value, bool) and value == value, f"{path}.{name}", "not a number")
+
+
+def _list(data: dict, name: str, path: str, optional: bool = False) -> list:
+    value = data.get(name)
+    if optional and value is None:
+        return []
+    _need(isinstance(value, list), f"{path}.{name}", "not an array")
+    return value
+
+
+def _texts(data: dict, name: str, path: str, optional: bool = False) -> list[str]:
+    values = _list(data, name, path, optional)
+    for i, value in enumerate(values):
+        _need(isinstance(value, str), f"{path}.{name}[{i}]", "not a string")
+    return values
+
+
+def _objects(data: dict, name: str, optional: bool = False) -> Iterator[tuple[str, dict]]:
+    for i, value in enumerate(_list(data, name, "$", optional)):
+        _need(isinstance(value, dict), f"$.{name}[{i}]", "not an object")
+        yield f"$.{name}[{i}]", value
+
+
+def _clean(data: dict, turn_ids: set[str] | None) -> None:
+    for path, turn in _objects(data, "turns"):
+        _need(len(_texts(turn, "sourceIds", path)) > 0, f"{path}.sourceIds", "empty")
+        _text(turn, "speaker", path), _text(turn, "text", path)
+    _need(len(data["turns"]) > 0, "$.turns", "empty")
+    for path, chapter in _objects(data, "chapters", optional=True):
+        _number(chapter, "startTime", path), _text(chapter, "title", path)
+    _number(data, "qualityScore", "$", optional=True), _number(data, "garbledPct", "$", optional=True)
+
+
+def _extract(data: dict, turn_ids: set[str] | None) -> None:
+    for name in ("decisions", "actionItems", "openQuestions", "keyNumbers"):
+        for path, item in _objects(data, name, optional=True):
+            for field in ("text", "verbatimQuote", "turnId"):
+                _text(item, field, path)
+            if name == "actionItems":
+                _text(item, "owner", path, optional=True), _text(item, "due", path, optional=True)
+    _texts(data, "participants", "$", optional=True)
+
+
+def _anchored(data: dict, turn_ids: set[str] | None) -> None:
+    text = _text(data, "text", "$")
+    _need(text.strip() != "", "$.text", "empty")
+    anchors = set(re.findall(r"\[(T\d+)\]", text))
+    _need(len(anchors) > 0, "$.text", "no anchors")
+    unknown = sorted(anchors - turn_ids) if turn_ids is not None else []
+    _need(not unknown, "$.text", f"unknown turn {', '.join(unknown)}")
+
+
+def _claims(data: dict, turn_ids: set[str] | None) -> None:
+    for path, claim in _objects(data, "claims"):
+        _need(_text(claim, "verdict", path) in VERDICTS, f"{path}.verdict", f"not one of {', '.join(VERDICTS)}")
+        _text(claim, "quote", path, optional=True), _text(claim, "turnId", path, optional=True), _text(claim, "claim", path)
+    _need(len(data["claims"]) > 0, "$.claims", "empty")
+
+
+def _answer(data: dict, turn_ids: set[str] | None) -> None:
+    _text(data, "answer", "$")
+    _need(isinstance(data.get("sufficient", True), bool), "$.sufficient", "not a boolean")
+    _texts(data, "refs", "$", optional=True)
+
+
+def _plan(data: dict, turn_ids: set[str] | None) -> None:
+    _need(_text(data, "query", "$").strip() != "", "$.query", "empty")
+    _need(isinstance(data.get("timeExplicit", False), bool), "$.timeExplicit", "not a boolean")
+    _text(data, "dateFrom", "$", optional=True), _text(data, "dateTo", "$", optional=True)
+    _texts(data, "targetTypes", "$", optional=True)
+
+
+def _note(data: dict, turn_ids: set[str] | None) -> None:
+    _need(len(_text(data, "title", "$")) <= NOTE_TITLE, "$.title", f"over {NOTE_TITLE} characters")
+    _need(_text(data, "text", "$").strip() != "", "$.text", "empty")
+
+
+NOTE_TITLE = 60
+_CHECKS = {"clean": _clean, "extract": _extract, "summarise": _anchored, "verify": _claims, "rejudge": _claims, "repair": _anchored, "answer": _answer, "plan": _plan, "clean_note": _note, "memory": _answer}
 
 
 def invalid(name: str, data: object, turn_ids: set[str] | None = None) -> str | None:
-    """Why an answer breaks its contract, with the path of the fault; None if it holds."""
-    if not isinstance(data, dict):
-        return "$: not an object"
-    if missing := [f for f in field_names(CONTRACTS[name]) if f not in data and f not in OPTIONAL]:
-        return f"$.{missing[0]}: missing"
-    if name == "clean":
-        if not data["turns"]:
-            return "$.turns: empty"
-        for i, turn in enumerate(data["turns"]):
-            if not turn.get("sourceIds"):
-                return f"$.turns[{i}].sourceIds: empty"
-    if name in ("summarise", "repair"):
-        import re
-
-        anchors = set(re.findall(r"\[(T\d+)\]", data["text"]))
-        if not anchors:
-            return "$.text: no anchors"
-        if turn_ids is not None and (unknown := sorted(anchors - turn_ids)):
-            return f"$.text: unknown turn {unknown[0]}"
-    if name in ("verify", "rejudge"):
-        for i, claim in enumerate(data["claims"]):
-            if claim.get("verdict") not in VERDICTS:
-                return f"$.claims[{i}].verdict: {claim.get('verdict')}"
-    if name == "clean_note" and len(data["title"]) > 60:
-        return "$.title: over 60 characters"
+    """Why an answer breaks its contract, with the path of the fault; None if it holds. Any JSON value is taken."""
+    try:
+        _need(isinstance(data, dict), "$", "not an object")
+        _CHECKS[name](data, turn_ids)
+    except Broken as fault:
+        return str(fault)
     return None
 
 

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 #: Unicode white space around a text, which trim() alone leaves.
 _EDGES = r"(?U)^\s+|\s+$"
-#: Blocks of Latin letters with marks that are folded to their base letters.
-_LATIN = (range(0x00C0, 0x0250), range(0x1E00, 0x1F00))
+#: Code points below the blocks of ideographs and syllables, where letters with marks stand that are folded to their base letters.
+_LETTERS = range(0x00C0, 0x2E80)
 _MARKS = "".join(map(chr, range(0x0300, 0x0370)))
 
 #: Negations that a rewrite must not add or lose.
 NEGATIONS = ("no", "not", "never", "nunca", "jamas", "ni", "tampoco", "nadie", "ninguno", "ninguna", "nada", "sin")
+#: States in labels of people that aren't part of the name.
+SPEAKING = "is speaking|está hablando|muted|silenciado"
 QUOTE_LEAST = 0.8
 REVISION_LEAST = 0.6
 
@@ -29,12 +31,11 @@ def _col(c: Column | str) -> Column:
 def _folding() -> tuple[str, str]:
     """Letters that decompose into one base letter and marks of U+0300-036F, and those base letters."""
     letters, bases = [], []
-    for block in _LATIN:
-        for code in block:
-            base, *marks = unicodedata.normalize("NFD", chr(code))
-            if marks and all(m in _MARKS for m in marks):
-                letters.append(chr(code))
-                bases.append(base)
+    for code in _LETTERS:
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and all(m in _MARKS for m in marks):
+            letters.append(chr(code))
+            bases.append(base)
     return "".join(letters), "".join(bases)
 
 
@@ -77,41 +78,52 @@ def containment_of_tokens(n: Column, h: Column) -> Column:
     return F.when((F.size(n) == 0) | (F.size(h) == 0), 0.0).when(aligned, 1.0).otherwise(best / F.size(n))
 
 
+def _contained(n: list[str], h: list[str]) -> float:
+    """The containment of one pair of token lists: the window slides, in time linear in the hay."""
+    if n is None or h is None or not len(n) or not len(h):
+        return 0.0
+    need: dict[str, int] = {}
+    for t in n:
+        need[t] = need.get(t, 0) + 1
+    if need.keys().isdisjoint(h):
+        return 0.0
+    if f" {' '.join(n)} " in f" {' '.join(h)} ":
+        return 1.0
+    width, seen, hits, most = min(len(h), len(n) + -(-len(n) // 4)), dict.fromkeys(need, 0), 0, 0
+    for i, t in enumerate(h):
+        if t in seen:
+            seen[t] += 1
+            hits += seen[t] <= need[t]
+        if i >= width and (old := h[i - width]) in seen:
+            hits -= seen[old] <= need[old]
+            seen[old] -= 1
+        if i + 1 >= width:
+            most = max(most, hits)
+    return most / len(n)
+
+
 def sliding_containment(needle: Column | str, hay: Column | str) -> Column:
-    """containment_of_tokens() for long arrays: an Arrow function that slides the window, in time linear in the hay.
+    """containment_of_tokens() for long arrays, in an Arrow function.
 
     The expression form counts anew in each window; beyond a few tokens it is
     slower than the trip to Python.
     """
     @F.pandas_udf("double")
     def best(needles: pd.Series, hays: pd.Series) -> pd.Series:
-        out = []
-        for n, h in zip(needles, hays, strict=True):
-            if n is None or h is None or not len(n) or not len(h):
-                out.append(0.0)
-                continue
-            need: dict[str, int] = {}
-            for t in n:
-                need[t] = need.get(t, 0) + 1
-            if f" {' '.join(n)} " in f" {' '.join(h)} ":
-                out.append(1.0)
-                continue
-            width, seen, hits, most = min(len(h), len(n) + -(-len(n) // 4)), dict.fromkeys(need, 0), 0, 0
-            for i, t in enumerate(h):
-                if t in seen:
-                    seen[t] += 1
-                    hits += seen[t] <= need[t]
-                if i >= width and (old := h[i - width]) in seen:
-                    hits -= seen[old] <= need[old]
-                    seen[old] -= 1
-                if i + 1 >= width:
-                    most = max(most, hits)
-            out.append(most / len(n))
-        return pd.Series(out)
+        return pd.Series([_contained(n, h) for n, h in zip(needles, hays, strict=True)], dtype="float64")
 
     return best(_col(needle), _col(hay))
 
 
+def sliding_overlap(a: Column | str, b: Column | str) -> Column:
+    """The larger containment of the two directions, with one trip to Python."""
+    @F.pandas_udf("double")
+    def best(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([max(_contained(x, y), _contained(y, x)) for x, y in zip(left, right, strict=True)], dtype="float64")
+
+    return best(_col(a), _col(b))
+
+
 def overlap_score(a: Column | str, b: Column | str) -> Column:
     return F.greatest(containment(a, b), containment(b, a))
 
@@ -183,24 +195,43 @@ def describe_violation(sources: Column, found: Column) -> Column:
     return F.concat(F.lit("- segments "), F.array_join(sources, ", "), F.lit(": "), told)
 
 
+def chunks(c: Column | str) -> Column:
+    """Lines of a captured control's text: object marks, carriage returns and bars break lines, tabs are blanks; trimmed, empty ones go."""
+    plain = F.translate(_col(c), "\ufffc\r|\t", "\n\n\n ")
+    return F.filter(F.transform(F.split(F.coalesce(plain, F.lit("")), "\n"), strip), lambda s: s != "")
+
+
+def reference_of(kind: Column, meeting: Column, turn: Column, note: Column) -> Column:
+    """The marker that cites a search hit: notes by their id, meetings with the turn where the hit has one of its own (no summary or digest)."""
+    whole = kind.isin("summary", "digest") | turn.isNull()
+    place = F.when(whole, F.lit("")).otherwise(F.concat(F.lit(":"), turn))
+    return F.when(kind == "note", F.concat(F.lit("[N:"), note, F.lit("]"))).otherwise(F.concat(F.lit("[M:"), meeting, place, F.lit("]")))
+
+
 def turn_anchors(c: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(_col(c), F.lit(r"\[(T\d+)\]"), 1))
 
 
-REFERENCE = r"\[([MN]):([^\]\s]+?)(?::(T\d+))?\]"
+REFERENCE = r"\[M:([^\]]+?)(?::(T\d+))?\]|\[N:([^\]]+?)\]"
 
 
 def references(c: Column | str) -> Column:
-    """Distinct citation markers [M:id], [M:id:T3] and [N:id] in order, as structs of ref, kind, id and turn."""
+    """Distinct citation markers in order, as structs of ref (without brackets), kind, id and turn.
+
+    [M:id] and [M:id:T3] name a meeting, [N:id] a note; ids may hold blanks and colons, a note has no turn.
+    """
     part = lambda k: F.regexp_extract_all(_col(c), F.lit(REFERENCE), k)
-    rows = F.arrays_zip(part(0).alias("ref"), part(1).alias("kind"), part(2).alias("id"), part(3).alias("turn"))
-    valid = F.filter(rows, lambda r: (r["kind"] == "M") | (r["turn"] == ""))
-    return F.array_distinct(valid)
+    rows = F.arrays_zip(part(0).alias("ref"), part(1).alias("meeting"), part(2).alias("turn"), part(3).alias("note"))
+    named = lambda r: F.struct(
+        F.substring(r["ref"], F.lit(2), F.length(r["ref"]) - 2).alias("ref"), F.when(r["meeting"] != "", "M").otherwise("N").alias("kind"),
+        F.when(r["meeting"] != "", r["meeting"]).otherwise(r["note"]).alias("id"), r["turn"].alias("turn"),
+    )
+    return F.array_distinct(F.transform(rows, named))
 
 
 def strip_references(c: Column | str, refs: Column) -> Column:
-    """The text without the given markers; blanks are collapsed, and ends trimmed, only if any went."""
-    cut = F.aggregate(refs, _col(c), lambda text, ref: F.replace(text, ref, F.lit("")))
+    """The text without the markers of the given refs; blanks are collapsed, and ends trimmed, only if any went."""
+    cut = F.aggregate(refs, _col(c), lambda text, ref: F.replace(text, F.concat(F.lit("["), ref, F.lit("]")), F.lit("")))
     return F.when(F.size(refs) > 0, strip(F.regexp_replace(cut, r"[ \t]{2,}", " "))).otherwise(_col(c))
 
 
@@ -218,10 +249,10 @@ def with_anchor(c: Column | str, turn: Column) -> Column:
 
 
 def slug(c: Column | str, most: int = 60, empty: str = "reunion") -> Column:
-    """Folded lower-case words joined by hyphens, cut to a length."""
+    """Folded lower-case words joined by hyphens, cut to a length at last (so that it may end in a hyphen)."""
     made = F.regexp_replace(fold(F.lower(_col(c))), "[^a-z0-9]+", "-")
     cut = F.left(F.regexp_replace(made, "^-+|-+$", ""), F.lit(most))
-    return F.coalesce(F.nullif(F.regexp_replace(cut, "-+$", ""), F.lit("")), F.lit(empty))
+    return F.coalesce(F.nullif(cut, F.lit("")), F.lit(empty))
 
 
 def html_escape(c: Column | str) -> Column:
@@ -276,5 +307,7 @@ def occurrences(text: Column | str, query: Column) -> Column:
 
 
 def clean_name(c: Column | str) -> Column:
-    """A name from an accessible label: what stands before the first comma, without bracketed parts."""
-    return strip(F.regexp_replace(F.get(F.split(_col(c), ","), F.lit(0)), r"\s*\([^)]*\)", ""))
+    """A name from an accessible label: what stands before the first of , · |, without what tells of speaking or muting, and without the mark of unverified people."""
+    first = F.get(F.split(_col(c), "[,·|]"), F.lit(0))
+    said = F.regexp_replace(first, rf"(?i)\b({SPEAKING})\b.*$", "")
+    return strip(F.regexp_replace(said, r"(?i)^(.*?)\(unverified\)", "$1"))

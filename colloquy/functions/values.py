@@ -34,12 +34,12 @@ def clock(seconds: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """Seconds below a minute, minutes below an hour, else hours and minutes."""
-    s = F.greatest(seconds, F.lit(0))
+    """Whole seconds (rounded first) below a minute, minutes below an hour, else hours and minutes."""
+    s = F.greatest(round_half_up(seconds), F.lit(0))
     minutes = round_half_up(s / 60).cast("int")
     hours = F.floor(minutes / 60).cast("int")
     return (
-        F.when(s < 60, F.concat(round_half_up(s).cast("string"), F.lit(" s")))
+        F.when(s < 60, F.concat(s.cast("string"), F.lit(" s")))
         .when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min")))
         .when(minutes % 60 == 0, F.concat(hours.cast("string"), F.lit(" h")))
         .otherwise(F.concat(hours.cast("string"), F.lit(" h "), (minutes % 60).cast("string"), F.lit(" min")))
@@ -55,7 +55,8 @@ def epoch_seconds(ts: Column) -> Column:
 
 
 def epoch_date(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
+    """The day; none for 0, which stands for an unknown time."""
+    return F.when(seconds != 0, F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd"))
 
 
 def short_date(ts: Column) -> Column:
@@ -64,6 +65,14 @@ def short_date(ts: Column) -> Column:
     return F.concat_ws(" ", F.dayofmonth(ts).cast("string"), month, F.year(ts).cast("string"))
 
 
+def short_time(ts: Column) -> Column:
+    return F.date_format(ts, "HH:mm")
+
+
+def short_date_time(ts: Column) -> Column:
+    return F.concat(short_date(ts), F.lit(", "), short_time(ts))
+
+
 def in_days(ts: Column, first: Column, last: Column | None = None) -> Column:
     """Whether ts falls on the days from first to last, both included; one day if last is missing or null."""
     end = first if last is None else F.coalesce(last, first)
@@ -81,7 +90,7 @@ def toggle(xs: Column, x: Column) -> Column:
 
 
 def renamed(xs: Column, old: Column, new: Column) -> Column:
-    return F.array_distinct(F.transform(xs, lambda x: F.when(x == old, new).otherwise(x)))
+    return F.transform(xs, lambda x: F.when(x == old, new).otherwise(x))
 
 
 def last_n(xs: Column, n: int) -> Column:
@@ -106,3 +115,15 @@ def cursor(*parts: Column) -> Column:
 
 def cursor_parts(c: Column) -> Column:
     return F.from_json(F.unbase64(c).cast("string"), "array<string>")
+
+
+def token_expiry(token: Column) -> Column:
+    """Seconds of the ``exp`` claim of a signed web token; null where there is none."""
+    body = F.translate(F.get(F.split(token, "[.]"), F.lit(1)), "-_", "+/")
+    padded = F.rpad(body, (F.ceil(F.length(body) / 4) * 4).cast("int"), F.lit("="))
+    return F.get_json_object(F.try_to_binary(padded, F.lit("base64")).cast("string"), "$.exp").cast("long")
+
+
+def rendered_json(c: Column) -> Column:
+    """JSON with fields in the order of the schema, nulls kept: equal values give equal text."""
+    return F.to_json(c, {"ignoreNullFields": "false"})

@@ -139,6 +139,11 @@ def caption_ends(captions: DataFrame, keys: list[str] | None = None, least: floa
     return captions.withColumn("end_time", F.greatest(F.coalesce(after, reading), F.col("t") + least))
 
 
+def any_capturing(meetings: DataFrame) -> DataFrame:
+    """One row: whether a meeting is being captured."""
+    return meetings.agg(F.coalesce(F.bool_or(F.col("status") == "capturing"), F.lit(False)).alias("any_capturing"))
+
+
 def recent(rows: DataFrame, n: int, by: str, tie: str) -> DataFrame:
     return rows.orderBy(F.col(by).desc(), F.col(tie)).limit(n)
 
@@ -174,7 +179,7 @@ def thread_guard(message: Column, messages: Column, most_chars: int = 4000, most
     return F.when(F.length(message) > most_chars, "too long").when(messages > most_messages, "full").otherwise("ok")
 
 
-def note_guard(raw: Column, source: Column, sources: tuple[str, ...] = ("typed", "dictated"), most_chars: int = 20_000) -> Column:
+def note_guard(raw: Column, source: Column, sources: tuple[str, ...] = ("typed", "voice"), most_chars: int = 20_000) -> Column:
     return F.when(F.length(tx.strip(raw)) == 0, "empty").when(F.length(raw) > most_chars, "too long").when(~source.isin(*sources), "unknown source").otherwise("ok")
 
 
@@ -198,19 +203,26 @@ def recall_report(truth: DataFrame, stages: list[str]) -> tuple[DataFrame, DataF
     return overall, rows.filter(~kept).groupBy("stage").agg(F.count("*").alias("lines"), F.sum("words").alias("words"))
 
 
-def align_recall(truth: DataFrame, emitted: DataFrame, least: float = 0.6, keys: list[str] | None = None, slack: float = 30.0) -> DataFrame:
-    """truth (keys, ord, t, text) with best (highest sequence ratio to a line emitted within ``slack`` seconds, 0 if none) and found."""
+def align_recall(truth: DataFrame, emitted: DataFrame, least: float = 0.6, keys: list[str] | None = None) -> DataFrame:
+    """truth (keys, ord, text) with best and found: the highest sequence ratio to any line emitted in the meeting.
+
+    Texts are compared in lower case, white space collapsed and end punctuation off. Only pairs that can reach
+    ``least`` are compared: the ratio is at most twice the shorter length, and twice the common characters,
+    over both lengths. ``best`` is exact from ``least`` up, and 0 below.
+    """
     from ..functions.models import sequence_ratio
-    from .intervals import band_join
 
     keys = ["meeting_id"] if keys is None else keys
-    said = truth.select(*keys, "ord", F.col("t").alias("said_at"), tx.normalize("text").alias("said"))
-    shown = emitted.select(*keys, F.col("t").alias("shown_at"), tx.normalize("text").alias("shown"))
-    at, shown_at = F.col("said_at"), F.col("shown_at")
-    pairs = band_join(said, shown, keys, (at - slack, at + slack), (shown_at, shown_at), F.abs(at - shown_at) <= slack)
+    form = lambda rows, name: rows.withColumn(name, F.lower(tx.comparable("text")))
+    said = form(truth, "said").select(*keys, "ord", "said")
+    shown = form(emitted, "shown").select(*keys, "shown").distinct()
+    x, y = F.length("said"), F.length("shown")
+    pairs = said.join(shown, keys).filter((2 * F.least(x, y) >= least * (x + y)) & (x + y > 0))
+    shared = tx.multiset_hits(F.split("said", ""), F.split("shown", ""))
+    pairs = pairs.filter(2 * shared >= least * (x + y))
     best = pairs.withColumn("ratio", sequence_ratio("said", "shown")).groupBy(*keys, "ord").agg(F.max("ratio").alias("best"))
-    joined = truth.join(best, [*keys, "ord"], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
-    return joined.withColumn("found", F.col("best") >= least)
+    joined = truth.join(best, [*keys, "ord"], "left")
+    return joined.withColumn("best", F.when(F.col("best") >= least, F.col("best")).otherwise(0.0)).withColumn("found", F.col("best") >= least)
 
 
 def dictation_text(results: DataFrame) -> DataFrame:

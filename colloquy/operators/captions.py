@@ -46,7 +46,34 @@ CAPTION_UI = (
     "Captions will be shown|Live Caption,|Closed captions|Hide live captions|Caption Settings|Open captions|"
     "Live captions language|Speaker attribution|Turn off live captions|Show captions|Subtitles|More options"
 )
-SPEAKER_LINE = r"^\s*([^()\n]{2,80}?)\s*\(([^()\n]{1,80})\)\s*(.*)$"
+#: The application whose windows are read, the default title, and the names of its own surfaces.
+APPLICATION = "Microsoft Teams"
+DEFAULT_TITLE = "Meeting with Microsoft Teams"
+SURFACE_TITLES = (
+    "Calendar", "Calendario", "Chat", "Planner", "Activity", "Actividad", "Files", "Archivos", "Teams", "Apps", "Aplicaciones", "Store", "Tienda", "Calls", "Llamadas", "Help", "Ayuda", "Tasks", "Tareas",
+    "OneNote", "Shifts", "Turnos", "Wiki", "Viva", "Approvals", "Aprobaciones", "Bookings", "Lists", "Listas", "Whiteboard", "Pizarra", "Home", "Inicio",
+)
+#: Forms of 'Name (Org)' and 'Name (Org) text'.
+SPEAKER_LINE = r"^([^,;:!?()]{2,90})\s+\(([^)]+)\)$"
+INLINE = r"^(.+?\([^)]+\))\s+(.+)$"
+#: What no organisation holds, and starts that no name has.
+NOT_ORG = r"Ctrl|Alt|Shift|\+|You|more tabs|participants?"
+NOT_NAME = "Meeting with|Chat|Chats|New message|Teams|General|All Company|Shared|Join|See more|Type a message"
+#: Lines of the application's frame, by their start or by what follows a name and a colon.
+FRAME_STARTS = (
+    r"New message|Chats? \(|More filters|Copilot|Quick views|Mentions|Discover|Drafts|Favorites|Teams and channels|Chat participants|Shared$|[0-9]+ more tabs\.|Add a tab|Join$|"
+    "View and add participants|Find in chat|Open chat details|More chat options|Type a message|See more|See all your teams|Communities|Join communities|Resize left panel|Meeting ended|Meeting started"
+)
+FRAME_EVENTS = r"joined the conversation\.|named the meeting|Chat has been turned on|Meeting ended:|[0-9]{1,2}:[0-9]{2}\s*(AM|PM).*(Meeting ended|Meeting started)"
+#: Marks before and after the captions of a snapshot, and controls among them.
+CAPTIONS_START = "^(Invite people to join you|Live Captions)$"
+CAPTIONS_END = "Closed captions overflow menu|Hide live captions|More options|Calling controls"
+CONTROLS = (
+    "Settings and more|Calling indicators|Encryption status|Elapsed time|Meeting controls|Chat|People|Raise your hand|React|View|More|Turn camera|Open video|Open audio|Mute mic|Share content|Leave|"
+    "Shared content view|Invite people to join you|Live Captions"
+)
+#: Weights of what speaks for a root that holds captions (lower is better).
+ROOT_MARKS = (("meeting_chrome", -50), ("caption_chrome", -20), ("captions_window", -15), ("chat_surface", 1000), ("call_window", -5), ("on_screen", -2))
 
 
 def _col(c: Column | str) -> Column:
@@ -82,6 +109,24 @@ def is_caption_ui(c: Column | str) -> Column:
     return (tx.strip(_col(c)) == "") | _col(c).rlike(f"(?i)^({CAPTION_UI})")
 
 
+def is_frame_line(c: Column | str) -> Column:
+    """Whether a line belongs to the application's frame."""
+    return (tx.strip(_col(c)) != "") & (_col(c).rlike(f"(?i)^({FRAME_STARTS})") | _col(c).rlike(rf"(?i)^.+:\s*({FRAME_EVENTS})"))
+
+
+def is_speaker_line(c: Column | str) -> Column:
+    """'Name (Org)' with a name of two words or more, and neither of the frame."""
+    name, org = F.regexp_extract(_col(c), SPEAKER_LINE, 1), F.regexp_extract(_col(c), SPEAKER_LINE, 2)
+    frame = is_frame_line(tx.strip(_col(c))) | org.rlike(f"(?i){NOT_ORG}") | tx.strip(name).rlike(f"(?i)^({NOT_NAME})")
+    return _col(c).rlike(SPEAKER_LINE) & F.contains(tx.strip(name), F.lit(" ")) & ~frame
+
+
+def reads_as_caption(c: Column | str) -> Column:
+    """Whether a chunk is a speaker line, or begins with one."""
+    line = tx.strip(_col(c))
+    return is_speaker_line(line) | is_speaker_line(F.regexp_extract(line, INLINE, 1))
+
+
 def surface_score(c: Column | str) -> Column:
     out = F.lit(0)
     for weight, pattern in SURFACE_WEIGHTS:
@@ -93,47 +138,79 @@ def is_meeting_surface(c: Column | str) -> Column:
     return surface_score(c) >= SURFACE_LEAST
 
 
-def root_order(candidates: DataFrame, marks: dict[str, int]) -> DataFrame:
-    """Candidates (boolean columns) by the sum of the marks that hold, lowest first, with score."""
+def root_order(candidates: DataFrame, marks: tuple[tuple[str, int], ...] = ROOT_MARKS) -> DataFrame:
+    """Candidates (ord, and a boolean column for each mark) by the sum of the marks that hold, lowest first, with score."""
     score = F.lit(0)
-    for column, weight in marks.items():
+    for column, weight in marks:
         score = score + F.when(F.col(column), weight).otherwise(0)
     return candidates.withColumn("score", score).orderBy("score", "ord")
 
 
-def clean_title(c: Column | str) -> Column:
-    """A window title without an application's prefixes, counters and suffix."""
+def window_priority(c: Column | str, application: str = APPLICATION) -> Column:
+    """0 for a meeting's window, 1 for calls and captions, 2 for chats that may be one, -1 for others."""
+    name = F.coalesce(_col(c), F.lit(""))
+    like = lambda pattern: name.rlike(f"(?iu){pattern}")
+    return (
+        F.when(tx.strip(name) == "", -1).when(is_surface_title(F.regexp_replace(name, r"^\(\d+\)\s*", "")), -1).when(like(rf"^(?!Chat \|).+\|\s*{application}$"), 0)
+        .when(like(rf"{application} Meeting|Reuni[oó]n|Llamada|Call"), 1).when(like(rf"^Chat \| .+\|\s*{application}$|Meeting with"), 2).when(like("^(Captions|Subt[ií]tulos)"), 1).otherwise(-1)
+    )
+
+
+def windows_in_order(windows: DataFrame) -> DataFrame:
+    """Windows (name, used_at) that may hold a meeting, by priority and then last use."""
+    return windows.withColumn("priority", window_priority("name")).filter("priority >= 0").orderBy("priority", F.col("used_at").desc())
+
+
+def clean_title(c: Column | str, application: str = APPLICATION) -> Column:
+    """A window title without the application's prefixes, counter and suffix; null where nothing or only a surface of the application is left."""
     out = tx.strip(_col(c))
-    for pattern in (r"(?i)^WebView2:\s*", r"(?i)^Chat\s*\|\s*", r"(?i)^(Captions|Subt[ií]tulos)\s*\|\s*", r"^\(\d+\)\s*", r"\s*\|\s*[^|]*$"):
-        out = F.regexp_replace(out, pattern, "")
-    return F.nullif(tx.strip(out), F.lit(""))
+    for pattern in (r"^WebView2:\s*", r"^Chat\s*\|\s*", r"^(Captions|Subt[ií]tulos)\s*\|\s*", rf"^{application} \(PWA\)\s*-\s*", r"^\(\d+\)\s*", rf"\s*\|\s*{application}$"):
+        out = F.regexp_replace(out, f"(?iu){pattern}", "")
+    out = tx.strip(out)
+    return F.when((out != "") & ~is_surface_title(out), out)
 
 
-def replaces_title(current: Column, new: Column, default: str = "Meeting") -> Column:
+def is_surface_title(c: Column) -> Column:
+    """Whether a title, or what stands before its first bar, is one of the application's own surfaces."""
+    return F.lower(tx.strip(F.substring_index(c, "|", 1))).isin(*(s.lower() for s in SURFACE_TITLES))
+
+
+def replaces_title(current: Column, new: Column, default: str = DEFAULT_TITLE) -> Column:
     """Whether a newly seen title is better: the current one is blank, the default, or 'Meeting with ...' where the new one isn't."""
     generic = (F.coalesce(tx.strip(current), F.lit("")) == "") | (F.lower(current) == default.lower())
     with_ = lambda c: F.startswith(F.lower(c), F.lit("meeting with "))
     return F.coalesce(F.lower(current) != F.lower(new), F.lit(True)) & (generic | (with_(current) & ~with_(new)))
 
 
-def candidate_lines(snapshots: DataFrame, start: str, end: str) -> DataFrame:
-    """Lines (snapshot_id, line_no, line) after the last line with the start marker and before the first one with the end marker after it; control lines and bare clock times go."""
-    marks = snapshots.groupBy("snapshot_id").agg(F.max(F.when(F.col("line").rlike(start), F.col("line_no"))).alias("_from"))
-    rows = snapshots.join(marks, "snapshot_id").filter(F.col("line_no") > F.coalesce("_from", F.lit(-1)))
-    ends = rows.groupBy("snapshot_id").agg(F.min(F.when(F.col("line").rlike(end), F.col("line_no"))).alias("_to"))
-    inside = rows.join(ends, "snapshot_id").filter(F.col("line_no") < F.coalesce("_to", F.lit(2**31 - 1)))
-    return inside.filter(~is_caption_ui("line") & ~F.col("line").rlike(r"^\d{1,2}:\d{2}(:\d{2})?$")).select("snapshot_id", "line_no", "line")
+def candidate_lines(snapshots: DataFrame) -> DataFrame:
+    """Lines (snapshot_id, line_no, line) that may be captions.
+
+    They follow the last start mark, or without one begin at the first speaker line; they end before the first
+    end mark or frame line after that. Snapshots with neither have none; controls and bare clock times go.
+    """
+    last_mark = F.max(F.when(F.col("line").rlike(CAPTIONS_START), F.col("line_no")))
+    first_speaker = F.min(F.when(is_speaker_line("line"), F.col("line_no")))
+    starts = snapshots.groupBy("snapshot_id").agg(F.coalesce(last_mark, first_speaker - 1).alias("_from")).filter("_from IS NOT NULL")
+    rows = snapshots.join(starts, "snapshot_id").filter(F.col("line_no") > F.col("_from"))
+    is_end = F.col("line").rlike(f"(?i){CAPTIONS_END}") | is_frame_line("line")
+    ends = rows.groupBy("snapshot_id").agg(F.min(F.when(is_end, F.col("line_no"))).alias("_to"))
+    inside = rows.join(ends, "snapshot_id").filter(F.col("_to").isNull() | (F.col("line_no") < F.col("_to")))
+    return inside.filter(~F.col("line").rlike(f"(?i)^({CONTROLS})$") & ~F.col("line").rlike(r"^\d{1,2}:\d{2}$")).select("snapshot_id", "line_no", "line")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """lines with speaker and text: 'Name (Org) text' names a speaker, other lines belong to the last one named; speaker lines without text go."""
-    name = F.regexp_extract("line", SPEAKER_LINE, 1)
-    said = F.regexp_extract("line", SPEAKER_LINE, 3)
-    is_speaker = F.col("line").rlike(SPEAKER_LINE) & F.contains(name, F.lit(" "))
+    """Captions (snapshot_id, line_no, speaker, text) of candidate lines.
+
+    A speaker line names the speaker of the lines after it; 'Name (Org) text' has a speaker of its own. Control
+    lines go; without a speaker line before, the speaker is empty.
+    """
+    rows = lines.filter(~is_caption_ui("line")).withColumn("_line", tx.strip("line"))
+    inline = F.col("_line").rlike(INLINE)
     w = Window.partitionBy("snapshot_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines.withColumn("_named", F.when(is_speaker, name)).withColumn("text", F.when(is_speaker, said).otherwise(F.col("line")))
-    filled = rows.withColumn("speaker", F.last("_named", ignorenulls=True).over(w)).drop("_named")
-    return filled.filter(tx.strip("text") != "")
+    rows = rows.withColumn("_head", F.when(is_speaker_line("line"), F.col("_line"))).withColumn("_now", F.last("_head", ignorenulls=True).over(w)).filter("_head IS NULL")
+    own = tx.strip(F.regexp_extract("_line", INLINE, 1))
+    out = rows.withColumn("speaker", F.when(inline, own).otherwise(F.coalesce("_now", F.lit("")))).withColumn("text", F.when(inline, tx.strip(F.regexp_extract("_line", INLINE, 2))).otherwise(F.col("_line")))
+    return out.filter(tx.strip("text") != "").drop("_line", "_head", "_now")
 
 
 def new_lines(snapshots: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def resolve_citations(answers: DataFrame, hits: DataFrame) -> tuple[DataFrame, D
     none = F.array().cast("array<string>")
     cleaned = answers.join(lost, "answer_id", "left").withColumn("text", tx.strip_references("text", F.coalesce("_lost", none))).drop("_lost")
     page = F.when(F.col("kind") == "N", F.lit("/notes?id=")).otherwise(F.lit("/meeting?id="))
-    url = F.concat(page, tx.uri_component("id"), F.when(F.col("turn") != "", F.concat(F.lit("#"), F.col("turn"))).otherwise(F.lit("")))
+    url = F.concat(page, tx.uri_component("id"), F.when(F.col("turn") != "", F.concat(F.lit("&turn="), F.col("turn"))).otherwise(F.lit("")))
     cited = joined.filter("hit IS NOT NULL").select(
         "answer_id", "n", "ref", "kind", "id", F.nullif("turn", F.lit("")).alias("turn"), F.coalesce("hit.title", F.lit("")).alias("title"),
         F.coalesce(v.epoch_date(F.col("hit.date_epoch")), F.lit("")).alias("date"), url.alias("url"),

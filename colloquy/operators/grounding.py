@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-SUPPORTED, PARTIAL, AMBIGUOUS, UNSUPPORTED = "SUPPORTED", "PARTIAL", "AMBIGUOUS", "UNSUPPORTED"
+SUPPORTED, PARTIAL, UNSUPPORTED, UNCERTAIN = "SUPPORTED", "PARTIAL", "UNSUPPORTED", "UNCERTAIN"
 BULLET_LEAST = 0.6
+#: Probes that are sent to all tasks at most; beyond, both sides are shuffled.
+SMALL_PROBES = 200_000
 
 
 def find_quotes(quotes: DataFrame, turns: DataFrame, keys: list[str] | None = None, least: float = tx.QUOTE_LEAST) -> DataFrame:
@@ -25,10 +27,13 @@ def find_quotes(quotes: DataFrame, turns: DataFrame, keys: list[str] | None = No
     # the longest tokens stand for the rarer ones; repeats in the quote count, so probes are taken from the multiset
     by_length = F.transform(F.sort_array(F.transform("needle", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("x")))), lambda s: s["x"])
     need = F.floor((1 - least) * F.size("needle") + 1e-9).cast("int") + 1
-    probes = q.select(*keys, "quote_id", "needle", F.explode(F.array_distinct(F.slice(by_length, F.lit(1), need))).alias("probe"))
-    held = t.select(*keys, "turn_ord", "hay", F.explode(F.array_distinct("hay")).alias("probe"))
-    met = probes.join(held, [*keys, "probe"]).dropDuplicates([*keys, "quote_id", "turn_ord"])
-    scored = met.select(*keys, "quote_id", "turn_ord", tx.sliding_containment("needle", "hay").alias("score")).filter(F.col("score") >= least)
+    probes = q.select(*keys, "quote_id", F.explode(F.array_distinct(F.slice(by_length, F.lit(1), need))).alias("probe"))
+    # a bounded number of probes goes to the turns, whose tokens then stay where they are; only ids of pairs travel
+    small = not quotes.isStreaming and probes.limit(SMALL_PROBES + 1).count() <= SMALL_PROBES
+    held = t.select(*keys, "turn_ord", F.explode(F.array_distinct("hay")).alias("probe"))
+    met = held.join(F.broadcast(probes) if small else probes, [*keys, "probe"]).select(*keys, "quote_id", "turn_ord").distinct()
+    pairs = met.join(F.broadcast(q) if small else q, [*keys, "quote_id"]).join(t, [*keys, "turn_ord"])
+    scored = pairs.select(*keys, "quote_id", "turn_ord", tx.sliding_containment("needle", "hay").alias("score")).filter(F.col("score") >= least)
     best = scored.groupBy(*keys, "quote_id").agg(F.max(F.struct("score", (-F.col("turn_ord")).alias("back"))).alias("b"))
     return best.select(*keys, "quote_id", (-F.col("b.back")).alias("turn_ord"), F.col("b.score").alias("score"))
 
@@ -84,7 +89,7 @@ def verification_tally(claims: DataFrame, keys: list[str] | None = None) -> Data
     return claims.groupBy(*keys).agg(
         F.count_if(F.col("verdict") == SUPPORTED).alias("supported"),
         F.count_if(F.col("verdict") == PARTIAL).alias("partial"),
-        F.count_if(F.col("verdict") == AMBIGUOUS).alias("ambiguous"),
+        F.count_if(F.col("verdict") == UNCERTAIN).alias("uncertain"),
         F.count_if(bad).alias("unsupported"),
         F.avg(bad.cast("double")).alias("unsupported_rate"),
         F.count_if(bad & F.coalesce(F.col("critical"), F.lit(False))).alias("critical_unsupported"),

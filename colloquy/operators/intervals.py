@@ -96,6 +96,13 @@ def edges(readings: DataFrame, keys: Sequence[str], value: str, order: Sequence[
     return readings.withColumn("_before", before).withColumn("_n", F.row_number().over(w)).filter((F.col("_n") == 1) | ~F.col("_before").eqNullSafe(F.col(value))).drop("_before", "_n")
 
 
+def with_closing(changes: DataFrame, stops: DataFrame, keys: Sequence[str], value: str, t: str) -> DataFrame:
+    """changes, and for each key of stops (keys, stopped_at) one more row with its last value at that time: readings hold until the next one, so the last needs an end."""
+    last = changes.groupBy(*keys).agg(F.max_by(value, t).alias(value))
+    closing = last.join(stops, list(keys)).select(*keys, F.col("stopped_at").alias(t), value)
+    return changes.select(*keys, t, value).unionByName(closing)
+
+
 def islands(rows: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Column) -> DataFrame:
     """rows with ``island``: a number that grows at each row where ``breaks`` holds."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 TOP_K = 15
 
@@ -66,29 +70,71 @@ def top_k(vectors: DataFrame, query: Sequence[float], where: Column, k: int = TO
 def top_k_join(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "key", embedding: str = "embedding", most_queries: int = 1000) -> DataFrame:
     """query_id, rank, key, distance: for each query (query_id, query) the nearest of all vectors.
 
-    The queries travel to the vectors in blocks of about ``most_queries``, each
-    as one literal array, so vectors are read once for each block and each task
-    keeps its k best for each query before the shuffle. Rows of one query_id
-    stay in one block.
+    The queries travel to the vectors in blocks of about ``most_queries``, so vectors are read once for each
+    block. A task takes the distances of a batch of vectors to a block as one matrix product, keeps its k best
+    rows for each query, and only those are shuffled. Rows of one query_id stay in one block. Null and zero
+    vectors have no distance and are nobody's neighbours.
     """
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(key).alias("key"), F.col(embedding).cast("array<double>").alias("e")).filter("e IS NOT NULL")
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("key", vectors.schema[key].dataType), T.StructField("distance", T.DoubleType())])
     w = Window.partitionBy("query_id").orderBy("distance", "key")
 
-    def of_block(rows: list) -> DataFrame:
-        literal = F.array(*(F.struct(F.lit(r[0]).alias("query_id"), F.lit(list(r[1])).alias("query")) for r in rows))
-        pairs = vectors.select(F.col(key).alias("key"), F.col(embedding).alias("e"), F.explode(literal).alias("q"))
-        scored = pairs.select("q.query_id", "key", cosine_distance(F.col("e"), F.col("q.query")).alias("distance"))
-        # Spark puts a group limit before the exchange for a rank below a constant
+    def of_block(ids: list, wanted: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((ids, wanted))
+        kinds = [to_arrow_type(f.dataType) for f in schema]
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            best: list[list[tuple]] = [[] for _ in names]
+            for batch in batches:
+                keep_best(best, q, batch, k)
+            columns = [[n for n, own in zip(names, best, strict=True) for _ in own], [x[1] for own in best for x in own], [x[0] for own in best for x in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=schema.names)
+
+        scored = rows.mapInArrow(nearest, schema)
         return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "key", "distance")
 
-    out, block = None, []
-    for row in queries.select("query_id", F.col("query").cast("array<double>")).orderBy("query_id").toLocalIterator():
-        if len(block) >= most_queries and row[0] != block[-1][0]:
-            out = of_block(block) if out is None else out.unionByName(of_block(block))
-            block = []
-        block.append(row)
-    if not block:
-        return vectors.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, rank int, key {vectors.schema[key].dataType.simpleString()}, distance double")
-    return of_block(block) if out is None else out.unionByName(of_block(block))
+    parts, ids, block = [], [], []
+    for query_id, query in queries.select("query_id", F.col("query").cast("array<double>")).orderBy("query_id").toLocalIterator():
+        if len(block) >= most_queries and query_id != ids[-1]:
+            parts.append(of_block(ids, np.array(block)))
+            ids, block = [], []
+        ids.append(query_id)
+        block.append(query)
+    if block:
+        parts.append(of_block(ids, np.array(block)))
+    if not parts:
+        return spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, rank int, key {vectors.schema[key].dataType.simpleString()}, distance double")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def keep_best(best: list[list[tuple]], queries: np.ndarray, batch: pa.RecordBatch, k: int) -> None:
+    """Adds the batch's (distance, key) rows to the k best of each query.
+
+    A matrix product finds the rows that may count; their distances are then summed row by row, so that equal
+    vectors get equal distances and ties go by key.
+    """
+    if not batch.num_rows:
+        return
+    keys = batch.column(0).to_pylist()
+    e = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+    lengths, own = np.sqrt((e * e).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rough = 1 - (e @ queries.T) / (lengths[:, None] * own[None, :])
+    rough[~np.isfinite(rough)] = np.inf
+    for j, query in enumerate(queries):
+        column = rough[:, j]
+        limit = np.partition(column, k - 1)[k - 1] if len(column) > k else np.inf
+        if len(best[j]) == k:
+            limit = min(limit, best[j][-1][0])
+        at = np.flatnonzero((column <= limit + 1e-9) & np.isfinite(column))
+        if len(at):
+            exact = 1 - (e[at] * query).sum(axis=1) / (lengths[at] * own[j])
+            best[j] = sorted([*best[j], *zip(exact.tolist(), (keys[i] for i in at), strict=True)])[:k]
 
 
 def ranking_metrics(hits: DataFrame, golden: DataFrame, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
@@ -98,6 +144,15 @@ def ranking_metrics(hits: DataFrame, golden: DataFrame, ks: Sequence[int] = (1,
     return found.agg(*shares, F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.count("*").alias("questions"))
 
 
+#: Least share of questions whose answer is among the first five hits.
+GATE_LEAST = 0.7
+
+
+def retrieval_gate(metrics: DataFrame, least: float = GATE_LEAST) -> DataFrame:
+    """metrics (hit_at_5) with whether they pass."""
+    return metrics.withColumn("passed", F.col("hit_at_5") >= least)
+
+
 def stale_keys(previous: DataFrame, emitted: DataFrame) -> DataFrame:
     """doc, stale (keys to delete), put (keys to write). previous and emitted: doc, index_version, keys. After a change of version all earlier keys are stale."""
     none = F.array().cast("array<string>")

@@ -73,8 +73,9 @@ def caption_anchor(segments: DataFrame, captions: DataFrame) -> DataFrame:
     tab = segments.filter("source = 'tab'").select("meeting_id", "ord", "start_time", "end_time", tx.tokens("text").alias("segment_tokens"))
     low, high = F.col("start_time") - CAPTION_SLACK, F.col("end_time") + CAPTION_SLACK
     pairs = band_join(tab, usable, ["meeting_id"], (low, high), (F.col("t"), F.col("t")), (F.col("t") >= low) & (F.col("t") <= high), BUCKET_SECONDS)
-    both = F.greatest(tx.sliding_containment("caption_tokens", "segment_tokens"), tx.sliding_containment("segment_tokens", "caption_tokens"))
-    scored = pairs.select("meeting_id", "ord", "name", "caption", both.alias("score")).filter("score > 0")
+    # texts without a common token score 0 and don't leave the JVM
+    met = pairs.filter(F.arrays_overlap("caption_tokens", "segment_tokens"))
+    scored = met.select("meeting_id", "ord", "name", "caption", tx.sliding_overlap("caption_tokens", "segment_tokens").alias("score")).filter("score > 0")
     per_name = scored.groupBy("meeting_id", "ord", "name").agg(F.max("score").alias("score"), F.min("caption").alias("_first"))
     best = _ranked(per_name, ["meeting_id", "ord"], "score", ["_first"]).filter(F.col("top") >= CAPTION_LEAST)
     return best.select("meeting_id", "ord", "name", F.col("top").alias("score"), (F.col("top") - F.col("second")).alias("margin"))

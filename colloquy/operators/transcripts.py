@@ -14,6 +14,8 @@ from .intervals import as_of
 
 RAW_FALLBACK, RAW_GROUNDED = "raw-fallback", "raw-grounded"
 OPENING = "Inicio"
+#: Stretches of a meeting that one task merges, so that a very long one is spread.
+AS_OF_SECONDS = 600.0
 
 
 def _sorted_field(column: str, *order: str):
@@ -47,7 +49,7 @@ def build_clean(draft: DataFrame, segments: DataFrame) -> DataFrame:
 
 def apply_taps(turns: DataFrame, taps: DataFrame) -> DataFrame:
     """turns with each tap's tag on the last turn that starts at or before it, or on the first turn; taps: meeting_id, ord, t, tag."""
-    found = as_of(taps, turns.select("meeting_id", "start_time", F.col("ord").alias("turn_ord")), ["meeting_id"], "t", "start_time", "turn_ord", ["turn_ord"])
+    found = as_of(taps, turns.select("meeting_id", "start_time", F.col("ord").alias("turn_ord")), ["meeting_id"], "t", "start_time", "turn_ord", ["turn_ord"], AS_OF_SECONDS)
     firsts = turns.groupBy("meeting_id").agg(F.min("ord").alias("_first"))
     placed = found.join(firsts, "meeting_id").select("meeting_id", F.coalesce("match.turn_ord", "_first").alias("turn_ord"), F.col("ord").alias("tap"), "tag")
     tags = placed.groupBy("meeting_id", F.col("turn_ord").alias("ord")).agg(_sorted_field("tag", "tap").alias("_tags"))
@@ -59,7 +61,7 @@ def with_chapters(turns: DataFrame, chapters: DataFrame) -> DataFrame:
     """turns with chapter_ix and chapter_title of the last chapter that starts at or before each (0 and the opening title before the first)."""
     w = Window.partitionBy("meeting_id").orderBy("start_time", "ord")
     numbered = chapters.withColumn("chapter_ix", F.row_number().over(w)).select("meeting_id", F.col("start_time").alias("chapter_start"), "chapter_ix", F.col("title").alias("chapter_title"))
-    found = as_of(turns, numbered, ["meeting_id"], "start_time", "chapter_start", "chapter_ix", ["chapter_ix", "chapter_title"])
+    found = as_of(turns, numbered, ["meeting_id"], "start_time", "chapter_start", "chapter_ix", ["chapter_ix", "chapter_title"], AS_OF_SECONDS)
     return found.select(*turns.columns, F.coalesce("match.chapter_ix", F.lit(0)).alias("chapter_ix"), F.coalesce("match.chapter_title", F.lit(OPENING)).alias("chapter_title"))
 
 

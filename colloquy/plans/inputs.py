@@ -88,7 +88,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as verdicts; ten ids make a meeting."""
     return read(spark, sf_dir, "labels").select(
         F.floor(F.col("doc_id") / 10).alias("meeting_id"), F.col("doc_id").alias("claim_ix"),
-        F.when(F.col("toxic") == 1, "UNSUPPORTED").when(F.col("quality") == 1, "SUPPORTED").otherwise("PARTIAL").alias("verdict"),
+        F.when(F.col("toxic") == 1, "UNSUPPORTED").when(F.col("doc_id") % 7 == 3, "UNCERTAIN").when(F.col("quality") == 1, "SUPPORTED").otherwise("PARTIAL").alias("verdict"),
         (F.col("doc_id") % 4 == 0).alias("critical"),
     )
 
@@ -135,7 +135,7 @@ CTES = {
     "(SELECT s.meeting_id, s.ord, o.name, sum(o.overlap) AS score, min(v.ord) AS fv, arg_min(o.first, v.ord) AS ff FROM segments s JOIN segments v ON s.meeting_id = v.meeting_id AND s.label = v.label AND v.source = 'tab' AND v.end_time >= s.start_time - 30 AND v.start_time <= s.end_time + 30 "
     "JOIN ovl o ON o.meeting_id = v.meeting_id AND o.ord = v.ord WHERE s.source = 'tab' GROUP BY ALL)) GROUP BY ALL",
     "lines": r"SELECT doc_id, i - 1 AS ord, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)) WHERE trim(ls[i], ' ') <> ''",
-    "claims": "SELECT CAST(floor(doc_id / 10) AS BIGINT) AS meeting_id, doc_id AS claim_ix, CASE WHEN toxic = 1 THEN 'UNSUPPORTED' WHEN quality = 1 THEN 'SUPPORTED' ELSE 'PARTIAL' END AS verdict, doc_id % 4 = 0 AS critical FROM labels",
+    "claims": "SELECT CAST(floor(doc_id / 10) AS BIGINT) AS meeting_id, doc_id AS claim_ix, CASE WHEN toxic = 1 THEN 'UNSUPPORTED' WHEN doc_id % 7 = 3 THEN 'UNCERTAIN' WHEN quality = 1 THEN 'SUPPORTED' ELSE 'PARTIAL' END AS verdict, doc_id % 4 = 0 AS critical FROM labels",
     "gate_log": "SELECT user_id AS meeting_id, event_id AS eval_ix, ['gateA', 'gateB', 'gateC', 'gateD', 'gateE'][event_id % 5 + 1] AS gate, value > 50 AS fired FROM events",
 }
 

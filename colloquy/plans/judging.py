@@ -100,7 +100,7 @@ def fleet_rates(spark, d):
 
 
 def verification_tally(spark, d):
-    return grounding.verification_tally(i.claims(spark, d)).select("meeting_id", "supported", "partial", "ambiguous", "unsupported", R6("unsupported_rate"), "critical_unsupported")
+    return grounding.verification_tally(i.claims(spark, d)).select("meeting_id", "supported", "partial", "uncertain", "unsupported", R6("unsupported_rate"), "critical_unsupported")
 
 
 def critical_claims(spark, d):
@@ -134,7 +134,7 @@ def quote_containment(spark, d):
 def bullet_match(spark, d):
     t = i.turns(spark, d)
     pairs = t.alias("a").join(t.alias("b"), (F.col("a.meeting_id") == F.col("b.meeting_id")) & (F.col("b.ord") == F.col("a.ord") + 1))
-    return pairs.select(F.col("a.meeting_id").alias("meeting_id"), F.col("a.ord").alias("ord"), grounding.bullet_matches(F.col("a.text"), F.col("b.text"), 0.1).alias("matches"))
+    return pairs.select(F.col("a.meeting_id").alias("meeting_id"), F.col("a.ord").alias("ord"), grounding.bullet_matches(F.col("a.text"), F.when(F.col("a.ord") % 3 == 0, F.substring_index("a.text", " ", 9)).otherwise(F.concat_ws(" ", F.substring_index("a.text", " ", 5), F.substring_index("b.text", " ", 4)))).alias("matches"))
 
 
 def claim_grounding(spark, d):
@@ -147,7 +147,9 @@ def claim_grounding(spark, d):
 
 def recall_report(spark, d):
     t = i.turns(spark, d).select("text", (F.col("ord") % 5 != 0).alias("seen"), (F.col("ord") % 3 != 0).alias("stable"), (F.col("ord") % 7 != 0).alias("emitted"))
-    return analytics.recall_report(t, ["seen", "stable", "emitted"])[1]
+    overall, lost = analytics.recall_report(t, ["seen", "stable", "emitted"])
+    ratios = overall.select(F.lit("overall").alias("stage"), F.lit(None).cast("long").alias("lines"), F.lit(None).cast("long").alias("words"), R6("line_recall"), R6("word_recall"))
+    return ratios.unionByName(lost.select("stage", "lines", "words"), allowMissingColumns=True)
 
 
 def silence_sessions(spark, d):
@@ -178,7 +180,7 @@ def chain(*steps: tuple[str, bool, str]) -> str:
 
 
 _P10 = "coalesce(list_sort(list({c}) FILTER ({c} IS NOT NULL))[1 + CAST(floor(0.1 * (count({c}) - 1)) AS BIGINT)], 0)"
-_NORM2 = i.norm("{}")
+_BULLET = "CASE WHEN p.ord % 3 = 0 THEN array_to_string(string_split(p.text, ' ')[1:9], ' ') ELSE array_to_string(string_split(p.text, ' ')[1:5], ' ') || ' ' || array_to_string(string_split(q.text, ' ')[1:4], ' ') END"
 ORACLES = {
     "asr_scores": sql(f"SELECT meeting_id, round(coalesce(avg(confidence), 0), 6) AS mean_confidence, round({_P10.format(c='confidence')}, 6) AS p10_confidence FROM segments WHERE source <> 'caption' GROUP BY 1", "base", "segments"),
     "tab_scores": sql(f"SELECT meeting_id, round(coalesce(avg(c), 0), 6) AS tab_mean_confidence, round({_P10.format(c='c')}, 6) AS tab_p10_confidence, count(*) FILTER (source = 'tab') AS tab_segments FROM (SELECT *, CASE WHEN source = 'tab' THEN confidence END AS c FROM segments) GROUP BY 1", "base", "segments"),
@@ -197,7 +199,7 @@ ORACLES = {
     "prior_gate": sql("SELECT meeting_id, eval_ix, count(*) FILTER (gate = 'gateE') OVER (PARTITION BY meeting_id ORDER BY eval_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM gate_log", "gate_log"),
     "escalated": sql("SELECT meeting_id, meeting_id % 4 = 0 OR bool_or(fired AND gate <> 'gateD') AS escalated FROM gate_log GROUP BY 1", "gate_log"),
     "fleet_rates": "SELECT *, escalation_rate > 0.25 AS escalation_alarm, review_rate > 0.15 AS review_alarm FROM (SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS n, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END), 6) AS escalation_rate, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END), 6) AS review_rate FROM events GROUP BY 1)",
-    "verification_tally": sql("SELECT meeting_id, count(*) FILTER (verdict = 'SUPPORTED') AS supported, count(*) FILTER (verdict = 'PARTIAL') AS partial, count(*) FILTER (verdict = 'AMBIGUOUS') AS ambiguous, count(*) FILTER (verdict = 'UNSUPPORTED') AS unsupported, round(avg(CASE WHEN verdict = 'UNSUPPORTED' THEN 1.0 ELSE 0 END), 6) AS unsupported_rate, count(*) FILTER (verdict = 'UNSUPPORTED' AND critical) AS critical_unsupported FROM claims GROUP BY 1", "claims"),
+    "verification_tally": sql("SELECT meeting_id, count(*) FILTER (verdict = 'SUPPORTED') AS supported, count(*) FILTER (verdict = 'PARTIAL') AS partial, count(*) FILTER (verdict = 'UNCERTAIN') AS uncertain, count(*) FILTER (verdict = 'UNSUPPORTED') AS unsupported, round(avg(CASE WHEN verdict = 'UNSUPPORTED' THEN 1.0 ELSE 0 END), 6) AS unsupported_rate, count(*) FILTER (verdict = 'UNSUPPORTED' AND critical) AS critical_unsupported FROM claims GROUP BY 1", "claims"),
     "critical_claims": sql("SELECT meeting_id, claim_ix, critical OR claim_ix % 13 IN (0, 5, 10) AS critical FROM claims", "claims"),
     "unsupported_claims": sql("SELECT meeting_id, claim_ix FROM claims WHERE verdict = 'UNSUPPORTED' AND meeting_id % 2 = 0", "claims"),
     "quote_validation": "WITH lines AS MATERIALIZED (" + i.CTES["lines"] + f"""),
@@ -209,12 +211,14 @@ ORACLES = {
         SELECT quote_id, arg_max(turn_ord, (score, -turn_ord)) AS turn_ord, round(max(score), 6) AS score FROM scored WHERE score >= 0.8 GROUP BY 1""",
     "quote_containment": sql(rf"""SELECT meeting_id, ord, round({_containment('n', 'h')}, 6) AS score FROM (SELECT meeting_id, ord, {i.tokens('q')} AS n, {i.tokens('text')} AS h FROM
         (SELECT meeting_id, ord, text, array_to_string(CASE WHEN ord % 3 = 0 THEN list_reverse(half) ELSE half END, ' ') AS q FROM (SELECT *, w[1 : greatest(len(w) // 2, 1)] AS half FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM turns))))""", "base", "turns"),
-    "bullet_match": sql(f"""SELECT meeting_id, ord, a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a) OR coalesce(len(list_intersect(x, y)) / nullif(least(len(x), len(y)), 0), 0) >= 0.1) AS matches FROM
+    "bullet_match": sql(f"""SELECT meeting_id, ord, a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a) OR coalesce(len(list_intersect(x, y)) / nullif(least(len(x), len(y)), 0), 0) >= 0.6) AS matches FROM
         (SELECT *, list_distinct(list_filter(string_split(a, ' '), lambda t: length(t) > 3)) AS x, list_distinct(list_filter(string_split(b, ' '), lambda t: length(t) > 3)) AS y FROM
-        (SELECT p.meeting_id, p.ord, {i.norm('p.text')} AS a, {i.norm('q.text')} AS b FROM turns p JOIN turns q ON p.meeting_id = q.meeting_id AND q.ord = p.ord + 1))""", "base", "turns"),
+        (SELECT p.meeting_id, p.ord, {i.norm('p.text')} AS a, {i.norm(_BULLET)} AS b FROM turns p JOIN turns q ON p.meeting_id = q.meeting_id AND q.ord = p.ord + 1))""", "base", "turns"),
     "claim_grounding": sql("""SELECT meeting_id, claim_ix, CASE WHEN verdict = 'UNSUPPORTED' THEN verdict WHEN claim_ix % 3 <> 0 THEN verdict WHEN claim_ix % 4 = 0 THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS verdict,
         CASE WHEN verdict = 'UNSUPPORTED' THEN NULL WHEN claim_ix % 3 <> 0 THEN claim_ix % 8 WHEN claim_ix % 4 = 0 THEN 2 END AS turn_ord FROM claims""", "claims"),
-    "recall_report": sql("SELECT stage, count(*) AS lines, CAST(sum(words) AS BIGINT) AS words FROM (SELECT CASE WHEN ord % 5 = 0 THEN 'seen' WHEN ord % 3 = 0 THEN 'stable' WHEN ord % 7 = 0 THEN 'emitted' END AS stage, words FROM base) WHERE stage IS NOT NULL GROUP BY 1", "base"),
+    "recall_report": sql("""SELECT coalesce(stage, 'overall') AS stage, CASE WHEN stage IS NOT NULL THEN lines END AS lines, CASE WHEN stage IS NOT NULL THEN words END AS words, CASE WHEN stage IS NULL THEN round(lines / sum(lines) OVER (), 6) END AS line_recall,
+        CASE WHEN stage IS NULL THEN round(words / sum(words) OVER (), 6) END AS word_recall FROM (SELECT stage, count(*) AS lines, CAST(sum(words) AS BIGINT) AS words FROM
+        (SELECT CASE WHEN ord % 5 = 0 THEN 'seen' WHEN ord % 3 = 0 THEN 'stable' WHEN ord % 7 = 0 THEN 'emitted' END AS stage, words FROM base) GROUP BY 1)""", "base"),
     "silence_sessions": "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS since, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS until, count(*) AS captions FROM (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM events)) GROUP BY user_id, s",
     "signal_health": "SELECT user_id, bool_or(event_type = 'click') AS captions_seen, bool_or(event_type = 'view') AS ring_seen, count(*) FILTER (event_type NOT IN ('click', 'view')) AS reads, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_heartbeat FROM events GROUP BY 1",
 }

@@ -46,6 +46,13 @@ def edge_trigger(spark, d):
     return intervals.edges(i.readings(spark, d), ["meeting_id"], "name", ["t", "ord"]).select("meeting_id", "ord", "t", "name")
 
 
+def closing_reading(spark, d):
+    """Changes of speaker, and one closing reading for each meeting that stopped."""
+    changes = intervals.edges(i.readings(spark, d), ["meeting_id"], "name", ["t", "ord"])
+    stops = i.turns(spark, d).groupBy("meeting_id").agg((F.max("end_time") + 100).alias("stopped_at")).filter("meeting_id % 3 <> 0")
+    return intervals.with_closing(changes, stops, ["meeting_id"], "name", "t")
+
+
 def speaker_intervals(spark, d):
     return intervals.speaking_intervals(i.readings(spark, d)).select("meeting_id", "ord", "t", "until", "name")
 
@@ -183,7 +190,7 @@ judged AS (SELECT *, len(mn) + len(inn) + len(nf) > 0 AS violated FROM audit)"""
 )
 
 QUERIES = {f.__name__: f for f in (
-    talk_time, session_totals, dominant_speaker, first_appearance, occurrence_search, caption_ends, edge_trigger, speaker_intervals, interval_overlap, global_vote,
+    talk_time, session_totals, dominant_speaker, first_appearance, occurrence_search, caption_ends, edge_trigger, closing_reading, speaker_intervals, interval_overlap, global_vote,
     windowed_vote, caption_anchor, correlate, correlation_scores, resolved_speakers, max_overlap, nearest_gap, merge_transcripts, batch_fraction, word_segments, item_words,
     asof_highlight, asof_chapter, chapter_lines, clean_transcript, turn_audit, audit_totals, raw_grounded,
 )}
@@ -234,6 +241,8 @@ ORACLES = {
     "first_appearance": sql("SELECT meeting_id, speaker, CAST((row_number() OVER (PARTITION BY meeting_id ORDER BY first) - 1) % 5 AS INTEGER) AS colour FROM (SELECT meeting_id, speaker, min(ord) AS first FROM turns GROUP BY ALL)", "base", "turns"),
     "occurrence_search": sql("SELECT meeting_id, ord, occurrence, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY ord, occurrence) - 1 AS INTEGER) AS match_ix FROM (SELECT meeting_id, ord, CAST(unnest(range(0, (length(text) - length(replace(lower(text), 'th', ''))) // 2)) AS INTEGER) AS occurrence FROM turns)", "base", "turns"),
     "caption_ends": sql(f"SELECT meeting_id, ord, t, round(greatest(coalesce(lead(t) OVER (PARTITION BY meeting_id ORDER BY t, ord), t + greatest(1.5, 0.35 * {i.WORDS.format('text')})), t + 0.2), 6) AS end_time FROM captions", "base", "captions"),
+    "closing_reading": sql("""SELECT meeting_id, t, name FROM (WITH c AS (SELECT meeting_id, ord, t, name FROM (SELECT *, lag(name) OVER w AS b, row_number() OVER w AS n FROM readings WINDOW w AS (PARTITION BY meeting_id ORDER BY t, ord)) WHERE n = 1 OR b IS DISTINCT FROM name)
+        SELECT meeting_id, t, name FROM c UNION ALL SELECT meeting_id, z + 100 AS t, name FROM (SELECT meeting_id, arg_max(name, t) AS name FROM c GROUP BY 1) JOIN (SELECT meeting_id, max(end_time) AS z FROM turns GROUP BY 1) USING (meeting_id) WHERE meeting_id % 3 <> 0)""", "base", "turns", "readings"),
     "edge_trigger": sql("SELECT meeting_id, ord, t, name FROM (SELECT *, lag(name) OVER w AS b, row_number() OVER w AS n FROM readings WINDOW w AS (PARTITION BY meeting_id ORDER BY t, ord)) WHERE n = 1 OR b IS DISTINCT FROM name", "base", "readings"),
     "speaker_intervals": sql("SELECT meeting_id, ord, t, until, name FROM intervals", "base", "readings", "intervals"),
     "interval_overlap": sql("SELECT meeting_id, ord, name, round(overlap, 6) AS overlap FROM ovl", *SEG),

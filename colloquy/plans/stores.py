@@ -185,6 +185,7 @@ def label_usage(spark, d):
 
 
 def label_rename(spark, d):
+    """Renaming to a label that is there already leaves it twice, as the assignments are only mapped."""
     o = i.read(spark, d, "customer").select("c_custkey", F.array(F.col("c_mktsegment"), F.lit("keep")).alias("labels"))
     return analytics.rename_label(o, "BUILDING", "keep").select("c_custkey", F.array_join("labels", ",").alias("labels"))
 
@@ -213,8 +214,10 @@ def orphan_captures(spark, d):
 
 
 def audio_declaration(spark, d):
-    a = analytics.audio_declaration(F.split("props", ","), F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value") * 1000 - 5000))
-    return i.read(spark, d, "events").select("event_id", a["duration_sec"].alias("duration_sec"), F.size(a["sources"]).alias("sources"))
+    """Sources listed in any order, with unknown ones among them."""
+    listed = F.concat(F.when(F.col("event_id") % 2 == 0, F.array(F.lit("mic"))).otherwise(F.array(F.lit("camera"))), F.when(F.col("event_id") % 5 < 3, F.array(F.lit("tab"), F.lit("mic"))).otherwise(F.array().cast("array<string>")))
+    a = analytics.audio_declaration(listed, F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value") * 1000 - 5000))
+    return i.read(spark, d, "events").select("event_id", a["duration_sec"].alias("duration_sec"), F.array_join(a["sources"], ",").alias("sources"))
 
 
 def debounce(spark, d):
@@ -260,7 +263,9 @@ def note_model(spark, d):
 
 
 def text_vectors(spark, d):
-    return models.embed(i.turns(spark, d)).select("meeting_id", "ord", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"))
+    e = models.embed(i.turns(spark, d))
+    at = lambda k: F.round(F.element_at("embedding", k).cast("double"), 5)
+    return e.select("meeting_id", "ord", F.size("embedding").alias("size"), at(1).alias("first"), at(18).alias("middle"), at(1024).alias("last"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -285,8 +290,8 @@ ORACLES = {
     "reconcile": f"WITH {_KEYS} SELECT doc, key, CASE WHEN list_contains(put, key) THEN 'new' ELSE 'old' END AS state FROM (SELECT doc, stale, put, unnest(old) AS key FROM k) WHERE list_contains(put, key) OR NOT list_contains(stale, key)",
     "index_eligibility": "SELECT CASE WHEN o_orderstatus = 'O' OR o_custkey % 3 = 2 THEN 'skip' ELSE 'index' END AS action, count(*) AS n FROM orders GROUP BY 1",
     "answer_texts": sql("SELECT meeting_id || '-' || ord AS answer_id, CASE WHEN ord % 2 = 0 THEN 'See [M:' || meeting_id || ':T1] and [N:' || ord || '] then .' ELSE 'See [M:' || meeting_id || ':T1] and then .' END AS text FROM turns", "base", "turns"),
-    "answer_citations": sql("""SELECT meeting_id || '-' || ord AS answer_id, '[M:' || meeting_id || ':T1]' AS ref, 'M' AS kind, CAST(meeting_id AS VARCHAR) AS id, 'T1' AS turn, 'A title' AS title, strftime(make_timestamp(meeting_id * 86400 * 1000000), '%Y-%m-%d') AS date, '/meeting?id=' || meeting_id || '#T1' AS url FROM turns
-        UNION ALL SELECT meeting_id || '-' || ord, '[N:' || ord || ']', 'N', CAST(ord AS VARCHAR), '', '', '', '/notes?id=' || ord FROM turns WHERE ord % 2 = 0""", "base", "turns"),
+    "answer_citations": sql("""SELECT meeting_id || '-' || ord AS answer_id, 'M:' || meeting_id || ':T1' AS ref, 'M' AS kind, CAST(meeting_id AS VARCHAR) AS id, 'T1' AS turn, 'A title' AS title, CASE WHEN meeting_id = 0 THEN '' ELSE strftime(make_timestamp(meeting_id * 86400 * 1000000), '%Y-%m-%d') END AS date, '/meeting?id=' || meeting_id || '&turn=T1' AS url FROM turns
+        UNION ALL SELECT meeting_id || '-' || ord, 'N:' || ord, 'N', CAST(ord AS VARCHAR), '', '', '', '/notes?id=' || ord FROM turns WHERE ord % 2 = 0""", "base", "turns"),
     "keyset_page": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' OR (o_orderdate = TIMESTAMP '1995-06-01' AND o_orderkey < 500) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50",
     "prefix_scan": "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'red')",
     "insert_if_absent": "SELECT user_id, event_type, CASE WHEN user_id % 3 = 0 THEN -1 ELSE min(event_id) END AS event_id FROM events GROUP BY user_id, event_type",
@@ -302,18 +307,21 @@ ORACLES = {
     "overlay": sql("SELECT meeting_id, 'T' || (ord + 1) AS id, md5(CASE WHEN ord % 4 = 0 THEN 'edited text' ELSE text END) AS text_md5, CASE WHEN ord % 6 = 0 THEN 'x' WHEN ord % 3 = 0 THEN 'key' ELSE '' END AS tags, ord % 4 = 0 AS edited FROM turns WHERE ord <> 6", "base", "turns"),
     "status_patch": "SELECT o_orderkey AS meeting_id, CASE WHEN o_orderstatus = 'O' THEN CASE WHEN 240 - o_orderkey % 240 < 120 THEN 'processing' ELSE 'ready' END ELSE 'capturing' END AS status FROM orders",
     "label_usage": sql("SELECT 'key' AS label, count(*) AS uses FROM turns WHERE ord % 3 = 0", "base", "turns"),
-    "label_rename": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'keep' ELSE c_mktsegment || ',keep' END AS labels FROM customer",
+    "label_rename": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'keep,keep' ELSE c_mktsegment || ',keep' END AS labels FROM customer",
     "participants": "SELECT DISTINCT n_name AS name FROM nation",
     "tag_filter": sql("SELECT meeting_id, ord FROM turns WHERE ord % 3 = 0", "base", "turns"),
     "history_window": sql("SELECT meeting_id AS thread_id, ord, speaker FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY ord DESC) AS n FROM turns) WHERE n <= 3", "base", "turns"),
     "entry_names": "SELECT ord, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY ord) > 1 THEN base || '-' || (ord + 1) ELSE base END AS name FROM (SELECT p_partkey - 1 AS ord, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM part)",
     "orphan_captures": "SELECT c_custkey AS capture_id FROM customer WHERE (c_custkey % 2 = 0 OR c_custkey % 5 = 0) AND c_custkey % 3 <> 0 AND c_custkey % 7 <> 0",
-    "audio_declaration": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(least(greatest(floor(value * 1000 - 5000 + 0.5), 0), 86400) AS BIGINT) END AS duration_sec, CAST(0 AS INTEGER) AS sources FROM events",
+    "audio_declaration": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(least(greatest(floor(value * 1000 - 5000 + 0.5), 0), 86400) AS BIGINT) END AS duration_sec, concat_ws(',', CASE WHEN event_id % 5 < 3 THEN 'tab' END, CASE WHEN event_id % 2 = 0 OR event_id % 5 < 3 THEN 'mic' END) AS sources FROM events",
     "debounce": """WITH e AS (SELECT user_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS t, max(value) >= 50 AS state FROM events GROUP BY ALL), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t) AS run FROM (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY user_id ORDER BY t) IS NOT DISTINCT FROM state THEN 0 ELSE 1 END AS b FROM e)),
         g AS (SELECT user_id, run, min(t) AS since, max(t) AS last, any_value(state) AS state FROM r GROUP BY ALL), u AS (SELECT *, coalesce(lead(since) OVER (PARTITION BY user_id ORDER BY run), last) AS til FROM g),
         s AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY since) AS before FROM u WHERE til - since >= CASE WHEN state THEN 3600 ELSE 7200 END)
         SELECT user_id, since, coalesce(lead(since) OVER (PARTITION BY user_id ORDER BY since), -1) AS until, state FROM s WHERE before IS DISTINCT FROM state""",
     "learned_chrome": sql("SELECT DISTINCT meeting_id, chunk FROM (SELECT meeting_id, chunk, run, min(t) AS t0, max(t) AS t1 FROM (SELECT meeting_id, role AS chunk, c0 / 100.0 AS t, ord - row_number() OVER (PARTITION BY meeting_id, role ORDER BY ord) AS run FROM base WHERE words <= 120) GROUP BY ALL) WHERE t0 <= 3 OR t1 - t0 >= 15", "base"),
+    "sortable_ids": "SELECT event_id, array_to_string(list_transform(range(9, -1, -1), lambda k: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST((event_id * 1000003 // CAST(pow(32, k) AS BIGINT)) % 32 AS INTEGER) + 1, 1)), '') AS prefix FROM events",
+    "note_model": sql("SELECT meeting_id, ord, substr(text, 1, 20) AS title, CAST(NULL AS VARCHAR) AS error FROM turns", "base", "turns"),
     "action_boxes": sql("SELECT meeting_id, ord AS i, CASE WHEN ord = 1 THEN '- [x] ' ELSE '- [ ] ' END || speaker AS line FROM turns", "base", "turns"),
-    "text_vectors": sql("SELECT meeting_id, ord, 1024 AS size, 1.0 AS norm FROM turns", "base", "turns"),
+    "text_vectors": sql("""SELECT meeting_id, ord, 1024 AS size, round(b[1] / norm, 5) AS first, round(b[18] / norm, 5) AS middle, round(b[32] / norm, 5) AS last FROM
+        (SELECT *, sqrt(32 * list_sum(list_transform(b, lambda x: x * x))) AS norm FROM (SELECT meeting_id, ord, list_transform(range(0, 32), lambda k: CAST(('0x' || substr(h, 2 * k + 1, 2)) AS INTEGER) - 127.5::DOUBLE) AS b FROM (SELECT meeting_id, ord, sha256(text) AS h FROM turns)))""", "base", "turns"),
 }

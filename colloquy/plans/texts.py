@@ -28,20 +28,16 @@ def negation_audit(spark, d):
     return i.read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(tx.negations("text")), ",").alias("negations"))
 
 
-def _first_lines(spark, d):
-    return i.lines(spark, d).filter("ord < 3")
-
-
 def levenshtein_sim(spark, d):
-    ascii_ = F.regexp_replace(F.left("text", F.lit(80)), "[^ -~]", "")  # the oracle's distance counts bytes
-    a = _first_lines(spark, d).select("doc_id", "ord", ascii_.alias("text"))
+    """Each line against the next one, whole; letters beyond ASCII count as one and the same, as the oracle's distance counts bytes."""
+    a = i.lines(spark, d).select("doc_id", "ord", F.regexp_replace("text", "[^ -~]", "?").alias("text"))
     pairs = a.join(a.select("doc_id", (F.col("ord") - 1).alias("ord"), F.col("text").alias("after")), ["doc_id", "ord"])
     return pairs.select("doc_id", "ord", F.round(tx.similarity("text", "after"), 6).alias("similarity"))
 
 
 def revision(spark, d):
-    """Whether a line continues, or corrects, its own first half."""
-    a = _first_lines(spark, d).select("doc_id", "ord", F.left("text", F.lit(80)).alias("text"))
+    """Whether a line continues, or corrects, its own first part; and the same for the line and its reverse."""
+    a = i.lines(spark, d).select("doc_id", "ord", F.regexp_replace("text", "[^ -~]", "?").alias("text"))
     cut = F.left("text", (F.length("text") * F.lit(2) / 5).cast("int"))
     return a.select("doc_id", "ord", tx.is_revision(cut, F.col("text")).alias("grows"), tx.is_revision(F.col("text"), F.reverse("text")).alias("reversed"))
 
@@ -52,13 +48,14 @@ def turn_anchors(spark, d):
 
 
 def references(spark, d):
-    text = F.concat(F.lit("[M:a:T"), "ord", F.lit("] "), "text", F.lit(" [N:x"), "meeting_id", F.lit("] [M:b] [N:q:T3] [M:a:T"), "ord", F.lit("] [M:]"))
-    refs = tx.references(text)
-    return i.turns(spark, d).select("meeting_id", "ord", F.array_join(F.transform(refs, lambda r: r["ref"]), "|").alias("refs"))
+    """Markers with blanks and colons in their ids, repeated ones, notes with what looks like a turn, and faulty ones."""
+    text = F.concat(F.lit("[M:a:T"), "ord", F.lit("] "), "text", F.lit(" [N:x "), "meeting_id", F.lit("] [M:b 18:48:"), "ord", F.lit("] [N:q:T3] [M:a:T"), "ord", F.lit("] [M:] [X:y]"))
+    rows = i.turns(spark, d).select("meeting_id", "ord", F.posexplode(tx.references(text)).alias("n", "r"))
+    return rows.select("meeting_id", "ord", "n", "r.ref", "r.kind", "r.id", "r.turn")
 
 
 def slug(spark, d):
-    return _first_lines(spark, d).select("doc_id", "ord", tx.slug("text").alias("slug"))
+    return i.lines(spark, d).select("doc_id", "ord", tx.slug("text").alias("slug"))
 
 
 def html_escape(spark, d):
@@ -75,11 +72,11 @@ def safe_names(spark, d):
 
 def clock_format(spark, d):
     t = i.turns(spark, d)
-    return t.select("meeting_id", "ord", v.mmss(F.col("start_time")).alias("mmss"), v.clock(F.col("end_time") * 31).alias("clock"), v.duration(F.col("end_time") * 47).alias("duration"))
+    return t.select("meeting_id", "ord", v.mmss(F.col("start_time")).alias("mmss"), v.clock(F.col("end_time") * 31).alias("clock"), v.duration(F.col("end_time") * 7).alias("duration"), v.duration(F.col("ord") * 29.9 + 59.6).alias("edge"))
 
 
 def title_cut(spark, d):
-    return _first_lines(spark, d).select("doc_id", "ord", tx.title_of("text").alias("title"))
+    return i.lines(spark, d).select("doc_id", "ord", tx.title_of("text").alias("title"))
 
 
 def word_counts(spark, d):
@@ -109,14 +106,15 @@ def turn_windows(spark, d):
 
 
 def system_notice(spark, d):
-    """Lines as they are, every seventh with a notice in it."""
-    text = F.when(F.col("ord") % 7 == 3, F.concat(F.left("text", F.lit(20)), F.lit(" Joined the MEETING"))).otherwise(F.col("text"))
+    """Lines as they are, every seventh as the last words before a notice."""
+    text = F.when(F.col("ord") % 7 == 3, F.concat(F.element_at(F.split("text", " "), -1), F.lit(" Joined the MEETING"))).otherwise(F.col("text"))
     return i.lines(spark, d).select("doc_id", "ord", cp.is_notice(text).alias("notice"))
 
 
 def roster_label(spark, d):
-    text = F.when(F.col("ord") % 2 == 0, F.upper(F.substring_index("text", " ", 3))).otherwise(F.substring_index("text", " ", 3))
-    return i.lines(spark, d).filter("ord < 6").select("doc_id", "ord", cp.is_roster_label(F.replace(text, F.lit("ß"), F.lit("s"))).alias("label"))
+    """Whole lines, and the first words of each in capitals."""
+    upper = F.upper(F.replace(F.substring_index("text", " ", 3), F.lit("ß"), F.lit("s")))
+    return i.lines(spark, d).select("doc_id", "ord", cp.is_roster_label("text").alias("line"), cp.is_roster_label(upper).alias("capitals"))
 
 
 def meeting_surface(spark, d):
@@ -125,31 +123,56 @@ def meeting_surface(spark, d):
 
 
 def clean_title(spark, d):
-    title = F.concat(F.lit("("), (F.col("p_partkey") % 5).cast("string"), F.lit(") "), "p_name", F.lit(" | App"))
+    """Titles with counters, prefixes and the application's suffix, others with bars of their own, and the application's surfaces."""
+    k = F.col("p_partkey")
+    title = (
+        F.when(k % 4 == 0, F.concat(F.lit("("), (k % 5).cast("string"), F.lit(") "), "p_name", F.lit(" | Microsoft Teams"))).when(k % 4 == 1, F.concat(F.lit(" Chat | "), "p_name", F.lit(" | Budget review")))
+        .when(k % 8 == 2, F.concat(F.lit("calendar | "), "p_name")).otherwise(F.concat("p_name", F.lit(" | part "), k % 3))
+    )
     return i.read(spark, d, "part").select("p_partkey", cp.clean_title(title).alias("title"))
 
 
 def parsed_lines(spark, d):
-    """Turns as a caption view: each third line names its speaker."""
-    t = i.turns(spark, d).select(F.col("meeting_id").alias("snapshot_id"), F.col("ord").alias("line_no"), F.when(F.col("ord") % 3 == 0, F.concat(F.lit("Ana "), "speaker", F.lit(" (Org) "), F.translate(F.left("text", F.lit(10)), "\n", " "))).otherwise(F.lit("next words")).alias("line"))
-    return cp.parse_lines(t).select("snapshot_id", "line_no", "speaker", tx.strip("text").alias("text"))
+    """Turns as a caption view: speaker lines, lines with a speaker of their own, control lines, and plain ones."""
+    said = F.translate("text", "\n()", "   ")
+    line = (
+        F.when(F.col("ord") % 5 == 0, F.concat(F.lit("Ana "), "speaker", F.lit(" (Org)"))).when(F.col("ord") % 5 == 1, F.concat(F.lit("Luis "), "speaker", F.lit(" (Other) said "), said))
+        .when(F.col("ord") % 5 == 2, F.concat(F.lit("Show captions "), said)).otherwise(F.concat(F.lit("and "), said))
+    )
+    t = i.turns(spark, d).select(F.col("meeting_id").alias("snapshot_id"), F.col("ord").alias("line_no"), line.alias("line"))
+    return cp.parse_lines(t).select("snapshot_id", "line_no", "speaker", F.md5("text").alias("text"))
 
 
 def transcript_text(spark, d):
     return exports.transcript_text(i.turns(spark, d)).select("meeting_id", F.md5("text").alias("text_md5"))
 
 
-def export_markdown(spark, d):
-    t = i.turns(spark, d)
-    m = t.groupBy("meeting_id").agg(F.max("end_time").alias("seconds"), F.array_sort(F.collect_set("speaker")).alias("participants")).select(
-        "meeting_id", F.concat(F.lit("Meeting "), "meeting_id").alias("title"), F.lit("2026-01-05").cast("timestamp").alias("started_at"), "seconds", "participants",
-        F.lit("All fine [T1]").alias("summary"), F.array(F.lit("one"), F.lit("two")).alias("key_points"), F.array().cast("array<string>").alias("actions"),
+def _exported(spark, d):
+    """Meetings without an end (every fourth), without a summary (every third), without people (every fifth), with and without points and actions."""
+    k = F.col("meeting_id")
+    none = F.array().cast("array<string>")
+    action = lambda text, owner: F.struct(F.lit(text).alias("text"), owner.alias("owner"))
+    return i.turns(spark, d).groupBy("meeting_id").agg(F.max("end_time").alias("end"), F.array_sort(F.collect_set("speaker")).alias("people")).select(
+        "meeting_id", F.concat(F.lit("Meeting "), k).alias("title"), F.lit("2026-01-05 14:03:00").cast("timestamp").alias("started_at"), F.when(k % 4 != 0, F.col("end")).alias("seconds"),
+        F.when(k % 5 != 0, F.col("people")).otherwise(none).alias("participants"), F.when(k % 3 != 0, F.lit("All fine [T1] [T2]")).alias("summary"),
+        F.when(k % 2 == 0, F.array(F.lit("one [T4]"), F.lit("two"))).otherwise(none).alias("key_points"), F.array(action("pay", F.lit("Ana")), action("call [T3]", F.lit(None).cast("string"))).alias("actions"),
+        F.create_map(F.lit("pay"), F.lit(True)).alias("done"),
     )
-    return exports.meeting_markdown(m, t).select("meeting_id", F.md5("markdown").alias("markdown_md5"))
+
+
+def export_markdown(spark, d):
+    m, t = _exported(spark, d), i.turns(spark, d)
+    out = None
+    for style in ("list", "detail", "bulk"):
+        part = exports.meeting_markdown(m, t, style).select("meeting_id", F.lit(style).alias("style"), F.md5("markdown").alias("markdown_md5"))
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def markdown_blocks(spark, d):
-    rows = exports.markdown_blocks(i.read(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"\n([A-M])", "\n- $1").alias("text")))
+    """Documents with some lines made items and headings, and blank lines between."""
+    marked = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\n([A-H])", "\n\n  - $1"), r"\n([I-M])", "\n## $1")
+    rows = exports.markdown_blocks(i.read(spark, d, "documents").select("doc_id", marked.alias("text")))
     return rows.select("doc_id", "block_ix", "kind", F.md5("body").alias("body"))
 
 
@@ -180,7 +203,9 @@ _NUMS = r"list_distinct(list_transform(regexp_extract_all({}, '\d+(?:[.,]\d+)*')
 _DIFF = "coalesce(array_to_string(list_sort(list_filter({a}, lambda x: NOT list_contains({b}, x))), ','), '')"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _MMSS = "lpad(CAST(CAST(floor({s}) AS BIGINT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor({s}) AS BIGINT) % 60 AS VARCHAR), 2, '0')"
-_SLUGGED = "trim(substr(trim(regexp_replace(strip_accents(lower({})), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-')"
+_DURATION = """(SELECT CASE WHEN s < 60 THEN s || ' s' WHEN m < 60 THEN m || ' min' WHEN m % 60 = 0 THEN (m // 60) || ' h' ELSE (m // 60) || ' h ' || (m % 60) || ' min' END
+        FROM (SELECT CAST(floor({s} + 0.5) AS BIGINT) AS s, CAST(floor(floor({s} + 0.5) / 60 + 0.5) AS BIGINT) AS m))"""
+_SLUGGED = "substr(trim(regexp_replace(strip_accents(lower({})), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60)"
 # recursive packing of paragraphs: (key, text) in ``src``; windows in ``win``
 _PACK = r"""st AS (SELECT k, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM src),
 long AS (SELECT k, text FROM st WHERE ceil(length(text) / 4) > 650),
@@ -189,7 +214,9 @@ pc AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY n, c) AS n, substr(p
 pk AS MATERIALIZED (SELECT k, n, p, CAST(ceil(length(p) / 4) AS BIGINT) AS t FROM pc),
 walk AS (SELECT k, n, 0 AS w, t AS total FROM pk WHERE n = 1 UNION ALL SELECT q.k, q.n, CASE WHEN walk.total + q.t > 650 THEN w + 1 ELSE w END, CASE WHEN walk.total + q.t > 650 THEN q.t ELSE walk.total + q.t END FROM walk JOIN pk q ON q.k = walk.k AND q.n = walk.n + 1),
 win AS (SELECT k, w AS n, string_agg(p, chr(10) || chr(10) ORDER BY walk.n) AS body FROM walk JOIN pk USING (k, n) GROUP BY k, w UNION ALL SELECT k, 0, text FROM st WHERE text <> '' AND ceil(length(text) / 4) <= 650)"""
-_FIRST = "SELECT doc_id, ord, regexp_replace(left(text, 80), '[^ -~]', '', 'g') AS text FROM lines WHERE ord < 3"
+_ASCII = "SELECT doc_id, ord, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM lines"
+_LABEL = r"""(SELECT NOT regexp_matches(t, '[.,?!:;]') AND regexp_matches(t, '\p{{L}}') AND NOT regexp_matches(t, '\p{{Ll}}') AND len(w) BETWEEN 2 AND 4 AND len(list_filter(w, lambda x: length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) >= 4)) > 0
+        FROM (SELECT t, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM (SELECT regexp_replace({c}, '^\s+|\s+$', '', 'g') AS t)))"""
 _CMP = r"rtrim(regexp_replace(regexp_replace({}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '.,;:?! ')"
 
 
@@ -203,17 +230,18 @@ ORACLES = {
     "normalize_tokens": f"SELECT doc_id, md5({i.norm(_T)}) AS form, len({i.tokens('text')}) AS n_tokens FROM documents",
     "number_audit": f"SELECT a.doc_id, {_DIFF.format(a=_NUMS.format('a.t'), b=_NUMS.format('b.t'))} AS missing, {_DIFF.format(a=_NUMS.format('b.t'), b=_NUMS.format('a.t'))} AS introduced FROM (SELECT doc_id, {_T} AS t FROM documents) a JOIN (SELECT doc_id, {_T} AS t FROM documents) b ON b.doc_id = a.doc_id + 1",
     "negation_audit": f"SELECT doc_id, coalesce(array_to_string(list_sort(list_filter(list_distinct({i.tokens('text')}), lambda t: list_contains(['no','not','never','nunca','jamas','ni','tampoco','nadie','ninguno','ninguna','nada','sin'], t))), ','), '') AS negations FROM documents",
-    "levenshtein_sim": sql(f"SELECT a.doc_id, a.ord, round(CASE WHEN length(a.text) = 0 OR length(b.text) = 0 THEN 0 ELSE 1 - levenshtein(lower(a.text), lower(b.text)) / greatest(length(a.text), length(b.text)) END, 6) AS similarity FROM ({_FIRST}) a JOIN ({_FIRST}) b ON a.doc_id = b.doc_id AND b.ord = a.ord + 1", "lines"),
-    "revision": sql(f"SELECT doc_id, ord, {_rev('left(text, CAST(floor(length(text) * 2 / 5) AS INTEGER))', 'text')} AS grows, {_rev('text', 'reverse(text)')} AS reversed FROM (SELECT doc_id, ord, left(text, 80) AS text FROM lines WHERE ord < 3)", "lines"),
+    "levenshtein_sim": sql(f"SELECT a.doc_id, a.ord, round(CASE WHEN length(a.text) = 0 OR length(b.text) = 0 THEN 0 ELSE 1 - levenshtein(lower(a.text), lower(b.text)) / greatest(length(a.text), length(b.text)) END, 6) AS similarity FROM ({_ASCII}) a JOIN ({_ASCII}) b ON a.doc_id = b.doc_id AND b.ord = a.ord + 1", "lines"),
+    "revision": sql(f"SELECT doc_id, ord, {_rev('left(text, CAST(floor(length(text) * 2 / 5) AS INTEGER))', 'text')} AS grows, {_rev('text', 'reverse(text)')} AS reversed FROM ({_ASCII})", "lines"),
     "turn_anchors": sql(r"SELECT meeting_id, ord, CASE WHEN m = text THEN '' ELSE 'T1,T23' END AS anchors, md5(regexp_replace(m, '\s*\[T\d+\]', '', 'g')) AS plain FROM (SELECT *, regexp_replace(text, '([A-Za-z0-9_])\.', '\1 [T1]. [T23]', 'g') AS m FROM turns)", "base", "turns"),
-    "references": sql("SELECT meeting_id, ord, '[M:a:T' || ord || ']|[N:x' || meeting_id || ']|[M:b]' AS refs FROM turns", "base", "turns"),
-    "slug": sql(f"SELECT doc_id, ord, coalesce(nullif({_SLUGGED.format('text')}, ''), 'reunion') AS slug FROM lines WHERE ord < 3", "lines"),
+    "references": sql("""SELECT meeting_id, ord, n, ref, left(ref, 1) AS kind, CASE WHEN n = 0 THEN 'a' ELSE substr(ref, 3) END AS id, CASE WHEN n = 0 THEN 'T' || ord ELSE '' END AS turn FROM
+        (SELECT meeting_id, ord, n, ['M:a:T' || ord, 'N:x ' || meeting_id, 'M:b 18:48:' || ord, 'N:q:T3'][n + 1] AS ref FROM turns, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS n))""", "base", "turns"),
+    "slug": sql(f"SELECT doc_id, ord, coalesce(nullif({_SLUGGED.format('text')}, ''), 'reunion') AS slug FROM lines", "lines"),
     "html_escape": "SELECT page_id, md5(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM pages",
     "initials": r"SELECT c_custkey, CASE WHEN len(w) = 0 THEN '?' WHEN len(w) = 1 THEN upper(left(w[1], 1)) ELSE upper(left(w[1], 1)) || upper(left(w[-1], 1)) END AS initials FROM (SELECT c_custkey, list_filter(regexp_split_to_array(replace(c_name, '#', ' '), '\s+'), lambda x: x <> '') AS w FROM customer)",
     "safe_names": "SELECT page_id, left(regexp_replace(url, '[^0-9A-Za-z._-]', '-', 'g'), 200) AS name, 'idx-' || lower(left(regexp_replace(url, '[^0-9A-Za-z._-]', '-', 'g'), 40)) || '-' || substr(sha256(url), 1, 10) AS hashed FROM pages",
     "clock_format": sql(f"""SELECT meeting_id, ord, {_MMSS.format(s='start_time')} AS mmss, (CAST(floor(end_time * 31) AS BIGINT) // 60) || ':' || lpad(CAST(CAST(floor(end_time * 31) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock,
-        CASE WHEN s < 60 THEN CAST(floor(s + 0.5) AS BIGINT) || ' s' WHEN m < 60 THEN m || ' min' WHEN m % 60 = 0 THEN (m // 60) || ' h' ELSE (m // 60) || ' h ' || (m % 60) || ' min' END AS duration FROM (SELECT *, end_time * 47 AS s, CAST(floor(end_time * 47 / 60 + 0.5) AS BIGINT) AS m FROM turns)""", "base", "turns"),
-    "title_cut": sql(f"SELECT doc_id, ord, substr({_STRIP.format('text')}, 1, 60) AS title FROM lines WHERE ord < 3", "lines"),
+        {_DURATION.format(s='end_time * 7')} AS duration, {_DURATION.format(s='(ord * 29.9::DOUBLE + 59.6::DOUBLE)')} AS edge FROM turns""", "base", "turns"),
+    "title_cut": sql(f"SELECT doc_id, ord, substr({_STRIP.format('text')}, 1, 60) AS title FROM lines", "lines"),
     "word_counts": f"SELECT doc_id, {i.WORDS.format(_T)} AS words, CAST(ceil(length({_T}) / 4) AS BIGINT) AS tokens FROM documents",
     "first_paragraph": r"SELECT doc_id, md5(coalesce(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '' AND NOT starts_with(p, '#'))[1], '')) AS paragraph FROM documents",
     "summary_sections": r"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS n, md5(s) AS section FROM (SELECT doc_id, k, regexp_replace(CASE WHEN k = 1 THEN ls[k] ELSE '## ' || ls[k] END, '^\s+|\s+$', '', 'g') AS s FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))) WHERE s <> ''",
@@ -223,20 +251,31 @@ ORACLES = {
         ends AS MATERIALIZED (SELECT a.doc_id, a.n, max(b.n) AS e, any_value(a.total) AS total FROM sums a JOIN sums b ON b.doc_id = a.doc_id AND b.n >= a.n AND (b.n = a.n OR (b.upto - a.upto + a.t <= 700 AND b.upto - b.t - a.upto + a.t < 500)) GROUP BY ALL),
         w AS (SELECT doc_id, 0 AS window_ix, n, e, total FROM ends WHERE n = 1 UNION ALL SELECT w.doc_id, window_ix + 1, x.n, x.e, x.total FROM w JOIN ends x ON x.doc_id = w.doc_id AND x.n = greatest(w.n + 1, w.e) WHERE w.e < w.total)
         SELECT doc_id, CAST(window_ix AS INTEGER) AS window_ix, f.ord AS first_ord, l.ord AS last_ord FROM w JOIN c f USING (doc_id, n) JOIN c l ON l.doc_id = w.doc_id AND l.n = w.e""",
-    "system_notice": sql("""SELECT doc_id, ord, len(list_filter(string_split(trim(t), ' '), lambda x: x <> '')) <= 12 AND (ord % 7 = 3 OR regexp_matches(lower(t), 'joined the (meeting|call)|left the (meeting|call)|recording (has )?started')) AS notice FROM (SELECT doc_id, ord, CASE WHEN ord % 7 = 3 THEN left(text, 20) || ' Joined the MEETING' ELSE text END AS t FROM lines)""", "lines"),
-    "roster_label": sql(r"""SELECT doc_id, ord, NOT regexp_matches(t, '[.,?!:;]') AND regexp_matches(t, '\p{L}') AND NOT regexp_matches(t, '\p{Ll}') AND len(w) BETWEEN 2 AND 4 AND len(list_filter(w, lambda x: length(regexp_replace(x, '[^\p{L}]', '', 'g')) >= 4)) > 0 AS label FROM
-        (SELECT *, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM (SELECT doc_id, ord, regexp_replace(CASE WHEN ord % 2 = 0 THEN upper(replace(s, 'ß', 'SS')) ELSE replace(s, 'ß', 's') END, '^\s+|\s+$', '', 'g') AS t FROM (SELECT doc_id, ord, array_to_string(string_split(text, ' ')[1:3], ' ') AS s FROM lines WHERE ord < 6)))""", "lines"),
+    "system_notice": sql("""SELECT doc_id, ord, len(list_filter(string_split(trim(t), ' '), lambda x: x <> '')) <= 12 AND (ord % 7 = 3 OR regexp_matches(lower(t), 'joined the (meeting|call)|left the (meeting|call)|recording (has )?started')) AS notice FROM (SELECT doc_id, ord, CASE WHEN ord % 7 = 3 THEN string_split(text, ' ')[-1] || ' Joined the MEETING' ELSE text END AS t FROM lines)""", "lines"),
+    "roster_label": sql(f"""SELECT doc_id, ord, {_LABEL.format(c='text')} AS line, {_LABEL.format(c="upper(replace(array_to_string(string_split(text, ' ')[1:3], ' '), 'ß', 's'))")} AS capitals FROM lines""", "lines"),
     "meeting_surface": "SELECT event_id, s AS score, s >= 5 AS surface FROM (SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN event_id % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS INTEGER) AS s FROM events)",
-    "clean_title": "SELECT p_partkey, trim(p_name) AS title FROM part",
-    "parsed_lines": sql(r"SELECT meeting_id AS snapshot_id, ord AS line_no, last_value(CASE WHEN ord % 3 = 0 THEN 'Ana ' || speaker END IGNORE NULLS) OVER (PARTITION BY meeting_id ORDER BY ord) AS speaker, CASE WHEN ord % 3 = 0 THEN regexp_replace(replace(left(text, 10), chr(10), ' '), '^\s+|\s+$', '', 'g') ELSE 'next words' END AS text FROM turns", "base", "turns"),
+    "clean_title": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN trim(p_name) WHEN p_partkey % 4 = 1 THEN trim(p_name) || ' | Budget review' WHEN p_partkey % 8 = 2 THEN NULL ELSE trim(p_name || ' | part ' || (p_partkey % 3)) END AS title FROM part",
+    "parsed_lines": sql(r"""SELECT meeting_id AS snapshot_id, ord AS line_no, CASE WHEN ord % 5 = 1 THEN 'Luis ' || speaker || ' (Other)' ELSE coalesce(head, '') END AS speaker,
+        md5(regexp_replace(CASE WHEN ord % 5 = 1 THEN 'said ' ELSE 'and ' END || translate(text, e'\n()', '   '), '^\s+|\s+$', '', 'g')) AS text FROM
+        (SELECT *, last_value(CASE WHEN ord % 5 = 0 THEN 'Ana ' || speaker || ' (Org)' END IGNORE NULLS) OVER (PARTITION BY meeting_id ORDER BY ord) AS head FROM turns) WHERE ord % 5 NOT IN (0, 2)""", "base", "turns"),
     "transcript_text": sql("SELECT meeting_id, md5(string_agg(speaker || ' (' || (CAST(floor(start_time) AS BIGINT) // 60) || ':' || lpad(CAST(CAST(floor(start_time) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '): ' || text, chr(10) ORDER BY ord)) AS text_md5 FROM turns GROUP BY 1", "base", "turns"),
-    "export_markdown": sql(r"""SELECT meeting_id, md5(regexp_replace('# Meeting ' || meeting_id || e'\n\n- Fecha: 5 ene 2026\n- Participantes: ' || people || e'\n- Duración: ' || CASE WHEN s < 60 THEN CAST(floor(s + 0.5) AS BIGINT) || ' s' WHEN m < 60 THEN m || ' min' WHEN m % 60 = 0 THEN (m // 60) || ' h' ELSE (m // 60) || ' h ' || (m % 60) || ' min' END
-        || e'\n\n## Resumen\n\nAll fine\n\n## Puntos clave\n\n- one\n- two\n\n## Transcripción\n\n' || body, '\s+$', '', 'g') || e'\n') AS markdown_md5 FROM (SELECT meeting_id, max(end_time) AS s, CAST(floor(max(end_time) / 60 + 0.5) AS BIGINT) AS m, array_to_string(list_sort(list_distinct(list(speaker))), ', ') AS people,
-        string_agg(speaker || ' (' || (CAST(floor(start_time) AS BIGINT) // 60) || ':' || lpad(CAST(CAST(floor(start_time) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '): ' || text, chr(10) ORDER BY ord) AS body FROM turns GROUP BY 1)""", "base", "turns"),
-    "markdown_blocks": r"""WITH l AS (SELECT doc_id, n, ls[n] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\n([A-M])', e'\n- \\1', 'g'), chr(10)) AS ls FROM documents))),
-        k AS (SELECT *, CASE WHEN regexp_replace(line, '^\s+|\s+$', '', 'g') = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(line, '^\s*[-*] ') THEN 'list' WHEN regexp_matches(line, '^\s*\d+[.)] ') THEN 'ordered' ELSE 'para' END AS kind FROM l),
-        r AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM (SELECT *, CASE WHEN kind <> coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY n), '') OR kind = 'heading' THEN 1 ELSE 0 END AS b FROM k))
-        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS block_ix, any_value(kind) AS kind, md5(string_agg(regexp_replace(line, '^\s*(#{1,6} |[-*] |\d+[.)] )', ''), chr(10) ORDER BY n)) AS body FROM r WHERE kind <> 'blank' GROUP BY doc_id, run""",
+    "export_markdown": sql(rf"""SELECT meeting_id, style, md5(CASE style
+        WHEN 'list' THEN '# Meeting ' || k || e'\n\n- Fecha: 5 ene 2026, 14:03\n- Participantes: ' || CASE WHEN people = '' THEN '—' ELSE people END || CASE WHEN k % 4 <> 0 THEN e'\n- Duración: ' || dur ELSE '' END
+          || CASE WHEN k % 3 <> 0 THEN e'\n\n## Resumen\n\nAll fine' || points || e'\n\n## Acciones\n\n- pay — Ana\n- call' ELSE '' END || e'\n\n## Transcripción\n\n' || each
+        WHEN 'detail' THEN '# Meeting ' || k || e'\n\n- Fecha: 5 ene 2026, 14:03' || CASE WHEN k % 4 <> 0 THEN e'\n- Duración: ' || dur ELSE '' END || e'\n- Participantes: ' || people || e'\n'
+          || CASE WHEN k % 3 <> 0 THEN e'\n## Resumen\n\nAll fine\n' || CASE WHEN k % 2 = 0 THEN e'\n### Puntos clave\n\n- one\n- two\n' ELSE '' END || e'\n## Acciones\n\n- [ ] pay — Ana\n- [ ] call\n' ELSE '' END || e'\n## Transcripción\n\n' || spoken || e'\n'
+        ELSE regexp_replace('# Meeting ' || k || e'\n\n- **Fecha:** 5 ene 2026, 14:03' || CASE WHEN k % 4 <> 0 THEN e'\n- **Duración:** ' || dur ELSE '' END || CASE WHEN people <> '' THEN e'\n- **Participantes:** ' || people ELSE '' END
+          || CASE WHEN k % 3 <> 0 THEN e'\n\n## Resumen\n\nAll fine' || points || e'\n\n## Acciones\n\n- [x] pay — Ana\n- [ ] call' ELSE '' END || e'\n\n## Transcripción\n\n' || each, '\s+$', '') || e'\n' END) AS markdown_md5
+        FROM (SELECT meeting_id, meeting_id AS k, {_DURATION.format(s='max(end_time)')} AS dur, CASE WHEN meeting_id % 5 <> 0 THEN array_to_string(list_sort(list_distinct(list(speaker))), ', ') ELSE '' END AS people,
+          CASE WHEN meeting_id % 2 = 0 THEN e'\n\n### Puntos clave\n\n- one\n- two' ELSE '' END AS points, string_agg(line, e'\n\n' ORDER BY ord) AS spoken, string_agg(line || e'\n', e'\n' ORDER BY ord) AS each
+          FROM (SELECT *, '**' || speaker || '** (' || (CAST(floor(start_time) AS BIGINT) // 60) || ':' || lpad(CAST(CAST(floor(start_time) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '): ' || text AS line FROM turns) GROUP BY meeting_id),
+        (SELECT unnest(['list', 'detail', 'bulk']) AS style)""", "base", "turns"),
+    "markdown_blocks": r"""WITH l AS (SELECT doc_id, n, regexp_replace(ls[n], '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM
+        (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\n([A-H])', e'\n\n  - \\1', 'g'), '\n([I-M])', e'\n## \\1', 'g'), chr(10)) AS ls FROM documents))),
+        k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6}\s+') THEN 'heading' WHEN regexp_matches(line, '^[-*]\s+') THEN 'list' ELSE 'para' END AS kind FROM l),
+        p AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY n) AS before, last_value(CASE WHEN kind <> 'blank' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM k),
+        r AS (SELECT *, sum(CASE kind WHEN 'heading' THEN 1 WHEN 'list' THEN CASE WHEN last IS DISTINCT FROM 'list' THEN 1 ELSE 0 END WHEN 'para' THEN CASE WHEN before IS DISTINCT FROM 'para' THEN 1 ELSE 0 END ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM p)
+        SELECT doc_id, CAST(run - 1 AS INTEGER) AS block_ix, any_value(kind) AS kind, md5(string_agg(CASE WHEN kind = 'para' THEN line ELSE regexp_replace(line, '^(#{1,6}|[-*])\s+', '') END, chr(10) ORDER BY n)) AS body FROM r WHERE kind <> 'blank' GROUP BY doc_id, run""",
     "digest_chunks": sql(r"SELECT 'm' || meeting_id || '#dig' AS key, e'Reunión: \"Kickoff\"\nFecha: 2026-07-01\nParticipantes: ' || array_to_string(list_sort(list_distinct(list(speaker))), ', ') || CASE WHEN meeting_id % 2 = 0 THEN e'\nPuntos clave:\n- point' ELSE '' END AS text, CAST(epoch(TIMESTAMP '2026-07-01 14:00:00') AS BIGINT) AS date_epoch FROM turns GROUP BY meeting_id", "base", "turns"),
     "note_chunks": f"WITH RECURSIVE src AS (SELECT doc_id AS k, replace({_T}, chr(10), chr(10) || chr(10)) AS text FROM documents), {_PACK} SELECT 'note#' || k || '#' || n AS key, md5('Nota personal — 2026-03-04 — ' || source || chr(10) || chr(10) || body) AS text_md5, lang AS owner_sub, CAST(epoch(TIMESTAMP '2026-03-04 05:06:07') AS BIGINT) AS date_epoch FROM win JOIN documents ON doc_id = k",
 }

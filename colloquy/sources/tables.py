@@ -138,8 +138,8 @@ def by_job(jobs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 # artifacts and files -----------------------------------------------------------
 def write_artifact(rows: DataFrame, folder: str, name: str) -> None:
-    """JSON lines by tenant and meeting: one folder for each artifact."""
-    rows.write.mode("overwrite").partitionBy("tenant_id", "meeting_id").json(f"{folder}/{name}")
+    """JSON lines by tenant and meeting: one folder for each artifact. Only the meetings in rows are replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "meeting_id").json(f"{folder}/{name}")
 
 
 def read_artifact(spark: SparkSession, folder: str, name: str, ddl: str | None = None) -> DataFrame:
@@ -168,10 +168,17 @@ def recogniser_items(rows: DataFrame, column: str = "json") -> DataFrame:
     )
 
 
-def write_transcript_lines(turns: DataFrame, path: str) -> None:
-    """Text lines '[hh:mm:ss] name: text' in order, one file for each range of meetings."""
+def transcript_lines(turns: DataFrame) -> DataFrame:
+    """meeting_id, ord, line: '[hh:mm:ss] name: text' of captions (at, speaker, text)."""
     line = F.concat(F.lit("["), F.date_format("at", "HH:mm:ss"), F.lit("] "), "speaker", F.lit(": "), "text")
-    turns.repartitionByRange("meeting_id", "ord").sortWithinPartitions("meeting_id", "ord").select(line.alias("value")).write.mode("overwrite").text(path)
+    return turns.select("meeting_id", "ord", line.alias("line"))
+
+
+def append_transcript(turns: DataFrame, folder: str) -> None:
+    """Adds captions to what is there: lines under text, and the rows as JSON lines under json, sorted within files by meeting and place."""
+    sorted_rows = turns.repartitionByRange("meeting_id", "ord").sortWithinPartitions("meeting_id", "ord")
+    transcript_lines(sorted_rows).select(F.col("line").alias("value")).write.mode("append").text(f"{folder}/text")
+    sorted_rows.write.mode("append").json(f"{folder}/json")
 
 
 def archive_entries(files: DataFrame, content: str = "content") -> DataFrame:
@@ -180,9 +187,35 @@ def archive_entries(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumns({"size": F.octet_length(data).cast("long"), "crc32": F.crc32(data)})
 
 
+def write_archive(files: DataFrame, path: str, name: str = "name", content: str = "content", most_bytes: int = 256 << 20) -> None:
+    """One ZIP of stored entries. An archive is one file and so the work of one process: larger contents than ``most_bytes`` are refused."""
+    import zipfile
+
+    total = files.agg(F.sum(F.octet_length(F.col(content).cast("binary")))).first()[0] or 0
+    if total > most_bytes:
+        raise ValueError(f"{total} bytes are too many for one archive; write several")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as archive:
+        for row in files.select(name, F.col(content).cast("binary")).orderBy(name).toLocalIterator():
+            archive.writestr(row[0], bytes(row[1] or b""))
+
+
+def put_vectors(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """The vectors after an upsert by (tenant_id, key); null metadata entries are left out."""
+    clean = rows.withColumn("metadata", F.map_filter("metadata", lambda _, x: x.isNotNull())) if "metadata" in rows.columns else rows
+    return put(stored, clean, ["tenant_id", "key"])
+
+
 def write_vectors(rows: DataFrame, path: str) -> None:
-    """Vectors by tenant and version, so that a search reads its tenant's alone."""
-    rows.write.mode("append").partitionBy("tenant_id", "index_version").parquet(path)
+    """Upserts vectors (tenant_id, index_version, key, ...) in a table by tenant and version; only the partitions of rows are rewritten, through a second copy."""
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        touched = rows.select("tenant_id", "index_version").distinct()
+        stored = spark.read.parquet(path).select(*rows.columns).join(touched, ["tenant_id", "index_version"], "left_semi")
+        merged = put(stored, rows, ["tenant_id", "index_version", "key"])
+        merged.write.mode("overwrite").partitionBy("tenant_id", "index_version").parquet(f"{path}.next")
+        rows = spark.read.schema(rows.schema).parquet(f"{path}.next")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "index_version").parquet(path)
 
 
 def ensure_table(spark: SparkSession, name: str, ddl: str) -> None:

@@ -223,3 +223,122 @@ def replay_captions(observed: DataFrame) -> DataFrame:
 
     rows = observed.select("meeting_id", "ord", "ts", "speaker", "text").repartition("meeting_id").sortWithinPartitions("meeting_id", "ts", "ord")
     return rows.mapInPandas(run, "meeting_id string, speaker string, text string, ts timestamp")
+
+
+class PresenceDebouncer(StatefulProcessor):
+    """A meeting's presence, believed once it has held for ``join_after`` or ``leave_after`` seconds; each change of belief is one row."""
+
+    def __init__(self, join_after: float, leave_after: float):
+        self.needed = {True: join_after, False: leave_after}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "believed boolean, present boolean, since timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        believed, present, since = tuple(self.state.get()) if self.state.exists() else (None, None, None)
+        for row in pd.concat(list(rows)).sort_values("ts").itertuples():
+            # a run lasts until the reading that ends it
+            if present is not None and present != believed and (row.ts - since).total_seconds() >= self.needed[present]:
+                believed = present
+                out.append((*key, since, present))
+            if row.present != present:
+                present, since = bool(row.present), row.ts
+        self._store(believed, present, since)
+        yield pd.DataFrame(out, columns=["meeting_id", "since", "present"])
+
+    def _store(self, believed, present, since) -> None:
+        self.state.update((believed, present, since))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if present != believed:
+            self.handle.registerTimer(int((since + pd.Timedelta(seconds=self.needed[present])).timestamp() * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        believed, present, since = tuple(self.state.get())
+        out = []
+        if present != believed:
+            out.append((*key, since, present))
+            self.state.update((present, present, since))
+        yield pd.DataFrame(out, columns=["meeting_id", "since", "present"])
+
+    def close(self) -> None:
+        pass
+
+
+def debounce_presence(readings: DataFrame, join_after: float = 3.0, leave_after: float = 8.0, watermark: str = "10 seconds") -> DataFrame:
+    """readings (meeting_id, ts, present) to the changes that lasted (meeting_id, since, present)."""
+    return readings.withWatermark("ts", watermark).groupBy("meeting_id").transformWithStateInPandas(
+        PresenceDebouncer(join_after, leave_after), outputStructType="meeting_id string, since timestamp, present boolean", outputMode="append", timeMode="EventTime"
+    )
+
+
+POLL_MILLIS, STABLE_MILLIS = 750, 2000
+
+
+def simulate_polls(polls: DataFrame, poll_ms: int = POLL_MILLIS, stable_ms: int = STABLE_MILLIS) -> DataFrame:
+    """What a watcher that polls every ``poll_ms`` publishes of a denser recording: meeting_id, n, speaker, text.
+
+    polls: meeting_id, t (milliseconds), shown (array of structs of speaker and text, in order; empty where the
+    view shows no captions). The first poll that shows any only seeds the comparison. Captions that the poll
+    before didn't show are submitted: they revise the pending one, or publish it and take its place; a pending
+    one is published too when it has stood for ``stable_ms``, and at the end. Each meeting's polls stream through
+    in order; a shuffle brings them together.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = state = None
+        for frame in batches:
+            out = []
+            for row in frame.itertuples(index=False):
+                if row.meeting_id != key:
+                    if state:
+                        state.publish()
+                        out += state.taken(key)
+                    key, state = row.meeting_id, _Watcher(stable_ms)
+                if row.t >= state.next_poll:
+                    state.next_poll = row.t + poll_ms
+                    state.poll(row.t, [(x["speaker"], x["text"]) for x in row.shown])
+                    out += state.taken(key)
+            yield pd.DataFrame(out, columns=["meeting_id", "n", "speaker", "text"])
+        if state:
+            state.publish()
+            yield pd.DataFrame(state.taken(key), columns=["meeting_id", "n", "speaker", "text"])
+
+    rows = polls.select("meeting_id", "t", "shown").repartition("meeting_id").sortWithinPartitions("meeting_id", "t")
+    return rows.mapInPandas(run, "meeting_id string, n long, speaker string, text string")
+
+
+class _Watcher:
+    def __init__(self, stable_ms: int):
+        self.stable_ms, self.next_poll, self.pending, self.since, self.before, self.done, self.n = stable_ms, 0, None, None, None, [], 0
+
+    def publish(self) -> None:
+        if self.pending:
+            self.done.append((self.n, *self.pending))
+            self.n += 1
+        self.pending = self.since = None
+
+    def taken(self, key: str) -> list[tuple]:
+        out, self.done = [(key, *x) for x in self.done], []
+        return out
+
+    def poll(self, t: int, shown: list[tuple[str, str]]) -> None:
+        if shown:
+            for caption in shown if self.before is not None else ():
+                if caption not in self.before:
+                    self.submit(caption, t)
+            self.before = set(shown)
+        if self.pending and t - self.since >= self.stable_ms:
+            self.publish()
+
+    def submit(self, caption: tuple[str, str], t: int) -> None:
+        speaker, text = caption
+        if not text.strip():
+            return
+        if self.pending and self.pending[0] == speaker and is_revision(self.pending[1], text):
+            if len(comparable(text)) > len(comparable(self.pending[1])):
+                self.pending, self.since = caption, t
+        elif not (self.pending and self.pending[0] == speaker and is_revision(text, self.pending[1])):
+            self.publish()
+            self.pending, self.since = caption, t

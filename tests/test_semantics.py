@@ -180,11 +180,11 @@ def test_search_filter(spark):
 
 
 def test_citations(spark):
-    answers = spark.createDataFrame([("q", "See [M:a:b:T2] and [M:x]  or [N:n1] [N:zz] [bad] [M:a:b:T2]")], "answer_id string, text string")
-    hits = spark.createDataFrame([("q", 1, "chapter", "a:b", None, "Title", 86400), ("q", 2, "note", None, "n1", None, None), ("q", 3, "chapter", "zz", None, "Z", 0)], "answer_id string, rank int, type string, meeting_id string, note_id string, title string, date_epoch long")
+    answers = spark.createDataFrame([("q", "See [M:a:b:T2] and [M:x]  or [N:n1] [N:zz] [bad] [M:a:b:T2] [M:18:48 x]")], "answer_id string, text string")
+    hits = spark.createDataFrame([("q", 1, "chapter", "a:b", None, "Title", 86400), ("q", 2, "note", None, "n1", None, None), ("q", 3, "chapter", "zz", None, "Z", 0), ("q", 4, "chapter", "18:48 x", None, "C", 0)], "answer_id string, rank int, type string, meeting_id string, note_id string, title string, date_epoch long")
     cleaned, cited = citations.resolve_citations(answers, hits)
-    assert cleaned.first().text == "See [M:a:b:T2] and or [N:n1] [bad] [M:a:b:T2]"
-    assert [(r.ref, r.turn, r.title, r.date, r.url) for r in cited.orderBy("n").collect()] == [("[M:a:b:T2]", "T2", "Title", "1970-01-02", "/meeting?id=a%3Ab#T2"), ("[N:n1]", None, "", "", "/notes?id=n1")]
+    assert cleaned.first().text == "See [M:a:b:T2] and or [N:n1] [bad] [M:a:b:T2] [M:18:48 x]"
+    assert [(r.ref, r.turn, r.title, r.date, r.url) for r in cited.orderBy("n").collect()] == [("M:a:b:T2", "T2", "Title", "1970-01-02", "/meeting?id=a%3Ab&turn=T2"), ("N:n1", None, "", "", "/notes?id=n1"), ("M:18:48 x", None, "C", "", "/meeting?id=18%3A48%20x")]
 
 
 def test_ids(spark):
@@ -256,3 +256,67 @@ def test_top_k_join_of_many_queries(spark):
     blocks = sorted(tuple(r) for r in search.top_k_join(vectors, queries, 3, most_queries=40).collect())
     assert blocks == whole and len(whole) == 270
     assert [q for q, rank, key, _ in blocks if rank == 1 and q == key] == list(range(90))
+
+
+def test_forms_that_are_easily_wrong(spark):
+    """Cases in which a near miss of the rule gives another answer."""
+    lit = F.lit
+    r = one(
+        spark, d1=v.duration(lit(59.6)), d2=v.duration(lit(89.7)), d3=v.duration(lit(59.4)), r=v.renamed(F.array(lit("a"), lit("b")), lit("a"), lit("b")), s=tx.slug(lit("x" * 59 + " yz")), e0=v.epoch_date(lit(0)),
+        c1=tx.clean_name(lit("Ana Paz \u00b7 Guest")), c2=tx.clean_name(lit("Ana (Sales) (Unverified), muted")), c3=tx.clean_name(lit("Ana is speaking | x")), n1=tx.normalize(lit("\u0439\u03ac \u00c9")),
+        t1=captions.clean_title(lit("Weekly | Budget review")), t2=captions.clean_title(lit("(2) Weekly | Microsoft Teams")), t3=captions.clean_title(lit("Calendar | Microsoft Teams")),
+        g=analytics.note_guard(lit("x"), lit("voice")), k=F.to_json(tx.references(lit("[M:a b:c:T3] [N:q:T3] [M:] [M:a b:c:T3]"))),
+    )
+    assert (r.d1, r.d2, r.d3, list(r.r), r.s, r.e0) == ("1 min", "2 min", "59 s", ["b", "b"], "x" * 59 + "-", None)
+    assert (r.c1, r.c2, r.c3, r.n1) == ("Ana Paz", "Ana (Sales)", "Ana", "\u0438\u03b1 e")
+    assert (r.t1, r.t2, r.t3, r.g) == ("Weekly | Budget review", "Weekly", None, "ok")
+    assert r.k == '[{"ref":"M:a b:c:T3","kind":"M","id":"a b:c","turn":"T3"},{"ref":"N:q:T3","kind":"N","id":"q:T3","turn":""}]'
+
+
+def test_every_malformed_answer_is_refused():
+    bad = (None, 1, "x", [], {}, {"text": None}, {"text": " "}, {"claims": None}, {"claims": []}, {"claims": ["x"]}, {"claims": [{"claim": 3, "verdict": "PARTIAL"}]}, {"claims": [{"claim": "a", "verdict": "AMBIGUOUS"}]},
+           {"title": 3, "text": "x"}, {"turns": ["x"]}, {"turns": []}, {"turns": [{"sourceIds": [1], "speaker": "a", "text": "b"}]}, {"answer": 5}, {"query": 3})
+    for name in models.CONTRACTS:
+        for data in bad:
+            if name == "extract" and isinstance(data, dict):
+                continue  # all fields of this one may be missing
+            assert models.invalid(name, data), (name, data)
+    assert models.invalid("extract", {"decisions": [{"text": "a"}]}) and models.invalid("extract", {"participants": [1]})
+    assert models.invalid("verify", {"claims": [{"claim": "a", "verdict": "UNCERTAIN"}]}) is None
+
+
+def test_writes_keep_what_they_do_not_replace(spark, tmp_path):
+    rows = lambda ids, x: spark.createDataFrame([("t", m, x) for m in ids], "tenant_id string, meeting_id string, x int")
+    tables.write_artifact(rows(["m1", "m2"], 1), f"{tmp_path}/a", "notes")
+    tables.write_artifact(rows(["m2", "m3"], 2), f"{tmp_path}/a", "notes")
+    found = tables.read_artifact(spark, f"{tmp_path}/a", "notes", "x int, tenant_id string, meeting_id string").collect()
+    assert sorted((r.meeting_id, r.x) for r in found) == [("m1", 1), ("m2", 2), ("m3", 2)]
+    vectors = lambda keys, x: spark.createDataFrame([("t", 1, k, x) for k in keys], "tenant_id string, index_version int, key string, x int")
+    for keys, x in ((["a", "b"], 1), (["b", "c"], 2)):
+        tables.write_vectors(vectors(keys, x), f"{tmp_path}/v")
+    assert sorted((r.key, r.x) for r in spark.read.parquet(f"{tmp_path}/v").collect()) == [("a", 1), ("b", 2), ("c", 2)]
+    captions_ = spark.createDataFrame([("m", 0, dt.datetime(2026, 1, 1, 9, 8, 7), "Ana", "hola")], "meeting_id string, ord int, at timestamp, speaker string, text string")
+    for _ in range(2):
+        tables.append_transcript(captions_, f"{tmp_path}/t")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/t/text").collect()] == ["[09:08:07] Ana: hola"] * 2
+    tables.write_archive(spark.createDataFrame([("b.txt", "two"), ("a.txt", "one")], "name string, content string"), f"{tmp_path}/x.zip")
+    import zipfile
+
+    with zipfile.ZipFile(f"{tmp_path}/x.zip") as archive:
+        assert archive.namelist() == ["a.txt", "b.txt"] and archive.read("b.txt") == b"two" and archive.testzip() is None
+
+
+def test_recall_alignment_is_exact(spark):
+    """Against every emitted line by plain Python, whatever its time."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    said = [" ".join(rng.choice("uno dos tres cuatro cinco seis".split()) for _ in range(rng.randrange(1, 7))) for _ in range(40)]
+    shown = [" ".join(w for w in s.split() if rng.random() < 0.7).upper() + "." for s in said[::2]]
+    truth = spark.createDataFrame([("m", k, s) for k, s in enumerate(said)], "meeting_id string, ord int, text string")
+    emitted = spark.createDataFrame([("m", s) for s in shown], "meeting_id string, text string")
+    form = lambda s: " ".join(s.split()).rstrip(".,;:?! ").lower()
+    for r in analytics.align_recall(truth, emitted).collect():
+        best = max(SequenceMatcher(None, form(r.text), form(s), autojunk=False).ratio() for s in shown)
+        assert r.found == (best >= 0.6) and r.best == pytest.approx(best if best >= 0.6 else 0.0)

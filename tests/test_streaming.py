@@ -76,7 +76,35 @@ def test_silence_sessions_stream(spark, tmp_path):
 def test_align_and_dictate(spark):
     truth = spark.createDataFrame([("m", 0, 1.0, "Hola a todos"), ("m", 1, 500.0, "nadie lo vio")], "meeting_id string, ord int, t double, text string")
     emitted = spark.createDataFrame([("m", 2.0, "hola a todoz"), ("m", 900.0, "nadie lo vio")], "meeting_id string, t double, text string")
-    assert [r.found for r in analytics.align_recall(truth, emitted).orderBy("ord").collect()] == [True, False]
+    assert [r.found for r in analytics.align_recall(truth, emitted).orderBy("ord").collect()] == [True, True]
     results = spark.createDataFrame([("s", 1, True, "dos"), ("s", 0, True, "uno"), ("s", 2, False, "tre")], "session_id string, ord int, final boolean, text string")
     assert analytics.dictation_text(results).first().text == "uno dos"
     assert results.select(streams.end_reason(F.lit(False), F.lit(300), F.lit(True), F.lit(0))).first()[0] == "silence"
+
+
+def test_debounce_stream(spark, tmp_path):
+    """The changes are those of the batch form."""
+    rows = [("m", at(s), p) for s, p in ((0, False), (10, True), (12.9, False), (30, True), (33, True), (40, False), (47.9, True), (60, False), (70, False))] + [("z", at(5000), True)]
+    record(spark, rows, "presence", f"{tmp_path}/in")
+    stream = streams.debounce_presence(replay.read_recording(spark, "presence", f"{tmp_path}/in"))
+    out = run(spark, stream, tmp_path, "out").filter("meeting_id = 'm'").orderBy("since").collect()
+    assert [((r.since - T0).total_seconds(), r.present) for r in out] == [(0, False), (30, True), (60, False)]
+
+
+def test_simulated_polls(spark):
+    """750 ms sampling, seeding, revision and settling of a dense recording."""
+    shown = [
+        (0, []), (100, [("Ana", "never polled")]), (800, [("Ana", "seed")]), (900, [("Ana", "seed"), ("Ana", "skipped by sampling")]), (1600, [("Ana", "seed"), ("Luis", "buen")]),
+        (2400, [("Ana", "seed"), ("Luis", "buen dia a todos")]), (3200, []), (4500, [("Luis", "buen dia a todos")]), (5300, [("Luis", "otra cosa muy distinta"), ("Ana", "fin")]),
+    ]
+    df = spark.createDataFrame([("m", t, s) for t, s in shown] + [("n", 0, [("x", "only seed")])], "meeting_id string, t long, shown array<struct<speaker:string,text:string>>")
+    out = streams.simulate_polls(df).orderBy("meeting_id", "n").collect()
+    assert [(r.meeting_id, r.speaker, r.text) for r in out] == [("m", "Luis", "buen dia a todos"), ("m", "Luis", "otra cosa muy distinta"), ("m", "Ana", "fin")]
+
+
+def test_segment_batches(spark):
+    arrivals = [("m", k, float(k)) for k in range(14)] + [("m", 14, 16.0), ("m", 15, 17.0)] + [("n", k, 0.1 * k) for k in range(45)]
+    df = spark.createDataFrame(arrivals, "meeting_id string, ord long, t double")
+    assert sorted((r.meeting_id, r.seq, r.rows) for r in replay.segment_batches(df).collect()) == [("m", 0, 15), ("m", 1, 1), ("n", 0, 20), ("n", 1, 20), ("n", 2, 5)]
+    polls = spark.range(25).select(F.lit("m").alias("meeting_id"), F.col("id").alias("poll"))
+    assert [r.poll for r in replay.every_nth(polls).orderBy("poll").collect()] == [0, 10, 20]
