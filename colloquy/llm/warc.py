@@ -46,6 +46,8 @@ from .common import fresh_path, written
 REVISIT_BYTES = 1000
 BLOCK_LINES = 2000
 MOST_BLOCKS = 100_000
+#: Bytes of archives that one task reads back at once.
+STRETCH = 4 << 20
 DATE = "2026-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -147,8 +149,11 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     body = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("digest"))
     large = F.octet_length("payload") >= revisit_bytes
-    groups = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("digest", "last")
-    typed = rows.join(groups, "digest", "left")
+    # written, so that Spark sends few groups to all tasks, and can split a payload that very many pages share
+    groups = written(rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("group"), "last"), "warc-groups")
+    # small payloads have no group; they get keys of their own, as one of them may be that of a third of all pages
+    group = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("small "), F.hex(F.xxhash64("digest", F.col("page_id").cast("string"), "url"))))
+    typed = rows.withColumn("_key", group).join(groups, F.col("_key") == F.col("group"), "left")
     again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     records = typed.select(
         F.col("page_id").cast("string"), "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("last").cast("string")).alias("refers_to")
@@ -176,6 +181,8 @@ class CaptureIndex:
     """The sparse directory: first key, file, offset and length of each block, in order of the keys."""
 
     blocks: list[tuple[str, str, int, int]]
+    #: Bytes of all records in the archives.
+    record_bytes: int = 0
 
     def lookup(self, url: str) -> list[dict]:
         """All captures of a url."""
@@ -193,7 +200,7 @@ class CaptureIndex:
         """The records of a url, each by a range read; a revisit has no payload of its own."""
         return [parse_record(read_range(c["file"], c["offset"], c["length"])) for c in self.lookup(url)]
 
-    def captures(self, spark: SparkSession, tasks: int = 200) -> DataFrame:
+    def captures(self, spark: SparkSession, blocks_per_task: int = 4) -> DataFrame:
         """All captures, read block by block in tasks."""
         rows = spark.createDataFrame([(i, *b[1:]) for i, b in enumerate(self.blocks)], "i int, file string, offset long, length long")
 
@@ -203,7 +210,7 @@ class CaptureIndex:
                     found = [capture_of(line) for line in read_block(*place)]
                     yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("key", pa.string()), ("page_id", pa.string()), ("kind", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
-        return rows.repartition(max(1, min(tasks, len(self.blocks))), "i").mapInArrow(unpack, _CAPTURE)
+        return rows.repartition(max(1, -(-len(self.blocks) // blocks_per_task)), "i").mapInArrow(unpack, _CAPTURE)
 
 
 def line_of(key: str, *rest) -> str:
@@ -221,7 +228,7 @@ def read_block(uri: str, offset: int, length: int) -> list[str]:
 
 def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES, most_blocks: int = MOST_BLOCKS) -> CaptureIndex:
     """Sorts the captures by key into blocks; the directory comes to the driver (most_blocks entries, besides one for each task)."""
-    total = captures.count()
+    total, size = captures.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     lines = max(block_lines, -(-total // most_blocks))
     clean = F.regexp_replace(F.coalesce("key", F.lit("")), "[\\t\\n]", "%20")
     ranged = captures.withColumn("key", clean).repartitionByRange(max(1, -(-total // (8 * lines))), "key", "page_id", "offset").sortWithinPartitions("key", "page_id", "offset")
@@ -246,11 +253,16 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
 
     directory = written(ranged.select("key", "page_id", "kind", "file", "offset", "length").mapInArrow(pack, "first string, file string, offset long, length long"), "warc-directory")
     # the order of UTF-8 bytes, in which Spark sorts, is that of Python's code points
-    return CaptureIndex(sorted(tuple(r) for r in directory.collect()))
+    return CaptureIndex(sorted(tuple(r) for r in directory.collect()), size)
 
 
-def read_records(captures: DataFrame) -> DataFrame:
-    """(page_id, kind, refers_to, payload_bytes, payload_digest): every capture's record by a range read; size and digest are of the payload found (none for a revisit)."""
+def read_records(captures: DataFrame, record_bytes: int | None = None) -> DataFrame:
+    """(page_id, kind, refers_to, payload_bytes, payload_digest): every capture's record by a range read; size and digest are of the payload found (none for a revisit).
+
+    Tasks take stretches of about ``STRETCH`` bytes of a file; ``record_bytes`` (by default summed up) gives their number.
+    """
+    if record_bytes is None:
+        record_bytes = captures.agg(F.sum("length")).first()[0] or 0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, file = None, None
@@ -275,14 +287,16 @@ def read_records(captures: DataFrame) -> DataFrame:
         if file:
             file.close()
 
-    dealt = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    stretch = F.floor(F.col("offset") / STRETCH).alias("stretch")
+    dealt = captures.select("file", "offset", "length", stretch).repartition(max(1, -(-record_bytes // STRETCH)), "file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return dealt.mapInArrow(read, "page_id string, kind string, refers_to string, payload_bytes long, payload_digest string, named_digest string")
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """The records with the size and digest of revisits taken from the payload of the response they refer to."""
     whole = records.filter("kind = 'response'")
-    stored = whole.groupBy(F.col("page_id").alias("of_page"), F.col("payload_digest").alias("of_digest")).agg(F.max("payload_bytes").alias("of_bytes"))
+    # written, so that Spark can split a response that very many revisits refer to; repeated responses count once
+    stored = written(whole.groupBy(F.col("page_id").alias("of_page"), F.col("payload_digest").alias("of_digest")).agg(F.max("payload_bytes").alias("of_bytes")), "warc-stored")
     again = records.filter("kind = 'revisit'").drop("payload_bytes", "payload_digest")
     found = again.join(stored, again.refers_to.eqNullSafe(stored.of_page) & (again.named_digest == stored.of_digest))
     columns = ["page_id", "kind", "refers_to", "payload_bytes", "payload_digest"]
