@@ -202,10 +202,9 @@ def chunks(c: Column | str) -> Column:
 
 
 def reference_of(kind: Column, meeting: Column, turn: Column, note: Column) -> Column:
-    """The marker that cites a search hit: notes by their id, meetings with the turn where the hit has one of its own (no summary or digest)."""
-    whole = kind.isin("summary", "digest") | turn.isNull()
-    place = F.when(whole, F.lit("")).otherwise(F.concat(F.lit(":"), turn))
-    return F.when(kind == "note", F.concat(F.lit("[N:"), note, F.lit("]"))).otherwise(F.concat(F.lit("[M:"), meeting, place, F.lit("]")))
+    """The reference of a search hit, without brackets: a note's id, or a meeting's with the turn where the hit has one (summaries and digests have none)."""
+    place = F.when(F.coalesce(turn, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(":"), turn))
+    return F.when(kind == "note", F.concat(F.lit("N:"), note)).otherwise(F.concat(F.lit("M:"), meeting, place))
 
 
 def turn_anchors(c: Column | str) -> Column:

@@ -68,6 +68,15 @@ def gate_a(unresolved_pct: Column, margin: Column, agreement: Column) -> Column:
     return _chain((unresolved_pct > A_UNRESOLVED, True, "unresolved"), (margin < A_MARGIN, True, "margin"), (agreement < A_AGREEMENT, True, "agreement"))
 
 
+def told_gate_a(unresolved_pct: Column, margin: Column, agreement: Column) -> Column:
+    """The reason of gate_a as text with the value and its bound; null where it doesn't fire."""
+    told = lambda name, form, value, sign, bound: F.format_string(f"{name} {form} {sign} {bound:g}", value)
+    return (
+        F.when(unresolved_pct > A_UNRESOLVED, told("unresolvedPct", "%.1f", unresolved_pct, ">", A_UNRESOLVED))
+        .when(margin < A_MARGIN, told("labelMarginMin", "%.2f", margin, "<", A_MARGIN)).when(agreement < A_AGREEMENT, told("captionAgreementPct", "%.1f", agreement, "<", A_AGREEMENT))
+    )
+
+
 def gate_b(consent_tier: Column, sources: Column, tab_segments: Column, flagged: Column, mean: Column, p10: Column) -> Column:
     """A second recognition pass; closed without consented, declared tab audio."""
     return _chain(

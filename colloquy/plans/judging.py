@@ -53,6 +53,10 @@ def gate_a(spark, d):
     return _gated(_facts(spark, d).withColumn("g", gates.gate_a(F.col("unresolved"), F.col("margin"), F.col("agreement"))), "g")
 
 
+def gate_reasons(spark, d):
+    return _facts(spark, d).select("meeting_id", gates.told_gate_a(F.col("unresolved") + F.lit(0.26), F.col("margin"), F.col("agreement")).alias("reason"))
+
+
 def gate_b(spark, d):
     return _gated(_facts(spark, d).withColumn("g", gates.gate_b(*map(F.col, ("tier", "sources", "tab_n", "flagged", "mean", "p10")))), "g")
 
@@ -164,7 +168,7 @@ def signal_health(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    asr_scores, tab_scores, wer_proxy, gate_a, gate_b, gate_c, gate_d, gate_e, audio_wait, raised_tier, last_gate, prior_gate, escalated, fleet_rates, verification_tally,
+    asr_scores, tab_scores, wer_proxy, gate_a, gate_reasons, gate_b, gate_c, gate_d, gate_e, audio_wait, raised_tier, last_gate, prior_gate, escalated, fleet_rates, verification_tally,
     critical_claims, unsupported_claims, quote_validation, quote_containment, bullet_match, claim_grounding, recall_report, silence_sessions, signal_health,
 )}
 
@@ -188,6 +192,7 @@ ORACLES = {
         (SELECT meeting_id, t, count(*) AS n FROM (SELECT meeting_id, unnest({i.tokens('text')}) AS t FROM captions WHERE final) GROUP BY ALL) x FULL JOIN
         (SELECT meeting_id, t, count(*) AS n FROM (SELECT meeting_id, unnest({i.tokens('text')}) AS t FROM segments WHERE source <> 'caption') GROUP BY ALL) y USING (meeting_id, t)) GROUP BY 1 HAVING sum(a) > 0 AND sum(b) > 0""", "base", "segments", "captions"),
     "gate_a": chain(("unresolved > 15", True, "unresolved"), ("margin < 0.3", True, "margin"), ("agreement < 80", True, "agreement")),
+    "gate_reasons": facts("SELECT meeting_id, CASE WHEN unresolved + 0.26 > 15 THEN printf('unresolvedPct %.1f > 15', unresolved + 0.26) WHEN margin < 0.3 THEN printf('labelMarginMin %.2f < 0.3', margin) WHEN agreement < 80 THEN printf('captionAgreementPct %.1f < 80', agreement) END AS reason FROM facts"),
     "gate_b": chain(("tier <> 2", False, "no consent"), ("NOT has_tab", False, "no tab audio"), ("tab_n = 0", False, "no tab segments"), ("flagged", True, "flagged"), ("mean < 0.8", True, "mean"), ("p10 < 0.5", True, "p10")),
     "gate_c": chain(("mean IS NULL AND has_asr", True, "no scores"), ("mean < 0.8", True, "mean"), ("p10 < 0.5", True, "p10"), ("wer > 0.35", True, "wer"), ("quality < 0.5", True, "self quality"), ("garbled > 20", True, "garbled")),
     "gate_d": facts("SELECT meeting_id, bad > 0 AS fired FROM facts"),

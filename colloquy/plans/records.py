@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import models
 from ..functions import text as tx
 from ..functions import values as v
-from ..operators import analytics, chunking, citations, grounding, search, speakers, transcripts
+from ..operators import analytics, chunking, citations, grounding, prompts, search, speakers, transcripts
 from ..operators import captions as cp
 from ..sources import tables
 from ..sources.work import work_folder
 from . import inputs as i
 from .inputs import sql
 from .speaking import _containment
+from .texts import _MMSS
 
 
 # keyed reads and artifacts ------------------------------------------------------
@@ -383,6 +384,34 @@ def meeting_chunks(spark, d):
     return rows.filter("type <> 'chapter'").groupBy("meeting_id", "type").agg(F.count("*").alias("n"))
 
 
+# prompts --------------------------------------------------------------------------------
+def raw_prompt(spark, d):
+    t = i.turns(spark, d).withColumn("seg_id", F.concat(F.lit("s"), "ord"))
+    return prompts.raw_transcript(t).select("meeting_id", F.md5("text").alias("text"))
+
+
+def clean_prompt(spark, d):
+    """Chapters at the start of every fifth turn, and one after the end."""
+    t = i.speaker_turns(spark, d)
+    c = t.filter("ord % 5 = 2").select("meeting_id", "ord", "start_time", F.concat(F.lit("Topic "), "ord").alias("title"))
+    late = t.groupBy("meeting_id").agg(F.lit(999).alias("ord"), (F.max("end_time") + 60).alias("start_time"), F.lit("Late").alias("title"))
+    return prompts.clean_transcript(t, c.unionByName(late)).select("meeting_id", F.md5("text").alias("text"))
+
+
+def history_prompt(spark, d):
+    m = i.base(spark, d).select(F.col("meeting_id").alias("thread_id"), "ord", "role", "text")
+    return prompts.conversation(m, 3).select("thread_id", F.md5("text").alias("text"))
+
+
+def fragment_prompt(spark, d):
+    k = F.col("ord")
+    h = i.turns(spark, d).select(
+        F.col("meeting_id").alias("query_id"), k.alias("rank"), F.element_at(F.lit(["chapter", "summary", "note"]), (k % 3 + 1).cast("int")).alias("type"), F.col("meeting_id").cast("string").alias("meeting_id"),
+        F.when(k % 3 == 0, F.concat(F.lit("T"), k)).alias("turn_start"), F.concat(F.lit("n"), k).alias("note_id"), (k * 86400).alias("date_epoch"), "text",
+    )
+    return prompts.fragments(h).select("query_id", F.md5("text").alias("text"))
+
+
 # model contracts ---------------------------------------------------------------------------
 #: For each contract an answer that holds, and one that doesn't.
 _ANSWERS = {
@@ -419,7 +448,7 @@ QUERIES = {f.__name__: f for f in (
     point_get, optional_artifact, artifact_writes, owned_notes, recogniser_json, caption_lines, golden_set, key_pattern, meeting_detail, job_tokens, vector_upsert, vector_writes, transcript_file,
     canonical_turns, recent_orders, names_by_case, any_capturing, circular_match, toggled, patched_map, json_fallback, rendered_json, date_times, routing, tenants, kits, dictation,
     quote_exists, anchored_text, violation_text, control_chunks, reference_marks, label_names, candidate_region, caption_predicates, chrome_items, root_scores, window_priorities, new_snapshot_lines,
-    recall_alignment, repair_targets, roster_union, located_quotes, item_validation, cited_cards, retrieval_gate, extraction_chunks, chapter_chunks, summary_chunks, meeting_chunks, model_contracts,
+    recall_alignment, repair_targets, roster_union, located_quotes, item_validation, cited_cards, retrieval_gate, extraction_chunks, chapter_chunks, summary_chunks, meeting_chunks, raw_prompt, clean_prompt, history_prompt, fragment_prompt, model_contracts,
 )}
 
 _PLACES = {"clean": "$.turns[0].sourceIds", "extract": "$.decisions[0].verbatimQuote", "summarise": "$.text", "verify": "$.claims", "rejudge": "$.claims[0].verdict", "repair": "$.text", "answer": "$.answer", "plan": "$.query", "clean_note": "$.title", "memory": "$"}
@@ -467,7 +496,7 @@ ORACLES = {
     "violation_text": sql("SELECT meeting_id, ord, '- segments s' || ord || ': numbers lost: ' || ord || '; numbers introduced: 7777; negations changed: not' AS told FROM turns WHERE ord % 2 = 0", "base", "turns"),
     "control_chunks": sql(r"""SELECT meeting_id, ord, CAST(row_number() OVER (PARTITION BY meeting_id, ord ORDER BY k) - 1 AS INTEGER) AS n, md5(s) AS chunk FROM (SELECT meeting_id, ord, k, regexp_replace(ls[k], '^\s+|\s+$', '', 'g') AS s FROM (SELECT meeting_id, ord, ls, unnest(range(1, len(ls) + 1)) AS k FROM
         (SELECT meeting_id, ord, string_split('head' || chr(10) || speaker || ' (x)' || chr(10) || replace(replace(replace(text, chr(13), chr(10)), '|', chr(10)), chr(9), ' '), chr(10)) AS ls FROM turns))) WHERE s <> ''""", "base", "turns"),
-    "reference_marks": sql("SELECT meeting_id, ord, CASE WHEN ord % 5 = 3 THEN '[N:n' || ord || ']' WHEN ord % 5 IN (1, 2) OR ord % 7 = 0 THEN '[M:' || meeting_id || ']' ELSE '[M:' || meeting_id || ':T' || ord || ']' END AS mark FROM turns", "base", "turns"),
+    "reference_marks": sql("SELECT meeting_id, ord, CASE WHEN ord % 5 = 3 THEN 'N:n' || ord WHEN ord % 7 = 0 THEN 'M:' || meeting_id ELSE 'M:' || meeting_id || ':T' || ord END AS mark FROM turns", "base", "turns"),
     "label_names": "SELECT c_custkey, c_name || CASE WHEN c_custkey % 7 = 5 THEN ' (Sales)' ELSE '' END AS name FROM customer",
     "candidate_region": sql(r"""SELECT snapshot_id, line_no, md5(line) AS line FROM (SELECT *, coalesce(min(CASE WHEN stop THEN line_no END) OVER (PARTITION BY snapshot_id), 1000000000) AS til FROM
         (SELECT *, line_no > beg AND (line = 'Hide live captions' OR line = 'Chat participants' OR regexp_matches(line, '(?i)Closed captions overflow menu|More options|Calling controls')) AS stop FROM
@@ -492,6 +521,13 @@ ORACLES = {
         SELECT meeting_id, meeting_id || '#ch#' || (row_number() OVER (PARTITION BY meeting_id ORDER BY c, ix) - 1) AS key, md5('Reunión: "Meeting ' || meeting_id || '" — 2026-07-01 — Capítulo: "Part ' || c || '"' || chr(10) || chr(10) || body) AS text, a AS turn_start, z AS turn_end, 'Part ' || c AS chapter_title FROM b""",
     "summary_chunks": sql("""SELECT meeting_id || '#sum#' || n AS key, 'Resumen de reunión "Meeting ' || meeting_id || '" — 2026-07-01' || chr(10) || chr(10) || ['Intro ' || meeting_id, '## One' || chr(10) || 'first', '## Two' || chr(10) || 'second'][n + 1] AS text FROM (SELECT DISTINCT meeting_id FROM turns), (SELECT unnest([0, 1, 2]) AS n)""", "base", "turns"),
     "meeting_chunks": sql("SELECT meeting_id, type, n FROM (SELECT meeting_id, 'extraction' AS type, count(*) AS n FROM turns WHERE ord % 6 <> 1 GROUP BY 1 UNION ALL SELECT DISTINCT meeting_id, 'summary', 3 FROM turns UNION ALL SELECT DISTINCT meeting_id, 'digest', 1 FROM turns)", "base", "turns"),
+    "raw_prompt": sql(f"SELECT meeting_id, md5(string_agg('[s' || ord || '] [' || {_MMSS.format(s='start_time')} || '] ' || speaker || ': ' || text, chr(10) ORDER BY ord)) AS text FROM turns GROUP BY 1", "base", "turns"),
+    "clean_prompt": sql(f"""SELECT meeting_id, md5(string_agg(line, chr(10) ORDER BY o, k)) AS text FROM (SELECT meeting_id, ord AS o, 1 AS k, '[T' || (ord + 1) || '] [' || {_MMSS.format(s='start_time')} || '] ' || speaker || ': ' || text AS line FROM turns
+        UNION ALL SELECT meeting_id, ord, 0, '## [' || {_MMSS.format(s='start_time')} || '] Topic ' || ord FROM turns WHERE ord % 5 = 2
+        UNION ALL SELECT meeting_id, 1000000, 0, '## [' || {_MMSS.format(s='max(end_time) + 60')} || '] Late' FROM turns GROUP BY meeting_id) GROUP BY 1""", "base", "turns"),
+    "history_prompt": sql("SELECT meeting_id AS thread_id, md5(string_agg(CASE WHEN role = 'user' THEN 'Usuario' ELSE 'Asistente' END || ': ' || text, chr(10) ORDER BY ord)) AS text FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY ord DESC) AS n FROM base) WHERE n <= 3 GROUP BY 1", "base"),
+    "fragment_prompt": sql("""SELECT meeting_id AS query_id, md5(string_agg('--- Fragmento ' || CASE ord % 3 WHEN 0 THEN 'M:' || meeting_id || ':T' || ord WHEN 1 THEN 'M:' || meeting_id ELSE 'N:n' || ord END || ' (' || ['chapter', 'summary', 'note'][ord % 3 + 1] || ', '
+        || strftime(make_timestamp(ord * 86400 * 1000000), '%Y-%m-%d') || ') ---' || chr(10) || text, chr(10) || chr(10) ORDER BY ord)) AS text FROM turns GROUP BY 1""", "base", "turns"),
     "model_contracts": "SELECT event_id, contract, event_id % 4 < 2 AS held, CASE WHEN event_id % 4 < 2 THEN '' WHEN event_id % 4 = 3 THEN '$' ELSE place END AS place FROM events, (SELECT unnest(" + _cases(list(_PLACES)) + ") AS contract, unnest(" + _cases(list(_PLACES.values())) + ") AS place)",
     "quote_exists": sql(f"""SELECT meeting_id, ord, {_containment('n', 'h')} >= 0.8 AS exists FROM (SELECT meeting_id, ord, {i.tokens('q')} AS n, {i.tokens('text')} AS h FROM
         (SELECT a.meeting_id, a.ord, a.text, CASE WHEN a.ord % 3 = 0 THEN array_to_string(string_split(b.text, ' ')[1:6], ' ') ELSE upper(array_to_string(string_split(a.text, ' ')[1:6], ' ')) END AS q FROM turns a JOIN turns b ON a.meeting_id = b.meeting_id AND b.ord = a.ord + 1))""", "base", "turns"),

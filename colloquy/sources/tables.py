@@ -209,13 +209,16 @@ def write_vectors(rows: DataFrame, path: str) -> None:
     """Upserts vectors (tenant_id, index_version, key, ...) in a table by tenant and version; only the partitions of rows are rewritten, through a second copy."""
     spark = rows.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    merged_at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.next")
+    if files.exists(place):
         touched = rows.select("tenant_id", "index_version").distinct()
         stored = spark.read.parquet(path).select(*rows.columns).join(touched, ["tenant_id", "index_version"], "left_semi")
         merged = put(stored, rows, ["tenant_id", "index_version", "key"])
         merged.write.mode("overwrite").partitionBy("tenant_id", "index_version").parquet(f"{path}.next")
         rows = spark.read.schema(rows.schema).parquet(f"{path}.next")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "index_version").parquet(path)
+    files.delete(merged_at, True)
 
 
 def ensure_table(spark: SparkSession, name: str, ddl: str) -> None:

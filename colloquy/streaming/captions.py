@@ -25,21 +25,34 @@ def comparable(text: str) -> str:
     return " ".join(text.split()).rstrip(".,;:?! ")
 
 
-def edit_similarity(a: str, b: str) -> float:
-    a, b = a.lower(), b.lower()
-    if not a or not b:
-        return 0.0
-    row = list(range(len(b) + 1))
+def edits_within(a: str, b: str, most: int) -> bool:
+    """Whether at most ``most`` edits lead from one text to the other: only the diagonals that near are walked."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    far = most + 1
+    row = [j if j <= most else far for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return 1 - row[-1] / max(len(a), len(b))
+        low, high = max(1, i - most), min(len(b), i + most)
+        last, left = row[low - 1], i if low == 1 and i <= most else far
+        row[low - 1] = left
+        for j in range(low, high + 1):
+            above = row[j] if j < i + most else far
+            left = min(above + 1, left + 1, last + (x != b[j - 1]), far)
+            last, row[j] = above, left
+        if min(row[low - 1 : high + 1]) > most:
+            return False
+    return row[len(b)] <= most
 
 
 def is_revision(before: str, after: str) -> bool:
-    p, c = comparable(before), comparable(after)
-    return bool(p) and ((len(c) >= len(p) and c.lower().startswith(p.lower())) or edit_similarity(p, c) >= REVISION_LEAST)
+    """Whether the later text goes on from the earlier one, or is similar enough: edits of at most 0.4 of the longer length."""
+    p, c = comparable(before).lower(), comparable(after).lower()
+    if not p:
+        return False
+    if len(c) >= len(p) and c.startswith(p):
+        return True
+    longest = max(len(p), len(c))
+    return bool(c) and edits_within(p, c, int((1 - REVISION_LEAST) * longest + 1e-9))
 
 
 class RevisionMerger(StatefulProcessor):

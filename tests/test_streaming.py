@@ -108,3 +108,21 @@ def test_segment_batches(spark):
     assert sorted((r.meeting_id, r.seq, r.rows) for r in replay.segment_batches(df).collect()) == [("m", 0, 15), ("m", 1, 1), ("n", 0, 20), ("n", 1, 20), ("n", 2, 5)]
     polls = spark.range(25).select(F.lit("m").alias("meeting_id"), F.col("id").alias("poll"))
     assert [r.poll for r in replay.every_nth(polls).orderBy("poll").collect()] == [0, 10, 20]
+
+
+def test_edits_within_equals_the_full_distance():
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(0, 12)))
+    for _ in range(3000):
+        a, b, most = word(), word(), rng.randrange(0, 9)
+        assert streams.edits_within(a, b, most) == (distance(a, b) <= most), (a, b, most)
