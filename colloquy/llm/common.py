@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task scans at once; a longer text is scanned alone.
 SLICE_BYTES = 1 << 20
@@ -23,14 +24,16 @@ _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is missing (tests on one machine) a temporary folder is
-    taken once per session and set as the checkpoint folder.
+    Where the setting is missing, a session on one machine takes a temporary
+    folder once; on a cluster, whose executors would not see it, that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isDefined():
             return jsc.getCheckpointDir().get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-colloquy-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -40,18 +43,57 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/colloquy/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, through Spark's own file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a table in the shared folder: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+    """The rows of df as a table in the shared folder: cuts lineage, survives lost executors. It stays; what an operator returns reads it."""
+    return _table(df, fresh_path(df.sparkSession, name))
+
+
+def _table(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def renamed_apart(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Only the wanted columns, under internal names: other columns of df can't clash."""
-    from pyspark.sql import functions as F
+class Scratch:
+    """Written tables that an operator reads on its way: drop() removes one early, the end of the block all.
+
+    What the operator returns must be ``written`` inside the block, or not depend on these tables.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, fresh_path(spark, name), {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.root)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{len(self.paths)}"
+        out = _table(df, path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            remove(self.spark, self.paths[id(table)][0])
+
+
+def row_keys(key: str, text: str) -> list[Column]:
+    """_id and _tk: the id as text (null has a value too) and a hash of the text, which tell rows apart."""
+    return [F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\0null")).alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_tk")]
+
 
-    return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
+def one_row_each(docs: DataFrame, keep: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of docs for each (_id, _tk) of keep; the row travels as a struct, so that no column's name can clash."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *row_keys(key, text))
+    return rows.join(keep.select("_id", "_tk"), ["_id", "_tk"]).dropDuplicates(["_id", "_tk"]).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

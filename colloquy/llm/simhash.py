@@ -38,12 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import Scratch, one_row_each, written
 from .components import components
 
 SHINGLE = 3
 SEED = 42
 SEGMENTS = 32
+#: Fingerprints whose cells one task makes, on average.
+FPS_PER_TASK = 50_000
 #: Hashes that are counted bit by bit at once.
 HASHES_AT_ONCE = 1 << 16
 
@@ -86,13 +88,13 @@ def segment_counts(fp: Column, segments: int = SEGMENTS) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit((1 << width) - 1))) for k in range(segments)]
 
 
-def grid_cells(fp: Column, segments: int = SEGMENTS) -> Column:
-    """The cell of the segment counts and the cells one step away, as an array of structs of two longs.
+def grid_cells(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(fp, cell): the cell of the segment counts and the cells one step away, each as a hash.
 
-    Each long packs the counts of half the segments in base width + 3 (a count
-    may step to -1 or width + 1).
+    A long packs the counts of half the segments in base width + 3 (a count may
+    step to -1 or width + 1); cells whose hashes agree by chance meet in vain.
     """
-    counts, half, base = segment_counts(fp, segments), segments // 2, 64 // segments + 3
+    half, base = segments // 2, 64 // segments + 3
 
     def packed(part: list[Column]) -> Column:
         out = F.lit(0).cast("long")
@@ -100,40 +102,42 @@ def grid_cells(fp: Column, segments: int = SEGMENTS) -> Column:
             out = out * base + (count + 1)
         return out
 
-    steps = F.lit([sign * base**k for k in range(half) for sign in (1, -1)]).cast("array<bigint>")
-    high, low = packed(counts[:half]), packed(counts[half:])
-    cell = lambda h, l: F.struct(h.alias("high"), l.alias("low"))  # noqa: E731, E741
-    return F.concat(
-        F.array(cell(high, low)),
-        F.transform(steps, lambda step: cell(high + step, low)),
-        F.transform(steps, lambda step: cell(high, low + step)),
-    )
+    counts = segment_counts(F.col("fp"), segments)
+    steps = [0, *(sign * base**k for k in range(half) for sign in (1, -1))]
+    moves = F.array(*(F.lit([step, 0]).cast("array<bigint>") for step in steps), *(F.lit([0, step]).cast("array<bigint>") for step in steps[1:]))
+    placed = fps.select("fp", packed(counts[:half]).alias("high"), packed(counts[half:]).alias("low"))
+    moved = placed.select("fp", "high", "low", F.explode(moves).alias("by"))
+    return moved.select("fp", F.xxhash64(F.col("high") + F.get("by", F.lit(0)), F.col("low") + F.get("by", F.lit(1))).alias("cell"))
 
 
-def bit_cells(fp: Column) -> Column:
-    """The cells of the grid with 64 segments of one bit: the fingerprint and those one bit away."""
+def bit_cells(fps: DataFrame) -> DataFrame:
+    """(fp, cell): the cells of the grid with 64 segments of one bit, which are the fingerprint and those one bit away."""
     masks = [0, *((1 << k) - (1 << 64 if k == 63 else 0) for k in range(64))]
-    return F.transform(F.lit(masks).cast("array<bigint>"), lambda mask: fp.bitwiseXOR(mask))
+    return fps.select("fp", F.explode(F.lit(masks).cast("array<bigint>")).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("cell"))
 
 
-def linked(fps: DataFrame) -> DataFrame:
-    """Links (a, b) of fp values within two bits, enough to join all that are connected; fps has distinct fp."""
-    cells = fps.select("fp", F.inline(grid_cells(F.col("fp"))))
-    shared = cells.groupBy("high", "low").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b").select("high", "low")
-    near = written(cells.join(shared, ["high", "low"], "left_semi").select("fp").distinct(), "simhash-near")
-    fine = near.select("fp", F.explode(bit_cells(F.col("fp"))).alias("cell"))
-    met = fine.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.collect_list("fp").alias("all")).filter("low < high")
-    return met.select(F.explode("all").alias("a"), F.col("low").alias("b")).filter("a > b").distinct()
+def linked(fps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of fp values within two bits, enough to join all that are connected, as a table of scratch; fps is a written table of distinct fp."""
+    spark = fps.sparkSession
+    # small tables come back in few tasks, and each row makes 65 cells
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() // FPS_PER_TASK))
+    cells = grid_cells(scratch.table(fps.select("fp").repartition(tasks, "fp"), "dealt"))
+    # few cells are shared: written, so that Spark sees when they are small enough to be sent to the second pass
+    shared = scratch.table(cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b").select("cell"), "shared")
+    near = scratch.table(cells.join(shared, "cell", "left_semi").select("fp").distinct(), "near")
+    met = bit_cells(near).groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.collect_list("fp").alias("all")).filter("low < high")
+    return scratch.table(met.select(F.explode("all").alias("a"), F.col("low").alias("b")).filter("a > b").distinct(), "links")
 
 
 def find_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, text_key, fp, component_id, component_fp): the smallest id linked to each row, and the smallest fingerprint."""
     found = written(fingerprints(docs, key, text, shingle, seed), "simhash")
-    firsts = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-firsts")
-    roots = components(linked(firsts.select("fp"))).select(F.col("node").alias("fp"), "root")
-    rooted = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.join(ids, "root").select("fp", "component_id", F.col("root").alias("component_fp")), "simhash-named")
+    with Scratch(docs.sparkSession, "simhash") as scratch:
+        firsts = scratch.table(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+        roots = components(linked(firsts.select("fp"), scratch)).select(F.col("node").alias("fp"), "root")
+        rooted = scratch.table(firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+        ids = scratch.table(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
+        named = written(rooted.join(ids, "root").select("fp", "component_id", F.col("root").alias("component_fp")), "simhash-named")
     return found.join(named, "fp").select("doc_id", "text_key", "fp", "component_id", "component_fp")
 
 
@@ -144,8 +148,6 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
         .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("component_fp")
         .agg(F.min(F.struct("fp", "text_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null")).alias("id"))).alias("row"))
-        .select(F.col("row.id").alias("_keep_id"), F.col("row.text_key").alias("_keep_text"))
+        .select(F.col("row.id").alias("_id"), F.col("row.text_key").alias("_tk"))
     )
-    rows = docs.withColumns({"_row_id": F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\0null")), "_row_text": F.xxhash64(f"`{text}`")})
-    kept = rows.join(chosen, (F.col("_row_id") == F.col("_keep_id")) & (F.col("_row_text") == F.col("_keep_text")))
-    return kept.dropDuplicates(["_row_id", "_row_text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return one_row_each(docs, chosen, key, text)
