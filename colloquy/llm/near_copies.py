@@ -2,18 +2,28 @@
 
 Words are separated by white space and lower-cased; a text of fewer words has
 one shingle, of all its words. Texts with the same words are one text from the
-start. Candidates come from MinHash: each text keeps its 64 smallest shingle
-hashes, and of these the minima under 30 permutations, in ten bands of three.
-Texts that agree in a band are compared with two of its texts, chosen by a hash,
-on their whole shingle sets; pairs that reach the index are linked, and classes
-are the connected components of the links. So no pair below the index is linked
-directly, candidates grow with the number of texts and not with the square of a
-group, and a pair can be missed (the README gives the measured recall).
-
-DataFrame operations only; no group is gathered in one place.
+start. Candidates come from two searches:
+
+- MinHash: each text keeps its 64 smallest shingle hashes, and of these the
+  minima under 30 permutations, in ten bands of three. Texts that agree in a band
+  are compared with two of its texts: the one that meets most texts in all its bands, and one chosen by
+  a hash; then with the text of the band that has the most links. (The source of a group of
+  copies is near all of them, while two copies of it may be further apart than the index allows.)
+- SimHash (drop_near_copies only): texts whose five-word fingerprints are within
+  two bits, found by the grid of segment popcounts (simhash.linked). At an index of 0.8
+  fingerprints differ in about ten bits; cells that far apart are met by nearly
+  all texts, so the grid serves the closest copies and the bands reach the rest.
+
+All candidates of sizes that allow the index are verified on their whole shingle sets; those that
+reach it are linked, and classes are the connected components of the links. So
+no pair below the index is linked directly, candidates grow with the number of
+texts and not with the square of a group, and a pair can be missed (the README
+gives the measured recall).
+
+near_classes() alone uses DataFrame operations only. No group is gathered in one place.
 
 Defined results: null, empty and blank texts have the same (no) words and are one
-class; repeated rows are of one class; an empty table gives no rows.
+class; repeated rows are of one class; an empty table gives no rows; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -21,8 +31,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, one_row_each, row_keys, written
 from .components import components
+from .simhash import fingerprints, linked
 
 SHINGLE = 5
 LEAST = 0.8
@@ -34,6 +45,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
 
 
+def words_key(text: Column) -> Column:
+    """Tells texts of different words apart."""
+    return F.xxhash64(_words(text))
+
+
 def _bound(value: Column, use) -> Column:
     """use(value), with value worked out once and not again in each inner function."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -44,40 +60,74 @@ def _shingles(words: Column, shingle: int) -> Column:
     return F.array_distinct(_bound(words, grams))
 
 
-def _bands(grams: Column) -> Column:
-    low = F.slice(F.sort_array(grams), 1, LOWEST)
+def _sketch(words: Column, shingle: int) -> Column:
+    """(key, n, bands): a hash of the words, the number of distinct shingles, and the bands."""
     least = lambda x, seed: F.array_min(F.transform(x, lambda h: F.xxhash64(h, F.lit(seed))))
-    return _bound(low, lambda x: F.array(*(F.xxhash64(F.lit(b), *(least(x, b * ROWS + r) for r in range(ROWS))) for b in range(BANDS))))
-
-
-def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> tuple[DataFrame, Column]:
-    """((words, root) of the texts that have near copies, the expression of ``words`` for a text): all of one root are a class; other texts are their own."""
-    same = F.xxhash64(_words(F.col(f"`{text}`")))
-    each = texts.select(same.alias("words"), F.col(f"`{text}`").alias("text")).dropDuplicates(["words"])
-    each = written(each, "near-texts")
-    bands = written(each.select("words", F.explode(_bands(_shingles(_words(F.col("text")), shingle))).alias("band")), "near-bands")
-    chosen = F.struct(F.xxhash64("words", "band"), "words")
-    shared = bands.groupBy("band").agg(F.min(chosen)["words"].alias("a"), F.max(chosen)["words"].alias("b")).filter("a <> b")
-    shared = written(shared.select("band", F.explode(F.array("a", "b")).alias("with")), "near-chosen")
-    pairs = bands.join(shared, "band").select(F.least("words", "with").alias("a"), F.greatest("words", "with").alias("b")).filter("a < b").distinct()
-    pairs = written(pairs, "near-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("words")).distinct()
-    sets = written(each.join(asked, "words", "left_semi").select("words", _shingles(_words(F.col("text")), shingle).alias("grams")), "near-sets")
-    half = written(pairs.join(sets.select(F.col("words").alias("a"), F.col("grams").alias("ga")), "a"), "near-half")
-    both = half.join(sets.select(F.col("words").alias("b"), F.col("grams").alias("gb")), "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    links = both.select("a", "b", common.alias("n"), (F.size("ga") + F.size("gb")).alias("total")).filter(F.col("n") >= least * (F.col("total") - F.col("n"))).select("a", "b")
-    return written(components(links).select(F.col("node").alias("words"), "root"), "near-classes"), same
-
-
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **kwargs) -> DataFrame:
+    bands = lambda low: F.array(*(F.xxhash64(F.lit(b), *(least(low, b * ROWS + r) for r in range(ROWS))) for b in range(BANDS)))
+    of_grams = lambda grams: F.struct(F.size(grams).alias("n"), _bound(F.slice(F.sort_array(grams), 1, LOWEST), bands).alias("bands"))
+    return _bound(words, lambda w: F.struct(F.xxhash64(w).alias("key"), _bound(_shingles(w, shingle), of_grams).alias("of")))
+
+
+def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, least: float = LEAST, more: DataFrame | None = None) -> DataFrame:
+    """(words, root) of the texts that have near copies, by words_key: all of one root are a class; other texts are their own.
+
+    more: further pairs (a, b) of words_key to be verified.
+    """
+    with Scratch(texts.sparkSession, "near") as scratch:
+        source = F.col(f"`{text}`")
+        sketch = texts.select(_sketch(_words(source), shingle).alias("s")).select(F.col("s.key").alias("words"), F.col("s.of.n").alias("n"), F.col("s.of.bands").alias("bands"))
+        sketch = scratch.table(sketch.dropDuplicates(["words"]), "sketch")
+        bands = sketch.select("words", "n", F.explode("bands").alias("band"))
+        # written, so that the joins deal both sides themselves and Spark can split a band with very many texts
+        sizes = scratch.table(bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+        met = scratch.table(bands.join(sizes, "band"), "met")
+        degrees = scratch.table(met.groupBy("words").agg(F.sum("size").alias("degree")), "degrees")
+        asked = scratch.table((met.select("words").unionAll(more.select(F.explode(F.array("a", "b")))) if more is not None else met.select("words")).distinct(), "asked")
+        # copies go before the shuffle, so that a text with very many of them meets no single task
+        each = texts.select(words_key(source).alias("words"), source.alias("text")).dropDuplicates(["words"])
+        sets = scratch.table(each.join(asked, "words").select("words", _shingles(_words(F.col("text")), shingle).alias("grams")), "sets")
+
+        def with_chosen(ranked: DataFrame, *picks: Column) -> DataFrame:
+            """Pairs of the texts of each band with its chosen ones, where the sizes allow the index."""
+            chosen = ranked.groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("c")).select("band", F.explode("c").alias("c")).select("band", F.col("c.words").alias("with"), F.col("c.n").alias("with_n"))
+            pairs = met.join(scratch.table(chosen, "chosen"), "band").filter((F.least("n", "with_n") >= least * F.greatest("n", "with_n")) & (F.col("words") != F.col("with")))
+            return pairs.select(F.least("words", "with").alias("a"), F.greatest("words", "with").alias("b"))
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(sets.select(F.col("words").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("words").alias("b"), F.col("grams").alias("gb")), "b")
+            common = F.size(F.array_intersect("ga", "gb"))
+            links = both.select("a", "b", common.alias("n"), (F.size("ga") + F.size("gb")).alias("total")).filter(F.col("n") >= least * (F.col("total") - F.col("n")))
+            return scratch.table(links.select("a", "b"), "links")
+
+        text_of = F.struct("words", "n")
+        first = with_chosen(met.join(degrees, "words"), F.max_by(text_of, F.struct("degree", F.xxhash64("words"))), F.min_by(text_of, F.xxhash64("words", "band")))
+        first = scratch.table((first.unionAll(more.select("a", "b")) if more is not None else first).distinct(), "pairs")
+        links = verified(first)
+        counts = scratch.table(links.select(F.explode(F.array("a", "b")).alias("words")).groupBy("words").count(), "counts")
+        again = with_chosen(met.join(counts, "words"), F.max_by(text_of, F.struct("count", F.xxhash64("words"))))
+        again = scratch.table(again.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+        return components(links.unionAll(verified(again))).select(F.col("node").alias("words"), "root")
+
+
+def close_fingerprints(texts: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """Pairs (a, b) of words_key whose fingerprints link: two of one fingerprint, or the first texts of two within two bits."""
+    with Scratch(texts.sparkSession, "close") as scratch:
+        source = F.col(f"`{text}`")
+        found = fingerprints(texts.select(words_key(source).alias("words"), source.alias("text")), key="words", shingle=shingle)
+        found = scratch.table(found.select(F.col("doc_id").alias("words"), "fp").dropDuplicates(["words"]), "fps")
+        first = scratch.table(found.groupBy("fp").agg(F.min("words").alias("first")), "first")
+        same = found.join(first, "fp").filter("words > first").select(F.col("first").alias("a"), F.col("words").alias("b"))
+        links = linked(first.select("fp"), scratch)
+        far = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+        return written(same.unionAll(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), "close")
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """docs with one row of each class: that of the smallest id, null ids last; of different texts with it the one of the smallest hash."""
-    classes, same = near_classes(docs, text, **kwargs)
-    names = {"_row_id": F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\0null")), "_row_text": F.xxhash64(f"`{text}`")}
-    ids = written(docs.select(F.col(f"`{key}`").alias("id"), *(c.alias(n) for n, c in names.items()), same.alias("words")), "near-ids")
-    of_words = written(ids.groupBy("words").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row_text", "_row_id")).alias("row")), "near-first")
-    first = of_words.join(classes, "words", "left").groupBy(F.coalesce("root", "words").alias("root")).agg(F.min("row").alias("row"))
-    keep = first.select(F.col("row._row_id").alias("_keep_id"), F.col("row._row_text").alias("_keep_text"))
-    rows = docs.withColumns(names)
-    kept = rows.join(keep, (F.col("_row_id") == F.col("_keep_id")) & (F.col("_row_text") == F.col("_keep_text")))
-    return kept.dropDuplicates(["_row_id", "_row_text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    classes = near_classes(docs, text, shingle, least, more=close_fingerprints(docs, text, shingle))
+    with Scratch(docs.sparkSession, "near-rows") as scratch:
+        ids = docs.select(F.col(f"`{key}`").alias("id"), *row_keys(key, text), words_key(F.col(f"`{text}`")).alias("words"))
+        of_words = scratch.table(ids.groupBy("words").agg(F.min(F.struct(F.col("id").isNull(), "id", "_tk", "_id")).alias("row")), "first")
+        first = of_words.join(classes, "words", "left").groupBy(F.coalesce("root", "words").alias("root")).agg(F.min("row").alias("row"))
+        keep = written(first.select("row._id", "row._tk"), "near-keep")
+    return one_row_each(docs, keep, key, text)
