@@ -144,22 +144,17 @@ FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 OP7_SQL = """
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-ln AS (SELECT r, pos, ls[pos] AS line, substr(md5(ls[pos]), 1, 16) AS h FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS pos FROM docs) WHERE trim(ls[pos], ' ') <> ''),
-ends AS (SELECT r, min(h) AS least, max(h) AS most FROM ln GROUP BY r),
-seconds AS (SELECT r, coalesce(min(h) FILTER (h > least), '') AS second, coalesce(max(h) FILTER (h < most), '') AS next FROM ln JOIN ends USING (r) GROUP BY r),
-tok AS (SELECT r, pos, line, concat(CASE WHEN h = least THEN second ELSE least END, CASE WHEN h = most THEN next ELSE most END) AS sig, string_split(line, ' ') AS ts
-        FROM ln JOIN ends USING (r) JOIN seconds USING (r)),
-lf AS (SELECT r, pos, line, sig, list_transform(ts, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS ms FROM tok),
-leafed AS (SELECT r, pos, line, sig, ms, concat(len(ms), ' ', array_to_string(ms[1:3], ' ')) AS leaf FROM lf),
-leaves AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT sig) >= 3),
+ln AS (SELECT r, pos, text, ls[pos] AS line FROM (SELECT r, text, ls, unnest(range(1, len(ls) + 1)) AS pos FROM docs) WHERE trim(ls[pos], ' ') <> ''),
+lf AS (SELECT r, pos, text, line, list_transform(string_split(line, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS ms FROM ln),
+leafed AS (SELECT r, pos, text, line, ms, concat(len(ms), ' ', array_to_string(ms[1:3], ' ')) AS leaf FROM lf),
+leaves AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT text) >= 3),
 own AS (SELECT * FROM leafed SEMI JOIN leaves USING (leaf)),
-seen AS (SELECT DISTINCT leaf, line, ms, sig FROM own),
-words AS (SELECT leaf, line, sig, i, ms[i] AS w FROM (SELECT leaf, line, sig, ms, unnest(range(1, len(ms) + 1)) AS i FROM seen)),
-constants AS (SELECT leaf, i, w FROM words WHERE w <> '<*>' GROUP BY leaf, i, w HAVING count(DISTINCT sig) >= 3),
+seen AS (SELECT DISTINCT leaf, line, ms, text FROM own),
+words AS (SELECT leaf, line, text, i, ms[i] AS w FROM (SELECT leaf, line, text, ms, unnest(range(1, len(ms) + 1)) AS i FROM seen)),
+constants AS (SELECT leaf, i, w FROM words WHERE w <> '<*>' GROUP BY leaf, i, w HAVING count(DISTINCT text) >= 3),
 placed AS (SELECT d.leaf, d.line, d.i, c.w AS c FROM (SELECT DISTINCT leaf, line, i, w FROM words) d LEFT JOIN constants c USING (leaf, i, w)),
 lines AS (SELECT leaf, line, string_agg(coalesce(c, '<*>'), ' ' ORDER BY i) AS template FROM placed GROUP BY leaf, line HAVING count(c) >= 0.7 * count(*)),
-held AS (SELECT DISTINCT leaf, line, sig, doc_id, text FROM own JOIN docs USING (r)),
-templates AS (SELECT leaf, template FROM held JOIN lines USING (leaf, line) GROUP BY leaf, template HAVING count(DISTINCT sig) >= 3 AND count(DISTINCT sig) >= 0.5 * count(*)),
+templates AS (SELECT leaf, template FROM seen JOIN lines USING (leaf, line) GROUP BY leaf, template HAVING count(DISTINCT text) >= 3),
 gone AS (SELECT r, pos FROM own JOIN lines USING (leaf, line) SEMI JOIN templates USING (leaf, template)),
 kept AS (SELECT r, string_agg(ls[p], chr(10) ORDER BY p) AS t FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS p FROM docs) a ANTI JOIN gone g ON a.r = g.r AND a.p = g.pos GROUP BY r),
 n AS (SELECT r, count(*) AS n FROM ln GROUP BY r), g AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
