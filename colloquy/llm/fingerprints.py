@@ -23,9 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import gram_hashes, lower_ascii, slices, word_hashes, word_spans, word_table
 
@@ -153,7 +155,7 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
     order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
     schema = T.StructType.fromDDL(_RESULT.format(id=rows.schema["doc_id"].dataType.simpleString()))
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[rows.schema["doc_id"].dataType.simpleString()]
+    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
 
     def results(ids: list, texts: list[str]) -> list[list]:
         """Columns of the result for all but the last of these neighbouring documents."""
@@ -188,34 +190,31 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
             yield batch_of(results(ids, texts))
 
     def ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first and the last row of a task, told apart by ``edge``."""
-        last = None
+        """The first and the last row of a task, with the task's number and ``edge``."""
+        task, last = TaskContext.get().partitionId(), None
         for batch in batches:
             if batch.num_rows and last is None:
-                yield with_edge(batch.slice(0, 1), "first")
+                yield with_edge(batch.slice(0, 1), task, "first")
             last = batch.slice(batch.num_rows - 1, 1) if batch.num_rows else last
         if last is not None:
-            yield with_edge(last, "last")
+            yield with_edge(last, task, "last")
 
-    def with_edge(row: pa.RecordBatch, edge: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*row.columns, pa.array([edge])], names=["doc_id", "h", "text", "edge"])
+    def with_edge(row: pa.RecordBatch, task: int, edge: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([row.column(0), row.column(2), pa.array([task], pa.int32()), pa.array([edge])], names=["doc_id", "text", "task", "edge"])
 
     def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ends come as first, last, first, last, ...: each last one with the first that follows, the very last with the very first."""
-        head, last = None, None
+        """Each row holds the last document of a task and the text of the first one of the next task."""
         for batch in batches:
             for row in batch.to_pylist():
-                head = head or row
-                if row["edge"] == "last":
-                    last = row
-                elif last:
-                    yield batch_of(results([last["doc_id"], None], [last["text"], row["text"]]))
-                    last = None
-        if last:
-            yield batch_of(results([last["doc_id"], None], [last["text"], head["text"]]))
+                yield batch_of(results([row["doc_id"], None], [row["text"], row["after"]]))
 
     ranged = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    ends = ranged.mapInArrow(ends_of, T.StructType([*rows.schema.fields, T.StructField("edge", T.StringType())]))
-    # within a task of one document "first" stands before "last"; tasks don't share an id and hash
-    ends = ends.repartition(1).sortWithinPartitions(*order, F.col("edge").asc())
-    return ranged.mapInArrow(pair_up, schema).unionAll(ends.mapInArrow(join_ends, schema))
+    ends = ranged.mapInArrow(ends_of, T.StructType([rows.schema["doc_id"], rows.schema["text"], *T.StructType.fromDDL("task int, edge string").fields]))
+    filled = ends.filter("edge = 'first'").agg(F.array_sort(F.collect_set("task")).alias("all")).select("all").scalar()
+    # the first row of a task goes to the task before it that holds rows, that of the first task to the last one
+    numbered = ends.withColumn("filled", filled)
+    before = F.coalesce(F.array_max(F.filter("filled", lambda t: t < F.col("task"))), F.array_max("filled"))
+    keyed = numbered.withColumn("to", F.when(F.col("edge") == "last", F.col("task")).otherwise(before))
+    last, first = F.when(F.col("edge") == "last", F.struct("doc_id", "text")), F.when(F.col("edge") == "first", F.col("text"))
+    pairs = keyed.groupBy("to").agg(F.first(last, ignorenulls=True).alias("l"), F.first(first, ignorenulls=True).alias("after")).select("l.doc_id", "l.text", "after")
+    return ranged.mapInArrow(pair_up, schema).unionAll(pairs.mapInArrow(join_ends, schema))
