@@ -209,13 +209,17 @@ def with_prompt(kits: DataFrame, kit: str, prompt: str) -> DataFrame:
     return kits.withColumn("prompts", F.when(F.col("kit") == kit, F.array_append("prompts", F.lit(prompt))).otherwise(F.col("prompts")))
 
 
-def sequence_ratio(a: Column | str, b: Column | str) -> Column:
-    """Twice the matched characters over all characters, by longest matching blocks (which an edit distance doesn't give)."""
+def sequence_ratio(a: Column | str, b: Column | str, least: float = 0.0) -> Column:
+    """Twice the matched characters over all characters, by longest matching blocks (which an edit distance doesn't give); 0 where common characters alone rule out ``least``."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, p or "", q or "", autojunk=False).ratio() for p, q in zip(x, y, strict=True)])
+        out = []
+        for p, q in zip(x, y, strict=True):
+            m = SequenceMatcher(None, p or "", q or "", autojunk=False)
+            out.append(m.ratio() if m.quick_ratio() >= least else 0.0)
+        return pd.Series(out, dtype="float64")
 
     return ratio(a, b)

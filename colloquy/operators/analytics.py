@@ -218,9 +218,7 @@ def align_recall(truth: DataFrame, emitted: DataFrame, least: float = 0.6, keys:
     shown = form(emitted, "shown").select(*keys, "shown").distinct()
     x, y = F.length("said"), F.length("shown")
     pairs = said.join(shown, keys).filter((2 * F.least(x, y) >= least * (x + y)) & (x + y > 0))
-    shared = tx.multiset_hits(F.split("said", ""), F.split("shown", ""))
-    pairs = pairs.filter(2 * shared >= least * (x + y))
-    best = pairs.withColumn("ratio", sequence_ratio("said", "shown")).groupBy(*keys, "ord").agg(F.max("ratio").alias("best"))
+    best = pairs.withColumn("ratio", sequence_ratio("said", "shown", least)).groupBy(*keys, "ord").agg(F.max("ratio").alias("best"))
     joined = truth.join(best, [*keys, "ord"], "left")
     return joined.withColumn("best", F.when(F.col("best") >= least, F.col("best")).otherwise(0.0)).withColumn("found", F.col("best") >= least)
 

@@ -19,6 +19,9 @@ from .speaking import _containment
 from .texts import _MMSS
 
 
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
 # keyed reads and artifacts ------------------------------------------------------
 def point_get(spark, d):
     return tables.get(i.read(spark, d, "orders"), o_custkey=7, o_orderstatus="F").select("o_orderkey", "o_custkey")
@@ -202,7 +205,7 @@ def quote_exists(spark, d):
     """Each turn's first words, and every third turn's words from another turn, as quotes."""
     t = i.turns(spark, d)
     nexts = t.select("meeting_id", (F.col("ord") - 1).alias("ord"), F.col("text").alias("after"))
-    quote = F.when(F.col("ord") % 3 == 0, F.substring_index("after", " ", 6)).otherwise(F.upper(F.substring_index("text", " ", 6)))
+    quote = F.when(F.col("ord") % 3 == 0, F.substring_index("after", " ", 6)).otherwise(F.translate(F.substring_index("text", " ", 6), _SMALL, _SMALL.upper()))
     return t.join(nexts, ["meeting_id", "ord"]).select("meeting_id", "ord", tx.quote_exists(quote, F.col("text")).alias("exists"))
 
 
@@ -530,5 +533,5 @@ ORACLES = {
         || strftime(make_timestamp(ord * 86400 * 1000000), '%Y-%m-%d') || ') ---' || chr(10) || text, chr(10) || chr(10) ORDER BY ord)) AS text FROM turns GROUP BY 1""", "base", "turns"),
     "model_contracts": "SELECT event_id, contract, event_id % 4 < 2 AS held, CASE WHEN event_id % 4 < 2 THEN '' WHEN event_id % 4 = 3 THEN '$' ELSE place END AS place FROM events, (SELECT unnest(" + _cases(list(_PLACES)) + ") AS contract, unnest(" + _cases(list(_PLACES.values())) + ") AS place)",
     "quote_exists": sql(f"""SELECT meeting_id, ord, {_containment('n', 'h')} >= 0.8 AS exists FROM (SELECT meeting_id, ord, {i.tokens('q')} AS n, {i.tokens('text')} AS h FROM
-        (SELECT a.meeting_id, a.ord, a.text, CASE WHEN a.ord % 3 = 0 THEN array_to_string(string_split(b.text, ' ')[1:6], ' ') ELSE upper(array_to_string(string_split(a.text, ' ')[1:6], ' ')) END AS q FROM turns a JOIN turns b ON a.meeting_id = b.meeting_id AND b.ord = a.ord + 1))""", "base", "turns"),
+        (SELECT a.meeting_id, a.ord, a.text, CASE WHEN a.ord % 3 = 0 THEN array_to_string(string_split(b.text, ' ')[1:6], ' ') ELSE translate(array_to_string(string_split(a.text, ' ')[1:6], ' '), '{_SMALL}', '{_SMALL.upper()}') END AS q FROM turns a JOIN turns b ON a.meeting_id = b.meeting_id AND b.ord = a.ord + 1))""", "base", "turns"),
 }
