@@ -9,7 +9,7 @@ its trigram probabilities. Expectation-maximisation over the words estimates the
 proportions of the languages. The language set is the one of the sets {best},
 {best two}, ... by proportion with the largest penalised likelihood
 (log-likelihood minus half the log of the word count for each further
-language), and the proportions are then estimated again within it. lang_pred is
+language; all sizes up to the number of languages are tried until two in a row fall below the best), and the proportions are then estimated again within it. lang_pred is
 the language with the largest proportion, score its proportion among all
 languages before the selection.
 
@@ -36,8 +36,8 @@ BUCKET_BITS = 16
 MOST_LANGUAGES = 256
 SMOOTHING = 0.5
 ROUNDS, ROUNDS_AGAIN = 6, 4
-#: Languages in a document's set at most.
-LARGEST_SET = 4
+#: Log-probabilities that are taken from the model at once.
+CELLS_AT_ONCE = 1 << 22
 SLICE = 1 << 19
 UNDETERMINED = "und"
 
@@ -108,6 +108,22 @@ def _em(likely: np.ndarray, weights: np.ndarray, heads: np.ndarray, rounds: int)
     return weights
 
 
+def _word_logs(logs: np.ndarray, grams: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The log-likelihoods of words x languages, a stretch of whole words at a time, so that a text of any length needs memory for its words and not for all its trigrams."""
+    step = max(1, CELLS_AT_ONCE // max(1, logs.shape[1]))
+    out, bounds, at = np.empty((len(firsts), logs.shape[1]), dtype=np.float32), np.append(firsts, len(grams)), 0
+    while at < len(firsts):
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + step, side="right")) - 1)
+        for a in range(int(bounds[at]), int(bounds[end]), step) if end == at + 1 else (int(bounds[at]),):  # a word longer than a stretch is summed in parts
+            if end == at + 1:
+                part = logs[grams[a : min(a + step, int(bounds[end]))]].sum(axis=0)
+                out[at] = part if a == bounds[at] else out[at] + part
+            else:
+                out[at:end] = np.add.reduceat(logs[grams[a : int(bounds[end])]], firsts[at:end] - a, axis=0)
+        at = end
+    return out
+
+
 def infer(logs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(proportions within the chosen set, proportions among all languages) of texts x languages; zeros for texts without a word."""
     grams, firsts, heads = word_grams(data, offsets)
@@ -116,7 +132,7 @@ def infer(logs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     some = np.flatnonzero(np.diff(heads))
     if not len(some):
         return chosen, full
-    words = np.add.reduceat(logs[grams], firsts, axis=0)
+    words = _word_logs(logs, grams, firsts)
     words -= words.max(axis=1, keepdims=True)
     likely = np.exp(np.maximum(words, -60.0)).astype(np.float32)
     cuts = np.append(heads[some], heads[-1])
@@ -126,13 +142,18 @@ def infer(logs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     order = np.argsort(-weights, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
     best, size = np.full(len(some), -np.inf), np.ones(len(some), dtype=np.int64)
-    for k in range(1, min(languages, LARGEST_SET) + 1):
+    fallen = np.zeros(len(some), dtype=np.int64)
+    for k in range(1, languages + 1):
         within = np.where(rank < k, weights, 0) + np.where(rank == 0, 1e-9, 0)
         within /= within.sum(axis=1, keepdims=True)
         each = np.log((likely * np.repeat(within, counts, axis=0)).sum(axis=1))
         value = np.add.reduceat(each, cuts[:-1]) - 0.5 * (k - 1) * np.log(np.maximum(counts, 2))
-        size = np.where(value > best, k, size)
-        best = np.maximum(best, value)
+        better = (value > best) & (fallen < 2)
+        fallen = np.where(better, 0, fallen + 1)
+        size = np.where(better, k, size)
+        best = np.where(better, value, best)
+        if (fallen >= 2).all():
+            break
     kept = np.where(rank < size[:, None], weights, 0) + np.where(rank == 0, 1e-9, 0)
     chosen[some] = kept / kept.sum(axis=1, keepdims=True)
     if len(many := np.flatnonzero(size > 1)):
