@@ -12,7 +12,7 @@ the documents are scanned once for each block, with the hits carried along.
 
 Defined results: a null or empty text has no words and no hits; an item with no
 words matches nothing; repeated documents are judged one by one; repeated items
-with other ids all count; an empty benchmark leaves all documents as they are;
+with other ids all count; an item with a null id hits like any other and is not listed; an empty benchmark leaves all documents as they are;
 other columns pass through, and those named like a result are replaced by it
 (decontaminate() keeps them).
 """
@@ -50,11 +50,11 @@ def _windows(text: str, n: int) -> list[bytes]:
 class NgramSet:
     """The windows of some benchmark items: by length a sorted array of hashes, and the items of each window."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], n: int = WINDOW):
         self.items: dict[bytes, list[str]] = {}
         for item, text in items:
             for window in set(_windows(text, n)):
-                self.items.setdefault(window, []).append(item)
+                self.items.setdefault(window, []).extend([item] if item is not None else [])
         by_size: dict[int, list[bytes]] = {}
         for window in self.items:
             by_size.setdefault(window.count(b" ") + 1, []).append(window)
@@ -64,15 +64,15 @@ class NgramSet:
             starts, ends, _ = word_spans(data, np.array([0, len(data)]), word_table("alnum"))
             self.hashes[size] = np.unique(gram_hashes(word_hashes(data, starts, ends), size)[::size])
 
-    def scan(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[set[str]]]]:
-        """For each run of texts: number of its first row, first word of each text (one more at the end), whether each word is hit, items of each text."""
+    def scan(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[set[str] | None]]]:
+        """For each run of texts: number of its first row, first word of each text (one more at the end), whether each word is hit, items of each text (None without a hit)."""
         table = word_table("alnum")
         for first, end, data, offsets in slices(column):
             data = lower_ascii(data)
             starts, ends, heads = word_spans(data, offsets, table)
             hashes = word_hashes(data, starts, ends)
             hit = np.zeros(len(starts) + 1, dtype=np.int64)
-            items: list[set[str]] = [set() for _ in range(end - first)]
+            items: list[set[str] | None] = [None] * (end - first)
             for size, known in self.hashes.items():
                 grams = gram_hashes(hashes, size)
                 bloom = np.zeros(1 << 20, dtype=bool)
@@ -83,24 +83,24 @@ class NgramSet:
                 inside = at + size <= heads[text_of + 1]
                 for i, row in zip(at[inside].tolist(), text_of[inside].tolist(), strict=True):
                     window = b" ".join(data[s:e].tobytes() for s, e in zip(starts[i : i + size], ends[i : i + size], strict=True))
-                    if found := self.items.get(window):
+                    if (found := self.items.get(window)) is not None:
                         hit[i] += 1
                         hit[i + size] -= 1
-                        items[row].update(found)
+                        items[row] = (items[row] or set()).union(found)
             yield first, heads, np.cumsum(hit[:-1]) > 0, items
 
 
-def _blocks(items: list[tuple[str, str]], most: int) -> list[list[tuple[str, str]]]:
-    """Items in blocks whose windows take about ``most`` bytes; each word stands in up to 13 windows."""
-    out, size = [[]], 0
+def _blocks(items: Iterator[tuple[str | None, str]], most: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items in blocks whose windows take about ``most`` bytes, one block in memory at a time; each word stands in up to 13 windows."""
+    block, size = [], 0
     for item, text in items:
         cost = WINDOW * (len(text.encode()) + 64)
-        if out[-1] and size + cost > most:
-            out.append([])
-            size = 0
-        out[-1].append((item, text))
+        if block and size + cost > most:
+            yield block
+            block, size = [], 0
+        block.append((item, text))
         size += cost
-    return out
+    yield block
 
 
 def find_contamination(
@@ -114,12 +114,16 @@ def find_contamination(
 ) -> DataFrame:
     """docs with n_words, n_hit, hit_words (array of word numbers), items (item ids as sorted strings) and contaminated."""
     spark = docs.sparkSession
-    items = [(r[0], r[1]) for r in benchmark.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{item_text}`").cast("string")).toLocalIterator() if r[0] is not None and r[1] is not None]
-    blocks = _blocks(items, broadcast_bytes)
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{item_text}`").cast("string")).toLocalIterator()
+    blocks = _blocks(((r[0], r[1]) for r in items if r[1] is not None), broadcast_bytes)
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in _RESULTS or c == text))
     out = docs.select("*", F.lit(None).cast("array<int>").alias(_HIT), F.lit(None).cast("array<string>").alias(_ITEMS))
     schema = T.StructType([*docs.schema.fields, T.StructField(_HIT, T.ArrayType(T.IntegerType())), T.StructField(_ITEMS, T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())])
-    for k, block in enumerate(blocks):
+    grams = None
+    for block in blocks:
+        if grams is not None:  # what the block before has found is written, and its set is given up
+            out = written(out.drop("n_words"), "decontaminate")
+            grams.destroy()
         grams = spark.sparkContext.broadcast(NgramSet(block, window))
 
         def scan(batches: Iterator[pa.RecordBatch], grams=grams) -> Iterator[pa.RecordBatch]:
@@ -129,7 +133,7 @@ def find_contamination(
                 for first, heads, hit, items in grams.value.scan(batch.column(names.index(text))):
                     n_words.append(np.diff(heads))
                     for row in range(len(heads) - 1):
-                        if items[row]:
+                        if items[row] is not None:
                             at = np.flatnonzero(hit[heads[row] : heads[row + 1]]).tolist()
                             hits[first + row] = sorted({*(hits[first + row] or []), *at})
                             found[first + row] = sorted({*(found[first + row] or []), *items[row]})
@@ -139,8 +143,6 @@ def find_contamination(
                 yield pa.RecordBatch.from_arrays([c for _, c in [*keep, *new]], names=[c for c, _ in [*keep, *new]])
 
         out = out.mapInArrow(scan, schema)
-        if k + 1 < len(blocks):
-            out = written(out.drop("n_words"), "decontaminate")
     n_hit = F.coalesce(F.size(_HIT), F.lit(0)).cast("long")
     return out.select(
         *(F.col(f"`{c}`") for c in docs.columns if c not in _RESULTS),
@@ -167,14 +169,16 @@ def remove_spans(text: str, hit_words: list[int]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text", **kwargs) -> DataFrame:
     """docs without contaminated documents, or (remove='spans') with all hit words cut from the texts."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in _RESULTS and c != text}
-    found = find_contamination(docs.withColumnsRenamed(own), benchmark, text=text, **kwargs)
-    back = {c: own.get(c, c) for c in docs.columns}
+    # under other names, so that no column can clash with the results
+    back = {c: "text" if c == text else f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(now) for c, now in back.items()))
+    found = find_contamination(rows, benchmark, text="text", **kwargs)
     if remove == "documents":
-        return found.filter(~F.col("contaminated")).select(*(F.col(f"`{now}`").alias(c) for c, now in back.items()))
+        return found.filter(~F.col("contaminated")).select(*(F.col(now).alias(c) for c, now in back.items()))
+
     @F.pandas_udf("string")
     def cut(texts: pd.Series, hits: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or not len(h) else remove_spans(t, list(h)) for t, h in zip(texts, hits, strict=True)], dtype=object)
 
-    return found.select(*(cut(F.col(f"`{c}`"), F.col("hit_words")).alias(c) if c == text else F.col(f"`{now}`").alias(c) for c, now in back.items()))
+    return found.select(*(cut(F.col(now), F.col("hit_words")).alias(c) if c == text else F.col(now).alias(c) for c, now in back.items()))
 
