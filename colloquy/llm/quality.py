@@ -189,7 +189,8 @@ def _pseudo_count(spread: Column, mean: Column, groups: Column, n: Column) -> Co
 
 def posteriors(scored: DataFrame, key: str = "doc_id") -> DataFrame:
     """scored with host_posterior, path_posterior (without the document's own part), quality and keep."""
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
+    # written, as they are read several times below, and so that Spark can split a site with very many documents
+    paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
     everything = hosts.agg(F.sum("host_n").alias("all_n"), F.sum("host_s").alias("all_s"), F.count("*").alias("hosts"))
     hosts = hosts.crossJoin(F.broadcast(everything)).withColumn("mean", F.col("all_s") / F.col("all_n"))  # one row
@@ -203,7 +204,7 @@ def posteriors(scored: DataFrame, key: str = "doc_id") -> DataFrame:
             F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("host_s") / F.col("host_n")) ** 2), F.max("mean"), F.count("*") - F.max("hosts") + 1, F.max("all_n")
         ).alias("path_weight")
     )
-    sites = inside.crossJoin(F.broadcast(within)).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "n", "s", "host_posterior", "path_weight")
+    sites = written(inside.crossJoin(F.broadcast(within)).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "n", "s", "host_posterior", "path_weight"), "quality-sites")
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
     mean = (F.col("s") - F.col("p") + F.col("path_weight") * F.col("host_posterior")) / (F.col("n") - 1 + F.col("path_weight"))
     mean = F.least(F.greatest(mean, F.lit(1e-6)), F.lit(1 - 1e-6))
