@@ -268,7 +268,8 @@ def remove_repeats(
         "substrings-firsts",
     )
     grams = firsts.select("doc", "tk", F.explode("grams").alias("h"))
-    shared = grams.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h")
+    # written, so that Spark can split a run of words that very many documents hold
+    shared = written(grams.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h"), "substrings-shared")
     listed = grams.join(shared, "h", "left_semi").groupBy("doc", "tk").agg(F.collect_list("h").alias("grams"))
     candidates = written(texts.filter("text IS NOT NULL").select("doc", "tk", "text").join(listed, ["doc", "tk"]).dropDuplicates(["doc", "tk"]), "substrings-candidates")
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from colloquy.llm.common import Scratch
 from colloquy.llm import bpe, decontaminate, fingerprints, langid, line_templates, quality, sharding, simhash, substrings, warc
 
 
@@ -329,6 +330,7 @@ def test_simhash_links(spark):
     far = base ^ 0x7000000000000001
     values = [base, base ^ 3, base ^ 3 ^ (3 << 40), far, far ^ (1 << 63), 0, 5]
     fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    links = {frozenset((a & (1 << 64) - 1, b & (1 << 64) - 1)) for a, b in rows_of(simhash.linked(fps), "a", "b")}
+    with Scratch(spark, "test") as scratch:
+        links = {frozenset((a & (1 << 64) - 1, b & (1 << 64) - 1)) for a, b in rows_of(simhash.linked(fps, scratch), "a", "b")}
     joined = {frozenset(p) for p in itertools.combinations(values, 2) if (p[0] ^ p[1]).bit_count() <= 2}
     assert links == joined
