@@ -129,7 +129,7 @@ def overlap_score(a: Column | str, b: Column | str) -> Column:
 
 
 def quote_exists(quote: Column | str, text: Column | str, least: float = QUOTE_LEAST) -> Column:
-    return containment(quote, text) >= least
+    return sliding_containment(tokens(quote), tokens(text)) >= least
 
 
 def similarity(a: Column | str, b: Column | str) -> Column:
