@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, and SQL for those that SQL can express."""
+"""The thin queries of the operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -109,6 +109,24 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_read(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import cluster
+
+    return cluster(_read(spark, sf_dir, "embeddings")).drop("scanned")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -171,6 +189,53 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM p LEFT JOIN g USING (d)
 """
 
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term FROM c GROUP BY lang, term HAVING count(*) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+cs AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM c SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(cs.n, 0) AS c, 1 + (1000000000 * (coalesce(cs.n, 0) + 1)) // (coalesce(ns.n, 0) + v.v) AS p
+      FROM g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n)::HUGEINT AS n FROM cs GROUP BY ALL) ns USING (lang, source)
+      LEFT JOIN cs USING (lang, source, term)),
+q AS (SELECT cs.lang, cs.term, 1 + (1000000000 * (sum(n)::HUGEINT + 1)) // (any_value(total) + any_value(v)) AS q
+      FROM cs JOIN v USING (lang) JOIN (SELECT lang, sum(n)::HUGEINT AS total FROM cs GROUP BY lang) USING (lang) GROUP BY cs.lang, cs.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+         UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM rows QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+def _rounds_sql(rounds: int = 3) -> str:
+    steps = [
+        """
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+              WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+vec AS (SELECT row_number() OVER () AS r, vec_id, x FROM kept),
+e AS (SELECT r, unnest(x) AS v, unnest(range(64)) AS i FROM vec),
+f AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS k, x FROM vec QUALIFY k < 16),
+c0 AS (SELECT k, unnest(x) AS v, unnest(range(64)) AS i FROM f)"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS (SELECT r, k, s FROM (SELECT r, k, sum((e.v - c{n}.v) * (e.v - c{n}.v)) AS s FROM e JOIN c{n} USING (i) GROUP BY r, k)
+       QUALIFY row_number() OVER (PARTITION BY r ORDER BY s, k) = 1)""")
+        if n < rounds:
+            steps.append(f"""m{n} AS (SELECT k, i, sum(v) AS s, count(*) AS n FROM a{n} JOIN e USING (r) GROUP BY k, i),
+c{n + 1} AS (SELECT k, i, CAST(coalesce((s - ((s % n) + n) % n) // n, v) AS BIGINT) AS v FROM c{n} LEFT JOIN m{n} USING (k, i))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(s AS BIGINT) AS distance, CAST(sum(s) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(s) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN vec USING (r) JOIN (SELECT k, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY k) USING (k)
+"""
+
+
+OP13_SQL = _rounds_sql()
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_rendezvous_shards": op2_rendezvous_shards,
@@ -182,6 +247,9 @@ QUERIES = {
     "op8_warc_index": op8_warc_index,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash_components": op10_simhash_components,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_packing": op12_packing,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 ORACLES = {
@@ -189,4 +257,6 @@ ORACLES = {
     "op4_remove_repeats": OP4_SQL,
     "op7_line_templates": OP7_SQL,
     "op8_warc_index": OP8_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op13_centroid_clusters": OP13_SQL,
 }
