@@ -4,21 +4,25 @@ A passage is a repeat if ``threshold`` consecutive words of it (words: bytes
 other than ASCII white space) also start in a document with a smaller id. Words
 covered by repeats are removed; the document with the smallest id keeps them.
 
-References are the passages that occur in more than one document, taken from
-the first document each. They are dealt into shards of a bounded number of
-words, by first document. A generalised suffix automaton of each shard is sent
-to all tasks that hold passages routed to the shard (a shard with much to do is
-sent to many tasks). A task streams the passages through the automaton, keeping
-the state of the longest suffix of at most ``threshold`` words that occurs in
-the shard: where that length is reached and the state was first seen in a
-smaller document, the window is a repeat. This comparison is of whole words, so
-hashes play no part in the result.
-
-What is routed where: every window's least hash of 16 words (a minimizer) is
-found while the texts are read; documents that share one with another document
-are looked at again, and windows with a shared minimizer are grouped by their
-hash to find the first document of each. Exact copies of a text are set aside
-before, as all of them but the first are repeats throughout.
+Texts are dealt once, into a table bucketed by row, and each later step joins
+what it has found to that table without moving a text again:
+
+1. Every window's least hash of 16 words (a minimizer) is found; those that two
+   documents share are kept.
+2. Windows in a row with the same shared minimizer make a run, of at most
+   ``RUN`` windows, so that it has a bounded number of words. Runs of the same
+   words are one passage; its first document stands for it. In all others, the
+   whole run is a repeat.
+3. Passages that share windows with other passages are references for later
+   documents. They are dealt into shards of a bounded number of words; the
+   automaton of a shard goes to all tasks that hold passages routed to it (a
+   shard with much to do is sent to many tasks).
+4. A task streams its passages through the automaton, keeping the state of the
+   longest suffix of at most ``threshold`` words that occurs in the shard: where
+   that length is reached and the state was first seen in a smaller document,
+   the window is a repeat. This comparison is of whole words; hashes of windows
+   only say what is routed where. (That runs are of the same words is told by a
+   128-bit digest of them.)
 
 Defined results: ids are integers; a null id comes after all others and isn't
 smaller than another null id. Null and empty texts have no words. Documents of
@@ -30,6 +34,8 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, slices, word_hashes, word_spans, word_table, written
+from .common import Scratch, gram_hashes, slices, word_hashes, word_spans, word_table, written
 
 THRESHOLD = 50
 GRAM = 16
 #: Windows that one reference shard holds on average; its automaton has about twice as many states.
 SHARD_WINDOWS = 4096
-#: Windows of one first document that go to the same shard at most.
-UNIT_WINDOWS = 4096
+#: Windows of one run at most.
+RUN = 64
 #: Words streamed through one copy of an automaton, on average.
 SLICE_WORDS = 1 << 16
 _NO_ID = (1 << 63) - 1
@@ -143,34 +149,83 @@ def _windows_of(column: pa.Array, threshold: int, whole: bool = False) -> Iterat
             yield first + row, least[a : max(a, b)], full[a : max(a, b)] if whole else None
 
 
-def _read_all(docs: DataFrame, threshold: int) -> DataFrame:
+def _grams(texts: DataFrame, threshold: int) -> DataFrame:
+    """(rid, doc, grams): the minimizers of each row, each once."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sha, counts, grams = [], [], []
-            for text in batch.column(3).to_pylist():
-                words = (text or "").encode().split()
-                counts.append(len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            for _, least, _ in _windows_of(batch.column(3), threshold):
-                grams.append(np.unique(least).view(np.int64))
+            grams = [np.unique(least).view(np.int64) for _, least, _ in _windows_of(batch.column(2), threshold)]
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(g) for g in grams])).astype(np.int32)), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(sha, pa.string()), lists], names=["doc_id", "doc", "tk", "n_words", "words_sha256", "grams"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists], names=["rid", "doc", "grams"])
+
+    return texts.select("rid", "doc", "text").mapInArrow(scan, "rid long, doc long, grams array<long>")
+
+
+def run_bounds(least: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First windows and numbers of windows of the runs: neighbours with the same minimizer, one of the shared ones."""
+    if not len(least):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    lengths = np.diff(np.append(heads, len(least)))
+    kept = np.isin(least[heads], shared)
+    heads, lengths = heads[kept], lengths[kept]
+    pieces = -(-lengths // RUN)
+    place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = np.repeat(heads, pieces) + RUN * place
+    return starts, np.minimum(RUN, np.repeat(heads + lengths, pieces) - starts)
+
+
+def _runs_of(candidates: DataFrame, threshold: int) -> DataFrame:
+    """(rid, doc, start, n, words): the runs of windows with a shared minimizer, and a digest of the words of each."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(1).to_numpy()
+            for row, least, _ in _windows_of(batch.column(2), threshold):
+                starts, lengths = run_bounds(least, batch.column(3)[row].values.to_numpy().view(np.uint64))
+                words = batch.column(2)[row].as_py().encode().split()
+                ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+                text, digests = b" ".join(words), []
+                for a, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+                    digests.append(hashlib.blake2b(text[ends[a - 1] if a else 0 : ends[a + n + threshold - 2] - 1], digest_size=16).digest())
+                k = len(starts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(batch.column(0)[row].as_py(), k), pa.int64()), pa.array(np.repeat(docs[row], k)), pa.array(starts.astype(np.int32)), pa.array(lengths.astype(np.int32)), pa.array(digests, pa.binary())],
+                    names=["rid", "doc", "start", "n", "words"],
+                )
+
+    return candidates.mapInArrow(scan, "rid long, doc long, start int, n int, words binary")
+
+
+def _passages(firsts: DataFrame, threshold: int) -> DataFrame:
+    """(words, doc, text) of the runs (array of start, n, words) that each row is the first of."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = text.encode().split()
+                parts = [b" ".join(words[r["start"] : r["start"] + r["n"] + threshold - 1]) for r in runs]
+                yield pa.RecordBatch.from_arrays([pa.array([r["words"] for r in runs], pa.binary()), pa.array([doc] * len(runs), pa.int64()), pa.array(parts, pa.binary())], names=["words", "doc", "text"])
 
-    return docs.mapInArrow(scan, "doc_id long, doc long, tk long, n_words long, words_sha256 string, grams array<long>")
+    return firsts.mapInArrow(cut, "words binary, doc long, text binary")
 
 
-def _shared_windows(candidates: DataFrame, threshold: int) -> DataFrame:
-    """(w, doc, tk, pos): hash and place of the windows whose minimizer is one of the document's shared ones."""
+def _windows(passages: DataFrame, threshold: int) -> DataFrame:
+    """(w, words, doc, pos): hash and place of the windows of each passage."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for row, least, full in _windows_of(batch.column(2), threshold, whole=True):
-                shared = batch.column(3)[row].values.to_numpy().view(np.uint64)
-                at = np.flatnonzero(np.isin(least, shared))
-                yield pa.RecordBatch.from_arrays([pa.array(full[at].view(np.int64)), pa.array(np.repeat(docs[row], len(at))), pa.array(np.repeat(keys[row], len(at))), pa.array(at.astype(np.int32))], names=["w", "doc", "tk", "pos"])
+            keys, docs = batch.column(0), batch.column(1).to_numpy()
+            full, rows, places = [], [], []
+            for row, _, windows in _windows_of(batch.column(2).cast(pa.string()), threshold, whole=True):
+                full.append(windows.view(np.int64))
+                rows.append(np.full(len(windows), row))
+                places.append(np.arange(len(windows), dtype=np.int32))
+            if rows:
+                at = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(full)), keys.take(pa.array(at)), pa.array(docs[at]), pa.array(np.concatenate(places))], names=["w", "words", "doc", "pos"])
 
-    return candidates.mapInArrow(scan, "w long, doc long, tk long, pos int")
+    return passages.mapInArrow(scan, "w long, words binary, doc long, pos int")
 
 
 def _runs(at: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
@@ -180,72 +235,101 @@ def _runs(at: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
         yield int(part[0]), int(part[-1]) + threshold
 
 
-def _passages(placed: DataFrame, threshold: int) -> DataFrame:
-    """(shard, query, doc, tk, start, n, text): reference passages (query 0) and passages to be streamed (query 1)."""
+def _stretches(placed: DataFrame, threshold: int) -> DataFrame:
+    """(shard, query, doc, words, start, n, text): stretches of passages, as references (query 0) and to be streamed (query 1)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, tk, text, windows in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
-                words = text.encode().split()
-                pos, shard, own = (windows.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                for s, o in sorted(set(zip(shard.tolist(), own.tolist(), strict=True))):
-                    for start, end in _runs(np.unique(pos[(shard == s) & (own == o)]), threshold):
-                        out.append((s, 1 - o, doc, tk, start, end - start, b" ".join(words[start:end])))
+            for key, doc, text, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = text.split(b" ")
+                windows.sort(key=lambda x: (x["shard"], x["own"], x["pos"]))
+                for (shard, own), group in itertools.groupby(windows, lambda x: (x["shard"], x["own"])):
+                    for start, end in _runs(np.unique([x["pos"] for x in group]), threshold):
+                        out.append((shard, 1 - own, doc, key, start, end - start, b" ".join(words[start:end])))
             columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "query", "doc", "tk", "start", "n", "text"])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "query", "doc", "words", "start", "n", "text"])
+
+    return placed.mapInArrow(cut, "shard long, query int, doc long, words binary, start int, n int, text binary")
 
-    return placed.mapInArrow(cut, "shard long, query int, doc long, tk long, start int, n int, text binary")
+
+_SPANS = "array<struct<start:int,end:int>>"
+_SPAN_LIST = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _stream(dealt: DataFrame, threshold: int) -> DataFrame:
-    """(doc, tk, spans): repeats found by streaming each slice's passages through its shard's automaton; rows of a slice come with the references first."""
+    """(words, spans): repeats found by streaming each slice's passages through its shard's automaton; rows of a slice come with the references first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, automaton = None, SuffixAutomaton()
         for batch in batches:
-            docs, keys, spans = [], [], []
-            for shard, part, query, doc, tk, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys, spans = [], []
+            for shard, part, query, doc, key, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (shard, part) != now:
                     now, automaton = (shard, part), SuffixAutomaton()
                 words = text.split(b" ")
                 if not query:
                     automaton.add(words, doc)
                 elif at := automaton.repeats(words, doc, threshold):
-                    docs.append(doc)
-                    keys.append(tk)
+                    keys.append(key)
                     spans.append([{"start": start + a, "end": start + b} for a, b in _runs(np.array(at), threshold)])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(spans, kind)], names=["doc", "tk", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(spans, _SPAN_LIST)], names=["words", "spans"])
+
+    return dealt.mapInArrow(run, f"words binary, spans {_SPANS}")
+
 
-    return dealt.mapInArrow(run, "doc long, tk long, spans array<struct<start:int,end:int>>")
+def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def _cut_out(found: DataFrame) -> DataFrame:
-    """(doc, tk, n_removed, spans, kept) from texts and their spans."""
+    """doc_id, n_words, n_removed, spans, words_sha256, kept from texts and the spans found in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, spans, kept = [], [], []
-            for text, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words, out, at, merged = text.encode().split(), [], 0, []
-                for span in sorted((s["start"], s["end"]) for s in found):
-                    if merged and span[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], span[1])
-                    else:
-                        merged.append([*span])
-                for a, b in merged:
+            counts, removed, spans, sha, kept = [], [], [], [], []
+            for one, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words, out, at = (one.as_py() or "").encode().split(), [], 0
+                gone = merged([(s["start"], s["end"]) for s in found or ()])
+                for a, b in gone:
                     out += words[at:a]
                     at = b
                 out += words[at:]
+                counts.append(len(words))
                 removed.append(len(words) - len(out))
-                spans.append([{"start": a, "end": b} for a, b in merged])
-                kept.append(b" ".join(out).decode())
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())], names=["doc", "tk", "n_removed", "spans", "kept"])
+                spans.append([{"start": a, "end": b} for a, b in gone])
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                kept.append(b" ".join(out).decode() if gone else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPAN_LIST), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
+                names=["doc_id", "n_words", "n_removed", "spans", "words_sha256", "kept"],
+            )
+
+    return found.mapInArrow(run, f"doc_id long, n_words long, n_removed long, spans {_SPANS}, words_sha256 string, kept string")
+
+
+class _Texts:
+    """The texts as a table bucketed by row, which joins by row don't shuffle; dropped at the end of the block."""
+
+    def __init__(self, docs: DataFrame, scratch: Scratch):
+        self.spark, self.name = docs.sparkSession, f"colloquy_texts_{uuid.uuid4().hex}"
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # the number of a row is fixed once it is written
+        rows = docs.withColumn("rid", F.monotonically_increasing_id()).repartition(parts, "rid").sortWithinPartitions("rid")
+        rows.write.format("parquet").bucketBy(parts, "rid").sortBy("rid").option("path", f"{scratch.root}/texts").saveAsTable(self.name)
+
+    def __enter__(self) -> DataFrame:
+        return self.spark.table(self.name)
 
-    return found.mapInArrow(run, "doc long, tk long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def remove_repeats(
@@ -257,59 +341,43 @@ def remove_repeats(
     slice_words: int = SLICE_WORDS,
 ) -> DataFrame:
     """key, n_words, n_removed, spans (removed words, as start and end), words_sha256 (of all words, joined by a space), and kept: the words left, joined by a space, null where none is removed."""
-    given = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    texts = given.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tk"), "text")
-    rows = written(_read_all(texts, threshold), "substrings-rows")
-    long_enough = rows.filter(F.col("n_words") >= threshold)
-    firsts = written(
-        long_enough.groupBy("words_sha256")
-        .agg(F.min(F.struct("doc", "tk")).alias("f"), F.min_by("grams", F.struct("doc", "tk")).alias("grams"))
-        .select("words_sha256", "f.doc", "f.tk", "grams"),
-        "substrings-firsts",
-    )
-    grams = firsts.select("doc", "tk", F.explode("grams").alias("h"))
-    # written, so that Spark can split a run of words that very many documents hold
-    shared = written(grams.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h"), "substrings-shared")
-    listed = grams.join(shared, "h", "left_semi").groupBy("doc", "tk").agg(F.collect_list("h").alias("grams"))
-    candidates = written(texts.filter("text IS NOT NULL").select("doc", "tk", "text").join(listed, ["doc", "tk"]).dropDuplicates(["doc", "tk"]), "substrings-candidates")
-
-    windows = _shared_windows(candidates, threshold)
-    first_windows = written(
-        windows.groupBy("w").agg(F.min(F.struct("doc", "tk", "pos")).alias("f"), F.max("doc").alias("last")).filter("f.doc < last").select("w", "f"),
-        "substrings-windows",
-    )
-    shards = max(1, -(-first_windows.count() // shard_windows))
-    unit = F.xxhash64("f.doc", "f.tk", (F.col("f.pos") / UNIT_WINDOWS).cast("int"))
-    own = (F.col("f.doc") == F.col("doc")) & (F.col("f.tk") == F.col("tk"))
-    placed = (
-        windows.join(first_windows, "w")
-        .select("doc", "tk", F.struct("pos", F.pmod(unit, F.lit(shards)).alias("shard"), own.cast("int").alias("own")).alias("window"))
-        .groupBy("doc", "tk")
-        .agg(F.collect_list("window").alias("windows"))
-    )
-    passages = written(_passages(candidates.select("doc", "tk", "text").join(placed, ["doc", "tk"]).select("doc", "tk", "text", "windows"), threshold), "substrings-passages")
-
-    # written, so that the joins deal both sides themselves and Spark can split a shard with very many passages
-    parts = written(passages.filter("query = 1").groupBy("shard").agg(F.ceil(F.sum("n") / slice_words).cast("int").alias("parts")), "substrings-parts")
-    queries = passages.filter("query = 1").join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc", "tk", "start"), F.col("parts")).cast("int"))
-    references = passages.filter("query = 0").join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    columns = ["shard", "part", "query", "doc", "tk", "start", "text"]
-    dealt = references.select(columns).unionAll(queries.select(columns)).repartition("shard", "part").sortWithinPartitions("shard", "part", "query", "doc", "tk", "start")
-    spans = _stream(dealt, threshold).groupBy("doc", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    cut = _cut_out(candidates.select("doc", "tk", "text").join(spans, ["doc", "tk"]).select("doc", "tk", "text", "spans"))
-
-    judged = firsts.select("words_sha256", "doc", "tk").join(cut, ["doc", "tk"], "left").select("words_sha256", F.col("doc").alias("first"), "n_removed", "spans", "kept")
-    copies = long_enough.select("doc_id", "doc", "n_words", "words_sha256").join(judged, "words_sha256")
-    is_first = F.col("doc") == F.col("first")
-    no_spans = F.array().cast("array<struct<start:int,end:int>>")
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
-    return copies.select(
-        F.col("doc_id").alias(key),
-        "n_words",
-        F.when(is_first, F.coalesce("n_removed", F.lit(0))).otherwise(F.col("n_words")).alias("n_removed"),
-        F.when(is_first, F.coalesce("spans", no_spans)).otherwise(whole).alias("spans"),
-        "words_sha256",
-        F.when(is_first, F.col("kept")).otherwise("").alias("kept"),
-    ).unionAll(
-        rows.filter(F.col("n_words") < threshold).select(F.col("doc_id").alias(key), "n_words", F.lit(0).cast("long").alias("n_removed"), no_spans.alias("spans"), "words_sha256", F.lit(None).cast("string").alias("kept"))
-    )
+    ids = F.col(f"`{key}`").cast("long")
+    given = docs.select(ids.alias("doc_id"), F.coalesce(ids, F.lit(_NO_ID)).alias("doc"), F.col(f"`{text}`").alias("text"))
+    with Scratch(docs.sparkSession, "substrings") as scratch, _Texts(given, scratch) as texts:
+        spans = _find_spans(texts, scratch, threshold, shard_windows, slice_words)
+        found = _cut_out(texts.join(spans, "rid", "left").select("doc_id", "text", "spans"))
+        return written(found.withColumnRenamed("doc_id", key), "substrings")
+
+
+def _find_spans(texts: DataFrame, scratch: Scratch, threshold: int, shard_windows: int, slice_words: int) -> DataFrame:
+    """(rid, spans): where the repeats of each row are; what is read twice, or joined by a key that may be hot, is written."""
+    grams = scratch.table(_grams(texts, threshold), "grams").select("rid", "doc", F.explode("grams").alias("h"))
+    shared = scratch.table(grams.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h"), "shared")
+    listed = grams.select("rid", "h").join(shared, "h", "left_semi").groupBy("rid").agg(F.collect_list("h").alias("grams"))
+    runs = scratch.table(_runs_of(texts.join(listed, "rid").select("rid", "doc", "text", "grams"), threshold), "runs")
+
+    firsts = scratch.table(runs.groupBy("words").agg(F.min(F.struct("doc", "rid", "start", "n")).alias("f")), "firsts")
+    own = firsts.groupBy(F.col("f.rid").alias("rid")).agg(F.collect_list(F.struct("f.start", "f.n", "words")).alias("runs"))
+    passages = scratch.table(_passages(texts.join(own, "rid").select("doc", "text", "runs"), threshold), "passages")
+
+    windows = scratch.table(_windows(passages, threshold), "windows")
+    repeated = windows.groupBy("w").agg(F.min(F.struct("doc", "words", "pos")).alias("f"), F.max("doc").alias("last")).filter("f.doc < last")
+    repeated = scratch.table(repeated.select("w", F.col("f.doc").alias("first"), F.col("f.words").alias("in")), "repeated")
+    shards = max(1, -(-repeated.count() // shard_windows))
+    placed = windows.join(repeated, "w").select("words", "pos", F.pmod(F.xxhash64("in"), F.lit(shards)).alias("shard"), (F.col("in") == F.col("words")).cast("int").alias("own"), (F.col("first") < F.col("doc")).alias("later"))
+    # at most RUN windows for each passage
+    listed = placed.filter("own = 1 OR later").groupBy("words").agg(F.collect_list(F.struct("pos", "shard", "own")).alias("windows"))
+    stretches = scratch.table(_stretches(passages.join(listed, "words").select("words", "doc", "text", "windows"), threshold), "stretches")
+
+    parts = scratch.table(stretches.filter("query = 1").groupBy("shard").agg(F.ceil(F.sum("n") / slice_words).cast("int").alias("parts")), "parts")
+    queries = stretches.filter("query = 1").join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("words", "start"), F.col("parts")).cast("int"))
+    references = stretches.filter("query = 0").join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["shard", "part", "query", "doc", "words", "start", "text"]
+    dealt = references.select(columns).unionAll(queries.select(columns)).repartition("shard", "part").sortWithinPartitions("shard", "part", "query", "doc", "start")
+    hits = _stream(dealt, threshold).groupBy("words").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+    judged = scratch.table(firsts.select("words", F.col("f.doc").alias("first")).join(hits, "words", "left"), "judged")
+    whole = F.array(F.struct(F.col("start"), (F.col("start") + F.col("n") + threshold - 1).alias("end")))
+    moved = F.transform("spans", lambda x: F.struct((x["start"] + F.col("start")).alias("start"), (x["end"] + F.col("start")).alias("end")))
+    found = runs.join(judged, "words").select("rid", F.when(F.col("doc") > F.col("first"), whole).otherwise(moved).alias("spans")).filter("spans IS NOT NULL")
+    return found.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
