@@ -152,3 +152,11 @@ def fleet_rates(points: DataFrame, ts: str = "ts", escalated: str = "escalated",
         F.col("w.start").alias("hour"), "n", "escalation_rate", "review_rate",
         (F.col("escalation_rate") > ESCALATION_ALARM).alias("escalation_alarm"), (F.col("review_rate") > REVIEW_ALARM).alias("review_alarm"),
     )
+
+
+def every_hour(rates: DataFrame) -> DataFrame:
+    """rates with the hours between the first and the last that have no points: n is 0, no rate, and no alarm, as missing data doesn't breach."""
+    span = rates.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).filter("a IS NOT NULL")
+    hours = span.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
+    off = {c: F.coalesce(c, F.lit(False)) for c in ("escalation_alarm", "review_alarm")}
+    return hours.join(rates, "hour", "left").withColumns({"n": F.coalesce("n", F.lit(0)), **off})

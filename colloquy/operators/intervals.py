@@ -110,17 +110,14 @@ def islands(rows: DataFrame, keys: Sequence[str], order: Sequence[str], breaks:
 
 
 def debounced(rows: DataFrame, keys: Sequence[str], t: str, state: str, join_after: float, leave_after: float) -> DataFrame:
-    """keys, since, until, state: runs of equal state that last as long as a change needs to be believed; t in seconds.
+    """keys, since, until, state: changes of presence, believed where a run of equal polls lasts as long as needed, from its first poll to its last; t in seconds.
 
-    A run that is too short to be believed belongs to the state before it.
+    A run that is too short belongs to the state before it, and nobody leaves who hasn't joined.
     """
     w = Window.partitionBy(*keys).orderBy(t)
     runs = islands(rows.withColumn("_prev", F.lag(state).over(w)), keys, [t], ~F.col("_prev").eqNullSafe(F.col(state)))
     runs = runs.groupBy(*keys, "island").agg(F.min(t).alias("since"), F.max(t).alias("last"), F.first(state).alias("state"))
-    ends = runs.withColumn("until", F.coalesce(F.lead("since").over(Window.partitionBy(*keys).orderBy("island")), F.col("last")))
-    needed = F.when(F.col("state"), join_after).otherwise(leave_after)
-    sure = ends.withColumn("sure", F.col("until") - F.col("since") >= needed).filter("sure")
-    before = F.lag("state").over(Window.partitionBy(*keys).orderBy("since"))
-    changes = sure.withColumn("_b", before).filter(~F.col("_b").eqNullSafe(F.col("state")))
-    upto = F.lead("since").over(Window.partitionBy(*keys).orderBy("since"))
-    return changes.withColumn("until", upto).select(*keys, "since", "until", "state")
+    sure = runs.filter(F.col("last") - F.col("since") >= F.when(F.col("state"), join_after).otherwise(leave_after))
+    by_time = Window.partitionBy(*keys).orderBy("since")
+    changes = sure.withColumn("_b", F.coalesce(F.lag("state").over(by_time), F.lit(False))).filter(F.col("_b") != F.col("state"))
+    return changes.withColumn("until", F.lead("since").over(by_time)).select(*keys, "since", "until", "state")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import analytics, gates, grounding
-from ..streaming import captions as streams
+from ..streaming import capture as streams
 from . import inputs as i
 from .inputs import sql
 from .speaking import _containment
@@ -103,6 +103,13 @@ def fleet_rates(spark, d):
     return gates.fleet_rates(e).select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "n", R6("escalation_rate"), R6("review_rate"), "escalation_alarm", "review_alarm")
 
 
+def fleet_hours(spark, d):
+    """The rates of large events by hour, with the hours that have none."""
+    e = i.events(spark, d).filter("value > 90").withColumns({"escalated": F.col("value") > 50, "needs_review": F.col("event_type") == "error"})
+    rows = gates.every_hour(gates.fleet_rates(e))
+    return rows.select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "n", R6("escalation_rate"), R6("review_rate"), "escalation_alarm", "review_alarm")
+
+
 def verification_tally(spark, d):
     return grounding.verification_tally(i.claims(spark, d)).select("meeting_id", "supported", "partial", "uncertain", "unsupported", R6("unsupported_rate"), "critical_unsupported")
 
@@ -168,7 +175,7 @@ def signal_health(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    asr_scores, tab_scores, wer_proxy, gate_a, gate_reasons, gate_b, gate_c, gate_d, gate_e, audio_wait, raised_tier, last_gate, prior_gate, escalated, fleet_rates, verification_tally,
+    asr_scores, tab_scores, wer_proxy, gate_a, gate_reasons, gate_b, gate_c, gate_d, gate_e, audio_wait, raised_tier, last_gate, prior_gate, escalated, fleet_rates, fleet_hours, verification_tally,
     critical_claims, unsupported_claims, quote_validation, quote_containment, bullet_match, claim_grounding, recall_report, silence_sessions, signal_health,
 )}
 
@@ -204,6 +211,9 @@ ORACLES = {
     "prior_gate": sql("SELECT meeting_id, eval_ix, count(*) FILTER (gate = 'gateE') OVER (PARTITION BY meeting_id ORDER BY eval_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM gate_log", "gate_log"),
     "escalated": sql("SELECT meeting_id, meeting_id % 4 = 0 OR bool_or(fired AND gate <> 'gateD') AS escalated FROM gate_log GROUP BY 1", "gate_log"),
     "fleet_rates": "SELECT *, escalation_rate > 0.25 AS escalation_alarm, review_rate > 0.15 AS review_alarm FROM (SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS n, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END), 6) AS escalation_rate, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END), 6) AS review_rate FROM events GROUP BY 1)",
+    "fleet_hours": """WITH r AS (SELECT date_trunc('hour', ts) AS h, count(*) AS n, avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END) AS e, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END) AS v FROM events WHERE value > 90 GROUP BY 1),
+        hours AS (SELECT unnest(generate_series((SELECT min(h) FROM r), (SELECT max(h) FROM r), INTERVAL 1 HOUR)) AS h)
+        SELECT strftime(h, '%Y-%m-%d %H:%M') AS hour, coalesce(n, 0) AS n, round(e, 6) AS escalation_rate, round(v, 6) AS review_rate, coalesce(e > 0.25, false) AS escalation_alarm, coalesce(v > 0.15, false) AS review_alarm FROM hours LEFT JOIN r USING (h)""",
     "verification_tally": sql("SELECT meeting_id, count(*) FILTER (verdict = 'SUPPORTED') AS supported, count(*) FILTER (verdict = 'PARTIAL') AS partial, count(*) FILTER (verdict = 'UNCERTAIN') AS uncertain, count(*) FILTER (verdict = 'UNSUPPORTED') AS unsupported, round(avg(CASE WHEN verdict = 'UNSUPPORTED' THEN 1.0 ELSE 0 END), 6) AS unsupported_rate, count(*) FILTER (verdict = 'UNSUPPORTED' AND critical) AS critical_unsupported FROM claims GROUP BY 1", "claims"),
     "critical_claims": sql("SELECT meeting_id, claim_ix, critical OR claim_ix % 13 IN (0, 5, 10) AS critical FROM claims", "claims"),
     "unsupported_claims": sql("SELECT meeting_id, claim_ix FROM claims WHERE verdict = 'UNSUPPORTED' AND meeting_id % 2 = 0", "claims"),

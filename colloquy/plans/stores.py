@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions import values as v
 from ..operators import analytics, citations, exports, intervals, search
 from ..sources import tables
-from ..streaming import captions as streams
+from ..streaming import revisions, views
 from . import inputs as i
 from .inputs import sql
 
@@ -229,12 +229,12 @@ def debounce(spark, d):
 
 def learned_chrome(spark, d):
     polls = i.base(spark, d).select("meeting_id", F.col("ord").alias("poll"), (F.col("c0") / 100).alias("t"), F.col("role").alias("chunk"), (F.col("words") > 120).alias("caption_like"))
-    return streams.learned_chrome(polls)
+    return views.learned_chrome(polls)
 
 
 def replayed_captions(spark, d):
     rows = i.events(spark, d).select(F.col("user_id").cast("string").alias("meeting_id"), F.col("event_id").alias("ord"), "ts", F.lit("x").alias("speaker"), F.concat("event_type", F.lit(" "), F.floor("value")).alias("text"))
-    return streams.replay_captions(rows)
+    return revisions.replay_captions(rows)
 
 
 def action_boxes(spark, d):
@@ -315,10 +315,19 @@ ORACLES = {
     "orphan_captures": "SELECT c_custkey AS capture_id FROM customer WHERE (c_custkey % 2 = 0 OR c_custkey % 5 = 0) AND c_custkey % 3 <> 0 AND c_custkey % 7 <> 0",
     "audio_declaration": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(least(greatest(floor(value * 1000 - 5000 + 0.5), 0), 86400) AS BIGINT) END AS duration_sec, concat_ws(',', CASE WHEN event_id % 5 < 3 THEN 'tab' END, CASE WHEN event_id % 2 = 0 OR event_id % 5 < 3 THEN 'mic' END) AS sources FROM events",
     "debounce": """WITH e AS (SELECT user_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS t, max(value) >= 50 AS state FROM events GROUP BY ALL), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t) AS run FROM (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY user_id ORDER BY t) IS NOT DISTINCT FROM state THEN 0 ELSE 1 END AS b FROM e)),
-        g AS (SELECT user_id, run, min(t) AS since, max(t) AS last, any_value(state) AS state FROM r GROUP BY ALL), u AS (SELECT *, coalesce(lead(since) OVER (PARTITION BY user_id ORDER BY run), last) AS til FROM g),
-        s AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY since) AS before FROM u WHERE til - since >= CASE WHEN state THEN 3600 ELSE 7200 END)
-        SELECT user_id, since, coalesce(lead(since) OVER (PARTITION BY user_id ORDER BY since), -1) AS until, state FROM s WHERE before IS DISTINCT FROM state""",
-    "learned_chrome": sql("SELECT DISTINCT meeting_id, chunk FROM (SELECT meeting_id, chunk, run, min(t) AS t0, max(t) AS t1 FROM (SELECT meeting_id, role AS chunk, c0 / 100.0 AS t, ord - row_number() OVER (PARTITION BY meeting_id, role ORDER BY ord) AS run FROM base WHERE words <= 120) GROUP BY ALL) WHERE t0 <= 3 OR t1 - t0 >= 15", "base"),
+        g AS (SELECT user_id, run, min(t) AS since, max(t) AS last, any_value(state) AS state FROM r GROUP BY ALL),
+        s AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY since), false) AS before FROM g WHERE last - since >= CASE WHEN state THEN 3600 ELSE 7200 END)
+        SELECT user_id, since, coalesce(lead(since) OVER (PARTITION BY user_id ORDER BY since), -1) AS until, state FROM s WHERE before <> state""",
+    "replayed_captions": """WITH RECURSIVE o AS (SELECT CAST(user_id AS VARCHAR) AS meeting_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, ts, event_type || ' ' || CAST(floor(value) AS BIGINT) AS text FROM events),
+        s AS (SELECT meeting_id, k, text AS p, ts AS since, ts AS changed, CAST(NULL AS VARCHAR) AS pub, ts AS pub_ts FROM o WHERE k = 1
+        UNION ALL SELECT meeting_id, k, CASE WHEN (grows AND length(text) <= length(p)) OR (back AND NOT grows) THEN p ELSE text END, CASE WHEN grows OR back THEN since ELSE ts END,
+            CASE WHEN (grows AND length(text) <= length(p)) OR (back AND NOT grows) THEN changed ELSE ts END, CASE WHEN NOT (grows OR back) THEN p END, since
+        FROM (SELECT o.meeting_id, o.k, o.text, o.ts, s.p, s.since, s.changed, fresh AND (starts_with(o.text, s.p) OR levenshtein(s.p, o.text) <= floor(0.4 * greatest(length(s.p), length(o.text)) + 1e-9)) AS grows,
+                fresh AND (starts_with(s.p, o.text) OR levenshtein(s.p, o.text) <= floor(0.4 * greatest(length(s.p), length(o.text)) + 1e-9)) AS back
+              FROM (SELECT *, true AS t FROM s) s JOIN o ON o.meeting_id = s.meeting_id AND o.k = s.k + 1, LATERAL (SELECT o.ts - s.changed < INTERVAL 2 SECOND AS fresh)))
+        SELECT meeting_id, 'x' AS speaker, pub AS text, pub_ts AS ts FROM s WHERE pub IS NOT NULL
+        UNION ALL SELECT meeting_id, 'x', arg_max(p, k), arg_max(since, k) FROM s GROUP BY meeting_id""",
+    "learned_chrome": sql("SELECT DISTINCT meeting_id, chunk FROM (SELECT meeting_id, chunk, run, min(t) AS t0, max(t) AS t1 FROM (SELECT meeting_id, role AS chunk, c0 / 100.0 AS t, ord - row_number() OVER (PARTITION BY meeting_id, role ORDER BY ord) AS run FROM base WHERE words <= 120) GROUP BY ALL) WHERE t0 < 3 OR t1 - t0 >= 15", "base"),
     "sortable_ids": "SELECT event_id, array_to_string(list_transform(range(9, -1, -1), lambda k: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST((event_id * 1000003 // CAST(pow(32, k) AS BIGINT)) % 32 AS INTEGER) + 1, 1)), '') AS prefix FROM events",
     "note_model": sql("SELECT meeting_id, ord, substr(text, 1, 20) AS title, CAST(NULL AS VARCHAR) AS error FROM turns", "base", "turns"),
     "action_boxes": sql("SELECT meeting_id, ord AS i, CASE WHEN ord = 1 THEN '- [x] ' ELSE '- [ ] ' END || speaker AS line FROM turns", "base", "turns"),

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 #: What each recorder writes.
 RECORDINGS = {
-    "captions": "meeting_id string, ord long, ts timestamp, speaker string, text string",
-    "mutations": "meeting_id string, ts timestamp, line_id long, author string, text string, removed boolean",
+    "captions": "meeting_id string, ord long, ts timestamp, speaker string, text string, stopped boolean",
+    "mutations": "meeting_id string, ts timestamp, line_id long, author string, text string, removed boolean, stopped boolean",
+    "views": "meeting_id string, poll long, ts timestamp, shown array<struct<speaker:string,text:string>>, stopped boolean",
+    "screens": "meeting_id string, poll long, ts timestamp, chunks array<struct<chunk:string,caption_like:boolean>>, stopped boolean",
+    "captures": "meeting_id string, ts timestamp, kind string",
     "snapshots": "meeting_id string, poll long, ts timestamp, line_no int, line string",
     "readings": "meeting_id string, ts timestamp, name string",
     "presence": "meeting_id string, ts timestamp, present boolean",
@@ -37,31 +40,6 @@ def every_nth(readings: DataFrame, n: int = 10) -> DataFrame:
     return readings.filter(F.col("poll") % n == 0)
 
 
-def segment_batches(segments: DataFrame, most_rows: int = 20, most_seconds: float = 15.0) -> DataFrame:
-    """meeting_id, seq, rows: how arriving segments (meeting_id, ord, t seconds) are sent off, checked at each arrival: with ``most_rows`` rows, or ``most_seconds`` after the batch before."""
-    def run(batches):
-        import pandas as pd
-
-        key, held, seq, sent = None, 0, 0, 0.0
-        for frame in batches:
-            out = []
-            for row in frame.itertuples(index=False):
-                if row.meeting_id != key:
-                    if held:
-                        out.append((key, seq, held))
-                    key, held, seq, sent = row.meeting_id, 0, 0, row.t
-                held += 1
-                if held >= most_rows or row.t - sent >= most_seconds:
-                    out.append((key, seq, held))
-                    held, seq, sent = 0, seq + 1, row.t
-            yield pd.DataFrame(out, columns=["meeting_id", "seq", "rows"])
-        if held:
-            yield pd.DataFrame([(key, seq, held)], columns=["meeting_id", "seq", "rows"])
-
-    kind = segments.schema["meeting_id"].dataType.simpleString()
-    return segments.select("meeting_id", "ord", "t").repartition("meeting_id").sortWithinPartitions("meeting_id", "t", "ord").mapInPandas(run, f"meeting_id {kind}, seq long, rows long")
-
-
 def live_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What a stream has written so far: read again for each look, files that came since are seen."""
     return spark.read.schema(schema).parquet(path)

@@ -1,8 +1,8 @@
-"""Streams of captions, snapshots and segment batches.
+"""Caption lines that are edited in place, as a stream of mutations.
 
-Stateful operators are ``transformWithStateInPandas`` processors on the RocksDB
-state store; state is bounded by a meeting's open captions. Timers run in event
-time, so that a replay gives what the live run gave.
+Stateful operators here and beside are ``transformWithStateInPandas`` processors
+on the RocksDB state store; state is bounded by a meeting's open lines. Timers
+run in event time, so that a replay gives what the live run gave.
 """
 
 from __future__ import annotations
@@ -10,348 +10,128 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .revisions import frame, only_timer
+
 SETTLE_SECONDS = 1.2
-STABLE_SECONDS = 2.0
-SILENCE = "300 seconds"
-REVISION_LEAST = 0.6
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LINE = "author string, text string, ts timestamp, utterance long, superseded boolean"
+SPOKEN = "meeting_id string, line_id long, utterance long, author string, text string, ts timestamp, final boolean"
 
 
-def comparable(text: str) -> str:
-    return " ".join(text.split()).rstrip(".,;:?! ")
-
+class OpenLines:
+    """The lines of one meeting that aren't final yet, and the one time at which those under a newer line settle.
 
-def edits_within(a: str, b: str, most: int) -> bool:
-    """Whether at most ``most`` edits lead from one text to the other: only the diagonals that near are walked."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    far = most + 1
-    row = [j if j <= most else far for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        low, high = max(1, i - most), min(len(b), i + most)
-        last, left = row[low - 1], i if low == 1 and i <= most else far
-        row[low - 1] = left
-        for j in range(low, high + 1):
-            above = row[j] if j < i + most else far
-            left = min(above + 1, left + 1, last + (x != b[j - 1]), far)
-            last, row[j] = above, left
-        if min(row[low - 1 : high + 1]) > most:
-            return False
-    return row[len(b)] <= most
+    A line keeps the time it was first seen, and its author where an edit tells none. A new line supersedes all
+    others and starts the clock of settling again for them all; another author on a line ends the utterance on it
+    and supersedes nothing. Each utterance has a number of its own.
+    """
 
+    def __init__(self, lines: dict[int, tuple], due: pd.Timestamp | None, utterances: int, partials: bool):
+        self.lines, self.due, self.utterances, self.partials, self.out = lines, due, utterances, partials, []
+
+    def _put(self, line: int, author: str, text: str, at: pd.Timestamp, utterance: int | None, superseded: bool) -> None:
+        if utterance is None:
+            self.utterances += 1
+            utterance = self.utterances
+        self.lines[line] = (author, text, at, utterance, superseded)
+        if self.partials:
+            self.out.append((line, utterance, author, text, at, False))
+
+    def _final(self, line: int) -> None:
+        author, text, at, utterance, _ = self.lines.pop(line)
+        self.out.append((line, utterance, author, text, at, True))
+
+    def touch(self, line: int, author: str | None, text: str | None, at: pd.Timestamp) -> None:
+        text, old = (text or "").strip(), self.lines.get(line)
+        author = (author or "").strip() or (old[0] if old else "")
+        if not text or not author:
+            return
+        if old and old[0] != author:
+            self._final(line)
+            self._put(line, author, text, at, None, False)
+        elif old:
+            self._put(line, author, text, old[2], old[3], old[4])
+        else:
+            self.lines = {k: (*v[:4], True) for k, v in self.lines.items()}
+            if self.lines:
+                self.due = at + pd.Timedelta(seconds=SETTLE_SECONDS)
+            self._put(line, author, text, at, None, False)
+
+    def remove(self, line: int) -> None:
+        if line in self.lines:
+            self._final(line)
+
+    def settle(self, at: pd.Timestamp) -> None:
+        if self.due is not None and at >= self.due:
+            self.due = None
+            for line in [k for k, v in self.lines.items() if v[4]]:
+                self._final(line)
+
+    def stop(self) -> None:
+        self.due = None
+        for line in list(self.lines):
+            self._final(line)
 
-def is_revision(before: str, after: str) -> bool:
-    """Whether the later text goes on from the earlier one, or is similar enough: edits of at most 0.4 of the longer length."""
-    p, c = comparable(before).lower(), comparable(after).lower()
-    if not p:
-        return False
-    if len(c) >= len(p) and c.startswith(p):
-        return True
-    longest = max(len(p), len(c))
-    return bool(c) and edits_within(p, c, int((1 - REVISION_LEAST) * longest + 1e-9))
 
+class LineFinalizer(StatefulProcessor):
+    """Lines are final when removed, when another author takes them, when they have settled under a newer one, or at the stop."""
 
-class RevisionMerger(StatefulProcessor):
-    """One pending caption for each meeting; it is published when another one begins, or when it has been stable long enough."""
+    def __init__(self, partials: bool):
+        self.partials = partials
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", "speaker string, text string, since timestamp")
-
-    def _timer(self, at: pd.Timestamp) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(int((at + pd.Timedelta(seconds=STABLE_SECONDS)).timestamp() * 1000))
+        self.lines = handle.getMapState("lines", "line_id long", LINE)
+        self.clock = handle.getValueState("clock", "due timestamp, utterances long")
+
+    def _load(self) -> OpenLines:
+        self.before = {k[0]: tuple(v) for k, v in self.lines.iterator()}
+        due, utterances = self.clock.get() if self.clock.exists() else (None, 0)
+        return OpenLines(dict(self.before), None if pd.isna(due) else due, utterances, self.partials)
+
+    def _store(self, state: OpenLines) -> None:
+        for line in self.before.keys() - state.lines.keys():
+            self.lines.removeKey((line,))
+        for line, value in state.lines.items():
+            if self.before.get(line) != value:
+                self.lines.updateValue((line,), value)
+        self.clock.update((state.due, state.utterances))
+        only_timer(self.handle, state.due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        now = self.pending.get() if self.pending.exists() else None
-        for row in pd.concat(list(rows)).sort_values(["ts", "ord"]).itertuples():
-            if not (row.text or "").strip():
-                continue
-            if now is not None and (row.ts - now[2]).total_seconds() >= STABLE_SECONDS:
-                out.append((*key, now[0], now[1], now[2]))
-                now = None
-            if now is None:
-                now = (row.speaker, row.text, row.ts)
-            elif now[0] == row.speaker and is_revision(now[1], row.text):
-                if len(comparable(row.text)) > len(comparable(now[1])):
-                    now = (row.speaker, row.text, row.ts)
-            elif now[0] == row.speaker and is_revision(row.text, now[1]):
-                continue
+        state = self._load()
+        for row in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples():
+            state.settle(row.ts)
+            if row.stopped:
+                state.stop()
+            elif row.removed:
+                state.remove(row.line_id)
             else:
-                out.append((*key, now[0], now[1], now[2]))
-                now = (row.speaker, row.text, row.ts)
-        if now is not None:
-            self.pending.update(now)
-            self._timer(now[2])
-        yield pd.DataFrame(out, columns=["meeting_id", "speaker", "text", "ts"])
+                state.touch(row.line_id, row.author, row.text, row.ts)
+        self._store(state)
+        yield frame([(key[0], *x) for x in state.out], SPOKEN)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.pending.exists():
-            now = self.pending.get()
-            self.pending.clear()
-            yield pd.DataFrame([(*key, now[0], now[1], now[2])], columns=["meeting_id", "speaker", "text", "ts"])
+        state = self._load()
+        if state.due is not None and state.due.timestamp() * 1000 <= expiredTimerInfo.getExpiryTimeInMs() + 1:
+            state.settle(state.due)
+        self._store(state)
+        yield frame([(key[0], *x) for x in state.out], SPOKEN)
 
     def close(self) -> None:
         pass
 
 
-def merge_revisions(captions: DataFrame, watermark: str = "10 seconds") -> DataFrame:
-    """captions (meeting_id, ord, ts, speaker, text) to the published ones, each once, at its longest."""
-    return captions.withWatermark("ts", watermark).groupBy("meeting_id").transformWithStateInPandas(
-        RevisionMerger(), outputStructType="meeting_id string, speaker string, text string, ts timestamp", outputMode="append", timeMode="EventTime"
-    )
-
-
-class LineFinalizer(StatefulProcessor):
-    """Lines of a caption view that are edited in place: a line is final when removed, when another author takes it, or after it has settled under a newer one."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.lines = handle.getMapState("lines", "line_id long", "author string, text string, ts timestamp, superseded timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        open_ = {k[0]: tuple(v) for k, v in self.lines.iterator()}
-        for row in pd.concat(list(rows)).sort_values("ts").itertuples():
-            for line in [k for k, v in open_.items() if v[3] is not None and (row.ts - v[3]).total_seconds() >= SETTLE_SECONDS]:
-                out.append((*key, line, *open_.pop(line)[:3]))
-            old = open_.get(row.line_id)
-            if row.removed:
-                if old:
-                    out.append((*key, row.line_id, *old[:3]))
-                    del open_[row.line_id]
-                continue
-            if not (row.author or "").strip() or not (row.text or "").strip():
-                continue
-            if old and old[0] != row.author:
-                out.append((*key, row.line_id, *old[:3]))
-                old = None
-            if not old:
-                open_ = {k: (*v[:3], v[3] or row.ts) for k, v in open_.items()}
-            open_[row.line_id] = (row.author, row.text, row.ts, old[3] if old else None)
-        self._store(open_)
-        yield pd.DataFrame(out, columns=["meeting_id", "line_id", "author", "text", "ts"])
-
-    def _store(self, open_: dict) -> None:
-        self.lines.clear()
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        for line, value in open_.items():
-            self.lines.updateValue((line,), value)
-            if value[3] is not None:
-                self.handle.registerTimer(int((value[3] + pd.Timedelta(seconds=SETTLE_SECONDS)).timestamp() * 1000))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs() / 1000
-        open_ = {k[0]: tuple(v) for k, v in self.lines.iterator()}
-        due = [k for k, v in open_.items() if v[3] is not None and v[3].timestamp() + SETTLE_SECONDS <= at + 1e-3]
-        out = [(*key, k, *open_.pop(k)[:3]) for k in due]
-        self._store(open_)
-        yield pd.DataFrame(out, columns=["meeting_id", "line_id", "author", "text", "ts"])
-
-    def close(self) -> None:
-        pass
-
-
-def finalize_lines(mutations: DataFrame, watermark: str = "10 seconds") -> DataFrame:
-    """mutations (meeting_id, ts, line_id, author, text, removed) to final captions."""
+def finalize_lines(mutations: DataFrame, watermark: str = "10 seconds", partials: bool = False) -> DataFrame:
+    """mutations (meeting_id, ts, line_id, author, text, removed, stopped) to final captions; with ``partials`` each edit too, for a live view."""
     return mutations.withWatermark("ts", watermark).groupBy("meeting_id").transformWithStateInPandas(
-        LineFinalizer(), outputStructType="meeting_id string, line_id long, author string, text string, ts timestamp", outputMode="append", timeMode="EventTime"
+        LineFinalizer(partials), outputStructType=SPOKEN, outputMode="append", timeMode="EventTime"
     )
 
 
 def dedupe_batches(batches: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Each (meeting, seq) once, within the watermark; state older than it is dropped."""
     return batches.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["meeting_id", "seq"])
-
-
-def silence_sessions(captions: DataFrame, gap: str = SILENCE, watermark: str | None = "1 hour", keys: tuple[str, ...] = ("meeting_id",)) -> DataFrame:
-    """keys, since, until, captions: runs of captions without a silence as long as the gap; batch and stream alike."""
-    rows = captions.withWatermark("ts", watermark) if watermark and captions.isStreaming else captions
-    found = rows.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("captions"))
-    return found.select(*keys, F.col("w.start").alias("since"), F.col("w.end").alias("until"), "captions")
-
-
-def end_reason(ended: Column, silent_seconds: Column, ever_captioned: Column, absent_seconds: Column) -> Column:
-    """Why a capture is over: 'ended', 'silence' (300 s), 'absence' (60 s and never captioned), or null."""
-    return F.when(ended, "ended").when(ever_captioned & (silent_seconds >= 300), "silence").when(~ever_captioned & (absent_seconds >= 60), "absence")
-
-
-def signal_health(events: DataFrame, keys: tuple[str, ...] = ("meeting_id",)) -> DataFrame:
-    """Running state of a capture's signals from events (kind caption, ring or read; ts)."""
-    return events.groupBy(*keys).agg(
-        F.bool_or(F.col("kind") == "caption").alias("captions_seen"), F.bool_or(F.col("kind") == "ring").alias("ring_seen"),
-        F.count_if(F.col("kind") == "read").alias("reads"), F.max("ts").alias("last_heartbeat"),
-    )
-
-
-def learned_chrome(polls: DataFrame, baseline: float = 3.0, persistence: float = 15.0) -> DataFrame:
-    """meeting_id, chunk: texts that stand on screen in the first seconds, or without a break for long, and don't look like captions.
-
-    polls: meeting_id, poll, t (seconds from the start), chunk, caption_like.
-    """
-    from pyspark.sql import Window
-
-    shown = polls.filter(~F.col("caption_like")).select("meeting_id", "poll", "t", "chunk").distinct()
-    w = Window.partitionBy("meeting_id", "chunk").orderBy("poll")
-    runs = shown.withColumn("_run", F.col("poll") - F.row_number().over(w)).groupBy("meeting_id", "chunk", "_run").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    learned = runs.filter((F.col("t0") <= baseline) | (F.col("t1") - F.col("t0") >= persistence))
-    return learned.select("meeting_id", "chunk").distinct()
-
-
-def replay_captions(observed: DataFrame) -> DataFrame:
-    """The published captions of recorded observations (meeting_id, ord, ts, speaker, text), in one pass over each meeting's sorted rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = now = None
-        for frame in batches:
-            out = []
-            for row in frame.itertuples(index=False):
-                if row.meeting_id != key:
-                    if now:
-                        out.append((key, *now))
-                    key, now = row.meeting_id, None
-                if not (row.text or "").strip():
-                    continue
-                if now and (row.ts - now[2]).total_seconds() >= STABLE_SECONDS:
-                    out.append((key, *now))
-                    now = None
-                if not now:
-                    now = (row.speaker, row.text, row.ts)
-                elif now[0] == row.speaker and is_revision(now[1], row.text):
-                    if len(comparable(row.text)) > len(comparable(now[1])):
-                        now = (row.speaker, row.text, row.ts)
-                elif now[0] != row.speaker or not is_revision(row.text, now[1]):
-                    out.append((key, *now))
-                    now = (row.speaker, row.text, row.ts)
-            yield pd.DataFrame(out, columns=["meeting_id", "speaker", "text", "ts"])
-        if now:
-            yield pd.DataFrame([(key, *now)], columns=["meeting_id", "speaker", "text", "ts"])
-
-    rows = observed.select("meeting_id", "ord", "ts", "speaker", "text").repartition("meeting_id").sortWithinPartitions("meeting_id", "ts", "ord")
-    return rows.mapInPandas(run, "meeting_id string, speaker string, text string, ts timestamp")
-
-
-class PresenceDebouncer(StatefulProcessor):
-    """A meeting's presence, believed once it has held for ``join_after`` or ``leave_after`` seconds; each change of belief is one row."""
-
-    def __init__(self, join_after: float, leave_after: float):
-        self.needed = {True: join_after, False: leave_after}
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "believed boolean, present boolean, since timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        believed, present, since = tuple(self.state.get()) if self.state.exists() else (None, None, None)
-        for row in pd.concat(list(rows)).sort_values("ts").itertuples():
-            # a run lasts until the reading that ends it
-            if present is not None and present != believed and (row.ts - since).total_seconds() >= self.needed[present]:
-                believed = present
-                out.append((*key, since, present))
-            if row.present != present:
-                present, since = bool(row.present), row.ts
-        self._store(believed, present, since)
-        yield pd.DataFrame(out, columns=["meeting_id", "since", "present"])
-
-    def _store(self, believed, present, since) -> None:
-        self.state.update((believed, present, since))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if present != believed:
-            self.handle.registerTimer(int((since + pd.Timedelta(seconds=self.needed[present])).timestamp() * 1000))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        believed, present, since = tuple(self.state.get())
-        out = []
-        if present != believed:
-            out.append((*key, since, present))
-            self.state.update((present, present, since))
-        yield pd.DataFrame(out, columns=["meeting_id", "since", "present"])
-
-    def close(self) -> None:
-        pass
-
-
-def debounce_presence(readings: DataFrame, join_after: float = 3.0, leave_after: float = 8.0, watermark: str = "10 seconds") -> DataFrame:
-    """readings (meeting_id, ts, present) to the changes that lasted (meeting_id, since, present)."""
-    return readings.withWatermark("ts", watermark).groupBy("meeting_id").transformWithStateInPandas(
-        PresenceDebouncer(join_after, leave_after), outputStructType="meeting_id string, since timestamp, present boolean", outputMode="append", timeMode="EventTime"
-    )
-
-
-POLL_MILLIS, STABLE_MILLIS = 750, 2000
-
-
-def simulate_polls(polls: DataFrame, poll_ms: int = POLL_MILLIS, stable_ms: int = STABLE_MILLIS) -> DataFrame:
-    """What a watcher that polls every ``poll_ms`` publishes of a denser recording: meeting_id, n, speaker, text.
-
-    polls: meeting_id, t (milliseconds), shown (array of structs of speaker and text, in order; empty where the
-    view shows no captions). The first poll that shows any only seeds the comparison. Captions that the poll
-    before didn't show are submitted: they revise the pending one, or publish it and take its place; a pending
-    one is published too when it has stood for ``stable_ms``, and at the end. Each meeting's polls stream through
-    in order; a shuffle brings them together.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = state = None
-        for frame in batches:
-            out = []
-            for row in frame.itertuples(index=False):
-                if row.meeting_id != key:
-                    if state:
-                        state.publish()
-                        out += state.taken(key)
-                    key, state = row.meeting_id, _Watcher(stable_ms)
-                if row.t >= state.next_poll:
-                    state.next_poll = row.t + poll_ms
-                    state.poll(row.t, [(x["speaker"], x["text"]) for x in row.shown])
-                    out += state.taken(key)
-            yield pd.DataFrame(out, columns=["meeting_id", "n", "speaker", "text"])
-        if state:
-            state.publish()
-            yield pd.DataFrame(state.taken(key), columns=["meeting_id", "n", "speaker", "text"])
-
-    rows = polls.select("meeting_id", "t", "shown").repartition("meeting_id").sortWithinPartitions("meeting_id", "t")
-    return rows.mapInPandas(run, "meeting_id string, n long, speaker string, text string")
-
-
-class _Watcher:
-    def __init__(self, stable_ms: int):
-        self.stable_ms, self.next_poll, self.pending, self.since, self.before, self.done, self.n = stable_ms, 0, None, None, None, [], 0
-
-    def publish(self) -> None:
-        if self.pending:
-            self.done.append((self.n, *self.pending))
-            self.n += 1
-        self.pending = self.since = None
-
-    def taken(self, key: str) -> list[tuple]:
-        out, self.done = [(key, *x) for x in self.done], []
-        return out
-
-    def poll(self, t: int, shown: list[tuple[str, str]]) -> None:
-        if shown:
-            for caption in shown if self.before is not None else ():
-                if caption not in self.before:
-                    self.submit(caption, t)
-            self.before = set(shown)
-        if self.pending and t - self.since >= self.stable_ms:
-            self.publish()
-
-    def submit(self, caption: tuple[str, str], t: int) -> None:
-        speaker, text = caption
-        if not text.strip():
-            return
-        if self.pending and self.pending[0] == speaker and is_revision(self.pending[1], text):
-            if len(comparable(text)) > len(comparable(self.pending[1])):
-                self.pending, self.since = caption, t
-        elif not (self.pending and self.pending[0] == speaker and is_revision(text, self.pending[1])):
-            self.publish()
-            self.pending, self.since = caption, t
