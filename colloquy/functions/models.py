@@ -19,19 +19,20 @@ from pyspark.sql import functions as F
 
 Model = Callable[[str, str | None], str]
 
-#: Result of each call, as a schema.
+_ITEM = "text:string,verbatimQuote:string,turnId:string,inferred:boolean"
+_CLAIM = "claims array<struct<claim:string,verdict:string,quote:string,turnId:string,critical:boolean>>"
+#: Result of each call, as a schema: the fields that an answer is brought to.
 CONTRACTS = {
     "clean": "turns array<struct<sourceIds:array<string>,speaker:string,text:string>>, chapters array<struct<startTime:double,title:string>>, qualityScore double, garbledPct double",
-    "extract": "decisions array<struct<text:string,verbatimQuote:string,turnId:string>>, actionItems array<struct<text:string,verbatimQuote:string,turnId:string,owner:string,due:string>>, "
-    "openQuestions array<struct<text:string,verbatimQuote:string,turnId:string>>, keyNumbers array<struct<text:string,verbatimQuote:string,turnId:string>>, participants array<string>",
+    "extract": f"decisions array<struct<{_ITEM}>>, actionItems array<struct<{_ITEM},owner:string,due:string,done:boolean>>, openQuestions array<struct<{_ITEM}>>, keyNumbers array<struct<{_ITEM}>>, participants array<string>",
     "summarise": "text string",
-    "verify": "claims array<struct<claim:string,verdict:string,quote:string>>",
-    "rejudge": "claims array<struct<claim:string,verdict:string,quote:string>>",
+    "verify": _CLAIM,
+    "rejudge": _CLAIM,
     "repair": "text string",
     "answer": "answer string, sufficient boolean",
-    "plan": "query string, timeExplicit boolean, dateFrom string, dateTo string, targetTypes array<string>",
-    "clean_note": "title string, text string",
-    "memory": "answer string, refs array<string>",
+    "plan": "searchQuery string, timeIsExplicit boolean, fromEpoch double, toEpoch double, targetTypes array<string>",
+    "clean_note": "title string, cleanText string",
+    "memory": "answer_md string, citations array<string>",
 }
 #: Verdicts on a claim.
 VERDICTS = ("SUPPORTED", "PARTIAL", "UNSUPPORTED", "UNCERTAIN")
@@ -94,12 +95,15 @@ def _clean(data: dict, turn_ids: set[str] | None) -> None:
 
 def _extract(data: dict, turn_ids: set[str] | None) -> None:
     for name in ("decisions", "actionItems", "openQuestions", "keyNumbers"):
-        for path, item in _objects(data, name, optional=True):
+        data[name] = _list(data, name, "$", optional=True)
+        for path, item in _objects(data, name):
             for field in ("text", "verbatimQuote", "turnId"):
                 _text(item, field, path)
+            item["inferred"] = item.get("inferred") is True
             if name == "actionItems":
-                _text(item, "owner", path, optional=True), _text(item, "due", path, optional=True)
-    _texts(data, "participants", "$", optional=True)
+                item["owner"], item["due"] = _text(item, "owner", path, optional=True), _text(item, "due", path, optional=True)
+                item["done"] = item.get("done") is True
+    data["participants"] = _texts(data, "participants", "$", optional=True)
 
 
 def _anchored(data: dict, turn_ids: set[str] | None) -> None:
@@ -114,37 +118,63 @@ def _anchored(data: dict, turn_ids: set[str] | None) -> None:
 def _claims(data: dict, turn_ids: set[str] | None) -> None:
     for path, claim in _objects(data, "claims"):
         _need(_text(claim, "verdict", path) in VERDICTS, f"{path}.verdict", f"not one of {', '.join(VERDICTS)}")
-        _text(claim, "quote", path, optional=True), _text(claim, "turnId", path, optional=True), _text(claim, "claim", path)
+        claim["quote"], claim["turnId"] = _text(claim, "quote", path, optional=True), _text(claim, "turnId", path, optional=True)
+        _text(claim, "claim", path)
+        claim["critical"] = claim.get("critical") is True
     _need(len(data["claims"]) > 0, "$.claims", "empty")
 
 
+def _filled(data: dict, name: str) -> str:
+    value = _text(data, name, "$")
+    _need(value.strip() != "", f"$.{name}", "empty")
+    return value
+
+
 def _answer(data: dict, turn_ids: set[str] | None) -> None:
     _text(data, "answer", "$")
     _need(isinstance(data.get("sufficient", True), bool), "$.sufficient", "not a boolean")
-    _texts(data, "refs", "$", optional=True)
+
+
+def _memory(data: dict, turn_ids: set[str] | None) -> None:
+    _filled(data, "answer_md")
+    data["citations"] = _texts(data, "citations", "$", optional=True)
 
 
 def _plan(data: dict, turn_ids: set[str] | None) -> None:
-    _need(_text(data, "query", "$").strip() != "", "$.query", "empty")
-    _need(isinstance(data.get("timeExplicit", False), bool), "$.timeExplicit", "not a boolean")
-    _text(data, "dateFrom", "$", optional=True), _text(data, "dateTo", "$", optional=True)
-    _texts(data, "targetTypes", "$", optional=True)
+    _filled(data, "searchQuery")
+    _number(data, "fromEpoch", "$", optional=True), _number(data, "toEpoch", "$", optional=True)
+    # an empty list of types is none
+    data["targetTypes"] = _texts(data, "targetTypes", "$", optional=True) or None
+    _need(isinstance(data.get("timeIsExplicit"), bool), "$.timeIsExplicit", "not a boolean")
 
 
 def _note(data: dict, turn_ids: set[str] | None) -> None:
-    _need(len(_text(data, "title", "$")) <= NOTE_TITLE, "$.title", f"over {NOTE_TITLE} characters")
-    _need(_text(data, "text", "$").strip() != "", "$.text", "empty")
+    data["title"] = cut_units(_text(data, "title", "$").strip(), NOTE_TITLE)
+    _need(data["title"] != "", "$.title", "empty")
+    _filled(data, "cleanText")
+
+
+def cut_units(text: str, most: int) -> str:
+    """The first so many UTF-16 units of a text; half a pair becomes U+FFFD."""
+    return text.encode("utf-16-le")[: 2 * most].decode("utf-16-le", "replace")
 
 
 NOTE_TITLE = 60
-_CHECKS = {"clean": _clean, "extract": _extract, "summarise": _anchored, "verify": _claims, "rejudge": _claims, "repair": _anchored, "answer": _answer, "plan": _plan, "clean_note": _note, "memory": _answer}
+_CHECKS = {"clean": _clean, "extract": _extract, "summarise": _anchored, "verify": _claims, "rejudge": _claims, "repair": _anchored, "answer": _answer, "plan": _plan, "clean_note": _note, "memory": _memory}
+
+
+def checked(name: str, data: object, turn_ids: set[str] | None = None) -> dict:
+    """The answer with the fields of its contract (flags are true only where they say so, a title is cut); raises Broken where it can't hold. Any JSON value is taken."""
+    _need(isinstance(data, dict), "$", "not an object")
+    out = json.loads(json.dumps(data))
+    _CHECKS[name](out, turn_ids)
+    return out
 
 
 def invalid(name: str, data: object, turn_ids: set[str] | None = None) -> str | None:
-    """Why an answer breaks its contract, with the path of the fault; None if it holds. Any JSON value is taken."""
+    """Why an answer breaks its contract, with the path of the fault; None if it holds."""
     try:
-        _need(isinstance(data, dict), "$", "not an object")
-        _CHECKS[name](data, turn_ids)
+        checked(name, data, turn_ids)
     except Broken as fault:
         return str(fault)
     return None
@@ -154,12 +184,11 @@ def _called(model: Model, name: str, prompt: str, turn_ids: list[str] | None) ->
     fault = None
     for _ in range(2):
         try:
-            text = model(prompt, fault)
-            fault = invalid(name, json.loads(text), set(turn_ids) if turn_ids is not None else None)
+            return json.dumps(checked(name, json.loads(model(prompt, fault)), set(turn_ids) if turn_ids is not None else None)), None
+        except Broken as broken:
+            fault = str(broken)
         except ValueError as error:
-            text, fault = None, f"$: {error}"
-        if fault is None:
-            return text, None
+            fault = f"$: {error}"
     return None, fault
 
 

@@ -68,12 +68,49 @@ def gate_a(unresolved_pct: Column, margin: Column, agreement: Column) -> Column:
     return _chain((unresolved_pct > A_UNRESOLVED, True, "unresolved"), (margin < A_MARGIN, True, "margin"), (agreement < A_AGREEMENT, True, "agreement"))
 
 
+def _told(name: str, form: str, value: Column, sign: str, bound: float) -> Column:
+    return F.format_string(f"{name} {form} {sign} {bound:g}", value)
+
+
 def told_gate_a(unresolved_pct: Column, margin: Column, agreement: Column) -> Column:
     """The reason of gate_a as text with the value and its bound; null where it doesn't fire."""
-    told = lambda name, form, value, sign, bound: F.format_string(f"{name} {form} {sign} {bound:g}", value)
     return (
-        F.when(unresolved_pct > A_UNRESOLVED, told("unresolvedPct", "%.1f", unresolved_pct, ">", A_UNRESOLVED))
-        .when(margin < A_MARGIN, told("labelMarginMin", "%.2f", margin, "<", A_MARGIN)).when(agreement < A_AGREEMENT, told("captionAgreementPct", "%.1f", agreement, "<", A_AGREEMENT))
+        F.when(unresolved_pct > A_UNRESOLVED, _told("unresolvedPct", "%.1f", unresolved_pct, ">", A_UNRESOLVED))
+        .when(margin < A_MARGIN, _told("labelMarginMin", "%.2f", margin, "<", A_MARGIN)).when(agreement < A_AGREEMENT, _told("captionAgreementPct", "%.1f", agreement, "<", A_AGREEMENT))
+    )
+
+
+def told_gate_b(consent_tier: Column, sources: Column, tab_segments: Column, flagged: Column, mean: Column, p10: Column) -> Column:
+    """The reason of gate_b, whether it fires or is closed; null where all is well. Texts are fixed values."""
+    return (
+        F.when(~consent_tier.eqNullSafe(F.lit(2)), "no upload consent (tier < 2): re-ASR unavailable")
+        .when(~F.coalesce(F.array_contains(sources, "tab"), F.lit(False)), "no tab audio declared at finalize")
+        .when(tab_segments == 0, "no tab ASR segments: batch merge has nothing to attach to")
+        .when(F.coalesce(flagged, F.lit(False)), "meeting flagged important")
+        .when(mean < B_MEAN, _told("tabMeanConfidence", "%.2f", mean, "<", B_MEAN)).when(p10 < B_P10, _told("tabP10Confidence", "%.2f", p10, "<", B_P10))
+    )
+
+
+def told_gate_c(mean: Column, p10: Column, wer: Column, quality: Column, garbled: Column, has_asr: Column) -> Column:
+    """The reason of gate_c; null where it doesn't fire. Texts are fixed values."""
+    return (
+        F.when(mean.isNull() & has_asr, "no asr scores: conservative tier")
+        .when(mean < C_MEAN, _told("meanConfidence", "%.2f", mean, "<", C_MEAN)).when(p10 < C_P10, _told("p10Confidence", "%.2f", p10, "<", C_P10))
+        .when(wer > C_WER, _told("captionWerProxy", "%.2f", wer, ">", C_WER))
+        .when(quality < C_QUALITY, F.format_string("self-report qualityScore %.2f", quality)).when(garbled > C_GARBLED, F.format_string("self-report garbledPct %.1f", garbled))
+    )
+
+
+def told_gate_e(unsupported: Column, critical: Column, rate: Column, prior: Column, tier: Column) -> Column:
+    """The reason of gate_e's action. Texts are fixed values."""
+    at = F.format_string("unsupportedRate %.2f", rate)
+    mild = (rate <= E_RATE) & (critical == 0)
+    trigger = F.when(critical > 0, F.concat(critical.cast("string"), F.lit(" critical claim(s) unsupported"))).otherwise(F.concat(at, F.lit(f" > {E_RATE:g}")))
+    end = F.when(tier == "haiku", ": escalate to sonnet").when(tier == "sonnet", ": escalate to opus").otherwise(": ladder exhausted, publish needs_review")
+    return (
+        F.when(unsupported == 0, "0 unsupported")
+        .when(mild & (prior == 0), F.concat(at, F.lit(f" ≤ {E_RATE:g}, no critical: targeted repair"))).when(mild, F.concat(at, F.lit(", no critical: acceptable residual")))
+        .otherwise(F.concat(trigger, end))
     )
 
 

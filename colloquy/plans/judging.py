@@ -54,7 +54,14 @@ def gate_a(spark, d):
 
 
 def gate_reasons(spark, d):
-    return _facts(spark, d).select("meeting_id", gates.told_gate_a(F.col("unresolved") + F.lit(0.26), F.col("margin"), F.col("agreement")).alias("reason"))
+    f, rate = _facts(spark, d), F.col("bad") / F.greatest(F.col("claims"), F.lit(1))
+    told = {
+        "A": gates.told_gate_a(F.col("unresolved") + F.lit(0.26), F.col("margin"), F.col("agreement")),
+        "B": gates.told_gate_b(*map(F.col, ("tier", "sources", "tab_n", "flagged", "mean", "p10"))),
+        "C": gates.told_gate_c(*map(F.col, ("mean", "p10", "wer", "quality", "garbled", "has_asr"))),
+        "E": gates.told_gate_e(F.col("bad"), F.col("critical"), rate, F.col("prior"), F.col("draft")),
+    }
+    return f.select("meeting_id", F.explode(F.create_map(*(x for k, c in told.items() for x in (F.lit(k), c)))).alias("gate", "reason"))
 
 
 def gate_b(spark, d):
@@ -199,7 +206,15 @@ ORACLES = {
         (SELECT meeting_id, t, count(*) AS n FROM (SELECT meeting_id, unnest({i.tokens('text')}) AS t FROM captions WHERE final) GROUP BY ALL) x FULL JOIN
         (SELECT meeting_id, t, count(*) AS n FROM (SELECT meeting_id, unnest({i.tokens('text')}) AS t FROM segments WHERE source <> 'caption') GROUP BY ALL) y USING (meeting_id, t)) GROUP BY 1 HAVING sum(a) > 0 AND sum(b) > 0""", "base", "segments", "captions"),
     "gate_a": chain(("unresolved > 15", True, "unresolved"), ("margin < 0.3", True, "margin"), ("agreement < 80", True, "agreement")),
-    "gate_reasons": facts("SELECT meeting_id, CASE WHEN unresolved + 0.26 > 15 THEN printf('unresolvedPct %.1f > 15', unresolved + 0.26) WHEN margin < 0.3 THEN printf('labelMarginMin %.2f < 0.3', margin) WHEN agreement < 80 THEN printf('captionAgreementPct %.1f < 80', agreement) END AS reason FROM facts"),
+    "gate_reasons": facts("""SELECT meeting_id, 'A' AS gate, CASE WHEN unresolved + 0.26 > 15 THEN printf('unresolvedPct %.1f > 15', unresolved + 0.26) WHEN margin < 0.3 THEN printf('labelMarginMin %.2f < 0.3', margin)
+        WHEN agreement < 80 THEN printf('captionAgreementPct %.1f < 80', agreement) END AS reason FROM facts
+        UNION ALL SELECT meeting_id, 'B', CASE WHEN tier <> 2 THEN 'no upload consent (tier < 2): re-ASR unavailable' WHEN NOT has_tab THEN 'no tab audio declared at finalize' WHEN tab_n = 0 THEN 'no tab ASR segments: batch merge has nothing to attach to'
+        WHEN flagged THEN 'meeting flagged important' WHEN mean < 0.8 THEN printf('tabMeanConfidence %.2f < 0.8', mean) WHEN p10 < 0.5 THEN printf('tabP10Confidence %.2f < 0.5', p10) END FROM facts
+        UNION ALL SELECT meeting_id, 'C', CASE WHEN mean IS NULL AND has_asr THEN 'no asr scores: conservative tier' WHEN mean < 0.8 THEN printf('meanConfidence %.2f < 0.8', mean) WHEN p10 < 0.5 THEN printf('p10Confidence %.2f < 0.5', p10)
+        WHEN wer > 0.35 THEN printf('captionWerProxy %.2f > 0.35', wer) WHEN quality < 0.5 THEN printf('self-report qualityScore %.2f', quality) WHEN garbled > 20 THEN printf('self-report garbledPct %.1f', garbled) END FROM facts
+        UNION ALL SELECT meeting_id, 'E', CASE WHEN bad = 0 THEN '0 unsupported' WHEN rate <= 0.1 AND critical = 0 AND prior = 0 THEN told || ' ≤ 0.1, no critical: targeted repair' WHEN rate <= 0.1 AND critical = 0 THEN told || ', no critical: acceptable residual'
+        ELSE CASE WHEN critical > 0 THEN critical || ' critical claim(s) unsupported' ELSE told || ' > 0.1' END || CASE draft WHEN 'haiku' THEN ': escalate to sonnet' WHEN 'sonnet' THEN ': escalate to opus' ELSE ': ladder exhausted, publish needs_review' END END
+        FROM (SELECT *, bad / greatest(claims, 1)::DOUBLE AS rate, printf('unsupportedRate %.2f', bad / greatest(claims, 1)::DOUBLE + 1e-9) AS told FROM facts)"""),
     "gate_b": chain(("tier <> 2", False, "no consent"), ("NOT has_tab", False, "no tab audio"), ("tab_n = 0", False, "no tab segments"), ("flagged", True, "flagged"), ("mean < 0.8", True, "mean"), ("p10 < 0.5", True, "p10")),
     "gate_c": chain(("mean IS NULL AND has_asr", True, "no scores"), ("mean < 0.8", True, "mean"), ("p10 < 0.5", True, "p10"), ("wer > 0.35", True, "wer"), ("quality < 0.5", True, "self quality"), ("garbled > 20", True, "garbled")),
     "gate_d": facts("SELECT meeting_id, bad > 0 AS fired FROM facts"),

@@ -417,17 +417,24 @@ def fragment_prompt(spark, d):
 
 # model contracts ---------------------------------------------------------------------------
 #: For each contract an answer that holds, and one that doesn't.
+#: Contract and case: a good answer, a bad one, where the bad one breaks, and what the good one is brought to.
 _ANSWERS = {
-    "clean": ({"turns": [{"sourceIds": ["s0"], "speaker": "Ana", "text": "x"}]}, {"turns": [{"sourceIds": [], "speaker": "Ana", "text": "x"}]}),
-    "extract": ({"decisions": [{"text": "a", "verbatimQuote": "b", "turnId": "T1"}]}, {"decisions": [{"text": "a", "verbatimQuote": 5, "turnId": "T1"}]}),
-    "summarise": ({"text": "All fine [T1]"}, {"text": None}),
-    "verify": ({"claims": [{"claim": "a", "verdict": "UNCERTAIN"}]}, {"claims": []}),
-    "rejudge": ({"claims": [{"claim": "a", "verdict": "PARTIAL", "quote": "q"}]}, {"claims": [{"claim": "a", "verdict": "AMBIGUOUS"}]}),
-    "repair": ({"text": "Fine [T2]"}, {"text": "no anchor"}),
-    "answer": ({"answer": "yes", "sufficient": True}, {"answer": None}),
-    "plan": ({"query": "what", "timeExplicit": False}, {"query": " "}),
-    "clean_note": ({"title": "t", "text": "x"}, {"title": 7, "text": "x"}),
-    "memory": ({"answer": "yes"}, "text"),
+    "clean": ({"turns": [{"sourceIds": ["s0"], "speaker": "Ana", "text": "x"}]}, {"turns": [{"sourceIds": [], "speaker": "Ana", "text": "x"}]}, "$.turns[0].sourceIds", '{"turns":[{"sourceIds":["s0"],"speaker":"Ana","text":"x"}]}'),
+    "extract": (
+        {"decisions": [{"text": "a", "verbatimQuote": "b", "turnId": "T1", "inferred": True}], "actionItems": [{"text": "a", "verbatimQuote": "b", "turnId": "T2", "owner": "", "due": "mon", "done": True}]},
+        {"decisions": [{"text": "a", "verbatimQuote": 5, "turnId": "T1"}]}, "$.decisions[0].verbatimQuote",
+        '{"decisions":[{"text":"a","verbatimQuote":"b","turnId":"T1","inferred":true}],"actionItems":[{"text":"a","verbatimQuote":"b","turnId":"T2","inferred":false,"due":"mon","done":true}],"openQuestions":[],"keyNumbers":[],"participants":[]}',
+    ),
+    "summarise": ({"text": "All fine [T1]"}, {"text": None}, "$.text", '{"text":"All fine [T1]"}'),
+    "verify": ({"claims": [{"claim": "a", "verdict": "UNCERTAIN", "turnId": "T3", "critical": True}]}, {"claims": []}, "$.claims", '{"claims":[{"claim":"a","verdict":"UNCERTAIN","turnId":"T3","critical":true}]}'),
+    "rejudge": ({"claims": [{"claim": "a", "verdict": "PARTIAL", "quote": "q", "critical": "yes"}]}, {"claims": [{"claim": "a", "verdict": "AMBIGUOUS"}]}, "$.claims[0].verdict", '{"claims":[{"claim":"a","verdict":"PARTIAL","quote":"q","critical":false}]}'),
+    "repair": ({"text": "Fine [T2]"}, {"text": "no anchor"}, "$.text", '{"text":"Fine [T2]"}'),
+    "answer": ({"answer": "yes", "sufficient": True}, {"answer": None}, "$.answer", '{"answer":"yes","sufficient":true}'),
+    "plan": ({"searchQuery": "what", "timeIsExplicit": False, "targetTypes": []}, {"searchQuery": " ", "timeIsExplicit": False}, "$.searchQuery", '{"searchQuery":"what","timeIsExplicit":false}'),
+    "plan/epochs": ({"searchQuery": "when", "timeIsExplicit": True, "fromEpoch": 1700000000, "toEpoch": 1700000001.5, "targetTypes": ["note"]}, {"searchQuery": "when", "fromEpoch": 1}, "$.timeIsExplicit", '{"searchQuery":"when","timeIsExplicit":true,"fromEpoch":1.7E9,"toEpoch":1.7000000015E9,"targetTypes":["note"]}'),
+    "clean_note": ({"title": " " + "t" * 61, "cleanText": "x"}, {"title": "  ", "cleanText": "x"}, "$.title", '{"title":"' + "t" * 60 + '","cleanText":"x"}'),
+    "memory": ({"answer_md": "yes"}, {"answer_md": " \n"}, "$.answer_md", '{"answer_md":"yes","citations":[]}'),
+    "memory/cited": ({"answer_md": "yes", "citations": ["N:1"]}, "text", "$", '{"answer_md":"yes","citations":["N:1"]}'),
 }
 
 
@@ -435,14 +442,15 @@ def model_contracts(spark, d):
     """Every contract with a stub model: of four prompts one is answered well, one on the second try, one never, one with no JSON."""
     rows = i.read(spark, d, "events").select("event_id")
     out = None
-    for name, (good, bad) in _ANSWERS.items():
+    for name, (good, bad, _, _) in _ANSWERS.items():
 
         def stub(prompt, fault, good=good, bad=bad):
             k = int(prompt) % 4
             return "no JSON" if k == 3 else json.dumps(good if k == 0 or (k == 1 and fault) else bad)
 
-        made = models.call(rows.withColumn("prompt", F.col("event_id").cast("string")), name, stub)
-        part = made.select("event_id", F.lit(name).alias("contract"), F.col("result").isNotNull().alias("held"), F.coalesce(F.split("error", ":")[0], F.lit("")).alias("place"))
+        made = models.call(rows.withColumn("prompt", F.col("event_id").cast("string")), name.split("/")[0], stub)
+        told = F.when(F.col("result").isNotNull(), F.to_json("result"))
+        part = made.select("event_id", F.lit(name).alias("contract"), F.col("result").isNotNull().alias("held"), F.coalesce(F.split("error", ":")[0], F.lit("")).alias("place"), told.alias("told"))
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -454,7 +462,6 @@ QUERIES = {f.__name__: f for f in (
     recall_alignment, repair_targets, roster_union, located_quotes, item_validation, cited_cards, retrieval_gate, extraction_chunks, chapter_chunks, summary_chunks, meeting_chunks, raw_prompt, clean_prompt, history_prompt, fragment_prompt, model_contracts,
 )}
 
-_PLACES = {"clean": "$.turns[0].sourceIds", "extract": "$.decisions[0].verbatimQuote", "summarise": "$.text", "verify": "$.claims", "rejudge": "$.claims[0].verdict", "repair": "$.text", "answer": "$.answer", "plan": "$.query", "clean_note": "$.title", "memory": "$"}
 _TURN_WINDOWS = """r AS (SELECT meeting_id, ord, ord // 4 AS c, 'T' || (ord + 1) AS id, '[T' || (ord + 1) || '] ' || speaker || ': ' || text AS line FROM turns),
     k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY meeting_id, c ORDER BY ord) AS n, CAST(ceil(length(line) / 4) AS BIGINT) AS t FROM r),
     sums AS MATERIALIZED (SELECT *, sum(t) OVER (PARTITION BY meeting_id, c ORDER BY n) AS upto, count(*) OVER (PARTITION BY meeting_id, c) AS total FROM k),
@@ -531,7 +538,8 @@ ORACLES = {
     "history_prompt": sql("SELECT meeting_id AS thread_id, md5(string_agg(CASE WHEN role = 'user' THEN 'Usuario' ELSE 'Asistente' END || ': ' || text, chr(10) ORDER BY ord)) AS text FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY ord DESC) AS n FROM base) WHERE n <= 3 GROUP BY 1", "base"),
     "fragment_prompt": sql("""SELECT meeting_id AS query_id, md5(string_agg('--- Fragmento ' || CASE ord % 3 WHEN 0 THEN 'M:' || meeting_id || ':T' || ord WHEN 1 THEN 'M:' || meeting_id ELSE 'N:n' || ord END || ' (' || ['chapter', 'summary', 'note'][ord % 3 + 1] || ', '
         || strftime(make_timestamp(ord * 86400 * 1000000), '%Y-%m-%d') || ') ---' || chr(10) || text, chr(10) || chr(10) ORDER BY ord)) AS text FROM turns GROUP BY 1""", "base", "turns"),
-    "model_contracts": "SELECT event_id, contract, event_id % 4 < 2 AS held, CASE WHEN event_id % 4 < 2 THEN '' WHEN event_id % 4 = 3 THEN '$' ELSE place END AS place FROM events, (SELECT unnest(" + _cases(list(_PLACES)) + ") AS contract, unnest(" + _cases(list(_PLACES.values())) + ") AS place)",
+    "model_contracts": "SELECT event_id, contract, event_id % 4 < 2 AS held, CASE WHEN event_id % 4 < 2 THEN '' WHEN event_id % 4 = 3 THEN '$' ELSE place END AS place, CASE WHEN event_id % 4 < 2 THEN told END AS told FROM events, (SELECT unnest("
+    + _cases(list(_ANSWERS)) + ") AS contract, unnest(" + _cases([x[2] for x in _ANSWERS.values()]) + ") AS place, unnest(" + _cases([x[3] for x in _ANSWERS.values()]) + ") AS told)",
     "quote_exists": sql(f"""SELECT meeting_id, ord, {_containment('n', 'h')} >= 0.8 AS exists FROM (SELECT meeting_id, ord, {i.tokens('q')} AS n, {i.tokens('text')} AS h FROM
         (SELECT a.meeting_id, a.ord, a.text, CASE WHEN a.ord % 3 = 0 THEN array_to_string(string_split(b.text, ' ')[1:6], ' ') ELSE translate(array_to_string(string_split(a.text, ' ')[1:6], ' '), '{_SMALL}', '{_SMALL.upper()}') END AS q FROM turns a JOIN turns b ON a.meeting_id = b.meeting_id AND b.ord = a.ord + 1))""", "base", "turns"),
 }

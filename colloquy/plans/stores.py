@@ -252,11 +252,11 @@ def sortable_ids(spark, d):
 
 
 def note_model(spark, d):
-    """The note contract with a stub model: the title is the first words, and answers fail first for every text with a digit."""
+    """The note contract with a stub model: a title longer than may be is cut, and answers fail first, with a blank title, for texts with a digit 1."""
     import json
 
     def stub(prompt, fault):
-        return json.dumps({"title": prompt[:20] if fault or "1" not in prompt else "x" * 61, "text": prompt.strip()})
+        return json.dumps({"title": prompt if fault or "1" not in prompt else " ", "cleanText": prompt})
 
     rows = i.turns(spark, d).select("meeting_id", "ord", F.col("text").alias("prompt"))
     return models.call(rows, "clean_note", stub).select("meeting_id", "ord", "result.title", "error")
@@ -329,7 +329,7 @@ ORACLES = {
         UNION ALL SELECT meeting_id, 'x', arg_max(p, k), arg_max(since, k) FROM s GROUP BY meeting_id""",
     "learned_chrome": sql("SELECT DISTINCT meeting_id, chunk FROM (SELECT meeting_id, chunk, run, min(t) AS t0, max(t) AS t1 FROM (SELECT meeting_id, role AS chunk, c0 / 100.0 AS t, ord - row_number() OVER (PARTITION BY meeting_id, role ORDER BY ord) AS run FROM base WHERE words <= 120) GROUP BY ALL) WHERE t0 < 3 OR t1 - t0 >= 15", "base"),
     "sortable_ids": "SELECT event_id, array_to_string(list_transform(range(9, -1, -1), lambda k: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST((event_id * 1000003 // CAST(pow(32, k) AS BIGINT)) % 32 AS INTEGER) + 1, 1)), '') AS prefix FROM events",
-    "note_model": sql("SELECT meeting_id, ord, substr(text, 1, 20) AS title, CAST(NULL AS VARCHAR) AS error FROM turns", "base", "turns"),
+    "note_model": sql("SELECT meeting_id, ord, CASE WHEN trim(text) <> '' THEN substr(trim(text), 1, 60) END AS title, CASE WHEN trim(text) = '' THEN '$.title: empty' END AS error FROM turns", "base", "turns"),
     "action_boxes": sql("SELECT meeting_id, ord AS i, CASE WHEN ord = 1 THEN '- [x] ' ELSE '- [ ] ' END || speaker AS line FROM turns", "base", "turns"),
     "text_vectors": sql("""SELECT meeting_id, ord, 1024 AS size, round(b[1] / norm, 5) AS first, round(b[18] / norm, 5) AS middle, round(b[32] / norm, 5) AS last FROM
         (SELECT *, sqrt(32 * list_sum(list_transform(b, lambda x: x * x))) AS norm FROM (SELECT meeting_id, ord, list_transform(range(0, 32), lambda k: CAST(('0x' || substr(h, 2 * k + 1, 2)) AS INTEGER) - 127.5::DOUBLE) AS b FROM (SELECT meeting_id, ord, sha256(text) AS h FROM turns)))""", "base", "turns"),

@@ -283,6 +283,18 @@ def test_every_malformed_answer_is_refused():
             assert models.invalid(name, data), (name, data)
     assert models.invalid("extract", {"decisions": [{"text": "a"}]}) and models.invalid("extract", {"participants": [1]})
     assert models.invalid("verify", {"claims": [{"claim": "a", "verdict": "UNCERTAIN"}]}) is None
+    assert models.invalid("plan", {"searchQuery": "a"}) == "$.timeIsExplicit: not a boolean" and models.invalid("plan", {"searchQuery": "a", "timeIsExplicit": True, "fromEpoch": "x"})
+    assert models.invalid("memory", {"answer_md": " "}) and models.invalid("clean_note", {"title": " ", "cleanText": "x"}) and models.invalid("clean_note", {"title": "a", "cleanText": " "})
+
+
+def test_answers_are_brought_to_their_contract():
+    made = models.checked("verify", {"claims": [{"claim": "a", "verdict": "PARTIAL", "turnId": "T1", "critical": True}, {"claim": "b", "verdict": "PARTIAL", "quote": "", "critical": 1}]})
+    assert made["claims"] == [{"claim": "a", "verdict": "PARTIAL", "quote": None, "turnId": "T1", "critical": True}, {"claim": "b", "verdict": "PARTIAL", "quote": None, "turnId": None, "critical": False}]
+    made = models.checked("extract", {"actionItems": [{"text": "a", "verbatimQuote": "b", "turnId": "T1", "inferred": True, "done": "yes", "owner": ""}]})
+    assert made["actionItems"][0] == {"text": "a", "verbatimQuote": "b", "turnId": "T1", "inferred": True, "done": False, "owner": None, "due": None} and made["decisions"] == []
+    assert models.checked("plan", {"searchQuery": "a", "timeIsExplicit": False, "fromEpoch": 1.5, "targetTypes": []})["fromEpoch"] == 1.5
+    given = {"title": " " + "é" * 59 + "😀x ", "cleanText": " y "}
+    assert models.checked("clean_note", given) == {"title": "é" * 59 + "\ufffd", "cleanText": " y "} and given["title"].endswith("x ")
 
 
 def test_writes_keep_what_they_do_not_replace(spark, tmp_path):
