@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import cache
 
@@ -11,9 +12,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space around a text, which trim() alone leaves.
 _EDGES = r"(?U)^\s+|\s+$"
-#: Code points below the blocks of ideographs and syllables, where letters with marks stand that are folded to their base letters.
-_LETTERS = range(0x00C0, 0x2E80)
 _MARKS = "".join(map(chr, range(0x0300, 0x0370)))
+_HANGUL = range(0xAC00, 0xD7A4)
 
 #: Negations that a rewrite must not add or lose.
 NEGATIONS = ("no", "not", "never", "nunca", "jamas", "ni", "tampoco", "nadie", "ninguno", "ninguna", "nada", "sin")
@@ -28,21 +28,30 @@ def _col(c: Column | str) -> Column:
 
 
 @cache
-def _folding() -> tuple[str, str]:
-    """Letters that decompose into one base letter and marks of U+0300-036F, and those base letters."""
-    letters, bases = [], []
-    for code in _LETTERS:
-        base, *marks = unicodedata.normalize("NFD", chr(code))
-        if marks and all(m in _MARKS for m in marks):
-            letters.append(chr(code))
-            bases.append(base)
-    return "".join(letters), "".join(bases)
+def _folding() -> tuple[str, str, str]:
+    """Letters that decompose, their base letters, and those of them with a mark that isn't folded: it leaves a blank.
+
+    Hangul syllables stay whole: they decompose into letters only, alike on both sides of a comparison.
+    """
+    letters, bases, blanked = [], [], []
+    for code in range(0x00C0, sys.maxunicode + 1):
+        found = unicodedata.normalize("NFD", chr(code))
+        if found == chr(code) or code in _HANGUL or unicodedata.category(chr(code))[0] not in "LN":
+            continue
+        letters.append(chr(code))
+        bases.append(found[0])
+        if any(m not in _MARKS for m in found[1:]):
+            blanked.append(chr(code))
+    return "".join(letters), "".join(bases), "".join(blanked)
 
 
 def fold(c: Column | str) -> Column:
-    """The text without accents; stays in the JVM. Combining marks go, other letters stay."""
-    letters, bases = _folding()
-    return F.translate(_col(c), letters + _MARKS, bases)
+    """The text without accents; stays in the JVM. Marks of U+0300-036F go, other marks of a letter become a blank."""
+    letters, bases, blanked = _folding()
+    text = _col(c)
+    spaced = F.regexp_replace(text, f"([{blanked}])", "$1 ")
+    # letters are looked up one by one, which plain texts needn't
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(spaced, letters + _MARKS, bases)).otherwise(text)
 
 
 def strip(c: Column | str) -> Column:

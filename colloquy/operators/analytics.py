@@ -50,10 +50,11 @@ def rename_label(overrides: DataFrame, old: str, new: str | None, column: str =
     return overrides.withColumn(column, changed)
 
 
-def participants(meetings: DataFrame, column: str = "participants", collation: str | None = "UNICODE_CI_AI") -> DataFrame:
-    """Distinct names in dictionary order, case and accents aside first."""
-    names = meetings.select(F.explode(column).alias("name")).distinct()
-    return names.orderBy(F.collate("name", collation), "name") if collation else names.orderBy(F.lower("name"), "name")
+def participants(meetings: DataFrame, column: str = "participants", collation: str | None = "es", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct names in the order of a language; with keys, those of each key with their place (from 1)."""
+    names = meetings.select(*keys, F.explode(column).alias("name")).distinct()
+    order = [F.collate("name", collation) if collation else F.lower("name"), F.col("name")]
+    return names.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))) if keys else names.orderBy(*order)
 
 
 def filter_meetings(
@@ -197,7 +198,7 @@ def recall_report(truth: DataFrame, stages: list[str]) -> tuple[DataFrame, DataF
     lost = F.lit(None).cast("string")
     for stage in reversed(stages):
         lost = F.when(~F.col(stage), F.lit(stage)).otherwise(lost)
-    rows = truth.select(lost.alias("stage"), tx.word_count("text").alias("words"))
+    rows = truth.select(lost.alias("stage"), tx.word_count(tx.comparable("text")).alias("words"))
     kept = F.col("stage").isNull()
     overall = rows.agg(F.avg(kept.cast("double")).alias("line_recall"), (F.sum(F.when(kept, F.col("words")).otherwise(0)) / F.sum("words")).alias("word_recall"))
     return overall, rows.filter(~kept).groupBy("stage").agg(F.count("*").alias("lines"), F.sum("words").alias("words"))

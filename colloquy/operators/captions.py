@@ -53,6 +53,11 @@ SURFACE_TITLES = (
     "Calendar", "Calendario", "Chat", "Planner", "Activity", "Actividad", "Files", "Archivos", "Teams", "Apps", "Aplicaciones", "Store", "Tienda", "Calls", "Llamadas", "Help", "Ayuda", "Tasks", "Tareas",
     "OneNote", "Shifts", "Turnos", "Wiki", "Viva", "Approvals", "Aprobaciones", "Bookings", "Lists", "Listas", "Whiteboard", "Pizarra", "Home", "Inicio",
 )
+#: Titles of windows of the application that hold no meeting, and first words of its technical windows.
+APP_SURFACES = (
+    "Activity", "Calendar", "Chat", "Chats", "Teams", "Calls", "Files", "OneDrive", "Apps", "Copilot", "People", "Meet", "Search", "Settings", "Help", "Assignments", "Viva Engage", "Runtime Broker", "Microsoft Teams",
+)
+TECHNICAL = r"^(Subframe|Utility|Manager|GPU Process|Crashpad)\b"
 #: Forms of 'Name (Org)' and 'Name (Org) text'.
 SPEAKER_LINE = r"^([^,;:!?()]{2,90})\s+\(([^)]+)\)$"
 INLINE = r"^(.+?\([^)]+\))\s+(.+)$"
@@ -149,10 +154,16 @@ def root_order(candidates: DataFrame, marks: tuple[tuple[str, int], ...] = ROOT_
 def window_priority(c: Column | str, application: str = APPLICATION) -> Column:
     """0 for a meeting's window, 1 for calls and captions, 2 for chats that may be one, -1 for others."""
     name = F.coalesce(_col(c), F.lit(""))
-    like = lambda pattern: name.rlike(f"(?iu){pattern}")
+    like = lambda pattern, text=name: text.rlike(f"(?iu){pattern}")
+    bare = F.regexp_replace(tx.strip(name), r"(?iu)^WebView2:\s*", "")
+    title = bare
+    for pattern in (r"^Chat\s*\|\s*", r"^(Captions|Subt[ií]tulos)\s*\|\s*", rf"\s*\|\s*{application}$"):
+        title = F.regexp_replace(title, f"(?iu){pattern}", "")
+    title = tx.strip(title)
+    call = like(rf"^WebView2:\s*.+\|\s*{application}$") & (F.lower(title) != application.lower()) & ~like(TECHNICAL, title)
     return (
-        F.when(tx.strip(name) == "", -1).when(is_surface_title(F.regexp_replace(name, r"^\(\d+\)\s*", "")), -1).when(like(rf"^(?!Chat \|).+\|\s*{application}$"), 0)
-        .when(like(rf"{application} Meeting|Reuni[oó]n|Llamada|Call"), 1).when(like(rf"^Chat \| .+\|\s*{application}$|Meeting with"), 2).when(like("^(Captions|Subt[ií]tulos)"), 1).otherwise(-1)
+        F.when(tx.strip(name) == "", -1).when(like(r"^Chat\s*\|", bare), -1).when(call, 0).when(F.lower(title).isin(*(x.lower() for x in APP_SURFACES)), -1).when(like(rf"^(?!Chat \|).+\|\s*{application}$"), 0)
+        .when(like(rf"{application} Meeting|Reuni[oó]n|Llamada|Call"), 1).when(like("Meeting with"), 2).when(like(r"^(Captions|Subt[ií]tulos)\s*\|", bare), 1).otherwise(-1)
     )
 
 
@@ -162,12 +173,12 @@ def windows_in_order(windows: DataFrame) -> DataFrame:
 
 
 def clean_title(c: Column | str, application: str = APPLICATION) -> Column:
-    """A window title without the application's prefixes, counter and suffix; null where nothing or only a surface of the application is left."""
+    """A window title without the application's prefixes, counter and suffix; null where nothing, the application's name, a technical window or a surface is left."""
     out = tx.strip(_col(c))
     for pattern in (r"^WebView2:\s*", r"^Chat\s*\|\s*", r"^(Captions|Subt[ií]tulos)\s*\|\s*", rf"^{application} \(PWA\)\s*-\s*", r"^\(\d+\)\s*", rf"\s*\|\s*{application}$"):
         out = F.regexp_replace(out, f"(?iu){pattern}", "")
     out = tx.strip(out)
-    return F.when((out != "") & ~is_surface_title(out), out)
+    return F.when((out != "") & (F.lower(out) != application.lower()) & ~out.rlike(f"(?iu){TECHNICAL}") & ~is_surface_title(out), out)
 
 
 def is_surface_title(c: Column) -> Column:

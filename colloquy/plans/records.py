@@ -280,7 +280,12 @@ def root_scores(spark, d):
     return cp.root_order(roots).select("ord", "score")
 
 
-_WINDOWS = ["Weekly sync | Microsoft Teams", "Chat | Ana | Microsoft Teams", "Calendar | Microsoft Teams", "Meeting with Ana", "Llamada de Ana", "Editor", "Captions", "(2) Chat | x", ""]
+#: Names of windows with their priority; null where they hold no meeting.
+_PRIORITIES = {
+    "Weekly sync | Microsoft Teams": 0, "Chat | Ana | Microsoft Teams": None, "Calendar | Microsoft Teams": None, "Meeting with Ana": 2, "Llamada de Ana": 1, "Editor": None, "Captions": None, "(2) Chat | x": None, "": None,
+    "WebView2: Calendar | Microsoft Teams": 0, "WebView2: Weekly": None, "WebView2: Chat | Ana | Microsoft Teams": None, "Planner | Microsoft Teams": 0, "Microsoft Teams": None, "Subtítulos | Weekly": 1, "WebView2: Captions | Weekly": 1,
+}
+_WINDOWS = list(_PRIORITIES)
 
 
 def window_priorities(spark, d):
@@ -384,7 +389,7 @@ def summary_chunks(spark, d):
 
 def meeting_chunks(spark, d):
     rows = chunking.meeting_chunks(_meetings(spark, d), _items(spark, d), _chaptered(spark, d), _summaries(spark, d))
-    return rows.filter("type <> 'chapter'").groupBy("meeting_id", "type").agg(F.count("*").alias("n"))
+    return rows.groupBy("meeting_id", "type").agg(F.count("*").alias("n"))
 
 
 # prompts --------------------------------------------------------------------------------
@@ -516,7 +521,7 @@ ORACLES = {
     "caption_predicates": f"SELECT event_id, k IN (1) AS speaker, k IN (1, 5) AS caption, k IN (6, 11) AS ui, k IN (7, 8) AS frame, k IN (9) AS blocked FROM (SELECT event_id, event_id % {len(_LINES)} + 1 AS k FROM events)",
     "chrome_items": sql("SELECT meeting_id, ord, ord % 3 IN (0, 1) OR (len(list_filter(string_split(trim(text || '.'), ' '), lambda x: x <> '')) <= 12 AND regexp_matches(lower(text), '(joined|left) the (meeting|call)|recording (has )?started')) AS chrome FROM turns", "base", "turns"),
     "root_scores": "SELECT event_id AS ord, CAST(CASE WHEN event_id % 2 = 0 THEN -50 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN -20 ELSE 0 END + CASE WHEN event_id % 5 = 0 THEN -15 ELSE 0 END + CASE WHEN event_id % 11 = 0 THEN 1000 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN -5 ELSE 0 END + CASE WHEN event_id % 4 = 0 THEN -2 ELSE 0 END AS INTEGER) AS score FROM events",
-    "window_priorities": f"SELECT event_id, CASE k WHEN 1 THEN 0 WHEN 4 THEN 2 WHEN 5 THEN 1 WHEN 7 THEN 1 END AS priority FROM (SELECT event_id, event_id % {len(_WINDOWS)} + 1 AS k FROM events) WHERE k IN (1, 4, 5, 7)",
+    "window_priorities": f"SELECT event_id, priority FROM (SELECT event_id, {list(_PRIORITIES.values())!r}[event_id % {len(_WINDOWS)} + 1] AS priority FROM events) WHERE priority IS NOT NULL".replace("None", "NULL"),
     "new_snapshot_lines": sql("SELECT poll, speaker, text, pos FROM s ANTI JOIN (SELECT poll + 1 AS poll, speaker, text FROM s) b USING (poll, speaker, text)".replace("FROM s", "FROM (SELECT meeting_id * 1000 + ord // 2 AS poll, speaker, CASE WHEN ord % 3 = 0 THEN 'same' ELSE md5(text) END AS text, ord AS pos FROM turns)"), "base", "turns"),
     "repair_targets": sql(f"SELECT meeting_id, string_agg(seg_id, ',' ORDER BY ord) AS seg_ids FROM (WITH {_CORRELATED} SELECT * FROM c) WHERE source <> 'mic' AND (NOT resolved OR label_margin < 0.3) AND meeting_id % 3 <> 0 GROUP BY 1", "base", "segments"),
     "roster_union": sql(f"""SELECT meeting_id, array_to_string(list_distinct_in_order, ',') AS names FROM (SELECT meeting_id, CASE WHEN meeting_id % 2 = 0 THEN list_concat(l, list_filter(['sp1', 'Guest'], lambda x: NOT list_contains(l, x))) ELSE l END AS list_distinct_in_order FROM
@@ -530,7 +535,9 @@ ORACLES = {
     "chapter_chunks": "WITH RECURSIVE base AS (" + i.CTES["base"] + "), turns AS (" + i.CTES["turns"] + "), " + _TURN_WINDOWS + """
         SELECT meeting_id, meeting_id || '#ch#' || (row_number() OVER (PARTITION BY meeting_id ORDER BY c, ix) - 1) AS key, md5('Reunión: "Meeting ' || meeting_id || '" — 2026-07-01 — Capítulo: "Part ' || c || '"' || chr(10) || chr(10) || body) AS text, a AS turn_start, z AS turn_end, 'Part ' || c AS chapter_title FROM b""",
     "summary_chunks": sql("""SELECT meeting_id || '#sum#' || n AS key, 'Resumen de reunión "Meeting ' || meeting_id || '" — 2026-07-01' || chr(10) || chr(10) || ['Intro ' || meeting_id, '## One' || chr(10) || 'first', '## Two' || chr(10) || 'second'][n + 1] AS text FROM (SELECT DISTINCT meeting_id FROM turns), (SELECT unnest([0, 1, 2]) AS n)""", "base", "turns"),
-    "meeting_chunks": sql("SELECT meeting_id, type, n FROM (SELECT meeting_id, 'extraction' AS type, count(*) AS n FROM turns WHERE ord % 6 <> 1 GROUP BY 1 UNION ALL SELECT DISTINCT meeting_id, 'summary', 3 FROM turns UNION ALL SELECT DISTINCT meeting_id, 'digest', 1 FROM turns)", "base", "turns"),
+    "meeting_chunks": "WITH RECURSIVE base AS (" + i.CTES["base"] + "), turns AS (" + i.CTES["turns"] + "), " + _TURN_WINDOWS + """
+        SELECT meeting_id, type, n FROM (SELECT meeting_id, 'extraction' AS type, count(*) AS n FROM turns WHERE ord % 6 <> 1 GROUP BY 1 UNION ALL SELECT DISTINCT meeting_id, 'summary', 3 FROM turns UNION ALL SELECT DISTINCT meeting_id, 'digest', 1 FROM turns
+            UNION ALL SELECT meeting_id, 'chapter', count(*) FROM b GROUP BY 1)""",
     "raw_prompt": sql(f"SELECT meeting_id, md5(string_agg('[s' || ord || '] [' || {_MMSS.format(s='start_time')} || '] ' || speaker || ': ' || text, chr(10) ORDER BY ord)) AS text FROM turns GROUP BY 1", "base", "turns"),
     "clean_prompt": sql(f"""SELECT meeting_id, md5(string_agg(line, chr(10) ORDER BY o, k)) AS text FROM (SELECT meeting_id, ord AS o, 1 AS k, '[T' || (ord + 1) || '] [' || {_MMSS.format(s='start_time')} || '] ' || speaker || ': ' || text AS line FROM turns
         UNION ALL SELECT meeting_id, ord, 0, '## [' || {_MMSS.format(s='start_time')} || '] Topic ' || ord FROM turns WHERE ord % 5 = 2

@@ -191,7 +191,10 @@ def label_rename(spark, d):
 
 
 def participants(spark, d):
-    return analytics.participants(i.read(spark, d, "nation").select(F.array("n_name").alias("participants")))
+    """Names of a region in Spanish order: ñ is a letter of its own after n, case and accents come last."""
+    name = F.initcap(F.substring_index("n_name", " ", 1))
+    made = F.array(name, F.lower(name), F.concat(F.lit("Ñ"), F.lower(name)), F.concat(F.lit("N"), F.lower(name)), F.concat(F.lit("Á"), F.lower(name)), F.concat(F.lit("Nz"), F.lower(name)))
+    return analytics.participants(i.read(spark, d, "nation").select(F.col("n_regionkey").alias("region"), made.alias("participants")), keys=("region",))
 
 
 def tag_filter(spark, d):
@@ -308,7 +311,8 @@ ORACLES = {
     "status_patch": "SELECT o_orderkey AS meeting_id, CASE WHEN o_orderstatus = 'O' THEN CASE WHEN 240 - o_orderkey % 240 < 120 THEN 'processing' ELSE 'ready' END ELSE 'capturing' END AS status FROM orders",
     "label_usage": sql("SELECT 'key' AS label, count(*) AS uses FROM turns WHERE ord % 3 = 0", "base", "turns"),
     "label_rename": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'keep,keep' ELSE c_mktsegment || ',keep' END AS labels FROM customer",
-    "participants": "SELECT DISTINCT n_name AS name FROM nation",
+    "participants": """SELECT region, name, CAST(row_number() OVER (PARTITION BY region ORDER BY name COLLATE es, name) AS INTEGER) AS place FROM (SELECT DISTINCT region, unnest([upper(n[1]) || n[2:], n, 'Ñ' || n, 'N' || n, 'Á' || n, 'Nz' || n]) AS name
+        FROM (SELECT n_regionkey AS region, lower(string_split(n_name, ' ')[1]) AS n FROM nation))""",
     "tag_filter": sql("SELECT meeting_id, ord FROM turns WHERE ord % 3 = 0", "base", "turns"),
     "history_window": sql("SELECT meeting_id AS thread_id, ord, speaker FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY ord DESC) AS n FROM turns) WHERE n <= 3", "base", "turns"),
     "entry_names": "SELECT ord, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY ord) > 1 THEN base || '-' || (ord + 1) ELSE base END AS name FROM (SELECT p_partkey - 1 AS ord, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM part)",

@@ -127,7 +127,7 @@ def clean_title(spark, d):
     k = F.col("p_partkey")
     title = (
         F.when(k % 4 == 0, F.concat(F.lit("("), (k % 5).cast("string"), F.lit(") "), "p_name", F.lit(" | Microsoft Teams"))).when(k % 4 == 1, F.concat(F.lit(" Chat | "), "p_name", F.lit(" | Budget review")))
-        .when(k % 8 == 2, F.concat(F.lit("calendar | "), "p_name")).otherwise(F.concat("p_name", F.lit(" | part "), k % 3))
+        .when(k % 16 == 10, F.concat(F.lit("WebView2: Subframe: "), "p_name")).when(k % 16 == 2, "microsoft teams").when(k % 16 == 3, F.concat(F.lit("calendar | "), "p_name")).otherwise(F.concat("p_name", F.lit(" | part "), k % 3))
     )
     return i.read(spark, d, "part").select("p_partkey", cp.clean_title(title).alias("title"))
 
@@ -254,7 +254,7 @@ ORACLES = {
     "system_notice": sql("""SELECT doc_id, ord, len(list_filter(string_split(trim(t), ' '), lambda x: x <> '')) <= 12 AND (ord % 7 = 3 OR regexp_matches(lower(t), 'joined the (meeting|call)|left the (meeting|call)|recording (has )?started')) AS notice FROM (SELECT doc_id, ord, CASE WHEN ord % 7 = 3 THEN string_split(text, ' ')[-1] || ' Joined the MEETING' ELSE text END AS t FROM lines)""", "lines"),
     "roster_label": sql(f"""SELECT doc_id, ord, {_LABEL.format(c='text')} AS line, {_LABEL.format(c="upper(replace(array_to_string(string_split(text, ' ')[1:3], ' '), 'ß', 's'))")} AS capitals FROM lines""", "lines"),
     "meeting_surface": "SELECT event_id, s AS score, s >= 5 AS surface FROM (SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN event_id % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS INTEGER) AS s FROM events)",
-    "clean_title": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN trim(p_name) WHEN p_partkey % 4 = 1 THEN trim(p_name) || ' | Budget review' WHEN p_partkey % 8 = 2 THEN NULL ELSE trim(p_name || ' | part ' || (p_partkey % 3)) END AS title FROM part",
+    "clean_title": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN trim(p_name) WHEN p_partkey % 4 = 1 THEN trim(p_name) || ' | Budget review' WHEN p_partkey % 16 IN (2, 3, 10) THEN NULL ELSE trim(p_name || ' | part ' || (p_partkey % 3)) END AS title FROM part",
     "parsed_lines": sql(r"""SELECT meeting_id AS snapshot_id, ord AS line_no, CASE WHEN ord % 5 = 1 THEN 'Luis ' || speaker || ' (Other)' ELSE coalesce(head, '') END AS speaker,
         md5(regexp_replace(CASE WHEN ord % 5 = 1 THEN 'said ' ELSE 'and ' END || translate(text, e'\n()', '   '), '^\s+|\s+$', '', 'g')) AS text FROM
         (SELECT *, last_value(CASE WHEN ord % 5 = 0 THEN 'Ana ' || speaker || ' (Org)' END IGNORE NULLS) OVER (PARTITION BY meeting_id ORDER BY ord) AS head FROM turns) WHERE ord % 5 NOT IN (0, 2)""", "base", "turns"),

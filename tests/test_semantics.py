@@ -332,3 +332,15 @@ def test_recall_alignment_is_exact(spark):
     for r in analytics.align_recall(truth, emitted).collect():
         best = max(SequenceMatcher(None, form(r.text), form(s), autojunk=False).ratio() for s in shown)
         assert r.found == (best >= 0.6) and r.best == pytest.approx(best if best >= 0.6 else 0.0)
+
+
+def test_folding_of_other_scripts(spark):
+    """Marks beyond U+036F leave a blank, compatibility ideographs become plain ones, Hangul stays whole."""
+    cases = {"がんばる": "か んは る", "Ñandú ÀÉ": "nandu ae", "\uf900 x": "\u8c48 x", "क़लम": "क लम", "한국": "한국", "plain ASCII!": "plain ascii", "ё": "е"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.n for r in df.select("t", tx.normalize("t").alias("n")).collect()} == cases
+
+
+def test_names_in_spanish_order(spark):
+    df = spark.createDataFrame([(["Ñandu", "Nube", "Nzogi", "ana", "Ána", "Nube"],)], "participants array<string>")
+    assert [r.name for r in analytics.participants(df).collect()] == ["ana", "Ána", "Nube", "Nzogi", "Ñandu"]
