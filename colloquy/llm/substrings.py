@@ -36,7 +36,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,17 +136,15 @@ def _minimizers(words: np.ndarray, threshold: int) -> np.ndarray:
     return _rolling_min(gram_hashes(words, n), threshold - n + 1)
 
 
-def _windows_of(column: pa.Array, threshold: int, whole: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
-    """(row, minimizer of each window, hash of each window if asked for) of all rows."""
+def _windows_of(column: pa.Array, threshold: int, hashes: Callable[[np.ndarray, int], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, one hash for each window) of all rows, by a function of the words' hashes."""
     table = word_table("nonspace")
     for first, end, data, offsets in slices(column):
         starts, ends, heads = word_spans(data, offsets, table)
-        words = word_hashes(data, starts, ends)
-        least = _minimizers(words, threshold)
-        full = gram_hashes(words, threshold) if whole else None
+        found = hashes(word_hashes(data, starts, ends), threshold)
         for row in range(end - first):
             a, b = int(heads[row]), int(heads[row + 1]) - threshold + 1
-            yield first + row, least[a : max(a, b)], full[a : max(a, b)] if whole else None
+            yield first + row, found[a : max(a, b)]
 
 
 def _grams(texts: DataFrame, threshold: int) -> DataFrame:
@@ -154,7 +152,7 @@ def _grams(texts: DataFrame, threshold: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [np.unique(least).view(np.int64) for _, least, _ in _windows_of(batch.column(2), threshold)]
+            grams = [np.unique(least).view(np.int64) for _, least in _windows_of(batch.column(2), threshold, _minimizers)]
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(g) for g in grams])).astype(np.int32)), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists], names=["rid", "doc", "grams"])
 
@@ -181,7 +179,7 @@ def _runs_of(candidates: DataFrame, threshold: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(1).to_numpy()
-            for row, least, _ in _windows_of(batch.column(2), threshold):
+            for row, least in _windows_of(batch.column(2), threshold, _minimizers):
                 starts, lengths = run_bounds(least, batch.column(3)[row].values.to_numpy().view(np.uint64))
                 words = batch.column(2)[row].as_py().encode().split()
                 ends = np.cumsum([len(w) + 1 for w in words]).tolist()
@@ -197,35 +195,20 @@ def _runs_of(candidates: DataFrame, threshold: int) -> DataFrame:
     return candidates.mapInArrow(scan, "rid long, doc long, start int, n int, words binary")
 
 
-def _passages(firsts: DataFrame, threshold: int) -> DataFrame:
-    """(words, doc, text) of the runs (array of start, n, words) that each row is the first of."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = text.encode().split()
-                parts = [b" ".join(words[r["start"] : r["start"] + r["n"] + threshold - 1]) for r in runs]
-                yield pa.RecordBatch.from_arrays([pa.array([r["words"] for r in runs], pa.binary()), pa.array([doc] * len(runs), pa.int64()), pa.array(parts, pa.binary())], names=["words", "doc", "text"])
-
-    return firsts.mapInArrow(cut, "words binary, doc long, text binary")
-
-
-def _windows(passages: DataFrame, threshold: int) -> DataFrame:
-    """(w, words, doc, pos): hash and place of the windows of each passage."""
+def _windows(firsts: DataFrame, threshold: int) -> DataFrame:
+    """(w, run, doc, pos): hash and place of the windows of the runs (array of run, start, n) that each row is the first of."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs = batch.column(0), batch.column(1).to_numpy()
-            full, rows, places = [], [], []
-            for row, _, windows in _windows_of(batch.column(2).cast(pa.string()), threshold, whole=True):
-                full.append(windows.view(np.int64))
-                rows.append(np.full(len(windows), row))
-                places.append(np.arange(len(windows), dtype=np.int32))
-            if rows:
-                at = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(full)), keys.take(pa.array(at)), pa.array(docs[at]), pa.array(np.concatenate(places))], names=["w", "words", "doc", "pos"])
+            docs, lists = batch.column(0).to_numpy(), batch.column(2)
+            for row, full in _windows_of(batch.column(1), threshold, gram_hashes):
+                run, start, n = (lists[row].values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full[np.repeat(start, n) + pos].view(np.int64)), pa.array(np.repeat(run, n)), pa.array(np.full(len(pos), docs[row])), pa.array(pos.astype(np.int32))], names=["w", "run", "doc", "pos"]
+                )
 
-    return passages.mapInArrow(scan, "w long, words binary, doc long, pos int")
+    return firsts.mapInArrow(scan, "w long, run long, doc long, pos int")
 
 
 def _runs(at: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
@@ -236,22 +219,22 @@ def _runs(at: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
 
 
 def _stretches(placed: DataFrame, threshold: int) -> DataFrame:
-    """(shard, query, doc, words, start, n, text): stretches of passages, as references (query 0) and to be streamed (query 1)."""
+    """(shard, query, doc, run, start, n, text): stretches of runs, as references (query 0) and to be streamed (query 1)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, doc, text, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.split(b" ")
-                windows.sort(key=lambda x: (x["shard"], x["own"], x["pos"]))
-                for (shard, own), group in itertools.groupby(windows, lambda x: (x["shard"], x["own"])):
-                    for start, end in _runs(np.unique([x["pos"] for x in group]), threshold):
-                        out.append((shard, 1 - own, doc, key, start, end - start, b" ".join(words[start:end])))
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "query", "doc", "words", "start", "n", "text"])
+            for doc, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, out = text.encode().split(), []
+                for r in runs:
+                    windows = sorted(r["windows"], key=lambda x: (x["shard"], x["own"], x["pos"]))
+                    for (shard, own), group in itertools.groupby(windows, lambda x: (x["shard"], x["own"])):
+                        for start, end in _runs(np.unique([x["pos"] for x in group]), threshold):
+                            out.append((shard, 1 - own, doc, r["run"], start, end - start, b" ".join(words[r["start"] + start : r["start"] + end])))
+                columns = list(zip(*out, strict=True)) or [()] * 7
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "query", "doc", "run", "start", "n", "text"])
 
-    return placed.mapInArrow(cut, "shard long, query int, doc long, words binary, start int, n int, text binary")
+    return placed.mapInArrow(cut, "shard long, query int, doc long, run long, start int, n int, text binary")
 
 
 _SPANS = "array<struct<start:int,end:int>>"
@@ -259,7 +242,7 @@ _SPAN_LIST = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _stream(dealt: DataFrame, threshold: int) -> DataFrame:
-    """(words, spans): repeats found by streaming each slice's passages through its shard's automaton; rows of a slice come with the references first."""
+    """(run, spans): repeats found by streaming each slice's passages through its shard's automaton; rows of a slice come with the references first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, automaton = None, SuffixAutomaton()
@@ -274,9 +257,9 @@ def _stream(dealt: DataFrame, threshold: int) -> DataFrame:
                 elif at := automaton.repeats(words, doc, threshold):
                     keys.append(key)
                     spans.append([{"start": start + a, "end": start + b} for a, b in _runs(np.array(at), threshold)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(spans, _SPAN_LIST)], names=["words", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spans, _SPAN_LIST)], names=["run", "spans"])
 
-    return dealt.mapInArrow(run, f"words binary, spans {_SPANS}")
+    return dealt.mapInArrow(run, f"run long, spans {_SPANS}")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -356,27 +339,28 @@ def _find_spans(texts: DataFrame, scratch: Scratch, threshold: int, shard_window
     listed = grams.select("rid", "h").join(shared, "h", "left_semi").groupBy("rid").agg(F.collect_list("h").alias("grams"))
     runs = scratch.table(_runs_of(texts.join(listed, "rid").select("rid", "doc", "text", "grams"), threshold), "runs")
 
-    firsts = scratch.table(runs.groupBy("words").agg(F.min(F.struct("doc", "rid", "start", "n")).alias("f")), "firsts")
-    own = firsts.groupBy(F.col("f.rid").alias("rid")).agg(F.collect_list(F.struct("f.start", "f.n", "words")).alias("runs"))
-    passages = scratch.table(_passages(texts.join(own, "rid").select("doc", "text", "runs"), threshold), "passages")
+    firsts = runs.groupBy("words").agg(F.min(F.struct("doc", "rid", "start", "n")).alias("f")).select("words", "f.*")
+    firsts = scratch.table(firsts.withColumn("run", F.monotonically_increasing_id()), "firsts")
+    own = firsts.groupBy("rid").agg(F.collect_list(F.struct("run", "start", "n")).alias("runs"))
+    windows = scratch.table(_windows(texts.join(own, "rid").select("doc", "text", "runs"), threshold), "windows")
 
-    windows = scratch.table(_windows(passages, threshold), "windows")
-    repeated = windows.groupBy("w").agg(F.min(F.struct("doc", "words", "pos")).alias("f"), F.max("doc").alias("last")).filter("f.doc < last")
-    repeated = scratch.table(repeated.select("w", F.col("f.doc").alias("first"), F.col("f.words").alias("in")), "repeated")
+    repeated = windows.groupBy("w").agg(F.min("doc").alias("first"), F.min_by("run", "doc").alias("in"), F.max("doc").alias("last")).filter("first < last")
+    repeated = scratch.table(repeated.select("w", "first", "in"), "repeated")
     shards = max(1, -(-repeated.count() // shard_windows))
-    placed = windows.join(repeated, "w").select("words", "pos", F.pmod(F.xxhash64("in"), F.lit(shards)).alias("shard"), (F.col("in") == F.col("words")).cast("int").alias("own"), (F.col("first") < F.col("doc")).alias("later"))
-    # at most RUN windows for each passage
-    listed = placed.filter("own = 1 OR later").groupBy("words").agg(F.collect_list(F.struct("pos", "shard", "own")).alias("windows"))
-    stretches = scratch.table(_stretches(passages.join(listed, "words").select("words", "doc", "text", "windows"), threshold), "stretches")
+    placed = windows.join(repeated, "w").filter("in = run OR first < doc").select("run", F.struct("pos", F.pmod(F.xxhash64("in"), F.lit(shards)).alias("shard"), (F.col("in") == F.col("run")).cast("int").alias("own")).alias("window"))
+    # at most RUN windows of each run, and the runs of one row
+    listed = placed.groupBy("run").agg(F.collect_list("window").alias("windows")).join(firsts.select("run", "rid", "start"), "run")
+    listed = listed.groupBy("rid").agg(F.collect_list(F.struct("run", "start", "windows")).alias("runs"))
+    stretches = scratch.table(_stretches(texts.join(listed, "rid").select("doc", "text", "runs"), threshold), "stretches")
 
     parts = scratch.table(stretches.filter("query = 1").groupBy("shard").agg(F.ceil(F.sum("n") / slice_words).cast("int").alias("parts")), "parts")
-    queries = stretches.filter("query = 1").join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("words", "start"), F.col("parts")).cast("int"))
+    queries = stretches.filter("query = 1").join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("run", "start"), F.col("parts")).cast("int"))
     references = stretches.filter("query = 0").join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    columns = ["shard", "part", "query", "doc", "words", "start", "text"]
+    columns = ["shard", "part", "query", "doc", "run", "start", "text"]
     dealt = references.select(columns).unionAll(queries.select(columns)).repartition("shard", "part").sortWithinPartitions("shard", "part", "query", "doc", "start")
-    hits = _stream(dealt, threshold).groupBy("words").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    hits = _stream(dealt, threshold).groupBy("run").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
-    judged = scratch.table(firsts.select("words", F.col("f.doc").alias("first")).join(hits, "words", "left"), "judged")
+    judged = scratch.table(firsts.select("words", "run", F.col("doc").alias("first")).join(hits, "run", "left").drop("run"), "judged")
     whole = F.array(F.struct(F.col("start"), (F.col("start") + F.col("n") + threshold - 1).alias("end")))
     moved = F.transform("spans", lambda x: F.struct((x["start"] + F.col("start")).alias("start"), (x["end"] + F.col("start")).alias("end")))
     found = runs.join(judged, "words").select("rid", F.when(F.col("doc") > F.col("first"), whole).otherwise(moved).alias("spans")).filter("spans IS NOT NULL")
