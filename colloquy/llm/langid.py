@@ -98,16 +98,6 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
     return names, logs.astype(np.float32)
 
 
-def _em(likely: np.ndarray, weights: np.ndarray, heads: np.ndarray, rounds: int) -> np.ndarray:
-    """Proportions (texts x languages) after some rounds; every text has a word."""
-    counts = np.diff(heads)
-    for _ in range(rounds):
-        shares = likely * np.repeat(weights, counts, axis=0)
-        shares /= shares.sum(axis=1, keepdims=True)
-        weights = np.add.reduceat(shares, heads[:-1], axis=0) / counts[:, None]
-    return weights
-
-
 def _word_logs(logs: np.ndarray, grams: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """The log-likelihoods of words x languages, a stretch of whole words at a time, so that a text of any length needs memory for its words and not for all its trigrams."""
     step = max(1, CELLS_AT_ONCE // max(1, logs.shape[1]))
@@ -124,42 +114,99 @@ def _word_logs(logs: np.ndarray, grams: np.ndarray, firsts: np.ndarray) -> np.nd
     return out
 
 
+def piece_bytes(languages: int) -> int:
+    """Bytes of text whose words' likelihoods a task holds at once: the more languages, the fewer."""
+    return int(min(SLICE, max(1 << 14, 2 * CELLS_AT_ONCE // max(1, languages))))
+
+
+class _Words:
+    """Likelihoods of the words of some texts under all languages.
+
+    Texts of one piece are held; a longer one is read piece by piece, cut beside
+    a letter, each time its words are asked for, so its memory is that of a piece.
+    (Letters without a break that fill a piece count as a word.)
+    """
+
+    def __init__(self, logs: np.ndarray, data: np.ndarray, offsets: np.ndarray):
+        self.logs, self.data, self.offsets, self.piece = logs, data, offsets, piece_bytes(logs.shape[1])
+        self.held = None if len(offsets) == 2 and len(data) > self.piece else [self._of(data, offsets)]
+        self.counts = np.zeros(len(offsets) - 1, np.int64)
+        for of, _ in self.parts():
+            self.counts += np.bincount(of, minlength=len(self.counts))
+
+    def _of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        grams, firsts, heads = word_grams(data, offsets)
+        words = _word_logs(self.logs, grams, firsts)
+        words -= words.max(axis=1, keepdims=True)
+        return np.repeat(np.arange(len(offsets) - 1), np.diff(heads)), np.exp(np.maximum(words, -60.0, out=words), out=words)
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number of the text, likelihoods) of the words, texts in order."""
+        if self.held is not None:
+            yield from self.held
+            return
+        at = 0
+        while at < len(self.data):
+            end = min(at + self.piece, len(self.data))
+            if end < len(self.data) and len(gaps := np.flatnonzero(~_LETTER[lower_ascii(self.data[at:end])])):
+                end = at + int(gaps[-1]) + 1
+            yield self._of(self.data[at:end], np.array([0, end - at]))
+            at = end
+
+
+def _sums(of: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
+    """Adds rows of values to the rows of their texts."""
+    if len(of):
+        cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        out[of[cuts]] += np.add.reduceat(values, cuts, axis=0)
+
+
+def _em(words: _Words, weights: np.ndarray, rounds: int, only: np.ndarray | None = None) -> np.ndarray:
+    """Proportions (texts x languages) after some rounds, of the texts asked for."""
+    for _ in range(rounds):
+        sums = np.zeros(weights.shape)
+        for of, likely in words.parts():
+            if only is not None:
+                keep = only[of]
+                of, likely = of[keep], likely[keep]
+            shares = likely * weights[of]
+            shares /= shares.sum(axis=1, keepdims=True)
+            _sums(of, shares, sums)
+        weights = (sums / np.maximum(words.counts, 1)[:, None]).astype(np.float32)
+    return weights
+
+
 def infer(logs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(proportions within the chosen set, proportions among all languages) of texts x languages; zeros for texts without a word."""
-    grams, firsts, heads = word_grams(data, offsets)
     texts, languages = len(offsets) - 1, logs.shape[1]
-    chosen, full = np.zeros((texts, languages)), np.zeros((texts, languages))
-    some = np.flatnonzero(np.diff(heads))
-    if not len(some):
-        return chosen, full
-    words = _word_logs(logs, grams, firsts)
-    words -= words.max(axis=1, keepdims=True)
-    likely = np.exp(np.maximum(words, -60.0)).astype(np.float32)
-    cuts = np.append(heads[some], heads[-1])
-    counts = np.diff(cuts)
-    weights = _em(likely, np.full((len(some), languages), 1 / languages, dtype=np.float32), cuts, ROUNDS)
-    full[some] = weights
-    order = np.argsort(-weights, axis=1, kind="stable")
+    words = _Words(logs, data, offsets)
+    some = words.counts > 0
+    full = _em(words, np.full((texts, languages), 1 / languages, dtype=np.float32), ROUNDS)
+    order = np.argsort(-full, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
-    best, size = np.full(len(some), -np.inf), np.ones(len(some), dtype=np.int64)
-    fallen = np.zeros(len(some), dtype=np.int64)
-    for k in range(1, languages + 1):
-        within = np.where(rank < k, weights, 0) + np.where(rank == 0, 1e-9, 0)
-        within /= within.sum(axis=1, keepdims=True)
-        each = np.log((likely * np.repeat(within, counts, axis=0)).sum(axis=1))
-        value = np.add.reduceat(each, cuts[:-1]) - 0.5 * (k - 1) * np.log(np.maximum(counts, 2))
-        better = (value > best) & (fallen < 2)
+    ranked = np.take_along_axis(full, order, axis=1)
+    ranked[:, 0] += 1e-9
+    # the log-likelihood of each set {best}, {best two}, ...: sums over ranks give all of them in one pass
+    value = np.zeros((texts, languages))
+    for of, likely in words.parts():
+        mixed = np.take_along_axis(likely, order[of], axis=1)
+        mixed *= ranked[of]
+        _sums(of, np.log(np.cumsum(mixed, axis=1, out=mixed), out=mixed), value)
+    within = np.maximum(np.cumsum(ranked, axis=1, dtype=np.float64), 1e-300)
+    value -= words.counts[:, None] * np.log(within) + 0.5 * np.arange(languages) * np.log(np.maximum(words.counts, 2))[:, None]
+    best, size, fallen = value[:, 0].copy(), np.ones(texts, dtype=np.int64), np.zeros(texts, dtype=np.int64)
+    for k in range(2, languages + 1):
+        better = (value[:, k - 1] > best) & (fallen < 2)
         fallen = np.where(better, 0, fallen + 1)
-        size = np.where(better, k, size)
-        best = np.where(better, value, best)
+        size, best = np.where(better, k, size), np.where(better, value[:, k - 1], best)
         if (fallen >= 2).all():
             break
-    kept = np.where(rank < size[:, None], weights, 0) + np.where(rank == 0, 1e-9, 0)
-    chosen[some] = kept / kept.sum(axis=1, keepdims=True)
-    if len(many := np.flatnonzero(size > 1)):
-        of_many = np.repeat(size > 1, counts)
-        chosen[some[many]] = _em(likely[of_many], chosen[some[many]].astype(np.float32), np.append(0, np.cumsum(counts[many])), ROUNDS_AGAIN)
-    return chosen, full
+    chosen = np.where(rank < size[:, None], full, 0) + np.where(rank == 0, 1e-9, 0)
+    chosen = np.where(some[:, None], chosen / chosen.sum(axis=1, keepdims=True), 0.0)
+    many = some & (size > 1)
+    if many.any():
+        chosen[many] = _em(words, chosen.astype(np.float32), ROUNDS_AGAIN, many)[many]
+    return chosen, np.where(some[:, None], full, 0.0)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -180,7 +227,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
         for batch in batches:
             letter = batch.column(n).to_numpy(zero_copy_only=False)
             pred, score, langs = [], [], []
-            for first, end, data, offsets in slices(batch.column(at), SLICE):
+            for first, end, data, offsets in slices(batch.column(at), piece_bytes(len(names))):
                 chosen, full = infer(shared.value, data, offsets) if names else (np.zeros((end - first, 0)),) * 2
                 for row in range(end - first):
                     if not letter[first + row] or not chosen[row].any():
