@@ -7,8 +7,8 @@ windows of its documents, looks them up, and compares the words of each hit
 with the words of the benchmark window before it counts.
 
 The benchmark is a fixed set; what is broadcast is checked against
-``broadcast_bytes``. A larger benchmark is cut into blocks under that bound, and
-the documents are scanned once for each block, with the hits carried along.
+``broadcast_bytes``. A larger benchmark is cut into blocks under that bound (an
+item beyond it into parts that share their windows' words), and the documents are scanned once for each block, with the hits carried along.
 
 Defined results: a null or empty text has no words and no hits; an item with no
 words matches nothing; repeated documents are judged one by one; repeated items
@@ -19,6 +19,7 @@ other columns pass through, and those named like a result are replaced by it
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,6 @@ from .common import gram_hashes, lower_ascii, slices, word_hashes, word_spans, w
 
 WINDOW = 13
 BROADCAST_BYTES = 32 << 20
-_HIT, _ITEMS = "_decontam_hit", "_decontam_items"
 _RESULTS = ("n_words", "n_hit", "hit_words", "items", "contaminated")
 
 
@@ -90,16 +90,34 @@ class NgramSet:
             yield first, heads, np.cumsum(hit[:-1]) > 0, items
 
 
-def _blocks(items: Iterator[tuple[str | None, str]], most: int) -> Iterator[list[tuple[str | None, str]]]:
-    """Items in blocks whose windows take about ``most`` bytes, one block in memory at a time; each word stands in up to 13 windows."""
+def _parts(text: str, window: int, most: int) -> Iterator[str]:
+    """A text whose windows take more than ``most`` bytes in parts that hold each of its windows; each word stands in up to ``window`` of them."""
+    if window * (len(text) + 64) <= most or window * (len(text.encode()) + 64) <= most:
+        yield text
+        return
+    data = lower_ascii(np.frombuffer(text.encode(), dtype=np.uint8))
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]), word_table("alnum"))
+    raw, at = data.tobytes(), 0
+    while at == 0 or at + window - 1 < len(starts):
+        # as many words as fit, one window at least
+        end = max(at + window, int(np.searchsorted(ends, (starts[at] if len(starts) else 0) + most // window - 64, side="right")))
+        yield " ".join(raw[s:e].decode() for s, e in zip(starts[at:end], ends[at:end], strict=True))
+        at = min(end, len(starts)) - window + 1
+        if end >= len(starts):
+            return
+
+
+def _blocks(items: Iterator[tuple[str | None, str]], window: int, most: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items, long ones in parts, in blocks whose windows take about ``most`` bytes, one block in memory at a time."""
     block, size = [], 0
-    for item, text in items:
-        cost = WINDOW * (len(text.encode()) + 64)
-        if block and size + cost > most:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += cost
+    for item, whole in items:
+        for text in _parts(whole, window, most):
+            cost = window * (len(text.encode()) + 64)
+            if block and size + cost > most:
+                yield block
+                block, size = [], 0
+            block.append((item, text))
+            size += cost
     yield block
 
 
@@ -115,21 +133,22 @@ def find_contamination(
     """docs with n_words, n_hit, hit_words (array of word numbers), items (item ids as sorted strings) and contaminated."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{item_text}`").cast("string")).toLocalIterator()
-    blocks = _blocks(((r[0], r[1]) for r in items if r[1] is not None), broadcast_bytes)
+    blocks = _blocks(((r[0], r[1]) for r in items if r[1] is not None), window, broadcast_bytes)
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in _RESULTS or c == text))
-    out = docs.select("*", F.lit(None).cast("array<int>").alias(_HIT), F.lit(None).cast("array<string>").alias(_ITEMS))
-    schema = T.StructType([*docs.schema.fields, T.StructField(_HIT, T.ArrayType(T.IntegerType())), T.StructField(_ITEMS, T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())])
+    hit_column, items_column, count_column = (f"{name}_{uuid.uuid4().hex}" for name in ("hit", "items", "count"))  # which no column has
+    out = docs.select("*", F.lit(None).cast("array<int>").alias(hit_column), F.lit(None).cast("array<string>").alias(items_column))
+    schema = T.StructType([*docs.schema.fields, T.StructField(hit_column, T.ArrayType(T.IntegerType())), T.StructField(items_column, T.ArrayType(T.StringType())), T.StructField(count_column, T.LongType())])
     grams = None
     for block in blocks:
         if grams is not None:  # what the block before has found is written, and its set is given up
-            out = written(out.drop("n_words"), "decontaminate")
+            out = written(out.drop(count_column), "decontaminate")
             grams.destroy()
         grams = spark.sparkContext.broadcast(NgramSet(block, window))
 
         def scan(batches: Iterator[pa.RecordBatch], grams=grams) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 names = batch.schema.names
-                n_words, hits, found = [], batch.column(names.index(_HIT)).to_pylist(), batch.column(names.index(_ITEMS)).to_pylist()
+                n_words, hits, found = [], batch.column(names.index(hit_column)).to_pylist(), batch.column(names.index(items_column)).to_pylist()
                 for first, heads, hit, items in grams.value.scan(batch.column(names.index(text))):
                     n_words.append(np.diff(heads))
                     for row in range(len(heads) - 1):
@@ -137,20 +156,20 @@ def find_contamination(
                             at = np.flatnonzero(hit[heads[row] : heads[row + 1]]).tolist()
                             hits[first + row] = sorted({*(hits[first + row] or []), *at})
                             found[first + row] = sorted({*(found[first + row] or []), *items[row]})
-                keep = [(name, batch.column(i)) for i, name in enumerate(names) if name not in (_HIT, _ITEMS, "n_words")]
+                keep = [(name, batch.column(i)) for i, name in enumerate(names) if name not in (hit_column, items_column, count_column)]
                 counts = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-                new = [(_HIT, pa.array(hits, pa.list_(pa.int32()))), (_ITEMS, pa.array(found, pa.list_(pa.string()))), ("n_words", pa.array(counts.astype(np.int64)))]
+                new = [(hit_column, pa.array(hits, pa.list_(pa.int32()))), (items_column, pa.array(found, pa.list_(pa.string()))), (count_column, pa.array(counts.astype(np.int64)))]
                 yield pa.RecordBatch.from_arrays([c for _, c in [*keep, *new]], names=[c for c, _ in [*keep, *new]])
 
         out = out.mapInArrow(scan, schema)
-    n_hit = F.coalesce(F.size(_HIT), F.lit(0)).cast("long")
+    n_hit = F.coalesce(F.size(hit_column), F.lit(0)).cast("long")
     return out.select(
         *(F.col(f"`{c}`") for c in docs.columns if c not in _RESULTS),
-        "n_words",
+        F.col(count_column).alias("n_words"),
         n_hit.alias("n_hit"),
-        F.coalesce(_HIT, F.array().cast("array<int>")).alias("hit_words"),
-        F.coalesce(_ITEMS, F.array().cast("array<string>")).alias("items"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce(hit_column, F.array().cast("array<int>")).alias("hit_words"),
+        F.coalesce(items_column, F.array().cast("array<string>")).alias("items"),
+        ((n_hit > 0) & (20 * n_hit >= F.col(count_column))).alias("contaminated"),
     )
 
 
