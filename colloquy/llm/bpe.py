@@ -39,8 +39,10 @@ from pyspark.sql import types as T
 from .common import slices
 
 SLICE_BYTES = 4 << 20
-#: Words that a task remembers; beyond it, it starts afresh.
-KNOWN_WORDS = 600_000
+#: Bytes that the words a worker remembers may take, with their ids; beyond it, it starts afresh.
+KNOWN_BYTES = 96 << 20
+#: What a remembered word takes besides its bytes and ids.
+WORD_COST = 140
 _NONE = np.iinfo(np.int32).max
 
 
@@ -205,12 +207,14 @@ class Encoder:
 
     def forget(self) -> None:
         self.word: dict[str, int] = {}
+        self.bytes = 0
         self.ids = np.zeros(0, dtype=np.int32)
         self.starts = np.zeros(1, dtype=np.int64)
         if self.bpe.special:  # under keys that no word can have
             self._enter([f"\0{s}" for s in self.bpe.special], np.array([*self.bpe.special.values()], dtype=np.int32), np.arange(len(self.bpe.special) + 1))
 
     def _enter(self, words: list[str], ids: np.ndarray, starts: np.ndarray) -> None:
+        self.bytes += sum(map(len, words)) + ids.nbytes + WORD_COST * len(words)
         self.word.update(zip(words, range(len(self.word), len(self.word) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, starts[1:] + len(self.ids)])
         self.ids = np.concatenate([self.ids, ids])
@@ -234,8 +238,6 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the offsets of the texts."""
         words = [self.words(t) for t in texts]
-        if len(self.word) > KNOWN_WORDS:
-            self.forget()
         total = sum(map(len, words))
         at = np.fromiter(map(self.word.get, itertools.chain.from_iterable(words), itertools.repeat(-1)), dtype=np.int64, count=total)
         if len(missing := np.flatnonzero(at < 0)):
@@ -249,6 +251,8 @@ class Encoder:
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(total) + np.repeat(self.starts[at] - (ends - counts), counts)]
         per_text = np.append(0, ends)[np.append(0, np.cumsum([len(ws) for ws in words], dtype=np.int64))]
+        if self.bytes > KNOWN_BYTES:
+            self.forget()
         return ids, per_text
 
 
