@@ -34,7 +34,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -67,19 +67,24 @@ def capture_key(url: str | None) -> str:
     return f"{place}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
-def _header_safe(value: str) -> str:
-    return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
+def _header_safe(value: str, also: str = "") -> str:
+    return "".join(c if c > " " and c != "\x7f" and c not in also else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
+
+
+def record_id(page_id: str | None, digest: str) -> str:
+    """The id of a page's record; whatever the page's id holds is escaped, and a null one has a form of its own."""
+    return f"<urn:nopage:{digest}>" if page_id is None else f"<urn:page:{_header_safe(page_id, '%<>:')}:{digest}>"
 
 
 def record_bytes(page_id: str | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: str | None, date: str = DATE) -> bytes:
     """One record, as a gzip member."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}:{digest}>", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}"]
     if url:
         lines.append(f"WARC-Target-URI: {_header_safe(url)}")
     if kind == "revisit":
-        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}:{digest}>"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + pack.flush()
@@ -95,9 +100,8 @@ class Record:
         return self.headers["WARC-Type"]
 
     def page(self, header: str = "WARC-Record-ID") -> str | None:
-        found = self.headers.get(header)
-        page = found.removeprefix("<urn:page:").rpartition(":")[0] if found else "None"
-        return None if page == "None" else page
+        found = self.headers.get(header, "")
+        return unquote(found.removeprefix("<urn:page:").rpartition(":")[0]) if found.startswith("<urn:page:") else None
 
 
 def parse_record(member: bytes) -> Record:

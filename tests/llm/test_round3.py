@@ -222,3 +222,92 @@ def test_bounds_spare_comparisons_and_change_nothing():
         shares.append(scanned.mean())
         before = now
     assert shares[-1] < 0.2
+
+
+# 4 ---------------------------------------------------------------------------
+def test_run_bounds():
+    from colloquy.llm import substrings
+
+    least = np.array([5, 5, 5, 7, 9, 9, 5] + [4] * 150, dtype=np.uint64)
+    starts, n = substrings.run_bounds(least, np.array([4, 5, 9], dtype=np.uint64))
+    assert list(zip(starts.tolist(), n.tolist(), strict=True)) == [(0, 3), (4, 2), (6, 1), (7, 64), (71, 64), (135, 22)]
+    assert [len(x) for x in substrings.run_bounds(least[:0], least)] == [0, 0]
+
+
+def test_a_long_copied_text_is_cut_in_linear_time(spark):
+    """400,000 words copied with a change in each thousand: runs and stretches stay bounded, and what is left is right."""
+    from colloquy.llm import substrings
+
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(400_000)]
+    changed = [f"x{k}" if k % 1000 == 500 else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, "same " * 5000), (4, "same " * 3000)], "doc_id long, text string")
+    found = {r.doc_id: r for r in substrings.remove_repeats(docs).collect()}
+    assert (found[1].n_removed, found[3].n_removed, found[4].n_removed) == (0, 0, 3000)
+    assert found[2].kept.split() == [w for k, w in enumerate(changed) if k % 1000 == 500]
+
+
+# memory and awkward names ----------------------------------------------------
+def test_language_id_of_a_long_text_equals_short_pieces(monkeypatch):
+    """A text read piece by piece gives what it gives in one, and takes the memory of a piece."""
+    import resource
+
+    from colloquy.llm import langid
+
+    rng = np.random.default_rng(0)
+    logs = np.log(rng.dirichlet(np.full(1 << langid.BUCKET_BITS, 0.2), 5).T + 1e-7).astype(np.float32)
+    text = " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(3000)).encode()
+    data = np.frombuffer(text, dtype=np.uint8)
+    whole = langid.infer(logs, data, np.array([0, len(data)]))
+    monkeypatch.setattr(langid, "piece_bytes", lambda languages: 700)
+    pieces = langid.infer(logs, data, np.array([0, len(data)]))
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(whole, pieces, strict=True))
+    monkeypatch.undo()
+    logs = np.log(rng.random((1 << langid.BUCKET_BITS, 64)) + 1e-3).astype(np.float32)
+    long = np.frombuffer(b"abc def xyz " * 250_000, dtype=np.uint8)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    langid.infer(logs, long, np.array([0, len(long)]))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
+def test_an_item_beyond_the_bound_is_cut(spark):
+    from colloquy.llm import decontaminate as dc
+
+    words = [f"w{k}" for k in range(3000)]
+    items = [("long", " ".join(words)), ("short", "only five words are here"), ("none", " !! ")]
+    blocks = list(dc._blocks(iter(items), 13, 20_000))
+    assert len(blocks) > 10 and all(sum(13 * (len(t.encode()) + 64) for _, t in b) <= 20_000 for b in blocks)
+    windows = {w for b in blocks for _, t in b for w in dc._windows(t, 13)}
+    assert windows == {w for _, t in items for w in dc._windows(t, 13)}
+    docs = spark.createDataFrame([(1, " ".join(words[500:700]), 1), (2, "nothing of it", 2), (3, "only FIVE words are here", 3)], "doc_id long, text string, _decontam_hit int")
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    found = {r.doc_id: r for r in dc.find_contamination(docs, benchmark, broadcast_bytes=20_000).collect()}
+    assert (found[1].n_hit, found[1].items, found[1]._decontam_hit) == (200, ["long"], 1)
+    assert (found[2].n_hit, found[3].n_hit, found[3].items) == (0, 5, ["short"])
+
+
+def test_remembered_words_are_bounded_in_bytes(monkeypatch):
+    from colloquy.llm import bpe
+
+    encoder = bpe.load().encoder()
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 1 << 20)
+    for k in range(30):
+        encoder.encode([chr(97 + k % 26) * 100_000 + str(k), "hello world"])
+        assert encoder.bytes <= 1 << 20
+    monkeypatch.undo()
+    assert encoder.encode(["hello world"])[0].tolist() == bpe.Encoder(bpe.load()).encode(["hello world"])[0].tolist()
+
+
+def test_archives_of_awkward_ids(spark):
+    from colloquy.llm import warc
+    from colloquy.llm.common import written
+
+    body = "x" * 2000
+    rows = [("None", "http://a/1", body), ("a\nb: c", "http://a/2", body), ("", "http://a/3", "short"), (None, "http://a/4", body), ("p:q%20<>", "http://a/5", "y" * 1500), ("z", None, "y" * 1500)]
+    pages = spark.createDataFrame([(*r, 1, "k") for r in rows], "page_id string, url string, html string, kind int, key string")
+    index = warc.archive(pages)
+    found = {r.page_id: r for r in warc.resolve_revisits(written(warc.read_records(index.captures(spark), index.record_bytes), "t")).collect()}
+    assert set(found) == {r[0] for r in rows}
+    assert {k: (r.kind, r.refers_to, r.payload_bytes) for k, r in found.items()} == {
+        "None": ("revisit", "a\nb: c", 2000), "a\nb: c": ("response", None, 2000), "": ("response", None, 5), None: ("revisit", "a\nb: c", 2000), "p:q%20<>": ("revisit", "z", 1500), "z": ("response", None, 1500),
+    }
