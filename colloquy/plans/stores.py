@@ -237,7 +237,7 @@ def learned_chrome(spark, d):
 
 def replayed_captions(spark, d):
     rows = i.events(spark, d).select(F.col("user_id").cast("string").alias("meeting_id"), F.col("event_id").alias("ord"), "ts", F.lit("x").alias("speaker"), F.concat("event_type", F.lit(" "), F.floor("value")).alias("text"))
-    return revisions.replay_captions(rows)
+    return revisions.replay_captions(rows).select("meeting_id", "speaker", "text", F.unix_millis("ts").alias("ms"))
 
 
 def action_boxes(spark, d):
@@ -329,9 +329,9 @@ ORACLES = {
         FROM (SELECT o.meeting_id, o.k, o.text, o.ts, s.p, s.since, s.changed, fresh AND (starts_with(o.text, s.p) OR levenshtein(s.p, o.text) <= floor(0.4 * greatest(length(s.p), length(o.text)) + 1e-9)) AS grows,
                 fresh AND (starts_with(s.p, o.text) OR levenshtein(s.p, o.text) <= floor(0.4 * greatest(length(s.p), length(o.text)) + 1e-9)) AS back
               FROM (SELECT *, true AS t FROM s) s JOIN o ON o.meeting_id = s.meeting_id AND o.k = s.k + 1, LATERAL (SELECT o.ts - s.changed < INTERVAL 2 SECOND AS fresh)))
-        SELECT meeting_id, 'x' AS speaker, pub AS text, pub_ts AS ts FROM s WHERE pub IS NOT NULL
-        UNION ALL SELECT meeting_id, 'x', arg_max(p, k), arg_max(since, k) FROM s GROUP BY meeting_id""",
-    "learned_chrome": sql("SELECT DISTINCT meeting_id, chunk FROM (SELECT meeting_id, chunk, run, min(t) AS t0, max(t) AS t1 FROM (SELECT meeting_id, role AS chunk, c0 / 100.0 AS t, ord - row_number() OVER (PARTITION BY meeting_id, role ORDER BY ord) AS run FROM base WHERE words <= 120) GROUP BY ALL) WHERE t0 < 3 OR t1 - t0 >= 15", "base"),
+        SELECT meeting_id, 'x' AS speaker, pub AS text, CAST(epoch_us(pub_ts) // 1000 AS BIGINT) AS ms FROM s WHERE pub IS NOT NULL
+        UNION ALL SELECT meeting_id, 'x', arg_max(p, k), CAST(epoch_us(arg_max(since, k)) // 1000 AS BIGINT) FROM s GROUP BY meeting_id""",
+    "learned_chrome": sql("SELECT DISTINCT meeting_id, chunk FROM (SELECT meeting_id, chunk, run, min(t) FILTER (words <= 120) AS t0, max(t) FILTER (words <= 120) AS t1 FROM (SELECT meeting_id, role AS chunk, words, c0 / 100.0 AS t, ord - row_number() OVER (PARTITION BY meeting_id, role ORDER BY ord) AS run FROM base) GROUP BY ALL) WHERE t0 < 3 OR t1 - t0 >= 15", "base"),
     "sortable_ids": "SELECT event_id, array_to_string(list_transform(range(9, -1, -1), lambda k: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST((event_id * 1000003 // CAST(pow(32, k) AS BIGINT)) % 32 AS INTEGER) + 1, 1)), '') AS prefix FROM events",
     "note_model": sql("SELECT meeting_id, ord, CASE WHEN trim(text) <> '' THEN substr(trim(text), 1, 60) END AS title, CASE WHEN trim(text) = '' THEN '$.title: empty' END AS error FROM turns", "base", "turns"),
     "action_boxes": sql("SELECT meeting_id, ord AS i, CASE WHEN ord = 1 THEN '- [x] ' ELSE '- [ ] ' END || speaker AS line FROM turns", "base", "turns"),

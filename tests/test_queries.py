@@ -13,6 +13,7 @@ CHOSEN = (
     "talk_time", "windowed_vote", "correlate", "merge_transcripts", "word_segments", "asof_chapter", "turn_audit", "wer_proxy", "gate_e", "quote_validation",
     "paragraph_chunks", "turn_windows", "topk_join", "reconcile", "answer_citations", "seq_dedupe",
     "references", "markdown_blocks", "export_markdown", "verification_tally", "clock_format", "clean_title", "artifact_writes", "vector_writes", "model_contracts", "candidate_region", "parsed_lines", "extraction_chunks", "fragment_prompt",
+    "debounce", "gate_reasons", "participants", "replayed_captions", "fleet_hours", "window_priorities", "note_model", "meeting_chunks", "stream_captures", "stream_chrome", "stream_rates",
 )
 
 
