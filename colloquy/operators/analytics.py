@@ -207,21 +207,50 @@ def recall_report(truth: DataFrame, stages: list[str]) -> tuple[DataFrame, DataF
 def align_recall(truth: DataFrame, emitted: DataFrame, least: float = 0.6, keys: list[str] | None = None) -> DataFrame:
     """truth (keys, ord, text) with best and found: the highest sequence ratio to any line emitted in the meeting.
 
-    Texts are compared in lower case, white space collapsed and end punctuation off. Only pairs that can reach
-    ``least`` are compared: the ratio is at most twice the shorter length, and twice the common characters,
-    over both lengths. ``best`` is exact from ``least`` up, and 0 below.
+    Texts are compared in lower case, white space collapsed and end punctuation off. Equal texts are found by
+    a join of their own and go no further; of the rest, each text is compared once however often it stands,
+    and only with those that can reach ``least``: the ratio is at most twice the shorter length, and twice the
+    common characters, over both lengths. ``best`` is exact from ``least`` up, and 0 below.
     """
     from ..functions.models import sequence_ratio
 
     keys = ["meeting_id"] if keys is None else keys
     form = lambda rows, name: rows.withColumn(name, F.lower(tx.comparable("text")))
-    said = form(truth, "said").select(*keys, "ord", "said")
-    shown = form(emitted, "shown").select(*keys, "shown").distinct()
-    x, y = F.length("said"), F.length("shown")
-    pairs = said.join(shown, keys).filter((2 * F.least(x, y) >= least * (x + y)) & (x + y > 0))
-    best = pairs.withColumn("ratio", sequence_ratio("said", "shown", least)).groupBy(*keys, "ord").agg(F.max("ratio").alias("best"))
-    joined = truth.join(best, [*keys, "ord"], "left")
-    return joined.withColumn("best", F.when(F.col("best") >= least, F.col("best")).otherwise(0.0)).withColumn("found", F.col("best") >= least)
+    said = form(truth, "_said")
+    shown = form(emitted, "shown").select(*keys, "shown").filter("shown <> ''").distinct()
+    equal = said.select(*keys, "_said").distinct().join(shown.withColumnRenamed("shown", "_said"), [*keys, "_said"], "left_semi").withColumn("_equal", F.lit(1.0))
+    others = said.select(*keys, "_said").filter("_said <> ''").distinct().join(equal, [*keys, "_said"], "left_anti")
+    x, y = F.length("_said"), F.length("shown")
+    pairs = others.join(shown, keys).filter(2 * F.least(x, y) >= least * (x + y))
+    best = pairs.withColumn("_ratio", sequence_ratio("_said", "shown", least)).groupBy(*keys, "_said").agg(F.max("_ratio").alias("_best"))
+    joined = said.join(equal, [*keys, "_said"], "left").join(best, [*keys, "_said"], "left")
+    found = F.coalesce("_equal", F.when(F.col("_best") >= least, F.col("_best")), F.lit(0.0))
+    return joined.withColumn("best", found).withColumn("found", F.col("best") >= least).drop("_said", "_equal", "_best")
+
+
+#: Where a line is lost, in the order of the stages; a line that is lost nowhere before is lost in the last.
+LOSSES = ("SOURCE", "ROOT_GATE", "EXTRACTION", "PIPELINE")
+
+
+def attribute_losses(truth: DataFrame, emitted: DataFrame, stages: list[DataFrame], least: float = 0.6, keys: list[str] | None = None) -> DataFrame:
+    """truth (keys, ord, text) with stage: 'MATCHED' where a line like it was emitted, else the first stage whose lines hold none like it.
+
+    stages: the lines (keys, text) there were at the source, past the gate of the root, and extracted.
+    """
+    keys = ["meeting_id"] if keys is None else keys
+    out = align_recall(truth, emitted, least, keys).withColumnRenamed("found", "_emitted").drop("best")
+    for k, lines in enumerate(stages):
+        seen = align_recall(truth.select(*keys, "ord", "text"), lines, least, keys).select(*keys, "ord", F.col("found").alias(f"_{k}"))
+        out = out.join(seen, [*keys, "ord"])
+    stage = F.when(F.col("_emitted"), "MATCHED")
+    for k, name in enumerate(LOSSES[:-1]):
+        stage = stage.when(~F.col(f"_{k}"), name)
+    return out.withColumn("stage", stage.otherwise(LOSSES[-1])).drop("_emitted", *(f"_{k}" for k in range(len(stages))))
+
+
+def loss_report(attributed: DataFrame) -> DataFrame:
+    """stage, lines, words (of comparable texts): how many lines went where."""
+    return attributed.groupBy("stage").agg(F.count("*").alias("lines"), F.sum(tx.word_count(tx.comparable("text"))).alias("words"))
 
 
 def dictation_text(results: DataFrame) -> DataFrame:

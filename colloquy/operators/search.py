@@ -144,6 +144,14 @@ def ranking_metrics(hits: DataFrame, golden: DataFrame, ks: Sequence[int] = (1,
     return found.agg(*shares, F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.count("*").alias("questions"))
 
 
+def labelled_metrics(hits: DataFrame, questions: DataFrame, labels: DataFrame, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
+    """The same where a hit is right if its label is the question's: only the labels of hits are looked up. questions: query_id, label. labels: key, label; a question is no answer to itself."""
+    asked = questions.join(labels.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1"), "label", "left_semi")
+    right = hits.join(labels.withColumnRenamed("label", "_found"), "key").join(asked, "query_id").filter((F.col("label") == F.col("_found")) & (F.col("key") != F.col("query_id")))
+    golden = asked.select("query_id", F.lit(True).alias("expected"))
+    return ranking_metrics(right.groupBy("query_id").agg(F.min("rank").alias("rank"), F.lit(True).alias("key")), golden, ks)
+
+
 #: Least share of questions whose answer is among the first five hits.
 GATE_LEAST = 0.7
 

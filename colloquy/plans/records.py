@@ -71,11 +71,12 @@ def caption_lines(spark, d):
 
 
 def golden_set(spark, d):
-    """A golden set as one JSON array; entries without question or id don't count."""
+    """A golden set as JSON arrays of about a thousand entries, a file each; entries without question or id don't count."""
     path = work_folder(spark, "golden")
     b = i.read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("expected_id"), F.when(F.col("item_id") % 5 == 0, "  ").when(F.col("item_id") % 7 != 0, F.concat(F.lit("question "), "item_id")).alias("question"))
-    b.agg(F.to_json(F.collect_list(F.struct("question", "expected_id"))).alias("value")).write.text(path)
-    return tables.read_golden(spark, path)
+    files = F.pmod(F.xxhash64("expected_id"), F.lit(-(-b.count() // 1000) or 1)).alias("file")
+    b.groupBy(files).agg(F.to_json(F.collect_list(F.struct("question", "expected_id"))).alias("value")).write.partitionBy("file").text(path)
+    return tables.read_golden(spark, path).select("question", "expected_id")
 
 
 def key_pattern(spark, d):
@@ -129,11 +130,8 @@ def recent_orders(spark, d):
 
 
 def names_by_case(spark, d):
-    """Distinct names; numbered in the order of their lower-case form."""
-    from pyspark.sql import Window
-
-    names = analytics.participants(i.read(spark, d, "customer").select(F.array("c_mktsegment", F.lower("c_mktsegment")).alias("participants")), collation=None)
-    return names.withColumn("place", F.row_number().over(Window.orderBy(F.lower("name"), "name")))
+    """Distinct names of a nation's customers, numbered in the order of their lower-case form."""
+    return analytics.participants(i.read(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.array("c_mktsegment", F.lower("c_mktsegment")).alias("participants")), collation=None, keys=("nation",))
 
 
 def any_capturing(spark, d):
@@ -303,6 +301,15 @@ def recall_alignment(spark, d):
     return analytics.align_recall(i.turns(spark, d).select("meeting_id", "ord", "text"), i.captions(spark, d)).select("meeting_id", "ord", F.round("best", 6).alias("best"), "found")
 
 
+def loss_attribution(spark, d):
+    """Turns against their meeting's captions: the source has all of the captions, the root's gate drops short ones, extraction those with digits; what is emitted are the final ones."""
+    c = i.captions(spark, d)
+    kept = c.filter(F.length("text") >= 40)
+    extracted = kept.filter(~F.col("text").rlike("[0-9]"))
+    lost = analytics.attribute_losses(i.turns(spark, d).select("meeting_id", "ord", "text"), extracted.filter("final"), [c, kept, extracted])
+    return lost.select("meeting_id", "ord", "stage")
+
+
 # speakers, grounding and chunks -------------------------------------------------------
 def _correlated(spark, d):
     return i.segments(spark, d).select(
@@ -464,7 +471,7 @@ QUERIES = {f.__name__: f for f in (
     point_get, optional_artifact, artifact_writes, owned_notes, recogniser_json, caption_lines, golden_set, key_pattern, meeting_detail, job_tokens, vector_upsert, vector_writes, transcript_file,
     canonical_turns, recent_orders, names_by_case, any_capturing, circular_match, toggled, patched_map, json_fallback, rendered_json, date_times, routing, tenants, kits, dictation,
     quote_exists, anchored_text, violation_text, control_chunks, reference_marks, label_names, candidate_region, caption_predicates, chrome_items, root_scores, window_priorities, new_snapshot_lines,
-    recall_alignment, repair_targets, roster_union, located_quotes, item_validation, cited_cards, retrieval_gate, extraction_chunks, chapter_chunks, summary_chunks, meeting_chunks, raw_prompt, clean_prompt, history_prompt, fragment_prompt, model_contracts,
+    recall_alignment, loss_attribution, repair_targets, roster_union, located_quotes, item_validation, cited_cards, retrieval_gate, extraction_chunks, chapter_chunks, summary_chunks, meeting_chunks, raw_prompt, clean_prompt, history_prompt, fragment_prompt, model_contracts,
 )}
 
 _TURN_WINDOWS = """r AS (SELECT meeting_id, ord, ord // 4 AS c, 'T' || (ord + 1) AS id, '[T' || (ord + 1) || '] ' || speaker || ': ' || text AS line FROM turns),
@@ -495,7 +502,7 @@ ORACLES = {
     "transcript_file": sql("SELECT meeting_id, ord, '[' || strftime(make_timestamp(CAST(floor(start_time) AS BIGINT) * 1000000), '%H:%M:%S') || '] ' || speaker || ': ' || md5(text) AS line FROM turns", "base", "turns"),
     "canonical_turns": sql("SELECT meeting_id, ord, CASE WHEN meeting_id % 3 = 0 OR ord % 2 = 1 THEN 'T' || (ord + 1) ELSE 's' || ord END AS id, speaker FROM turns", "base", "turns"),
     "recent_orders": "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20",
-    "names_by_case": "SELECT name, CAST(row_number() OVER (ORDER BY lower(name), name) AS INTEGER) AS place FROM (SELECT DISTINCT c_mktsegment AS name FROM customer UNION SELECT DISTINCT lower(c_mktsegment) FROM customer)",
+    "names_by_case": "SELECT nation, name, CAST(row_number() OVER (PARTITION BY nation ORDER BY lower(name), name) AS INTEGER) AS place FROM (SELECT c_nationkey AS nation, c_mktsegment AS name FROM customer UNION SELECT c_nationkey, lower(c_mktsegment) FROM customer)",
     "any_capturing": "SELECT coalesce(bool_or(o_orderkey = 1), false) AS any_capturing FROM orders",
     "circular_match": "SELECT event_id, (event_id % 7 + 6) % 7 AS before, (event_id % 7 + 1) % 7 AS after FROM events",
     "toggled": "SELECT event_id, CASE WHEN event_type = 'click' THEN 'a' ELSE 'a,' || event_type || ',click' END AS tags FROM events",

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions import text as tx
 from ..functions import values as v
 from ..operators import analytics, citations, exports, intervals, search
-from ..sources import tables
+from ..sources import recordings, replay, tables
+from ..sources.work import work_folder
 from ..streaming import revisions, views
 from . import inputs as i
 from .inputs import sql
@@ -49,9 +54,9 @@ def topk_join(spark, d):
 
 
 def hit_at_k_mrr(spark, d):
-    golden = _vectors(spark, d).filter("key % 50 = 0").select(F.col("key").alias("query_id"), "label")
-    expected = golden.join(_vectors(spark, d).select("label", F.col("key").alias("expected")), "label").filter("expected <> query_id").select("query_id", "expected")
-    m = search.ranking_metrics(_hits(spark, d), expected)
+    labels = _vectors(spark, d).select("key", "label")
+    asked = labels.filter("key % 50 = 0").select(F.col("key").alias("query_id"), "label")
+    m = search.labelled_metrics(_hits(spark, d), asked, labels)
     return m.select(*(R6(c) for c in ("hit_at_1", "hit_at_3", "hit_at_5", "mrr")), "questions")
 
 
@@ -250,6 +255,53 @@ def archive_entries(spark, d):
     return tables.archive_entries(i.read(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("content"))).select("page_id", "size", "crc32")
 
 
+def archive_sizes(spark, d):
+    """Bytes of the entries of an archive of all pages by host."""
+    entries = tables.archive_entries(i.read(spark, d, "pages").select(F.element_at(F.split("url", "/"), 3).alias("host"), F.coalesce("html", F.lit("")).alias("content")))
+    return entries.groupBy("host").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))
+
+
+def metrics_sink(spark, d):
+    """Points are appended by day in two writes, and counted again."""
+    path = work_folder(spark, "metrics")
+    e = i.events(spark, d).select("ts", F.col("event_type").alias("name"), "value")
+    replay.append_metrics(e.filter("name = 'error'"), path)
+    replay.append_metrics(e.filter("name <> 'error'"), path)
+    return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"), "name").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def roster_samples(spark, d):
+    """Every tenth reading of a user, by order."""
+    e = i.events(spark, d)
+    polls = e.select(F.col("user_id").alias("meeting_id"), "event_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("poll"))
+    return replay.every_nth(polls).select("meeting_id", "event_id", "poll")
+
+
+def followed_recording(spark, d):
+    """Events as a recorder's JSON lines, read by the source that follows growing files, in stretches of 64 KB."""
+    path = work_folder(spark, "followed")
+    e = i.events(spark, d).select(F.col("user_id").cast("string").alias("meeting_id"), F.col("event_id").alias("ord"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.col("event_type").alias("speaker"), "props")
+    e.select("meeting_id", "ord", "ts", "speaker", F.col("props").alias("text")).write.json(path)
+    out = work_folder(spark, "followed-out")
+    query = replay.append_stream(recordings.follow(spark, "captions", path, 1 << 16), out, f"{out}-checkpoint", None)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return spark.read.parquet(out).select("meeting_id", "ord", "speaker", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.md5("text").alias("text"))
+
+
+def lazy_table(spark, d):
+    """A table that is made when it is first needed: asking again changes nothing."""
+    name = f"colloquy_lazy_{uuid.uuid4().hex}"
+    tables.ensure_table(spark, name, "key BIGINT, brand STRING")
+    i.read(spark, d, "part").select("p_partkey", "p_brand").write.insertInto(name)
+    tables.ensure_table(spark, name, "key BIGINT, brand STRING")
+    path = work_folder(spark, "lazy")
+    spark.table(name).groupBy("brand").agg(F.count("*").alias("n")).write.parquet(path)
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.parquet(path)
+
+
 def sortable_ids(spark, d):
     return i.read(spark, d, "events").select("event_id", v.id_time(F.col("event_id") * 1_000_003).alias("prefix"))
 
@@ -274,7 +326,7 @@ def text_vectors(spark, d):
 QUERIES = {f.__name__: f for f in (
     vector_topk, filtered_topk, topk_join, hit_at_k_mrr, stale_keys, reconcile, index_eligibility, answer_texts, answer_citations, keyset_page, prefix_scan, insert_if_absent, seq_dedupe,
     put_overwrite, partial_update, cascade_delete, live_segments, read_fallback, existence, users_group, meeting_filter, overlay, status_patch, label_usage, label_rename, participants, tag_filter,
-    history_window, entry_names, orphan_captures, audio_declaration, debounce, learned_chrome, replayed_captions, action_boxes, archive_entries, sortable_ids, note_model, text_vectors,
+    history_window, entry_names, orphan_captures, audio_declaration, debounce, learned_chrome, replayed_captions, action_boxes, archive_entries, archive_sizes, metrics_sink, roster_samples, followed_recording, lazy_table, sortable_ids, note_model, text_vectors,
 )}
 
 _DIST = "round(1 - list_cosine_similarity(e, (SELECT e FROM v WHERE key = 7)), 6)"
@@ -332,6 +384,11 @@ ORACLES = {
         SELECT meeting_id, 'x' AS speaker, pub AS text, CAST(epoch_us(pub_ts) // 1000 AS BIGINT) AS ms FROM s WHERE pub IS NOT NULL
         UNION ALL SELECT meeting_id, 'x', arg_max(p, k), CAST(epoch_us(arg_max(since, k)) // 1000 AS BIGINT) FROM s GROUP BY meeting_id""",
     "learned_chrome": sql("SELECT DISTINCT meeting_id, chunk FROM (SELECT meeting_id, chunk, run, min(t) FILTER (words <= 120) AS t0, max(t) FILTER (words <= 120) AS t1 FROM (SELECT meeting_id, role AS chunk, words, c0 / 100.0 AS t, ord - row_number() OVER (PARTITION BY meeting_id, role ORDER BY ord) AS run FROM base) GROUP BY ALL) WHERE t0 < 3 OR t1 - t0 >= 15", "base"),
+    "archive_sizes": "SELECT string_split(url, '/')[3] AS host, count(*) AS entries, CAST(sum(octet_length(encode(coalesce(html, '')))) AS BIGINT) AS bytes FROM pages GROUP BY 1",
+    "metrics_sink": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS name, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "roster_samples": "SELECT user_id AS meeting_id, event_id, CAST(poll AS INTEGER) AS poll FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS poll FROM events) WHERE poll % 10 = 0",
+    "followed_recording": "SELECT CAST(user_id AS VARCHAR) AS meeting_id, event_id AS ord, event_type AS speaker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, md5(props) AS text FROM events",
+    "lazy_table": "SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY 1",
     "sortable_ids": "SELECT event_id, array_to_string(list_transform(range(9, -1, -1), lambda k: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST((event_id * 1000003 // CAST(pow(32, k) AS BIGINT)) % 32 AS INTEGER) + 1, 1)), '') AS prefix FROM events",
     "note_model": sql("SELECT meeting_id, ord, CASE WHEN trim(text) <> '' THEN substr(trim(text), 1, 60) END AS title, CASE WHEN trim(text) = '' THEN '$.title: empty' END AS error FROM turns", "base", "turns"),
     "action_boxes": sql("SELECT meeting_id, ord AS i, CASE WHEN ord = 1 THEN '- [x] ' ELSE '- [ ] ' END || speaker AS line FROM turns", "base", "turns"),

@@ -344,3 +344,28 @@ def test_folding_of_other_scripts(spark):
 def test_names_in_spanish_order(spark):
     df = spark.createDataFrame([(["Ñandu", "Nube", "Nzogi", "ana", "Ána", "Nube"],)], "participants array<string>")
     assert [r.name for r in analytics.participants(df).collect()] == ["ana", "Ána", "Nube", "Nzogi", "Ñandu"]
+
+
+def test_losses_go_to_the_first_stage_without_the_line(spark):
+    from difflib import SequenceMatcher
+
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 6)))
+    truth = [("m", k, " ".join(word() for _ in range(rng.randrange(1, 6))) + rng.choice(["", ".", " ?"])) for k in range(60)] + [("m", 60, ""), ("n", 0, "alone here")]
+    changed = lambda t: t if rng.random() < 0.4 else t[:-1] + word()
+    pools = [[(m, changed(t)) for m, _, t in truth if rng.random() < 0.8] for _ in range(4)]
+    form = lambda t: " ".join(t.split()).rstrip(".,;:?! ").lower()
+
+    def plain(m, text, pool):
+        return max((SequenceMatcher(None, form(text), form(p), autojunk=False).ratio() for k, p in pool if k == m and form(p) and form(text)), default=0.0) >= 0.6
+
+    want = {}
+    for m, k, t in truth:
+        emitted, *stages = (plain(m, t, p) for p in pools)
+        want[m, k] = "MATCHED" if emitted else next((n for n, seen in zip(analytics.LOSSES, stages) if not seen), "PIPELINE")
+    frame = lambda rows: spark.createDataFrame(rows, "meeting_id string, text string")
+    found = analytics.attribute_losses(spark.createDataFrame(truth, "meeting_id string, ord int, text string"), frame(pools[0]), [frame(p) for p in pools[1:]])
+    assert {(r.meeting_id, r.ord): r.stage for r in found.collect()} == want and len(set(want.values())) == 5
+    assert sum(r.lines for r in analytics.loss_report(found).collect()) == len(truth)
