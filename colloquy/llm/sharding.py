@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Rows that one task numbers at most, on average, within one shard.
 ROWS_PER_BLOCK = 1 << 17
 
@@ -48,27 +50,31 @@ def assign_shards(
 ) -> DataFrame:
     """key, size, text_crc32, shard, slot (gapless from 0 in each shard) and grown_shard (with one more shard of weight 1).
 
-    Slots come from counts of (block, shard) pairs and a numbering inside each
-    pair, so no task holds a whole shard. Blocks are made from key and text, so
-    that not even a key that a third of all rows share lands in one block
-    (unless the rows are copies throughout).
+    Rows that are alike in all of that are counted, and made again from their count, so copies of one row are
+    never sorted or dealt to one task. Slots come from counts of (block, shard) pairs and a running sum inside
+    each pair, so no task holds a whole shard either; blocks are made from key, size and CRC.
     """
-    blocks = max(1, -(-docs.count() // rows_per_block))
     rows = docs.select(
         F.col(f"`{key}`").alias("k"),
         (F.coalesce(F.octet_length(f"`{text}`"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).alias("text_crc32"),
-    ).select(
+    )
+    # written, as it is read for its sums, for the counts of blocks and for the rows
+    alike = written(rows.groupBy("k", "size", "text_crc32").agg(F.count("*").alias("copies")), "sharding")
+    total, most = alike.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    blocks = max(1, -(-total // rows_per_block))
+    placed = alike.select(
         "*",
         best_draw(F.col("k"), weights).alias("best"),
         _draw(F.coalesce(F.col("k").cast("string"), F.lit("\0null")), F.lit(len(weights)), F.lit(1.0)).alias("new"),
         F.pmod(F.xxhash64("k", "size", "text_crc32"), F.lit(blocks)).cast("int").alias("block"),
     ).select("*", F.col("best.shard").alias("shard"), F.least("best", "new")["shard"].alias("grown_shard")).drop("best", "new")
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = rows.groupBy("shard", "block").agg(F.count("*").alias("n")).select("shard", "block", F.coalesce(before, F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("shard", "block").orderBy("k", "size", "text_crc32")) - 1
-    return (
-        rows.withColumn("within", within)
-        .join(starts, ["shard", "block"])
-        .select(F.col("k").alias(key), "size", "text_crc32", "shard", (F.col("start") + F.col("within")).cast("long").alias("slot"), "grown_shard")
-    )
+    starts = placed.groupBy("shard", "block").agg(F.sum("copies").alias("n")).select("shard", "block", F.coalesce(before, F.lit(0)).alias("start"))
+    upto = F.sum("copies").over(Window.partitionBy("shard", "block").orderBy("k", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1))
+    first = placed.withColumn("within", F.coalesce(upto, F.lit(0))).join(starts, ["shard", "block"]).withColumn("first", F.col("start") + F.col("within"))
+    # copies in runs of a block's rows; where there are several runs, they are dealt to all tasks
+    runs = first.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / rows_per_block))))
+    runs = runs.repartition("k", "run") if most > rows_per_block else runs
+    own = F.sequence(F.lit(0).cast("long"), F.least(F.lit(rows_per_block), F.col("copies") - F.col("run") * rows_per_block) - 1)
+    return runs.withColumn("i", F.explode(own)).select(F.col("k").alias(key), "size", "text_crc32", "shard", (F.col("first") + F.col("run") * rows_per_block + F.col("i")).cast("long").alias("slot"), "grown_shard")
