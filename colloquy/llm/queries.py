@@ -85,7 +85,7 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = _read(spark, sf_dir, "pages")
     index = archive(pages)
-    records = resolve_revisits(written(read_records(index.captures(spark), index.record_bytes), "warc-records"))
+    records = resolve_revisits(written(read_records(index.captures(spark), index.record_bytes), "warc-records"), index)
     id_type = pages.schema["page_id"].dataType
     return records.select(
         F.col("page_id").cast(id_type).alias("page_id"),

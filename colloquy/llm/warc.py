@@ -14,8 +14,8 @@ level: a sparse directory with the first key and the place of each block; blocks
 grow with the number of captures so that the directory stays below
 ``most_blocks`` entries, and it is held on the driver. A lookup bisects the
 directory, reads one block (or the few that a key spans) by a range read,
-bisects its lines, and reads the records by range reads. Reading everything
-back goes the same way, block by block in tasks.
+bisects its lines, and reads the records by range reads. Revisits find their
+responses that way, in tasks; reading everything back goes block by block.
 
 Folders are reached with pyarrow's file systems, from driver and tasks alike.
 
@@ -32,7 +32,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote, urlsplit
 
@@ -76,15 +76,15 @@ def record_id(page_id: str | None, digest: str) -> str:
     return f"<urn:nopage:{digest}>" if page_id is None else f"<urn:page:{_header_safe(page_id, '%<>:')}:{digest}>"
 
 
-def record_bytes(page_id: str | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: str | None, date: str = DATE) -> bytes:
+def record_bytes(page_id: str | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: str | None, target: str | None = None, date: str = DATE) -> bytes:
     """One record, as a gzip member."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}"]
-    if url:
-        lines.append(f"WARC-Target-URI: {_header_safe(url)}")
+    if safe_url(url):
+        lines.append(f"WARC-Target-URI: {safe_url(url)}")
     if kind == "revisit":
-        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", *([f"WARC-Refers-To-Target-URI: {safe_url(target)}"] if safe_url(target) else [])]
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + pack.flush()
@@ -154,22 +154,22 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("digest"))
     large = F.octet_length("payload") >= revisit_bytes
     # written, so that Spark sends few groups to all tasks, and can split a payload that very many pages share
-    groups = written(rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("group"), "last"), "warc-groups")
+    groups = written(rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.max_by("url", "page_id").alias("target"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("group"), "last", "target"), "warc-groups")
     # small payloads have no group; they get keys of their own, as one of them may be that of a third of all pages
     group = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("small "), F.hex(F.xxhash64("digest", F.col("page_id").cast("string"), "url"))))
     typed = rows.withColumn("_key", group).join(groups, F.col("_key") == F.col("group"), "left")
     again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     records = typed.select(
-        F.col("page_id").cast("string"), "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("last").cast("string")).alias("refers_to")
+        F.col("page_id").cast("string"), "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("last").cast("string")).alias("refers_to"), "target"
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done = _Output(folder, ".warc.gz"), []
         for batch in batches:
             made = []
-            for page, link, data, digest, kind, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                member = record_bytes(page, link, data, digest, kind, refers_to)
-                made.append((capture_key(link), page, kind, out.uri, out.add(member), len(member)))
+            for page, link, data, digest, kind, refers_to, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                member = record_bytes(page, link, data, digest, kind, refers_to, target)
+                made.append((index_key(link), page, kind, out.uri, out.add(member), len(member)))
             done.append(made)
         out.close()  # rows that name the file leave only when it is whole
         for made in done:
@@ -182,19 +182,19 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
 @dataclass
 class CaptureIndex:
-    """The sparse directory: first key, file, offset and length of each block, in order of the keys."""
+    """The sparse directory: first key, file, offset and length of each block, and its first page id, in order of keys and page ids."""
 
-    blocks: list[tuple[str, str, int, int]]
+    blocks: list[tuple[str, str, int, int, str | None]]
     #: Bytes of all records in the archives.
     record_bytes: int = 0
 
     def lookup(self, url: str) -> list[dict]:
         """All captures of a url."""
-        key, found = capture_key(url), []
+        key, found = index_key(url), []
         firsts = [b[0] for b in self.blocks]
         at = max(0, bisect.bisect_left(firsts, key) - 1)
         while at < len(self.blocks) and self.blocks[at][0] <= key:
-            lines = read_block(*self.blocks[at][1:])
+            lines = read_block(*self.blocks[at][1:4])
             keys = [line.partition("\t")[0] for line in lines]
             found += [capture_of(line) for line in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
             at += 1
@@ -206,7 +206,7 @@ class CaptureIndex:
 
     def captures(self, spark: SparkSession, blocks_per_task: int = 4) -> DataFrame:
         """All captures, read block by block in tasks."""
-        rows = spark.createDataFrame([(i, *b[1:]) for i, b in enumerate(self.blocks)], "i int, file string, offset long, length long")
+        rows = spark.createDataFrame([(i, *b[1:4]) for i, b in enumerate(self.blocks)], "i int, file string, offset long, length long")
 
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -217,6 +217,16 @@ class CaptureIndex:
         return rows.repartition(max(1, -(-len(self.blocks) // blocks_per_task)), "i").mapInArrow(unpack, _CAPTURE)
 
 
+def safe_url(url: str | None) -> str:
+    """The url as a record's header holds it."""
+    return _header_safe((url or "").strip())
+
+
+def index_key(url: str | None) -> str:
+    """The key of a url in the index: that of its form in a record, so that a revisit's header leads to it too."""
+    return capture_key(safe_url(url))
+
+
 def line_of(key: str, *rest) -> str:
     return f"{key}\t{json.dumps(rest, ensure_ascii=False)}"
 
@@ -242,7 +252,8 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
 
         def close_block(part: list[str]) -> None:
             data = zlib.compress("\n".join(part).encode(), 6)
-            blocks.append((part[0].partition("\t")[0], out.uri, out.add(data), len(data)))
+            first = capture_of(part[0])
+            blocks.append((first["key"], out.uri, out.add(data), len(data), first["page_id"]))
 
         for batch in batches:
             held += [line_of(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
@@ -252,16 +263,33 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
         if held:
             close_block(held)
         out.close()
-        columns = list(zip(*blocks, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.int64(), pa.int64()], strict=True)], names=["first", "file", "offset", "length"])
+        columns = list(zip(*blocks, strict=True)) or [()] * 5
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["first", "file", "offset", "length", "first_page"])
+
+    directory = written(ranged.select("key", "page_id", "kind", "file", "offset", "length").mapInArrow(pack, "first string, file string, offset long, length long, first_page string"), "warc-directory")
+    return CaptureIndex(sorted((tuple(r) for r in directory.collect()), key=lambda b: (*place_of(b[0], b[4]), b[1], b[2])), size)
+
+
+def place_of(key: str, page_id: str | None) -> tuple[str, bool, str]:
+    """Where a capture stands in the index: in the order of UTF-8 bytes (that of Python's code points), null before all ids, as Spark sorts."""
+    return key, page_id is not None, page_id or ""
+
 
-    directory = written(ranged.select("key", "page_id", "kind", "file", "offset", "length").mapInArrow(pack, "first string, file string, offset long, length long"), "warc-directory")
-    # the order of UTF-8 bytes, in which Spark sorts, is that of Python's code points
-    return CaptureIndex(sorted(tuple(r) for r in directory.collect()), size)
+def find_captures(blocks: list[tuple], places: list[tuple], key: str, page_id: str | None, read: Callable[[int], list[str]]) -> list[dict]:
+    """The captures of one page under one key: the directory's places are bisected for the block, and the block for its lines."""
+    wanted = place_of(key, page_id)
+    at, found = max(0, bisect.bisect_left(places, wanted) - 1), []
+    while at < len(blocks) and places[at] <= wanted:
+        lines = read(at)
+        order = lambda line: place_of((c := capture_of(line))["key"], c["page_id"])
+        found += [capture_of(line) for line in lines[bisect.bisect_left(lines, wanted, key=order) : bisect.bisect_right(lines, wanted, key=order)]]
+        at += 1
+    return found
 
 
 def read_records(captures: DataFrame, record_bytes: int | None = None) -> DataFrame:
-    """(page_id, kind, refers_to, payload_bytes, payload_digest): every capture's record by a range read; size and digest are of the payload found (none for a revisit).
+    """(page_id, kind, refers_to, payload_bytes, payload_digest, named_digest, target): every capture's record by a range read; size and digest are of the payload found (none for a revisit).
 
     Tasks take stretches of about ``STRETCH`` bytes of a file; ``record_bytes`` (by default summed up) gives their number.
     """
@@ -284,27 +312,58 @@ def read_records(captures: DataFrame, record_bytes: int | None = None) -> DataFr
                 if whole and record.headers["WARC-Payload-Digest"] != f"sha1:{digest}":
                     raise ValueError(f"damaged record in {uri} at {offset}")
                 named = record.headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                made.append((record.page(), record.kind, record.page("WARC-Refers-To"), len(record.payload) if whole else None, digest if whole else None, named))
-            columns = list(zip(*made, strict=True)) or [()] * 6
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["page_id", "kind", "refers_to", "payload_bytes", "payload_digest", "named_digest"])
+                target = record.headers.get("WARC-Refers-To-Target-URI", "")
+                made.append((record.page(), record.kind, record.page("WARC-Refers-To"), len(record.payload) if whole else None, digest if whole else None, named, target))
+            columns = list(zip(*made, strict=True)) or [()] * 7
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["page_id", "kind", "refers_to", "payload_bytes", "payload_digest", "named_digest", "target"])
         if file:
             file.close()
 
     stretch = F.floor(F.col("offset") / STRETCH).alias("stretch")
     dealt = captures.select("file", "offset", "length", stretch).repartition(max(1, -(-record_bytes // STRETCH)), "file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
-    return dealt.mapInArrow(read, "page_id string, kind string, refers_to string, payload_bytes long, payload_digest string, named_digest string")
+    return dealt.mapInArrow(read, "page_id string, kind string, refers_to string, payload_bytes long, payload_digest string, named_digest string, target string")
+
 
+def resolve_revisits(records: DataFrame, index: CaptureIndex) -> DataFrame:
+    """The records with the size and digest of revisits taken from the response they refer to, which is looked up in the index.
 
-def resolve_revisits(records: DataFrame) -> DataFrame:
-    """The records with the size and digest of revisits taken from the payload of the response they refer to."""
-    whole = records.filter("kind = 'response'")
-    # written, so that Spark can split a response that very many revisits refer to; repeated responses count once
-    stored = written(whole.groupBy(F.col("page_id").alias("of_page"), F.col("payload_digest").alias("of_digest")).agg(F.max("payload_bytes").alias("of_bytes")), "warc-stored")
+    Each response is asked for once. The directory (bounded by ``most_blocks``) goes to all tasks; a task bisects it,
+    reads a block by a range read (once for all it asks there), bisects its lines, and reads the record by a range read.
+    """
+    spark = records.sparkSession
     again = records.filter("kind = 'revisit'").drop("payload_bytes", "payload_digest")
-    found = again.join(stored, again.refers_to.eqNullSafe(stored.of_page) & (again.named_digest == stored.of_digest))
+    shared = spark.sparkContext.broadcast((index.blocks, [place_of(b[0], b[4]) for b in index.blocks]))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, places = shared.value
+        last: tuple[int, list[str]] = (-1, [])
+
+        def read(at: int) -> list[str]:
+            nonlocal last
+            if last[0] != at:
+                last = (at, read_block(*blocks[at][1:4]))
+            return last[1]
+
+        for batch in batches:
+            made = []
+            for page, named, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for c in find_captures(blocks, places, index_key(target), page, read):
+                    if c["kind"] == "response":
+                        payload = parse_record(read_range(c["file"], c["offset"], c["length"])).payload
+                        if (digest := hashlib.sha1(payload).hexdigest()) == named:
+                            made.append((page, named, len(payload), digest))
+                            break
+            columns = list(zip(*made, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.int64(), pa.string()], strict=True)], names=["of_page", "of_named", "of_bytes", "of_digest"])
+
+    asked = again.select("refers_to", "named_digest", "target").distinct().repartitionByRange("target", "refers_to").sortWithinPartitions("target", "refers_to")
+    # written, so that Spark can split a response that very many revisits refer to
+    stored = written(asked.mapInArrow(fetch, "of_page string, of_named string, of_bytes long, of_digest string"), "warc-stored")
+    found = again.join(stored, again.refers_to.eqNullSafe(stored.of_page) & (again.named_digest == stored.of_named))
     columns = ["page_id", "kind", "refers_to", "payload_bytes", "payload_digest"]
-    return whole.select(columns).unionAll(found.select("page_id", "kind", "refers_to", F.col("of_bytes").alias("payload_bytes"), F.col("of_digest").alias("payload_digest")))
+    whole = records.filter("kind = 'response'").select(columns)
+    return whole.unionAll(found.select("page_id", "kind", "refers_to", F.col("of_bytes").alias("payload_bytes"), F.col("of_digest").alias("payload_digest")))
 
 
 def archive(pages: DataFrame, folder: str | None = None, **kwargs) -> CaptureIndex:
