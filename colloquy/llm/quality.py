@@ -62,6 +62,7 @@ def shapes_and_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     n = np.maximum(np.diff(heads), 1)
     size = np.maximum(np.diff(offsets), 1)
     same = np.append(False, hashes[1:] == hashes[:-1])[: len(hashes)]
+    same[heads[:-1][heads[:-1] < len(hashes)]] = False  # a text's first word has none before it
     letters = (data >= 65) & (data <= 122)
     upper = (data >= 65) & (data <= 90)
     out = np.zeros((texts, SHAPES))
