@@ -228,7 +228,7 @@ def test_warc(spark, tmp_path):
     pages = [(1, "http://a.example.com/x?q=1#f", big), (2, "https://A.example.com:443/x?q=1", big), (3, "http://b.example.org", "short"), (4, "http://b.example.org", "short"), (5, None, None), (6, "not a url\n", big), (7, "http://[bad", "\r\n\r\nWARC/1.1"), (3, "http://b.example.org", "short")]
     df = spark.createDataFrame([(*p, 9) for p in pages], "page_id long, url string, html string, kind int")
     index = warc.archive(df, f"{tmp_path}/w")
-    found = sorted(rows_of(warc.resolve_revisits(warc.read_records(index.captures(spark))), "page_id", "kind", "refers_to", "payload_bytes", "payload_digest"), key=str)
+    found = sorted(rows_of(warc.resolve_revisits(warc.read_records(index.captures(spark)), index), "page_id", "kind", "refers_to", "payload_bytes", "payload_digest"), key=str)
     want = []
     for page, _, html in pages:
         data = (html or "").encode()

@@ -265,7 +265,7 @@ def test_warc_with_hot_and_large_payloads(spark, tmp_path):
     pages = [(k, f"http://h{k % 5}.example/{k}", big if k % 2 else "tiny") for k in range(400)] + [(1000, "http://z.example/", "z" * (20 << 20)), (None, None, "q" * 1500)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     index = warc.archive(df, f"{tmp_path}/w")
-    found = {r.page_id: r for r in warc.resolve_revisits(warc.read_records(index.captures(spark), index.record_bytes)).collect()}
+    found = {r.page_id: r for r in warc.resolve_revisits(warc.read_records(index.captures(spark), index.record_bytes), index).collect()}
     assert len(found) == len(pages)
     assert {k for k, r in found.items() if r.kind == "revisit"} == {str(k) for k in range(1, 399, 2)} and all(r.refers_to == "399" for r in found.values() if r.kind == "revisit")
     assert found["1000"].payload_bytes == 20 << 20 and found["0"].payload_bytes == 4 and found["1"].payload_bytes == 2000 and found[None].payload_bytes == 1500

@@ -306,8 +306,100 @@ def test_archives_of_awkward_ids(spark):
     rows = [("None", "http://a/1", body), ("a\nb: c", "http://a/2", body), ("", "http://a/3", "short"), (None, "http://a/4", body), ("p:q%20<>", "http://a/5", "y" * 1500), ("z", None, "y" * 1500)]
     pages = spark.createDataFrame([(*r, 1, "k") for r in rows], "page_id string, url string, html string, kind int, key string")
     index = warc.archive(pages)
-    found = {r.page_id: r for r in warc.resolve_revisits(written(warc.read_records(index.captures(spark), index.record_bytes), "t")).collect()}
+    found = {r.page_id: r for r in warc.resolve_revisits(written(warc.read_records(index.captures(spark), index.record_bytes), "t"), index).collect()}
     assert set(found) == {r[0] for r in rows}
     assert {k: (r.kind, r.refers_to, r.payload_bytes) for k, r in found.items()} == {
         "None": ("revisit", "a\nb: c", 2000), "a\nb: c": ("response", None, 2000), "": ("response", None, 5), None: ("revisit", "a\nb: c", 2000), "p:q%20<>": ("revisit", "z", 1500), "z": ("response", None, 1500),
     }
+
+
+def test_revisits_find_responses_by_bisection(spark, tmp_path):
+    """Small blocks, a url with very many captures, keys that span blocks, and odd urls: each revisit's response is found in the index."""
+    from colloquy.llm import warc
+
+    body = lambda k: f"<p>{k}" + "é" * 600
+    urls = ["http://same.example/x", "http://same.example/x", " http://b c.example/ü?\t1 ", None, "HTTP://D.example:80/"]
+    rows = [(k, urls[k % 5] if k % 3 else f"http://h{k}.example/", body(k % 40)) for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    index = warc.build_index(warc.write_archives(pages, f"{tmp_path}/w"), f"{tmp_path}/w", block_lines=7)
+    assert len(index.blocks) > 40
+    found = {int(r.page_id): r for r in warc.resolve_revisits(warc.read_records(index.captures(spark), index.record_bytes), index).collect()}
+    for k, _, html in rows:
+        last = 360 + k % 40
+        data = html.encode()
+        want = ("response", None) if k == last else ("revisit", str(last))
+        assert (found[k].kind, found[k].refers_to) == want and found[k].payload_bytes == len(data) and found[k].payload_digest == hashlib.sha1(data).hexdigest()
+    read = lambda at: warc.read_block(*index.blocks[at][1:4])
+    places = [warc.place_of(b[0], b[4]) for b in index.blocks]
+    for k, url, _ in rows:
+        assert [c["page_id"] for c in warc.find_captures(index.blocks, places, warc.index_key(url), str(k), read)] == [str(k)]
+    assert warc.find_captures(index.blocks, places, warc.index_key("http://none.example"), "1", read) == []
+
+
+# 2 ---------------------------------------------------------------------------
+def test_copies_of_a_row_get_gapless_slots(spark):
+    """A row that is repeated beyond a block is counted and made again in runs."""
+    from colloquy.llm import sharding
+
+    rows = [(7, "same")] * 2500 + [(k, f"text {k}") for k in range(300)] + [(None, None)] * 40 + [(7, "other")] * 3
+    found = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), [1.0, 2.0, 1.0], rows_per_block=100).collect()
+    assert sorted(((r.doc_id, r.size) for r in found), key=str) == sorted(((k, 16 + len(t or "")) for k, t in rows), key=str)
+    for shard in range(3):
+        slots = sorted(r.slot for r in found if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert len({r.shard for r in found if r.doc_id == 7}) == 1
+
+
+# 6 ---------------------------------------------------------------------------
+def test_quality_features_fit_and_evidence_again(spark):
+    """Features by plain Python, the fit by the gradient of its penalised loss, evidence and toxicity by the weights; sites from urls."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from colloquy.llm import quality
+    from colloquy.llm.common import lower_ascii, word_hashes
+
+    rng = random.Random(11)
+    good, bad = "river garden music letter window".split(), "CLICK win$$ http://x now!! cheap".split()
+    texts = {k: " ".join(rng.choices(good if k % 2 else bad, k=rng.randrange(3, 30))) + rng.choice([".", ",\n", " 12"]) for k in range(240)}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+    def shapes(t):
+        words = word.findall(t.translate(LOWER))
+        n, raw = max(len(words), 1), t.encode()
+        letters = sum(65 <= c <= 122 for c in raw)
+        return [
+            math.log1p(len(words)) / 8, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, min(sum(chr(c) in "#%&$*|!<>{}[]=+~^@\\/_" for c in raw) / n, 4), sum(65 <= c <= 90 for c in raw) / max(letters, 1),
+            sum(48 <= c <= 57 for c in raw) / max(len(raw), 1), raw.count(b"\n") / n, min(max(len(raw), 1) / n / 10, 4), sum(c in b".," for c in raw) / n,
+        ]
+
+    def buckets(t):
+        out = set()
+        for w in word.findall(t.translate(LOWER)):
+            data = np.frombuffer(w.encode(), dtype=np.uint8)
+            out.add(int(word_hashes(lower_ascii(data), np.array([0]), np.array([len(data)]))[0] >> np.uint64(64 - quality.BUCKET_BITS)))
+        return out
+
+    docs = spark.createDataFrame([(k, t, f"http://{'good' if k % 2 else 'bad'}{k % 3}.example/{k % 4}/p{k}") for k, t in texts.items()], "doc_id long, text string, url string")
+    labels = spark.createDataFrame([(k, int(k % 2), int(k % 5 == 0)) for k in range(160)], "doc_id long, quality int, toxic int")
+    heads = quality.train(docs, labels)
+    for head, y in (("quality", [k % 2 for k in range(160)]), ("toxic", [int(k % 5 == 0) for k in range(160)])):
+        h = heads[head]
+        x = np.array([[1, *shapes(texts[k]), *(float(b in buckets(texts[k])) for b in h.buckets)] for k in range(160)])
+        ridge = np.array([1e-6, *[0.01] * quality.SHAPES, *[quality.RIDGE] * len(h.buckets)])
+        p = 1 / (1 + np.exp(-np.clip(x @ h.weights, -30, 30)))
+        assert np.abs(x.T @ (p - np.array(y)) + ridge * h.weights).max() < 1e-3 and h.base == (sum(y) + 0.5) / 161
+    host, path = F.element_at(F.split("url", "/"), 3), F.element_at(F.split("url", "/"), 4)
+    found = {r.doc_id: r for r in quality.classify(docs, labels, host, path).collect()}
+    assert len(found) == 240 and {(r.host, r.path) for r in found.values()} == {(f"{'good' if k % 2 else 'bad'}{k % 3}.example", str(k % 4)) for k in range(240)}
+    for k, t in texts.items():
+        odds = {}
+        for head in quality.HEADS:
+            h = heads[head]
+            odds[head] = float(np.array([1, *shapes(t), *(float(b in buckets(t)) for b in h.buckets)]) @ h.weights)
+        base = heads["quality"].base
+        assert found[k].evidence == pytest.approx(max(-30, min(30, odds["quality"])) - math.log(base / (1 - base)), abs=1e-6)
+        assert found[k].toxicity == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, odds["toxic"])))), abs=1e-6)
+    held = [k for k in range(160, 240)]
+    assert sum((found[k].quality >= 0.5) == bool(k % 2) for k in held) >= 78
