@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -33,9 +34,9 @@ from .common import gram_hashes, lower_ascii, slices, word_hashes, word_spans, w
 
 K = 128
 SHINGLE = 5
-#: Documents that a task compares with their neighbours, on average.
-ROWS_PER_TASK = 4000
-MOST_TASKS = 20_000
+#: Documents of a part on average, and parts; a task has about four.
+ROWS_PER_PART = 1000
+MOST_PARTS = 80_000
 #: Code points of texts that are paired up at once.
 CHARS_AT_ONCE = 1 << 20
 
@@ -144,16 +145,20 @@ _RESULT = "doc_id {id}, n_chars long, edited_sha256 string, fingerprint string,
 def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """Each document's sketch beside that of its edited text and of the next document by descending id (the last one's next is the first).
 
-    One range shuffle by id (and a hash of the text, so that even one id may
-    have very many rows) brings neighbours together; each task compares its
-    sorted documents in a stream. The first and last document of each task,
-    read from the same shuffle, are compared in a second pass: two documents
-    for each of at most ``MOST_TASKS`` tasks.
+    Documents are cut into parts by id (and a hash of the text, so that even one
+    id may have very many rows). The parts' first keys, at most ``MOST_PARTS``,
+    are found once, from ids alone, and go to all tasks: which part a document
+    belongs to hangs on them only, and not on how Spark samples or deals a
+    range. One shuffle brings parts together; a task compares the sorted
+    documents of each part in a stream. The first and last document of each
+    part are compared in a second pass.
     """
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    tasks = min(MOST_TASKS, max(12, docs.count() // ROWS_PER_TASK))
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    parts = min(MOST_PARTS, max(48, docs.count() // ROWS_PER_PART))
     order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
+    bounds = part_bounds(rows.select("doc_id", "h"), order, parts)
+    rows = rows.withColumn("part", part_of(docs.sparkSession, bounds)("doc_id", "h"))
     schema = T.StructType.fromDDL(_RESULT.format(id=rows.schema["doc_id"].dataType.simpleString()))
     id_type = to_arrow_type(rows.schema["doc_id"].dataType)
 
@@ -176,31 +181,37 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
         kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=schema.names)
 
-    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str], bool]]:
+        """(part, ids, texts, whether the part goes on) of neighbouring documents; what goes on begins with the last document before."""
+        now, ids, texts, size = None, [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc_id, part, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if part != now and ids:
+                    yield now, ids, texts, False
+                    ids, texts, size = [], [], 0
+                now = part
                 ids.append(doc_id)
                 texts.append(text)
                 size += len(text)
                 if size >= CHARS_AT_ONCE and len(ids) > 1:
-                    yield batch_of(results(ids, texts))
+                    yield now, ids, texts, True
                     ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
-        if len(ids) > 1:
-            yield batch_of(results(ids, texts))
+        if ids:
+            yield now, ids, texts, False
 
-    def ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first and the last row of a task, with the task's number and ``edge``."""
-        task, last = TaskContext.get().partitionId(), None
-        for batch in batches:
-            if batch.num_rows and last is None:
-                yield with_edge(batch.slice(0, 1), task, "first")
-            last = batch.slice(batch.num_rows - 1, 1) if batch.num_rows else last
-        if last is not None:
-            yield with_edge(last, task, "last")
+    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, texts, _ in parts_of(batches):
+            if len(ids) > 1:
+                yield batch_of(results(ids, texts))
 
-    def with_edge(row: pa.RecordBatch, task: int, edge: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([row.column(0), row.column(2), pa.array([task], pa.int32()), pa.array([edge])], names=["doc_id", "text", "task", "edge"])
+    def ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first and the last row of each part."""
+        begun = False
+        for part, ids, texts, goes_on in parts_of(batches):
+            made = ([] if begun else [(ids[0], texts[0], part, "first")]) + ([] if goes_on else [(ids[-1], texts[-1], part, "last")])
+            begun = goes_on
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), [id_type, pa.string(), pa.int32(), pa.string()], strict=True)], names=["doc_id", "text", "part", "edge"])
 
     def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row holds the last document of a task and the text of the first one of the next task."""
@@ -208,13 +219,43 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
             for row in batch.to_pylist():
                 yield batch_of(results([row["doc_id"], None], [row["text"], row["after"]]))
 
-    ranged = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    ends = ranged.mapInArrow(ends_of, T.StructType([rows.schema["doc_id"], rows.schema["text"], *T.StructType.fromDDL("task int, edge string").fields]))
-    filled = ends.filter("edge = 'first'").agg(F.array_sort(F.collect_set("task")).alias("all")).select("all").scalar()
-    # the first row of a task goes to the task before it that holds rows, that of the first task to the last one
-    numbered = ends.withColumn("filled", filled)
-    before = F.coalesce(F.array_max(F.filter("filled", lambda t: t < F.col("task"))), F.array_max("filled"))
-    keyed = numbered.withColumn("to", F.when(F.col("edge") == "last", F.col("task")).otherwise(before))
+    tasks = max(12, parts // 4)
+    dealt = rows.repartition(tasks, "part").sortWithinPartitions("part", *order).select("doc_id", "part", "text")
+    ends = dealt.mapInArrow(ends_of, T.StructType([rows.schema["doc_id"], rows.schema["text"], *T.StructType.fromDDL("part int, edge string").fields]))
+    # the first row of a part goes to the part before it, that of the first part to the last one
+    to = F.when(F.col("edge") == "last", F.col("part")).otherwise(F.pmod(F.col("part") - 1, F.lit(max(1, len(bounds)))))
     last, first = F.when(F.col("edge") == "last", F.struct("doc_id", "text")), F.when(F.col("edge") == "first", F.col("text"))
-    pairs = keyed.groupBy("to").agg(F.first(last, ignorenulls=True).alias("l"), F.first(first, ignorenulls=True).alias("after")).select("l.doc_id", "l.text", "after")
-    return ranged.mapInArrow(pair_up, schema).unionAll(pairs.mapInArrow(join_ends, schema))
+    pairs = ends.groupBy(to.alias("to")).agg(F.first(last, ignorenulls=True).alias("l"), F.first(first, ignorenulls=True).alias("after")).select("l.doc_id", "l.text", "after")
+    return dealt.mapInArrow(pair_up, schema).unionAll(pairs.mapInArrow(join_ends, schema))
+
+
+def in_order(a: tuple, b: tuple) -> int:
+    """Compares keys (id, hash) by descending id, nulls last, and then by hash."""
+    if a[0] != b[0]:
+        return 1 if a[0] is None or (b[0] is not None and a[0] < b[0]) else -1
+    return (a[1] > b[1]) - (a[1] < b[1])
+
+
+def part_bounds(keys: DataFrame, order: list, parts: int) -> list[tuple]:
+    """The first keys of parts of about equal size, in order: at most ``parts``; each is the key of a row."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    found = keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(first, keys.schema)
+    return sorted({tuple(r.values()) for r in found.toArrow().to_pylist()}, key=cmp_to_key(in_order))
+
+
+def part_of(spark: SparkSession, bounds: list[tuple]):
+    """The number of the part of a key, as a function of columns: that of the last bound not after it."""
+    shared = spark.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("int")
+    def part(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        key = cmp_to_key(in_order)
+        return pa.array([max(0, bisect_right(shared.value, key(k), key=key) - 1) for k in zip(ids.to_pylist(), hashes.to_pylist(), strict=True)], pa.int32())
+
+    return part

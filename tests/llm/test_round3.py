@@ -403,3 +403,32 @@ def test_quality_features_fit_and_evidence_again(spark):
         assert found[k].toxicity == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, odds["toxic"])))), abs=1e-6)
     held = [k for k in range(160, 240)]
     assert sum((found[k].quality >= 0.5) == bool(k % 2) for k in held) >= 78
+
+
+# 9 ---------------------------------------------------------------------------
+def test_neighbours_do_not_hang_on_how_ranges_are_sampled(spark, monkeypatch):
+    """Without reuse of exchanges and without adaptive plans, with rows beyond Spark's samples, ids beyond 2**53 and nulls: every next document is the right one."""
+    from colloquy.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "ROWS_PER_PART", 20)
+    rng = random.Random(12)
+    ids = rng.sample(range(2**60, 2**60 + 10**6), 6000)
+    rows = [(i, f"text of {i} {rng.random()}") for i in ids] + [(None, f"none {k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    settings = {"spark.sql.exchange.reuse": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.execution.rangeExchange.sampleSizePerPartition": "3"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = fingerprints.compare_neighbours(docs).select("doc_id", "edited_sha256").collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert len(found) == len(rows)
+    order = sorted((r for r in rows if r[0] is not None), reverse=True)
+    got = {r.doc_id: r.edited_sha256 for r in found if r.doc_id is not None}
+    edit = lambda a, b: hashlib.sha256(fingerprints.edited(a, b).encode()).hexdigest()
+    assert all(got[a[0]] == edit(a[1], b[1]) for a, b in itertools.pairwise(order))
+    nulls = [t for i, t in rows if i is None]
+    assert got[order[-1][0]] in {edit(order[-1][1], t) for t in nulls}
+    last = [r.edited_sha256 for r in found if r.doc_id is None]
+    assert sum(d in {edit(t, order[0][1]) for t in nulls} for d in last) == 1 and len(last) == len(nulls)
