@@ -206,19 +206,29 @@ def put_vectors(stored: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def write_vectors(rows: DataFrame, path: str) -> None:
-    """Upserts vectors (tenant_id, index_version, key, ...) in a table by tenant and version; only the partitions of rows are rewritten, through a second copy."""
-    spark = rows.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    """Upserts vectors (tenant_id, index_version, key, ...) in a table by tenant and version; only the partitions of rows are rewritten, through a second copy.
+
+    A copy that is complete is what the table is to become: if a write stopped after it, the next one finishes that first.
+    """
+    spark, keys = rows.sparkSession, ["tenant_id", "index_version"]
+    place, copy, done = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.next", f"{path}.next/_SUCCESS"))
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    merged_at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.next")
-    if files.exists(place):
-        touched = rows.select("tenant_id", "index_version").distinct()
-        stored = spark.read.parquet(path).select(*rows.columns).join(touched, ["tenant_id", "index_version"], "left_semi")
-        merged = put(stored, rows, ["tenant_id", "index_version", "key"])
-        merged.write.mode("overwrite").partitionBy("tenant_id", "index_version").parquet(f"{path}.next")
-        rows = spark.read.schema(rows.schema).parquet(f"{path}.next")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "index_version").parquet(path)
-    files.delete(merged_at, True)
+
+    def replace(new: DataFrame) -> None:
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+    def replace_by_copy() -> None:
+        replace(spark.read.schema(rows.schema).parquet(f"{path}.next"))
+        files.delete(copy, True)
+
+    if files.exists(done):
+        replace_by_copy()
+    if not files.exists(place):
+        replace(rows)
+        return
+    stored = spark.read.schema(rows.schema).parquet(path).select(*rows.columns).join(rows.select(*keys).distinct(), keys, "left_semi")
+    put(stored, rows, [*keys, "key"]).write.mode("overwrite").partitionBy(*keys).parquet(f"{path}.next")
+    replace_by_copy()
 
 
 def ensure_table(spark: SparkSession, name: str, ddl: str) -> None:

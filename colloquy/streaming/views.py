@@ -100,7 +100,7 @@ class SnapshotDifference(_Polls):
         yield frame([], NEW_LINES)
 
 
-class CaptionWatcher(_Polls):
+class ViewWatcher(_Polls):
     """Polls to published captions: differences, revisions and stability in one state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -144,7 +144,7 @@ def new_snapshot_lines(polls: DataFrame, watermark: str = "10 seconds") -> DataF
 
 def watch_captions(polls: DataFrame, watermark: str = "10 seconds") -> DataFrame:
     """The published captions of a stream of polls."""
-    return _by_meeting(polls, CaptionWatcher(), PUBLISHED, watermark)
+    return _by_meeting(polls, ViewWatcher(), PUBLISHED, watermark)
 
 
 def replay_views(polls: DataFrame, every: float = 0.0) -> DataFrame:

@@ -369,3 +369,17 @@ def test_losses_go_to_the_first_stage_without_the_line(spark):
     found = analytics.attribute_losses(spark.createDataFrame(truth, "meeting_id string, ord int, text string"), frame(pools[0]), [frame(p) for p in pools[1:]])
     assert {(r.meeting_id, r.ord): r.stage for r in found.collect()} == want and len(set(want.values())) == 5
     assert sum(r.lines for r in analytics.loss_report(found).collect()) == len(truth)
+
+
+def test_a_write_of_vectors_that_stopped_is_finished(spark, tmp_path):
+    """The copy was complete, the table lost its partition: the next write brings it back before it adds its own."""
+    import shutil
+
+    rows = lambda *r: spark.createDataFrame(list(r), "tenant_id string, index_version int, key string, x int")
+    path = f"{tmp_path}/vectors"
+    tables.write_vectors(rows(("t", 1, "a", 1), ("t", 1, "b", 1), ("u", 1, "c", 1)), path)
+    rows(("t", 1, "a", 1), ("t", 1, "b", 2)).write.partitionBy("tenant_id", "index_version").parquet(f"{path}.next")
+    shutil.rmtree(f"{path}/tenant_id=t")
+    tables.write_vectors(rows(("u", 1, "d", 3)), path)
+    found = sorted((r.tenant_id, r.key, r.x) for r in spark.read.parquet(path).collect())
+    assert found == [("t", "a", 1), ("t", "b", 2), ("u", "c", 1), ("u", "d", 3)]
