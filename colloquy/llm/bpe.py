@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import release, slices
 
 SLICE_BYTES = 4 << 20
 #: Bytes that the words a worker remembers may take, with their ids; beyond it, it starts afresh.
-KNOWN_BYTES = 96 << 20
+KNOWN_BYTES = 64 << 20
 #: What a remembered word takes besides its bytes and ids.
 WORD_COST = 140
 _NONE = np.iinfo(np.int32).max
@@ -237,20 +237,28 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the offsets of the texts."""
-        words = [self.words(t) for t in texts]
-        total = sum(map(len, words))
-        at = np.fromiter(map(self.word.get, itertools.chain.from_iterable(words), itertools.repeat(-1)), dtype=np.int64, count=total)
-        if len(missing := np.flatnonzero(at < 0)):
-            flat = list(itertools.chain.from_iterable(words))
-            late = [flat[k] for k in missing.tolist()]
+        # numbers of known words are kept, and of the words themselves only the new ones
+        numbers, late, late_at, lengths, n = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)], [], 0
+        for text in texts:
+            words = self.words(text)
+            own = np.fromiter(map(self.word.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
+            if len(missing := np.flatnonzero(own < 0)):
+                late += [words[k] for k in missing.tolist()]
+                late_at.append(missing + n)
+            numbers.append(own)
+            lengths.append(len(words))
+            n += len(words)
+        at = np.concatenate(numbers)
+        if late:
             new = list(dict.fromkeys(late))
             self._enter(new, *self.bpe.encode_words(new))
-            at[missing] = [self.word[w] for w in late]
+            at[np.concatenate(late_at)] = [self.word[w] for w in late]
+            del new
         counts = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(total) + np.repeat(self.starts[at] - (ends - counts), counts)]
-        per_text = np.append(0, ends)[np.append(0, np.cumsum([len(ws) for ws in words], dtype=np.int64))]
+        per_text = np.append(0, ends)[np.append(0, np.cumsum(lengths, dtype=np.int64))]
         if self.bytes > KNOWN_BYTES:
             self.forget()
         return ids, per_text
@@ -288,6 +296,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", decoded
                 made = [lists, *([_strings(tokens, lists)] if decoded else [])]
                 part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.names.index(c)) for c in names), *made], names=[*names, *(f.name for f in new)])
+        release()
 
     return source.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), *new]))
 
