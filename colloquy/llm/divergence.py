@@ -17,7 +17,8 @@ Single terms of a group are ranked in their own rows.
 Texts are counted by task into rows (language, source, term, count, documents)
 before anything is shuffled. Vectors are dealt by (language, part), with the
 list of the language's sources before them, and each part hands on one sum for
-each pair; so a language or source that holds most rows is spread, and nothing
+each pair; so a language or source that holds most rows is spread (of a language with very
+many sources, blocks of pairs go to tasks of their own), and nothing
 is broadcast but by Spark's own check of a table's size. Ranks of terms are cut
 by Spark in each task before the shuffle.
 
@@ -49,6 +50,8 @@ TOP_TERMS = 200
 TALLY_TERMS, TALLY_BYTES = 400_000, 64 << 20
 #: Distinct vectors of one part.
 PART_VECTORS = 1 << 14
+#: Pairs whose sums a task holds at once; a language with more has its sources in several blocks.
+BLOCK_PAIRS = 1 << 22
 #: Cells of the matrix of counts that a task evaluates at once.
 CELLS = 1 << 21
 _WORDS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+").findall
@@ -118,14 +121,15 @@ def probabilities(counts: np.ndarray, totals: np.ndarray, terms: int) -> np.ndar
 
 
 class PairSums:
-    """The sums over terms of one part for all ordered pairs of the sources of a language."""
+    """The sums over terms of one part for ordered pairs of the sources of a language: those whose first source is in a block of them."""
 
-    def __init__(self, names: list[str], totals: np.ndarray, terms: int):
+    def __init__(self, names: list[str], totals: np.ndarray, terms: int, block: int = 0, blocks: int = 1):
         self.names, self.totals, self.terms = names, totals, terms
         k = len(names)
+        self.rows = range(k * block // blocks, k * (block + 1) // blocks)
         self.place = {name: i for i, name in enumerate(names)}
         self.zero = probabilities(np.zeros((1, k), np.int64), totals, terms)[0] if terms else np.ones(k, np.int64)
-        self.sums, self.either = np.zeros((k, k), np.int64), np.zeros((k, k), np.int64)
+        self.sums, self.either = np.zeros((len(self.rows), k), np.int64), np.zeros((len(self.rows), k), np.int64)
         self.waiting: list[tuple[list, int]] = []
 
     def add(self, vector: list[dict], times: int) -> None:
@@ -142,16 +146,18 @@ class PairSums:
                 counts[row, self.place[cell["source"]]] = cell["n"]
         self.waiting = []
         p, has = probabilities(counts, self.totals, self.terms), counts > 0
+        first = slice(self.rows.start, self.rows.stop)
         for s in range(len(self.names)):
             rows = np.flatnonzero(has[:, s])
             if not len(rows):
                 continue
-            own, others, weight = p[rows, s][:, None], p[rows], times[rows][:, None]
-            squares = (own - others) ** 2
-            self.sums[s] += (squares // others * weight).sum(axis=0)
-            alone = np.where(has[rows], 0, weight)
-            self.sums[:, s] += (squares // own * alone).sum(axis=0)
-            self.either[s] += weight.sum()
+            own, weight = p[rows, s][:, None], times[rows][:, None]
+            if s in self.rows:
+                others, r = p[rows], s - self.rows.start
+                self.sums[r] += ((own - others) ** 2 // others * weight).sum(axis=0)
+                self.either[r] += weight.sum()
+            alone = np.where(has[rows, first], 0, weight)
+            self.sums[:, s] += ((own - p[rows, first]) ** 2 // own * alone).sum(axis=0)
             self.either[:, s] += alone.sum(axis=0)
 
     def table(self, lang: str, whole: bool) -> pa.RecordBatch:
@@ -160,42 +166,43 @@ class PairSums:
             self.evaluate()
         k = len(self.names)
         neither = (self.terms if whole else 0) - self.either
-        base = (self.zero[:, None] - self.zero[None, :]) ** 2 // self.zero[None, :]
+        base = (self.zero[self.rows.start : self.rows.stop, None] - self.zero[None, :]) ** 2 // self.zero[None, :]
         values = self.sums + neither * base if self.terms else self.sums
-        a, b = np.nonzero(~np.eye(k, dtype=bool))
+        a, b = np.nonzero(np.arange(self.rows.start, self.rows.stop)[:, None] != np.arange(k)[None, :])
         names = np.array(self.names, dtype=object)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(names[a], pa.string()), pa.array(names[b], pa.string()), pa.array(values[a, b], pa.int64())], names=["lang", "source", "item", "value"])
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(names[a + self.rows.start], pa.string()), pa.array(names[b], pa.string()), pa.array(values[a, b], pa.int64())], names=["lang", "source", "item", "value"])
 
 
 def _pair_sums(dealt: DataFrame) -> DataFrame:
-    """Rows of a (lang, part) come with the sources first, then the vectors."""
+    """Rows of a (lang, part, block) come with the sources first, then the vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, names, totals, terms, sums = None, [], [], 0, None
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if now:
-                yield (sums or PairSums(names, np.array(totals, np.int64), terms)).table(now[0], now[1] == 0)
+        def begin() -> PairSums:
+            return PairSums(names, np.array(totals, np.int64), terms, *now[2:])
 
         for batch in batches:
-            for lang, part, source, n, v, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, part) != now:
-                    yield from close()
-                    now, names, totals, sums = (lang, part), [], [], None
+            for lang, part, block, blocks, source, n, v, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, part, block, blocks) != now:
+                    if now:
+                        yield (sums or begin()).table(now[0], now[1] == 0)
+                    now, names, totals, sums = (lang, part, block, blocks), [], [], None
                 if vector is None:
                     names.append(source)
                     totals.append(n)
                     terms = v
                 else:
-                    sums = sums or PairSums(names, np.array(totals, np.int64), terms)
+                    sums = sums or begin()
                     sums.add(vector, n)
-        yield from close()
+        if now:
+            yield (sums or begin()).table(now[0], now[1] == 0)
         release()
 
     return dealt.mapInArrow(run, "lang string, source string, item string, value long")
 
 
-def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP_TERMS, part_vectors: int = PART_VECTORS) -> DataFrame:
+def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP_TERMS, part_vectors: int = PART_VECTORS, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
     with Scratch(docs.sparkSession, "divergence") as scratch:
         terms = scratch.table(kept_terms(term_counts(docs, text, lang, source), min_docs), "terms")
@@ -208,12 +215,20 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         vectors = scratch.table(terms.groupBy("lang", "vector").agg(F.count("*").alias("times")), "vectors")
 
         # a part makes a row for each pair, so it takes as many vectors as there are pairs at least
-        sizes = groups.groupBy("lang").agg(F.count("*").alias("s")).join(vectors.groupBy("lang").agg(F.count("*").alias("d")), "lang", "left")
-        parts = scratch.table(sizes.select("lang", F.greatest(F.lit(1), F.ceil(F.coalesce("d", F.lit(0)) / F.greatest(F.lit(part_vectors), F.col("s") * F.col("s")))).cast("int").alias("parts")), "parts")
+        sizes = groups.groupBy("lang").agg(F.count("*").alias("s")).join(vectors.groupBy("lang").agg(F.count("*").alias("d")), "lang", "left").withColumn("pairs", F.col("s") * F.col("s"))
+        parts = scratch.table(
+            sizes.select(
+                "lang",
+                F.greatest(F.lit(1), F.ceil(F.coalesce("d", F.lit(0)) / F.greatest(F.lit(part_vectors), F.col("pairs")))).cast("int").alias("parts"),
+                F.least(F.col("s"), F.ceil(F.col("pairs") / block_pairs)).cast("int").alias("blocks"),
+            ),
+            "parts",
+        )
         no_vector = F.lit(None).cast(vectors.schema["vector"].dataType)
-        listed = groups.join(parts, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("deal"), "source", "n", "v", no_vector.alias("vector"))
-        spread = vectors.join(parts, "lang").select("lang", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int").alias("deal"), F.lit(None).cast("string").alias("source"), F.col("times").alias("n"), F.lit(0).cast("long").alias("v"), "vector")
-        dealt = listed.unionAll(spread).repartition("lang", "deal").sortWithinPartitions("lang", "deal", F.col("vector").isNotNull(), "source")
+        listed = groups.join(parts, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("deal"), "blocks", "source", "n", "v", no_vector.alias("vector"))
+        spread = vectors.join(parts, "lang").select("lang", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int").alias("deal"), "blocks", F.lit(None).cast("string").alias("source"), F.col("times").alias("n"), F.lit(0).cast("long").alias("v"), "vector")
+        dealt = listed.unionAll(spread).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lang", "deal", "block", "blocks", "source", "n", "v", "vector")
+        dealt = dealt.repartition("lang", "deal", "block").sortWithinPartitions("lang", "deal", "block", F.col("vector").isNotNull(), "source")
         pairs = _pair_sums(dealt).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
         pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
 

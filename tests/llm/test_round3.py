@@ -61,7 +61,7 @@ def test_divergence_in_many_parts_and_tallies(spark, monkeypatch):
     rows = sample(6)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
     monkeypatch.setattr(divergence, "PART_VECTORS", 4)
-    assert audit_rows(docs, part_vectors=4, top=3) == plain_audit([r[1:] for r in rows], top=3)
+    assert audit_rows(docs, part_vectors=4, top=3, block_pairs=7) == plain_audit([r[1:] for r in rows], top=3)
 
 
 def test_divergence_of_nothing_and_awkward(spark, awkward, nothing):
