@@ -204,28 +204,47 @@ def recall_report(truth: DataFrame, stages: list[str]) -> tuple[DataFrame, DataF
     return overall, rows.filter(~kept).groupBy("stage").agg(F.count("*").alias("lines"), F.sum("words").alias("words"))
 
 
+def _closest(truth: DataFrame, emitted: list[DataFrame], least: float, keys: list[str]) -> DataFrame:
+    """truth with _best0, _best1, ...: the highest sequence ratio to any line of each of the emitted tables in the meeting, 0 below least."""
+    from ..functions.models import sequence_ratio
+
+    form = lambda rows, name: rows.withColumn(name, F.lower(tx.comparable("text")))
+    said = form(truth, "_said")
+    # a line is compared once for all tables that hold it; tables are bits
+    lines = None
+    for k, rows in enumerate(emitted):
+        part = form(rows, "shown").select(*keys, "shown", F.lit(1 << k).alias("bit"))
+        lines = part if lines is None else lines.unionAll(part)
+    shown = lines.filter("shown <> ''").groupBy(*keys, "shown").agg(F.bit_or("bit").alias("held"))
+    texts = said.select(*keys, "_said").filter("_said <> ''").distinct()
+    texts = texts.join(shown.select(*keys, F.col("shown").alias("_said"), F.col("held").alias("equal")), [*keys, "_said"], "left").withColumn("equal", F.coalesce("equal", F.lit(0)))
+    x, y = F.length("_said"), F.length("shown")
+    left = F.col("held").bitwiseAND(F.bitwise_not("equal"))
+    open_ = texts.filter(F.col("equal") != (1 << len(emitted)) - 1)
+    pairs = open_.join(shown, keys).filter(2 * F.least(x, y) >= least * (x + y)).filter(left != 0)
+    # comparisons cost far more than their bytes tell: they are dealt over all cores by number, which Spark doesn't merge
+    spark = truth.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    pairs = pairs.repartition(parts, *keys, "_said")
+    ratios = pairs.withColumn("_ratio", sequence_ratio("_said", "shown", least))
+    bit = lambda k, c: F.col(c).bitwiseAND(F.lit(1 << k)) != 0
+    best = ratios.groupBy(*keys, "_said").agg(*(F.max(F.when(bit(k, "held"), F.col("_ratio"))).alias(f"_best{k}") for k in range(len(emitted))))
+    joined = said.join(texts, [*keys, "_said"], "left").join(best, [*keys, "_said"], "left")
+    found = {f"_best{k}": F.when(bit(k, "equal"), 1.0).when(F.col(f"_best{k}") >= least, F.col(f"_best{k}")).otherwise(0.0) for k in range(len(emitted))}
+    return joined.withColumns(found).drop("_said", "equal")
+
+
 def align_recall(truth: DataFrame, emitted: DataFrame, least: float = 0.6, keys: list[str] | None = None) -> DataFrame:
     """truth (keys, ord, text) with best and found: the highest sequence ratio to any line emitted in the meeting.
 
     Texts are compared in lower case, white space collapsed and end punctuation off. Equal texts are found by
     a join of their own and go no further; of the rest, each text is compared once however often it stands,
-    and only with those that can reach ``least``: the ratio is at most twice the shorter length, and twice the
-    common characters, over both lengths. ``best`` is exact from ``least`` up, and 0 below.
+    and only with those that can reach ``least``: the ratio is at most twice the shorter length over both
+    lengths, and a comparison ends where what is left to match is too little. ``best`` is exact from
+    ``least`` up, and 0 below.
     """
-    from ..functions.models import sequence_ratio
-
-    keys = ["meeting_id"] if keys is None else keys
-    form = lambda rows, name: rows.withColumn(name, F.lower(tx.comparable("text")))
-    said = form(truth, "_said")
-    shown = form(emitted, "shown").select(*keys, "shown").filter("shown <> ''").distinct()
-    equal = said.select(*keys, "_said").distinct().join(shown.withColumnRenamed("shown", "_said"), [*keys, "_said"], "left_semi").withColumn("_equal", F.lit(1.0))
-    others = said.select(*keys, "_said").filter("_said <> ''").distinct().join(equal, [*keys, "_said"], "left_anti")
-    x, y = F.length("_said"), F.length("shown")
-    pairs = others.join(shown, keys).filter(2 * F.least(x, y) >= least * (x + y))
-    best = pairs.withColumn("_ratio", sequence_ratio("_said", "shown", least)).groupBy(*keys, "_said").agg(F.max("_ratio").alias("_best"))
-    joined = said.join(equal, [*keys, "_said"], "left").join(best, [*keys, "_said"], "left")
-    found = F.coalesce("_equal", F.when(F.col("_best") >= least, F.col("_best")), F.lit(0.0))
-    return joined.withColumn("best", found).withColumn("found", F.col("best") >= least).drop("_said", "_equal", "_best")
+    out = _closest(truth, [emitted], least, ["meeting_id"] if keys is None else keys)
+    return out.withColumnRenamed("_best0", "best").withColumn("found", F.col("best") >= least)
 
 
 #: Where a line is lost, in the order of the stages; a line that is lost nowhere before is lost in the last.
@@ -237,15 +256,11 @@ def attribute_losses(truth: DataFrame, emitted: DataFrame, stages: list[DataFram
 
     stages: the lines (keys, text) there were at the source, past the gate of the root, and extracted.
     """
-    keys = ["meeting_id"] if keys is None else keys
-    out = align_recall(truth, emitted, least, keys).withColumnRenamed("found", "_emitted").drop("best")
-    for k, lines in enumerate(stages):
-        seen = align_recall(truth.select(*keys, "ord", "text"), lines, least, keys).select(*keys, "ord", F.col("found").alias(f"_{k}"))
-        out = out.join(seen, [*keys, "ord"])
-    stage = F.when(F.col("_emitted"), "MATCHED")
-    for k, name in enumerate(LOSSES[:-1]):
-        stage = stage.when(~F.col(f"_{k}"), name)
-    return out.withColumn("stage", stage.otherwise(LOSSES[-1])).drop("_emitted", *(f"_{k}" for k in range(len(stages))))
+    out = _closest(truth, [emitted, *stages], least, ["meeting_id"] if keys is None else keys)
+    stage = F.when(F.col("_best0") >= least, "MATCHED")
+    for k, name in enumerate(LOSSES[:-1], 1):
+        stage = stage.when(F.col(f"_best{k}") < least, name)
+    return out.withColumn("stage", stage.otherwise(LOSSES[-1])).drop(*(f"_best{k}" for k in range(len(stages) + 1)))
 
 
 def loss_report(attributed: DataFrame) -> DataFrame:

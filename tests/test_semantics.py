@@ -334,6 +334,38 @@ def test_recall_alignment_is_exact(spark):
         assert r.found == (best >= 0.6) and r.best == pytest.approx(best if best >= 0.6 else 0.0)
 
 
+def test_matching_ratio_is_difflibs():
+    """Block by block against difflib; unrelated long texts end early."""
+    import random
+    import time
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("thaneiorsé\U0001f600") for _ in range(rng.randrange(1, 8)))
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    texts += [" ".join(w for w in t.split() if rng.random() < 0.8) for t in texts[:30]] + ["", "a", "aaaaaaa", "abababab"]
+    for p, q in [(rng.choice(texts), rng.choice(texts)) for _ in range(400)] + [(t, t[3:]) for t in texts]:
+        told = SequenceMatcher(None, p, q, autojunk=False).ratio()
+        assert models._matching_ratio(p, q, 0.0) == told
+        assert models._matching_ratio(p, q, 0.6) == (told if told >= 0.6 else 0.0)
+    long = [" ".join(word() for _ in range(200)) for _ in range(2)]
+    t0 = time.perf_counter()
+    SequenceMatcher(None, *long, autojunk=False).ratio()
+    t1 = time.perf_counter()
+    models._matching_ratio(*long, 0.6)
+    assert time.perf_counter() - t1 < (t1 - t0) / 3
+
+
+def test_losses_compare_each_line_once(spark):
+    """Tables of lines that hold one another share their comparisons."""
+    said = "uno dos tres cuatro cinco"
+    truth = spark.createDataFrame([("m", 0, said), ("m", 1, "nada de esto 77")], "meeting_id string, ord int, text string")
+    lines = spark.createDataFrame([("m", said[:-2]), ("m", "otra cosa")], "meeting_id string, text string")
+    found = analytics.attribute_losses(truth, lines, [lines, lines, lines])
+    assert {r.ord: r.stage for r in found.collect()} == {0: "MATCHED", 1: "SOURCE"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_folding_of_other_scripts(spark):
     """Marks beyond U+036F leave a blank, compatibility ideographs become plain ones, Hangul stays whole."""
     cases = {"がんばる": "か んは る", "Ñandú ÀÉ": "nandu ae", "\uf900 x": "\u8c48 x", "क़लम": "क लम", "한국": "한국", "plain ASCII!": "plain ascii", "ё": "е"}
