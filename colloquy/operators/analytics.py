@@ -225,7 +225,7 @@ def _closest(truth: DataFrame, emitted: list[DataFrame], least: float, keys: lis
     # comparisons cost far more than their bytes tell: they are dealt over all cores by number, which Spark doesn't merge
     spark = truth.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    pairs = pairs.repartition(parts, *keys, "_said")
+    pairs = pairs.repartition(parts, "_said", "shown")
     ratios = pairs.withColumn("_ratio", sequence_ratio("_said", "shown", least))
     bit = lambda k, c: F.col(c).bitwiseAND(F.lit(1 << k)) != 0
     best = ratios.groupBy(*keys, "_said").agg(*(F.max(F.when(bit(k, "held"), F.col("_ratio"))).alias(f"_best{k}") for k in range(len(emitted))))
