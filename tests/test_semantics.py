@@ -356,6 +356,34 @@ def test_matching_ratio_is_difflibs():
     assert time.perf_counter() - t1 < (t1 - t0) / 3
 
 
+def test_edits_and_revisions_of_long_texts(spark):
+    """Distances against the plain table, with and without a bound; a very long line takes seconds at most."""
+    import random
+    import time
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(5)
+    for _ in range(200):
+        a = "".join(rng.choice("abcdé\U0001f600 ") for _ in range(rng.randrange(0, 150)))
+        b = "".join(c for c in a if rng.random() < 0.7) if rng.random() < 0.5 else "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 150)))
+        d, most = distance(a, b), rng.randrange(0, 120)
+        assert tx._edits(a, b) == d and tx._edits(a, b, most) == min(d, most + 1)
+    pairs = [("hola a todos", "hola a todos los que"), ("abc", "xyz"), ("", "a"), (None, "a"), ("abcde", "abcxx"), ("abcde", "abcde")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r.r for r in df.select(tx.is_revision("a", "b").alias("r")).collect()] == [True, False, False, None, True, True]
+    long = "".join(rng.choice("thaneiors ") for _ in range(12_000))
+    t = time.perf_counter()
+    tx._edits(long, long[::-1])
+    assert time.perf_counter() - t < 5
+
+
 def test_losses_compare_each_line_once(spark):
     """Tables of lines that hold one another share their comparisons."""
     said = "uno dos tres cuatro cinco"
