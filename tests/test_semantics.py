@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,6 +385,19 @@ def test_edits_and_revisions_of_long_texts(spark):
     assert time.perf_counter() - t < 5
 
 
+def test_embeddings_are_made_in_pieces(spark):
+    """A batch of many rows gives batches of few vectors; rows, columns and nulls stay."""
+    rows = spark.range(1000).repartition(1).selectExpr("id", "CASE WHEN id % 7 <> 0 THEN concat('t', id) END AS text")
+    made = models.embed(rows)
+    found = {r.id: (r.text, r.embedding) for r in made.collect()}
+    assert len(found) == 1000
+    for k in (0, 255, 256, 999):
+        text = None if k % 7 == 0 else f"t{k}"
+        assert found[k][0] == text and found[k][1] == pytest.approx(models.hash_embedding(text or "").tolist())
+    batch = pa.RecordBatch.from_pydict({"text": ["t"] * 1000})
+    assert max(b.num_rows for b in models._with_vectors(iter([batch]), 0, models.hash_embedding)) <= models.EMBED_ROWS
+
+
 def test_losses_compare_each_line_once(spark):
     """Tables of lines that hold one another share their comparisons."""
     said = "uno dos tres cuatro cinco"
