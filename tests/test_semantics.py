@@ -398,6 +398,18 @@ def test_embeddings_are_made_in_pieces(spark):
     assert max(b.num_rows for b in models._with_vectors(iter([batch]), 0, models.hash_embedding)) <= models.EMBED_ROWS
 
 
+def test_answers_are_parsed_once(monkeypatch):
+    """A call copies no answer; checked() leaves what it is given as it is."""
+    import json
+
+    parsed, loads = [], json.loads
+    monkeypatch.setattr(models.json, "loads", lambda text: parsed.append(text) or loads(text))
+    assert models._called(lambda prompt, fault: '{"answer_md": "yes"}', "memory", "p", None) == ('{"answer_md": "yes", "citations": []}', None)
+    assert len(parsed) == 1
+    given = {"answer_md": "yes"}
+    assert models.checked("memory", given)["citations"] == [] and given == {"answer_md": "yes"}
+
+
 def test_losses_compare_each_line_once(spark):
     """Tables of lines that hold one another share their comparisons."""
     said = "uno dos tres cuatro cinco"
