@@ -2,7 +2,7 @@
 
 Words are separated by white space and lower-cased; a text of fewer words has
 one shingle, of all its words. Texts with the same words are one text from the
-start. Candidates come from two searches:
+start. The first two searches join what is easily found, groups of any size, by few comparisons:
 
 - MinHash: each text keeps its 64 smallest shingle hashes, and of these the
   minima under 30 permutations, in ten bands of three. Texts that agree in a band
@@ -13,14 +13,16 @@ start. Candidates come from two searches:
   two bits, found by the grid of segment popcounts (simhash.linked). At an index of 0.8
   fingerprints differ in about ten bits; cells that far apart are met by nearly
   all texts, so the grid serves the closest copies and the bands reach the rest.
+- What both missed: an exact prefix join over all texts (_unmet), which leaves out only pairs that are of one
+  class by then.
 
 All candidates of sizes that allow the index are verified on their whole shingle sets; those that
 reach it are linked, and classes are the connected components of the links. So
-no pair below the index is linked directly, candidates grow with the number of
-texts and not with the square of a group, and a pair can be missed (the README
-gives the measured recall).
+no pair below the index is linked, and the classes are those of all pairs. The last search
+meets every two texts of different classes that share one of their rarest shingles; texts
+that are almost, but not quite, within the index of very many others cost the square of their number.
 
-near_classes() alone uses DataFrame operations only. No group is gathered in one place.
+No group is gathered in one place.
 
 Defined results: null, empty and blank texts have the same (no) words and are one
 class; repeated rows are of one class; an empty table gives no rows; columns of any name pass through.
@@ -28,6 +30,11 @@ class; repeated rows are of one class; an empty table gives no rows; columns of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +46,10 @@ SHINGLE = 5
 LEAST = 0.8
 LOWEST = 64
 BANDS, ROWS = 10, 3
+#: Which shingles come late in the common order: those that most of one text in so many have, by marks of their last bits.
+PART_FOR_ORDER = 16
+MOST_LATE = 200_000
+LATE_MARKS = 1 << 22
 
 
 def _words(text: Column) -> Column:
@@ -60,12 +71,57 @@ def _shingles(words: Column, shingle: int) -> Column:
     return F.array_distinct(_bound(words, grams))
 
 
-def _sketch(words: Column, shingle: int) -> Column:
-    """(key, n, bands): a hash of the words, the number of distinct shingles, and the bands."""
+def _bands(grams: Column) -> Column:
+    """The bands of a text from its sorted shingle hashes."""
     least = lambda x, seed: F.array_min(F.transform(x, lambda h: F.xxhash64(h, F.lit(seed))))
     bands = lambda low: F.array(*(F.xxhash64(F.lit(b), *(least(low, b * ROWS + r) for r in range(ROWS))) for b in range(BANDS)))
-    of_grams = lambda grams: F.struct(F.size(grams).alias("n"), _bound(F.slice(F.sort_array(grams), 1, LOWEST), bands).alias("bands"))
-    return _bound(words, lambda w: F.struct(F.xxhash64(w).alias("key"), _bound(_shingles(w, shingle), of_grams).alias("of")))
+    return _bound(F.slice(grams, 1, LOWEST), bands)
+
+
+def _prefixes(sets: DataFrame, late: np.ndarray, least: float) -> DataFrame:
+    """(words, n, gram, pos): the first floor((1 - least) n) + 1 shingles of each text in the common order, where those marked in ``late`` come last."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("grams")
+            grams, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            last = late[grams & (len(late) - 1)]
+            # the arrays are sorted: each of the two parts keeps its order
+            before = np.concatenate([[0], np.cumsum(~last)])
+            early, of_text = before[:-1] - before[starts][owner], (before[starts + sizes] - before[starts])[owner]
+            pos = np.where(last, of_text + np.arange(len(grams)) - starts[owner] - early, early)
+            taken = np.flatnonzero(pos < (sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1)[owner])
+            words = batch.column("words").to_numpy()[owner[taken]]
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(sizes[owner[taken]].astype(np.int32)), pa.array(grams[taken]), pa.array(pos[taken].astype(np.int32))], names=["words", "n", "gram", "pos"])
+
+    return sets.select("words", "grams").mapInArrow(scan, "words long, n int, gram long, pos int")
+
+
+def _unmet(sets: DataFrame, roots: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of texts of different roots; all that reach the index are among them.
+
+    Two such texts share at least that part of the larger set, so each has one of the shared shingles among its
+    first floor((1 - least) n) + 1 in any order that is common to all. Of the first one that they share, the places
+    tell how many more there can be. Shingles that many texts have come last: which these are is told by a part of
+    the texts, as the order decides on the number of pairs only and not on which are found.
+    """
+    some = sets.filter(F.pmod("words", F.lit(PART_FOR_ORDER)) == 0).select(F.explode("grams").alias("gram"))
+    often = some.groupBy("gram").count().filter("count > 1").orderBy(F.desc("count"), "gram").limit(MOST_LATE).select("gram").toPandas()["gram"].to_numpy(dtype=np.int64)
+    late = np.zeros(LATE_MARKS, dtype=bool)
+    late[often & (LATE_MARKS - 1)] = True
+    first = _prefixes(sets, late, least)
+    shared = scratch.table(first.groupBy("gram").count().filter("count > 1").select("gram"), "shared")
+    held = scratch.table(first.join(shared, "gram"), "held")
+    held = scratch.table(held.join(roots.select(F.col("node").alias("words"), "root"), "words", "left").select("gram", "words", "n", "pos", F.coalesce("root", "words").alias("root")), "rooted")
+    mixed = scratch.table(held.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("gram"), "mixed")
+    held = scratch.table(held.join(mixed, "gram", "left_semi"), "mixed-rows")
+    side = lambda name: held.select("gram", *(F.col(c).alias(f"{name}_{c}") for c in ("words", "n", "pos", "root")))
+    more = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    can = (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")) & (more >= least / (1 + least) * (F.col("a_n") + F.col("b_n")) - 1e-6)
+    pairs = side("a").join(side("b"), "gram").filter((F.col("a_words") < F.col("b_words")) & (F.col("a_root") != F.col("b_root")) & can)
+    return scratch.table(pairs.select(F.col("a_words").alias("a"), F.col("b_words").alias("b")).distinct(), "unmet")
 
 
 def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, least: float = LEAST, more: DataFrame | None = None) -> DataFrame:
@@ -75,17 +131,16 @@ def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, l
     """
     with Scratch(texts.sparkSession, "near") as scratch:
         source = F.col(f"`{text}`")
-        sketch = texts.select(_sketch(_words(source), shingle).alias("s")).select(F.col("s.key").alias("words"), F.col("s.of.n").alias("n"), F.col("s.of.bands").alias("bands"))
-        sketch = scratch.table(sketch.dropDuplicates(["words"]), "sketch")
-        bands = sketch.select("words", "n", F.explode("bands").alias("band"))
+        # copies go before the shuffle, so that a text with very many of them meets no single task
+        each = texts.select(words_key(source).alias("words"), source.alias("text")).dropDuplicates(["words"])
+        sets = scratch.table(each.select("words", F.sort_array(_shingles(_words(F.col("text")), shingle)).alias("grams")), "sets")
+        bands = sets.select("words", F.size("grams").alias("n"), F.explode(_bands(F.col("grams"))).alias("band"))
         # written, so that the joins deal both sides themselves and Spark can split a band with very many texts
+        bands = scratch.table(bands, "bands")
         sizes = scratch.table(bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
         met = scratch.table(bands.join(sizes, "band"), "met")
+        scratch.drop(bands)
         degrees = scratch.table(met.groupBy("words").agg(F.sum("size").alias("degree")), "degrees")
-        asked = scratch.table((met.select("words").unionAll(more.select(F.explode(F.array("a", "b")))) if more is not None else met.select("words")).distinct(), "asked")
-        # copies go before the shuffle, so that a text with very many of them meets no single task
-        each = texts.select(words_key(source).alias("words"), source.alias("text")).dropDuplicates(["words"])
-        sets = scratch.table(each.join(asked, "words").select("words", _shingles(_words(F.col("text")), shingle).alias("grams")), "sets")
 
         def with_chosen(ranked: DataFrame, *picks: Column) -> DataFrame:
             """Pairs of the texts of each band with its chosen ones, where the sizes allow the index."""
@@ -106,7 +161,12 @@ def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, l
         counts = scratch.table(links.select(F.explode(F.array("a", "b")).alias("words")).groupBy("words").count(), "counts")
         again = with_chosen(met.join(counts, "words"), F.max_by(text_of, F.struct("count", F.xxhash64("words"))))
         again = scratch.table(again.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-        return components(links.unionAll(verified(again))).select(F.col("node").alias("words"), "root")
+        links = links.unionAll(verified(again))
+        classes = components(links)
+        rest = verified(_unmet(sets, classes, least, scratch))
+        if not rest.isEmpty():
+            classes = components(links.unionAll(rest))
+        return classes.select(F.col("node").alias("words"), "root")
 
 
 def close_fingerprints(texts: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:

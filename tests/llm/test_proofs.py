@@ -363,3 +363,21 @@ def test_near_copies_equal_all_pairs(spark):
     first = {c: min(k for k in range(len(texts)) if classes[k] == c) for c in classes}
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(x.doc_id for x in near_copies.drop_near_copies(df).collect()) == sorted(set(first.values()))
+
+
+def test_near_copies_lose_no_link(spark):
+    """Pairs at the index exactly that agree in no band of MinHash (found among 15,000), between texts that share most of a passage."""
+    texts = []
+    for k in (109, 4496, 4506, 7277, 7554, 8059, 8214, 9249, 9642, 10066, 10682, 14016, 14940, 14973):
+        r = random.Random(k)
+        word = lambda: "".join(r.choice("abdeghilmnorstu") for _ in range(7))  # noqa: B023, E731
+        words = [word() for _ in range(49)]
+        texts += [" ".join(words), " ".join([*words[:24], word(), *words[25:]])]
+    r = random.Random(1)
+    passage = line(60, r)
+    texts += [f"{passage} {line(30, r)}" for _ in range(300)]
+    classes = near_plainly(texts)
+    first = {c: min(k for k in range(len(texts)) if classes[k] == c) for c in classes}
+    assert len(set(first.values())) == 14 + 300
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in near_copies.drop_near_copies(df).collect()) == sorted(set(first.values()))
