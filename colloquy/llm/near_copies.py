@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, one_row_each, row_keys, written
+from .common import Scratch, one_row_each, release, row_keys, written
 from .components import components
 from .simhash import fingerprints, linked
 
@@ -46,6 +46,8 @@ SHINGLE = 5
 LEAST = 0.8
 LOWEST = 64
 BANDS, ROWS = 10, 3
+#: Texts whose prefixes are found at once.
+ROWS_AT_ONCE = 1000
 #: Which shingles come late in the common order: those that most of one text in so many have, by marks of their last bits.
 PART_FOR_ORDER = 16
 MOST_LATE = 200_000
@@ -71,55 +73,72 @@ def _shingles(words: Column, shingle: int) -> Column:
     return F.array_distinct(_bound(words, grams))
 
 
-def _bands(grams: Column) -> Column:
-    """The bands of a text from its sorted shingle hashes."""
+def _sketch(words: Column, shingle: int) -> Column:
+    """(key, of): a hash of the words; the sorted hashes of the distinct shingles, and the bands."""
     least = lambda x, seed: F.array_min(F.transform(x, lambda h: F.xxhash64(h, F.lit(seed))))
     bands = lambda low: F.array(*(F.xxhash64(F.lit(b), *(least(low, b * ROWS + r) for r in range(ROWS))) for b in range(BANDS)))
-    return _bound(F.slice(grams, 1, LOWEST), bands)
+    of_grams = lambda grams: F.struct(grams.alias("grams"), _bound(F.slice(grams, 1, LOWEST), bands).alias("bands"))
+    return _bound(words, lambda w: F.struct(F.xxhash64(w).alias("key"), _bound(F.sort_array(_shingles(w, shingle)), of_grams).alias("of")))
 
 
-def _prefixes(sets: DataFrame, late: np.ndarray, least: float) -> DataFrame:
-    """(words, n, gram, pos): the first floor((1 - least) n) + 1 shingles of each text in the common order, where those marked in ``late`` come last."""
+def _late(texts: DataFrame, text: str, shingle: int) -> np.ndarray:
+    """Marks of the shingles that come last in the order of all texts, by the last bits of their hashes: those that most texts have.
+
+    A part of the texts tells them. The order decides on how many pairs are compared only: any one finds the same.
+    """
+    source = F.col(f"`{text}`")
+    some = texts.filter(F.pmod(F.xxhash64(source), F.lit(PART_FOR_ORDER)) == 0).select(source.alias("text")).distinct()
+    grams = some.select(F.explode(_shingles(_words(F.col("text")), shingle)).alias("gram"))
+    often = grams.groupBy("gram").count().filter("count > 1").orderBy(F.desc("count"), "gram").limit(MOST_LATE).select("gram").toPandas()["gram"].to_numpy(dtype=np.int64)
+    late = np.zeros(LATE_MARKS, dtype=bool)
+    late[often & (LATE_MARKS - 1)] = True
+    return late
+
+
+def _with_prefix(rows: DataFrame, late: np.ndarray, least: float) -> DataFrame:
+    """(words, n, bands, prefix) of (words, bands, grams): the number of shingles, and the first floor((1 - least) n) + 1 of them in the common order."""
+
+    def prefixes(lists: pa.Array) -> pa.Array:
+        grams, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        last = late[grams & (len(late) - 1)]
+        # the arrays are sorted, and each of the two parts keeps its order
+        early = np.concatenate([[0], np.cumsum(~last)])
+        before = early[:-1] - early[starts][owner]
+        pos = np.where(last, (early[ends] - early[starts])[owner] + np.arange(len(grams)) - starts[owner] - before, before)
+        most = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+        taken = pos < most[owner]
+        out = np.empty(most.sum(), dtype=np.int64)
+        to = np.cumsum(most) - most
+        out[to[owner[taken]] + pos[taken]] = grams[taken]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]).astype(np.int32)), pa.array(out))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("grams")
-            grams, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            starts = np.cumsum(sizes) - sizes
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            last = late[grams & (len(late) - 1)]
-            # the arrays are sorted: each of the two parts keeps its order
-            before = np.concatenate([[0], np.cumsum(~last)])
-            early, of_text = before[:-1] - before[starts][owner], (before[starts + sizes] - before[starts])[owner]
-            pos = np.where(last, of_text + np.arange(len(grams)) - starts[owner] - early, early)
-            taken = np.flatnonzero(pos < (sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1)[owner])
-            words = batch.column("words").to_numpy()[owner[taken]]
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(sizes[owner[taken]].astype(np.int32)), pa.array(grams[taken]), pa.array(pos[taken].astype(np.int32))], names=["words", "n", "gram", "pos"])
-
-    return sets.select("words", "grams").mapInArrow(scan, "words long, n int, gram long, pos int")
-
-
-def _unmet(sets: DataFrame, roots: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                lists = part.column("grams")
+                yield pa.RecordBatch.from_arrays([part.column("words"), pc.list_value_length(lists).cast(pa.int32()), part.column("bands"), prefixes(lists)], names=["words", "n", "bands", "prefix"])
+        release()
+
+    return rows.select("words", "bands", "grams").mapInArrow(scan, "words long, n int, bands array<long>, prefix array<long>")
+
+
+def _unmet(sketch: DataFrame, roots: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of texts of different roots; all that reach the index are among them.
 
-    Two such texts share at least that part of the larger set, so each has one of the shared shingles among its
-    first floor((1 - least) n) + 1 in any order that is common to all. Of the first one that they share, the places
-    tell how many more there can be. Shingles that many texts have come last: which these are is told by a part of
-    the texts, as the order decides on the number of pairs only and not on which are found.
+    Two such texts share at least that part of the larger set, so each has one of the shared shingles in its
+    prefix, as the order is common to all. Of the first one that they share, the places tell how many more there can be.
     """
-    some = sets.filter(F.pmod("words", F.lit(PART_FOR_ORDER)) == 0).select(F.explode("grams").alias("gram"))
-    often = some.groupBy("gram").count().filter("count > 1").orderBy(F.desc("count"), "gram").limit(MOST_LATE).select("gram").toPandas()["gram"].to_numpy(dtype=np.int64)
-    late = np.zeros(LATE_MARKS, dtype=bool)
-    late[often & (LATE_MARKS - 1)] = True
-    first = _prefixes(sets, late, least)
-    shared = scratch.table(first.groupBy("gram").count().filter("count > 1").select("gram"), "shared")
-    held = scratch.table(first.join(shared, "gram"), "held")
-    held = scratch.table(held.join(roots.select(F.col("node").alias("words"), "root"), "words", "left").select("gram", "words", "n", "pos", F.coalesce("root", "words").alias("root")), "rooted")
-    mixed = scratch.table(held.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("gram"), "mixed")
-    held = scratch.table(held.join(mixed, "gram", "left_semi"), "mixed-rows")
+    rooted = sketch.select("words", "n", "prefix").join(roots.select(F.col("node").alias("words"), "root"), "words", "left")
+    rows = rooted.select("words", "n", F.coalesce("root", "words").alias("root"), F.posexplode("prefix").alias("pos", "gram"))
+    mixed = scratch.table(rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("gram"), "mixed")
+    held = scratch.table(rows.join(mixed, "gram"), "held")
     side = lambda name: held.select("gram", *(F.col(c).alias(f"{name}_{c}") for c in ("words", "n", "pos", "root")))
-    more = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    can = (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")) & (more >= least / (1 + least) * (F.col("a_n") + F.col("b_n")) - 1e-6)
+    common = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    can = (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")) & (common >= least / (1 + least) * (F.col("a_n") + F.col("b_n")) - 1e-6)
     pairs = side("a").join(side("b"), "gram").filter((F.col("a_words") < F.col("b_words")) & (F.col("a_root") != F.col("b_root")) & can)
     return scratch.table(pairs.select(F.col("a_words").alias("a"), F.col("b_words").alias("b")).distinct(), "unmet")
 
@@ -131,16 +150,18 @@ def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, l
     """
     with Scratch(texts.sparkSession, "near") as scratch:
         source = F.col(f"`{text}`")
-        # copies go before the shuffle, so that a text with very many of them meets no single task
-        each = texts.select(words_key(source).alias("words"), source.alias("text")).dropDuplicates(["words"])
-        sets = scratch.table(each.select("words", F.sort_array(_shingles(_words(F.col("text")), shingle)).alias("grams")), "sets")
-        bands = sets.select("words", F.size("grams").alias("n"), F.explode(_bands(F.col("grams"))).alias("band"))
+        found = texts.select(_sketch(_words(source), shingle).alias("s")).select(F.col("s.key").alias("words"), F.col("s.of.bands").alias("bands"), F.col("s.of.grams").alias("grams"))
+        sketch = scratch.table(_with_prefix(found, _late(texts, text, shingle), least).dropDuplicates(["words"]), "sketch")
+        bands = sketch.select("words", "n", F.explode("bands").alias("band"))
         # written, so that the joins deal both sides themselves and Spark can split a band with very many texts
-        bands = scratch.table(bands, "bands")
         sizes = scratch.table(bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
         met = scratch.table(bands.join(sizes, "band"), "met")
-        scratch.drop(bands)
         degrees = scratch.table(met.groupBy("words").agg(F.sum("size").alias("degree")), "degrees")
+        asked = scratch.table((met.select("words").unionAll(more.select(F.explode(F.array("a", "b")))) if more is not None else met.select("words")).distinct(), "asked")
+        keyed = texts.select(words_key(source).alias("words"), source.alias("text"))
+        sets_of = lambda rows: scratch.table(rows.select("words", _shingles(_words(F.col("text")), shingle).alias("grams")), "sets")
+        # copies go before the shuffle, so that a text with very many of them meets no single task
+        sets = sets_of(keyed.dropDuplicates(["words"]).join(asked, "words"))
 
         def with_chosen(ranked: DataFrame, *picks: Column) -> DataFrame:
             """Pairs of the texts of each band with its chosen ones, where the sizes allow the index."""
@@ -148,7 +169,7 @@ def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, l
             pairs = met.join(scratch.table(chosen, "chosen"), "band").filter((F.least("n", "with_n") >= least * F.greatest("n", "with_n")) & (F.col("words") != F.col("with")))
             return pairs.select(F.least("words", "with").alias("a"), F.greatest("words", "with").alias("b"))
 
-        def verified(pairs: DataFrame) -> DataFrame:
+        def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             both = pairs.join(sets.select(F.col("words").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("words").alias("b"), F.col("grams").alias("gb")), "b")
             common = F.size(F.array_intersect("ga", "gb"))
             links = both.select("a", "b", common.alias("n"), (F.size("ga") + F.size("gb")).alias("total")).filter(F.col("n") >= least * (F.col("total") - F.col("n")))
@@ -157,15 +178,18 @@ def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, l
         text_of = F.struct("words", "n")
         first = with_chosen(met.join(degrees, "words"), F.max_by(text_of, F.struct("degree", F.xxhash64("words"))), F.min_by(text_of, F.xxhash64("words", "band")))
         first = scratch.table((first.unionAll(more.select("a", "b")) if more is not None else first).distinct(), "pairs")
-        links = verified(first)
+        links = verified(first, sets)
         counts = scratch.table(links.select(F.explode(F.array("a", "b")).alias("words")).groupBy("words").count(), "counts")
         again = with_chosen(met.join(counts, "words"), F.max_by(text_of, F.struct("count", F.xxhash64("words"))))
         again = scratch.table(again.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionAll(verified(again))
+        links = links.unionAll(verified(again, sets))
         classes = components(links)
-        rest = verified(_unmet(sets, classes, least, scratch))
-        if not rest.isEmpty():
-            classes = components(links.unionAll(rest))
+        scratch.drop(sets)
+        unmet = _unmet(sketch, classes, least, scratch)
+        if not unmet.isEmpty():
+            wanted = scratch.table(unmet.select(F.explode(F.array("a", "b")).alias("words")).distinct(), "wanted")
+            rest = verified(unmet, sets_of(keyed.join(wanted, "words").dropDuplicates(["words"])))
+            classes = components(links.unionAll(rest)) if not rest.isEmpty() else classes
         return classes.select(F.col("node").alias("words"), "root")
 
 
