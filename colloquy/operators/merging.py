@@ -11,13 +11,21 @@ SEGMENT_GAP = 0.8
 SEGMENT_WORDS = 20
 MERGE_SLACK = 2.0
 SENTENCE_END = r"[.?!…]$"
+#: Items that one task sorts, on average.
+ITEMS_PER_TASK = 500_000
+
+
+def _dealt(items: DataFrame) -> DataFrame:
+    """The items of a meeting in one task, in so many tasks that what each sorts doesn't grow with the table."""
+    tasks = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-items.count() // ITEMS_PER_TASK))
+    return items.repartition(tasks, "meeting_id")
 
 
 def words_of_items(items: DataFrame) -> DataFrame:
     """items (meeting_id, ord, type, start_time, end_time, content, confidence) to words (meeting_id, ord from 1, start_time, end_time, text, confidence): punctuation goes to the word before it."""
     is_word = (F.col("type") != "punctuation") & (F.coalesce("content", F.lit("")) != "") & F.col("start_time").isNotNull() & F.col("end_time").isNotNull()
     kept = items.filter((F.col("type") == "punctuation") | is_word).withColumn("_word", is_word)
-    numbered = islands(kept, ["meeting_id"], ["ord"], F.col("_word")).filter("island > 0")
+    numbered = islands(_dealt(kept), ["meeting_id"], ["ord"], F.col("_word")).filter("island > 0")
     parts = numbered.groupBy("meeting_id", "island").agg(
         F.min(F.when(F.col("_word"), F.col("start_time"))).alias("start_time"),
         F.max(F.when(F.col("_word"), F.col("end_time"))).alias("end_time"),
@@ -32,9 +40,11 @@ def segments_of_words(words: DataFrame, gap: float = SEGMENT_GAP, most: int = SE
     w = Window.partitionBy("meeting_id").orderBy("ord")
     ended = F.lag(F.col("text").rlike(SENTENCE_END)).over(w)
     far = F.col("start_time") - F.lag("end_time").over(w) > gap
-    hard = islands(words.withColumn("_break", F.coalesce(ended, F.lit(False)) | F.coalesce(far, F.lit(False))), ["meeting_id"], ["ord"], F.col("_break"))
-    inside = Window.partitionBy("meeting_id", "island").orderBy("ord")
-    capped = hard.withColumn("part", F.floor((F.row_number().over(inside) - 1) / most))
+    numbered = words.withColumns({"_break": F.coalesce(ended, F.lit(False)) | F.coalesce(far, F.lit(False)), "_n": F.row_number().over(w)})
+    hard = islands(numbered, ["meeting_id"], ["ord"], F.col("_break"))
+    # where the island began, in the order that the rows have already
+    begun = F.max(F.when(F.col("_break"), F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    capped = hard.withColumn("part", F.floor((F.col("_n") - F.coalesce(begun, F.lit(1))) / most))
     built = capped.groupBy("meeting_id", "island", "part").agg(
         F.min("ord").alias("_first"),
         F.min_by("start_time", "ord").alias("start_time"),

@@ -469,3 +469,13 @@ def test_a_write_of_vectors_that_stopped_is_finished(spark, tmp_path):
     tables.write_vectors(rows(("u", 1, "d", 3)), path)
     found = sorted((r.tenant_id, r.key, r.x) for r in spark.read.parquet(path).collect())
     assert found == [("t", "a", 1), ("t", "b", 2), ("u", "c", 1), ("u", "d", 3)]
+
+
+def test_items_are_sorted_in_parts_that_do_not_grow(spark, monkeypatch):
+    """Ten times the items are dealt over ten times the tasks, and the cut after every 20 words stays."""
+    monkeypatch.setattr(merging, "ITEMS_PER_TASK", 100)
+    rows = [(m, k, "pronunciation", k * 0.4, k * 0.4 + 0.3, f"w{k}", 0.5) for m in range(100) for k in range(45)]
+    items = spark.createDataFrame(rows, "meeting_id long, ord long, type string, start_time double, end_time double, content string, confidence double")
+    words = merging.words_of_items(items)
+    assert words.rdd.getNumPartitions() == 45 and words.count() == 4500
+    assert sorted(len(r.text.split()) for r in merging.segments_of_words(words).collect()) == [5] * 100 + [20] * 200
