@@ -43,14 +43,23 @@ def _folding() -> tuple[str, str, str]:
         bases.append(found[0])
         if any(m not in _MARKS for m in found[1:]):
             blanked.append(chr(code))
-    return "".join(letters), "".join(bases), "".join(blanked)
+    return "".join(letters), "".join(bases), _set_of(blanked)
+
+
+def _set_of(chars: list[str]) -> str:
+    """A regular expression of one of the characters. They are parted by range, so that another character is compared with few: a plain set beyond Latin-1 is tried member by member."""
+    parts: dict[int, list[str]] = {}
+    for c in chars:
+        parts.setdefault(ord(c) >> 7, []).append(c)
+    near = "".join(f"[{min(p)}-{max(p)}&&[{''.join(p)}]]" for p in parts.values())
+    return f"[{min(chars)}-{max(chars)}&&[{near}]]"
 
 
 def fold(c: Column | str) -> Column:
     """The text without accents; stays in the JVM. Marks of U+0300-036F go, other marks of a letter become a blank."""
     letters, bases, blanked = _folding()
     text = _col(c)
-    spaced = F.regexp_replace(text, f"([{blanked}])", "$1 ")
+    spaced = F.regexp_replace(text, f"({blanked})", "$1 ")
     # letters are looked up one by one, which plain texts needn't
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(spaced, letters + _MARKS, bases)).otherwise(text)
 

@@ -19,7 +19,8 @@ def find_quotes(quotes: DataFrame, turns: DataFrame, keys: list[str] | None = No
     quotes: keys, quote_id, quote. turns: keys, ord, text. Only turns that share
     one of the quote's rarer tokens are compared: a containment of ``least``
     needs that share of the quote's tokens, so at least one of any
-    floor((1 - least) n) + 1 of them is in the turn.
+    floor((1 - least) n) + 1 of them is in the turn. Of those turns, the ones that hold
+    that share of its tokens at all go to the sliding window.
     """
     keys = ["meeting_id"] if keys is None else keys
     q = quotes.select(*keys, "quote_id", tx.tokens("quote").alias("needle")).filter(F.size("needle") > 0)
@@ -27,12 +28,20 @@ def find_quotes(quotes: DataFrame, turns: DataFrame, keys: list[str] | None = No
     # the longest tokens stand for the rarer ones; repeats in the quote count, so probes are taken from the multiset
     by_length = F.transform(F.sort_array(F.transform("needle", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("x")))), lambda s: s["x"])
     need = F.floor((1 - least) * F.size("needle") + 1e-9).cast("int") + 1
-    probes = q.select(*keys, "quote_id", F.explode(F.array_distinct(F.slice(by_length, F.lit(1), need))).alias("probe"))
-    # a bounded number of probes goes to the turns, whose tokens then stay where they are; only ids of pairs travel
+    q = q.withColumn("probes", F.array_distinct(F.slice(by_length, F.lit(1), need)))
+    probes = q.select(*keys, "quote_id", F.explode("probes").alias("probe"))
+    # a bounded number of probes goes to the turns, which then stay where they are and are tokenized once; else only ids of pairs travel
     small = not quotes.isStreaming and probes.limit(SMALL_PROBES + 1).count() <= SMALL_PROBES
-    held = t.select(*keys, "turn_ord", F.explode(F.array_distinct("hay")).alias("probe"))
-    met = held.join(F.broadcast(probes) if small else probes, [*keys, "probe"]).select(*keys, "quote_id", "turn_ord").distinct()
-    pairs = met.join(F.broadcast(q) if small else q, [*keys, "quote_id"]).join(t, [*keys, "turn_ord"])
+    if small:
+        held = t.select(*keys, "turn_ord", "hay", F.explode(F.array_distinct("hay")).alias("probe"))
+        met = held.join(F.broadcast(probes), [*keys, "probe"]).join(F.broadcast(q), [*keys, "quote_id"])
+        # a pair counts at the first of the quote's probes that the turn holds
+        pairs = met.filter(F.get(F.array_intersect("probes", "hay"), F.lit(0)) == F.col("probe"))
+    else:
+        held = t.select(*keys, "turn_ord", F.explode(F.array_distinct("hay")).alias("probe"))
+        met = held.join(probes, [*keys, "probe"]).select(*keys, "quote_id", "turn_ord").distinct()
+        pairs = met.join(q, [*keys, "quote_id"]).join(t, [*keys, "turn_ord"])
+    pairs = pairs.filter(F.size(F.filter("needle", lambda x: F.array_contains("hay", x))) >= least * F.size("needle") - 1e-9)
     scored = pairs.select(*keys, "quote_id", "turn_ord", tx.sliding_containment("needle", "hay").alias("score")).filter(F.col("score") >= least)
     best = scored.groupBy(*keys, "quote_id").agg(F.max(F.struct("score", (-F.col("turn_ord")).alias("back"))).alias("b"))
     return best.select(*keys, "quote_id", (-F.col("b.back")).alias("turn_ord"), F.col("b.score").alias("score"))
