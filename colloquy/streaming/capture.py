@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .revisions import frame, only_timer
+from .revisions import frame
 
 SILENCE = "300 seconds"
 SILENCE_SECONDS, ABSENCE_SECONDS = 300, 60
 CHANGES = "meeting_id string, since timestamp, present boolean"
-ENDED = "meeting_id string, reason string, ended_at timestamp, captions long, ring_seen boolean, reads long, last_heartbeat timestamp"
+ENDED_AT = "meeting_id string, reason string, ended_us long, captions long, ring_seen boolean, reads long, heartbeat_us long"
+#: A capture before its first event; times are in microseconds.
+FRESH = {"captions": 0, "caption": None, "surface": None, "ring": False, "reads": 0, "heartbeat": None}
 
 
 class PresenceDebouncer(StatefulProcessor):
@@ -79,71 +81,76 @@ class CaptureFinalizer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("capture", "captions long, caption timestamp, surface timestamp, ring boolean, reads long, heartbeat timestamp")
+        self.state = handle.getValueState("capture", "captions long, caption long, surface long, ring boolean, reads long, heartbeat long")
 
     @staticmethod
-    def _due(now: dict) -> tuple[pd.Timestamp | None, str]:
+    def _due(now: dict) -> tuple[int | None, str]:
         if now["caption"] is not None:
-            return now["caption"] + pd.Timedelta(seconds=SILENCE_SECONDS), "silence"
-        return (None if now["surface"] is None else now["surface"] + pd.Timedelta(seconds=ABSENCE_SECONDS)), "absence"
+            return now["caption"] + SILENCE_SECONDS * 1_000_000, "silence"
+        return (None if now["surface"] is None else now["surface"] + ABSENCE_SECONDS * 1_000_000), "absence"
 
     @staticmethod
-    def _row(key: tuple, now: dict, reason: str, at: pd.Timestamp) -> tuple:
-        return (key[0], reason, at, now["captions"], now["ring"], now["reads"], now["heartbeat"])
-
-    def _load(self) -> dict:
-        names = ("captions", "caption", "surface", "ring", "reads", "heartbeat")
-        found = self.state.get() if self.state.exists() else (0, None, None, False, 0, None)
-        return {n: None if n in ("caption", "surface", "heartbeat") and pd.isna(v) else v for n, v in zip(names, found, strict=True)}
-
-    def _store(self, now: dict | None) -> None:
-        if now is None:
-            if self.state.exists():
-                self.state.clear()
-        else:
-            self.state.update(tuple(now.values()))
-        only_timer(self.handle, now and self._due(now)[0])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, now, fresh = [], self._load(), {"captions": 0, "caption": None, "surface": None, "ring": False, "reads": 0, "heartbeat": None}
-        for row in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples():
+    def _row(key: tuple, now: dict, reason: str, at: int) -> Row:
+        return Row(meeting_id=key[0], reason=reason, ended_us=at, captions=now["captions"], ring_seen=now["ring"], reads=now["reads"], heartbeat_us=now["heartbeat"])
+
+    def _load(self) -> dict | None:
+        found = self.state.get()
+        return found and dict(zip(FRESH, found, strict=True))
+
+    def _store(self, before: dict | None, now: dict) -> None:
+        """Each call on the handle is a trip to the JVM: the one timer is known from the state, and only what has changed is told."""
+        old, due = before and self._due(before)[0], self._due(now)[0]
+        if now != (before or FRESH):
+            self.state.update(tuple(now.values())) if now != FRESH else self.state.clear()
+        if old != due:
+            if old is not None:
+                self.handle.deleteTimer(old // 1000)
+            if due is not None:
+                self.handle.registerTimer(due // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self._load()
+        now = dict(before or FRESH)
+        for row in sorted((r for r in rows if r.us is not None), key=lambda r: r.us):
             due, reason = self._due(now)
-            if due is not None and row.ts >= due:
-                out.append(self._row(key, now, reason, due))
-                now = dict(fresh)
+            if due is not None and row.us >= due:
+                yield self._row(key, now, reason, due)
+                now = dict(FRESH)
             if row.kind == "ended":
                 if now["caption"] is not None or now["surface"] is not None:
-                    out.append(self._row(key, now, "ended", row.ts))
-                    now = dict(fresh)
+                    yield self._row(key, now, "ended", row.us)
+                    now = dict(FRESH)
                 continue
             if row.kind == "surface":
-                now["surface"] = row.ts
+                now["surface"] = row.us
                 continue
-            now["heartbeat"] = row.ts
+            now["heartbeat"] = row.us
             if row.kind == "caption":
-                now["captions"], now["caption"] = now["captions"] + 1, row.ts
+                now["captions"], now["caption"] = now["captions"] + 1, row.us
             elif row.kind == "ring":
                 now["ring"] = True
             elif row.kind == "read":
                 now["reads"] += 1
-        self._store(None if now == fresh else now)
-        yield frame(out, ENDED)
+        self._store(before, now)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = self._load()
-        due, reason = self._due(now)
-        self._store(None)
-        yield frame([self._row(key, now, reason, due)] if due is not None else [], ENDED)
+        due, reason = self._due(now) if now else (None, "")
+        if now:
+            self.state.clear()
+        if due is not None:
+            yield self._row(key, now, reason, due)
 
     def close(self) -> None:
         pass
 
 
 def finalize_captures(events: DataFrame, watermark: str = "30 seconds") -> DataFrame:
-    """events (meeting_id, ts, kind: caption, surface, ring, read or ended) to ended captures with their reason and signals."""
-    return events.withWatermark("ts", watermark).groupBy("meeting_id").transformWithStateInPandas(
-        CaptureFinalizer(), outputStructType=ENDED, outputMode="append", timeMode="EventTime"
-    )
+    """events (meeting_id, ts, kind: caption, surface, ring, read or ended) to ended captures with their reason and signals. Events without a time tell nothing."""
+    rows = events.withWatermark("ts", watermark).select("meeting_id", "ts", "kind", F.unix_micros("ts").alias("us"))
+    found = rows.groupBy("meeting_id").transformWithState(CaptureFinalizer(), outputStructType=ENDED_AT, outputMode="append", timeMode="EventTime")
+    times = {"ended_us": F.timestamp_micros("ended_us").alias("ended_at"), "heartbeat_us": F.timestamp_micros("heartbeat_us").alias("last_heartbeat")}
+    return found.select(*(times.get(c, F.col(c)) for c in found.columns))
 
 
 def unfinished(segments: DataFrame, finished: DataFrame) -> DataFrame:
