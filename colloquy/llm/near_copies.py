@@ -14,7 +14,8 @@ start. The first two searches join what is easily found, groups of any size, by
   fingerprints differ in about ten bits; cells that far apart are met by nearly
   all texts, so the grid serves the closest copies and the bands reach the rest.
 - What both missed: an exact prefix join over all texts (_unmet), which leaves out only pairs that are of one
-  class by then.
+  class by then. Its candidates are first compared by bitmaps of their shingles, which leave out only
+  pairs that can't reach the index.
 
 All candidates of sizes that allow the index are verified on their whole shingle sets; those that
 reach it are linked, and classes are the connected components of the links. So
@@ -33,6 +34,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -52,6 +54,8 @@ ROWS_AT_ONCE = 1000
 PART_FOR_ORDER = 16
 MOST_LATE = 200_000
 LATE_MARKS = 1 << 22
+#: Bits of a text's bitmap for each shingle at least.
+BITS = 2
 
 
 def _words(text: Column) -> Column:
@@ -96,7 +100,7 @@ def _late(texts: DataFrame, text: str, shingle: int) -> np.ndarray:
 
 
 def _with_prefix(rows: DataFrame, late: np.ndarray, least: float) -> DataFrame:
-    """(words, n, bands, prefix) of (words, bands, grams): the number of shingles, and the first floor((1 - least) n) + 1 of them in the common order."""
+    """(words, n, bands, prefix, bits) of (words, bands, grams): the number of shingles, the first floor((1 - least) n) + 1 of them in the common order, and their bitmap."""
 
     def prefixes(lists: pa.Array) -> pa.Array:
         grams, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -115,15 +119,43 @@ def _with_prefix(rows: DataFrame, late: np.ndarray, least: float) -> DataFrame:
         out[to[owner[taken]] + pos[taken]] = grams[taken]
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]).astype(np.int32)), pa.array(out))
 
+    def bitmaps(lists: pa.Array) -> pa.Array:
+        """A bit for each value of the last bits of the shingles, by powers of two: a longer bitmap folds to a shorter one."""
+        grams, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        wide = np.int64(8) << np.ceil(np.log2(np.maximum(BITS * sizes, 8) / 8)).astype(np.int64)
+        ends = np.cumsum(wide)
+        marks = np.zeros(ends[-1], dtype=bool)
+        marks[np.repeat(ends - wide, sizes) + (grams & np.repeat(wide - 1, sizes))] = True
+        at = np.concatenate([[0], ends // 8]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(np.packbits(marks, bitorder="little"))])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 lists = part.column("grams")
-                yield pa.RecordBatch.from_arrays([part.column("words"), pc.list_value_length(lists).cast(pa.int32()), part.column("bands"), prefixes(lists)], names=["words", "n", "bands", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("words"), pc.list_value_length(lists).cast(pa.int32()), part.column("bands"), prefixes(lists), bitmaps(lists)], names=["words", "n", "bands", "prefix", "bits"])
         release()
 
-    return rows.select("words", "bands", "grams").mapInArrow(scan, "words long, n int, bands array<long>, prefix array<long>")
+    return rows.select("words", "bands", "grams").mapInArrow(scan, "words long, n int, bands array<long>, prefix array<long>, bits binary")
+
+
+def _bits_apart(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ, at the length of the shorter: no more than shingles that only one text has."""
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    wide, large, small = 8 * len(x), int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    while wide > 8 * len(y):
+        wide //= 2
+        large = large >> wide | large & (1 << wide) - 1
+    return (large ^ small).bit_count()
+
+
+def _apart(a: Column, b: Column) -> Column:
+    @F.pandas_udf("int")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_bits_apart(p, q) for p, q in zip(x, y, strict=True)], dtype="int32")
+
+    return apart(a, b)
 
 
 def _unmet(sketch: DataFrame, roots: DataFrame, least: float, scratch: Scratch) -> DataFrame:
@@ -131,6 +163,7 @@ def _unmet(sketch: DataFrame, roots: DataFrame, least: float, scratch: Scratch)
 
     Two such texts share at least that part of the larger set, so each has one of the shared shingles in its
     prefix, as the order is common to all. Of the first one that they share, the places tell how many more there can be.
+    Of the shingles of both, a part of (1 - least) / (1 + least) at most is in one only, and so are no more bits.
     """
     rooted = sketch.select("words", "n", "prefix").join(roots.select(F.col("node").alias("words"), "root"), "words", "left")
     rows = rooted.select("words", "n", F.coalesce("root", "words").alias("root"), F.posexplode("prefix").alias("pos", "gram"))
@@ -140,7 +173,13 @@ def _unmet(sketch: DataFrame, roots: DataFrame, least: float, scratch: Scratch)
     common = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
     can = (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")) & (common >= least / (1 + least) * (F.col("a_n") + F.col("b_n")) - 1e-6)
     pairs = side("a").join(side("b"), "gram").filter((F.col("a_words") < F.col("b_words")) & (F.col("a_root") != F.col("b_root")) & can)
-    return scratch.table(pairs.select(F.col("a_words").alias("a"), F.col("b_words").alias("b")).distinct(), "unmet")
+    met = scratch.table(pairs.select(F.col("a_words").alias("a"), F.col("b_words").alias("b")).distinct(), "met-in-prefix")
+    scratch.drop(mixed, held)
+    of = lambda name: sketch.select(F.col("words").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
+    near = _apart(F.col("a_bits"), F.col("b_bits")) <= (1 - least) / (1 + least) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    unmet = scratch.table(met.join(of("a"), "a").join(of("b"), "b").filter(near).select("a", "b"), "unmet")
+    scratch.drop(met)
+    return unmet
 
 
 def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, least: float = LEAST, more: DataFrame | None = None) -> DataFrame:
@@ -186,6 +225,7 @@ def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, l
         classes = components(links)
         scratch.drop(sets)
         unmet = _unmet(sketch, classes, least, scratch)
+        scratch.drop(sketch)
         if not unmet.isEmpty():
             wanted = scratch.table(unmet.select(F.explode(F.array("a", "b")).alias("words")).distinct(), "wanted")
             rest = verified(unmet, sets_of(keyed.join(wanted, "words").dropDuplicates(["words"])))

@@ -432,3 +432,24 @@ def test_neighbours_do_not_hang_on_how_ranges_are_sampled(spark, monkeypatch):
     assert got[order[-1][0]] in {edit(order[-1][1], t) for t in nulls}
     last = [r.edited_sha256 for r in found if r.doc_id is None]
     assert sum(d in {edit(t, order[0][1]) for t in nulls} for d in last) == 1 and len(last) == len(nulls)
+
+
+def test_bitmaps_leave_out_no_near_copy(spark):
+    """Pipeline: bits that differ are no more than shingles that only one text has, at any two lengths; what is far apart is told so, and shuffle files go with the table."""
+    from pyspark.sql import functions as F
+
+    from colloquy.llm import common, near_copies
+
+    rng = random.Random(5)
+    sets = [sorted(rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)) for n in (1, 3, 60, 64, 65, 500, 700)]
+    sets += [sorted(sets[-1][:620] + sets[0]), sorted(sets[-2][100:] + sets[2])]
+    rows = spark.createDataFrame([(k, [], s) for k, s in enumerate(sets)], "words long, bands array<long>, grams array<long>")
+    late = np.zeros(near_copies.LATE_MARKS, dtype=bool)
+    bits = {r.words: bytes(r.bits) for r in near_copies._with_prefix(rows, late, 0.8).collect()}
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        apart = near_copies._bits_apart(bits[a], bits[b])
+        assert apart <= len(set(sets[a]) ^ set(sets[b])) and apart == near_copies._bits_apart(bits[b], bits[a])
+    assert near_copies._bits_apart(bits[5], bits[6]) > (500 + 700) / 9 and all(8 * len(bits[k]) >= 2 * len(s) for k, s in enumerate(sets))
+    assert near_copies._bits_apart(bits[5], bits[5]) == 0
+    df, seen = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), spark.conf.get(common.SHUFFLES_GO, None)
+    assert common.written(df, "gone").count() == 7 and spark.conf.get(common.SHUFFLES_GO, None) == seen
