@@ -55,7 +55,7 @@ def _lines(docs: DataFrame, key: str, text: str, leading: int) -> DataFrame:
 def _kinds(docs: DataFrame, text: str) -> DataFrame:
     """(_tk, sig): the class of near copies of each text."""
     names = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("_tk"), words_key(F.col(f"`{text}`")).alias("words")).distinct()
-    return names.join(near_classes(docs, text), "words", "left").select("_tk", F.coalesce("root", "words").alias("sig"))
+    return names.join(near_classes(docs, text, native=True), "words", "left").select("_tk", F.coalesce("root", "words").alias("sig"))
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, leading: int = LEADING, similarity: float = SIMILARITY, classes: bool = False) -> tuple[DataFrame, DataFrame]:

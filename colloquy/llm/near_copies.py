@@ -14,14 +14,17 @@ start. The first two searches join what is easily found, groups of any size, by
   fingerprints differ in about ten bits; cells that far apart are met by nearly
   all texts, so the grid serves the closest copies and the bands reach the rest.
 - What both missed: an exact prefix join over all texts (_unmet), which leaves out only pairs that are of one
-  class by then. Its candidates are first compared by bitmaps of their shingles, which leave out only
-  pairs that can't reach the index.
+  class by then. Texts that meet many others there carry marks of their shingles into the join, and
+  candidates are then compared by bitmaps; both leave out only pairs that can't reach the index.
+
+With ``native`` all is done in DataFrame operations (without bitmaps); the classes are the same.
 
 All candidates of sizes that allow the index are verified on their whole shingle sets; those that
 reach it are linked, and classes are the connected components of the links. So
 no pair below the index is linked, and the classes are those of all pairs. The last search
-meets every two texts of different classes that share one of their rarest shingles; texts
-that are almost, but not quite, within the index of very many others cost the square of their number.
+meets every two texts of different classes that share one of their rarest shingles. Texts
+that are almost, but not quite, within the index of very many others are compared by marks with each of
+them inside the join; only pairs that the marks can't exclude become rows (of more than about 4600 shingles they exclude none).
 
 No group is gathered in one place.
 
@@ -56,6 +59,9 @@ MOST_LATE = 200_000
 LATE_MARKS = 1 << 22
 #: Bits of a text's bitmap for each shingle at least.
 BITS = 2
+#: Texts of more than so many for one shingle of their prefixes carry marks: parities of their shingles, in so many longs.
+FEW = 8
+MARK_LONGS = 32
 
 
 def _words(text: Column) -> Column:
@@ -85,20 +91,53 @@ def _sketch(words: Column, shingle: int) -> Column:
     return _bound(words, lambda w: F.struct(F.xxhash64(w).alias("key"), _bound(F.sort_array(_shingles(w, shingle)), of_grams).alias("of")))
 
 
-def _late(texts: DataFrame, text: str, shingle: int) -> np.ndarray:
-    """Marks of the shingles that come last in the order of all texts, by the last bits of their hashes: those that most texts have.
+def _often(texts: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(gram): the shingles that come last in the order of all texts: those that most texts have.
 
     A part of the texts tells them. The order decides on how many pairs are compared only: any one finds the same.
     """
     source = F.col(f"`{text}`")
     some = texts.filter(F.pmod(F.xxhash64(source), F.lit(PART_FOR_ORDER)) == 0).select(source.alias("text")).distinct()
     grams = some.select(F.explode(_shingles(_words(F.col("text")), shingle)).alias("gram"))
-    often = grams.groupBy("gram").count().filter("count > 1").orderBy(F.desc("count"), "gram").limit(MOST_LATE).select("gram").toPandas()["gram"].to_numpy(dtype=np.int64)
+    return grams.groupBy("gram").count().filter("count > 1").orderBy(F.desc("count"), "gram").limit(MOST_LATE).select("gram")
+
+
+def _late(often: DataFrame) -> np.ndarray:
+    """Marks of these shingles by the last bits of their hashes."""
     late = np.zeros(LATE_MARKS, dtype=bool)
-    late[often & (LATE_MARKS - 1)] = True
+    late[often.toPandas()["gram"].to_numpy(dtype=np.int64) & (LATE_MARKS - 1)] = True
     return late
 
 
+def _bit(gram: Column) -> Column:
+    """The long that has only the bit of the last six of the gram's."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), gram.bitwiseAND(63).cast("int"))
+
+
+def _place(gram: Column, longs: int) -> Column:
+    """Which of so many longs has the gram's bit, by the bits before the last six."""
+    return F.shiftright(gram, 6).bitwiseAND(longs - 1).cast("int")
+
+
+def _late_longs(often: DataFrame) -> DataFrame:
+    """One row (late): the same marks, as an array of longs."""
+    longs = LATE_MARKS // 64
+    marked = often.groupBy(_place(F.col("gram"), longs).alias("at")).agg(F.bit_or(_bit(F.col("gram"))).alias("marks"))
+    every = often.sparkSession.range(longs).select(F.col("id").cast("int").alias("at")).join(marked, "at", "left").select("at", F.coalesce("marks", F.lit(0)).alias("marks"))
+    return every.agg(F.array_sort(F.collect_list(F.struct("at", "marks")))["marks"].alias("late"))
+
+
+def _native_prefix(rows: DataFrame, late: Column, least: float) -> DataFrame:
+    """(words, n, bands, prefix) of (words, bands, grams), as _with_prefix gives them."""
+    most = F.size("grams") - F.ceil(least * F.size("grams") - 1e-9).cast("int") + 1
+    marked = lambda longs, g: F.getbit(F.get(longs, _place(g, LATE_MARKS // 64)), g.bitwiseAND(63).cast("int"))
+    rest = lambda longs, early: F.concat(early, F.slice(F.filter("grams", lambda g: marked(longs, g) == 1), F.lit(1), most - F.size(early)))
+    first = lambda longs, early: F.when(F.size(early) >= most, F.slice(early, F.lit(1), most)).otherwise(rest(longs, early))
+    # late stands once, so that Spark reads it in place and doesn't copy it into each row
+    prefix = _bound(F.col("late"), lambda longs: _bound(F.filter("grams", lambda g: marked(longs, g) == 0), lambda early: first(longs, early)))
+    return rows.withColumn("late", late).select("words", F.size("grams").alias("n"), "bands", prefix.alias("prefix"))
+
+
 def _with_prefix(rows: DataFrame, late: np.ndarray, least: float) -> DataFrame:
     """(words, n, bands, prefix, bits) of (words, bands, grams): the number of shingles, the first floor((1 - least) n) + 1 of them in the common order, and their bitmap."""
 
@@ -158,39 +197,59 @@ def _apart(a: Column, b: Column) -> Column:
     return apart(a, b)
 
 
-def _unmet(sketch: DataFrame, roots: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+def _marks(sets: DataFrame) -> DataFrame:
+    """(words, marks) of (words, grams), one row each: for each bit, whether the number of shingles with it is odd.
+
+    The marks of two texts differ in no more bits than shingles that only one of them has.
+    """
+    grams = sets.select("words", F.explode("grams").alias("gram")).select("words", _place(F.col("gram"), MARK_LONGS).alias("at"), _bit(F.col("gram")).alias("bit"))
+    longs = grams.groupBy("words").agg(*(F.bit_xor(F.when(F.col("at") == k, F.col("bit")).otherwise(0)).alias(f"m{k}") for k in range(MARK_LONGS)))
+    return longs.select("words", F.array(*(f"m{k}" for k in range(MARK_LONGS))).alias("marks"))
+
+
+def _unmet(sketch: DataFrame, roots: DataFrame, least: float, sets_of, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of texts of different roots; all that reach the index are among them.
 
     Two such texts share at least that part of the larger set, so each has one of the shared shingles in its
     prefix, as the order is common to all. Of the first one that they share, the places tell how many more there can be.
     Of the shingles of both, a part of (1 - least) / (1 + least) at most is in one only, and so are no more bits.
+    ``sets_of`` gives the shingles of texts: those that meet many others are told from them by marks in the join.
     """
     rooted = sketch.select("words", "n", "prefix").join(roots.select(F.col("node").alias("words"), "root"), "words", "left")
     rows = rooted.select("words", "n", F.coalesce("root", "words").alias("root"), F.posexplode("prefix").alias("pos", "gram"))
-    mixed = scratch.table(rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("gram"), "mixed")
+    mixed = scratch.table(rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("texts")).filter("low < high").select("gram", (F.col("texts") > FEW).alias("many")), "mixed")
     held = scratch.table(rows.join(mixed, "gram"), "held")
-    side = lambda name: held.select("gram", *(F.col(c).alias(f"{name}_{c}") for c in ("words", "n", "pos", "root")))
+    crowd = scratch.table(held.filter("many").select("words").distinct(), "crowd")
+    marks = scratch.table(_marks(sets_of(crowd)), "marks")
+    marked = scratch.table(held.drop("many").join(marks, "words", "left"), "marked")
+    scratch.drop(mixed, held, marks)
+    side = lambda name: marked.select("gram", *(F.col(c).alias(f"{name}_{c}") for c in ("words", "n", "pos", "root", "marks")))
     common = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
     can = (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")) & (common >= least / (1 + least) * (F.col("a_n") + F.col("b_n")) - 1e-6)
-    pairs = side("a").join(side("b"), "gram").filter((F.col("a_words") < F.col("b_words")) & (F.col("a_root") != F.col("b_root")) & can)
+    most_apart = (1 - least) / (1 + least) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    apart = F.aggregate(F.zip_with("a_marks", "b_marks", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, more: n + more)
+    pairs = side("a").join(side("b"), "gram").filter((F.col("a_words") < F.col("b_words")) & (F.col("a_root") != F.col("b_root")) & can & F.coalesce(apart <= most_apart, F.lit(True)))
     met = scratch.table(pairs.select(F.col("a_words").alias("a"), F.col("b_words").alias("b")).distinct(), "met-in-prefix")
-    scratch.drop(mixed, held)
+    scratch.drop(marked)
+    if "bits" not in sketch.columns:
+        return met
     of = lambda name: sketch.select(F.col("words").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
-    near = _apart(F.col("a_bits"), F.col("b_bits")) <= (1 - least) / (1 + least) * (F.col("a_n") + F.col("b_n")) + 1e-6
-    unmet = scratch.table(met.join(of("a"), "a").join(of("b"), "b").filter(near).select("a", "b"), "unmet")
+    unmet = scratch.table(met.join(of("a"), "a").join(of("b"), "b").filter(_apart(F.col("a_bits"), F.col("b_bits")) <= most_apart).select("a", "b"), "unmet")
     scratch.drop(met)
     return unmet
 
 
-def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, least: float = LEAST, more: DataFrame | None = None) -> DataFrame:
+def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, least: float = LEAST, more: DataFrame | None = None, native: bool = False) -> DataFrame:
     """(words, root) of the texts that have near copies, by words_key: all of one root are a class; other texts are their own.
 
-    more: further pairs (a, b) of words_key to be verified.
+    more: further pairs (a, b) of words_key to be verified. native: in DataFrame operations only.
     """
     with Scratch(texts.sparkSession, "near") as scratch:
         source = F.col(f"`{text}`")
         found = texts.select(_sketch(_words(source), shingle).alias("s")).select(F.col("s.key").alias("words"), F.col("s.of.bands").alias("bands"), F.col("s.of.grams").alias("grams"))
-        sketch = scratch.table(_with_prefix(found, _late(texts, text, shingle), least).dropDuplicates(["words"]), "sketch")
+        often = _often(texts, text, shingle)
+        with_prefix = _native_prefix(found, scratch.table(_late_longs(often), "late").scalar(), least) if native else _with_prefix(found, _late(often), least)
+        sketch = scratch.table(with_prefix.dropDuplicates(["words"]), "sketch")
         bands = sketch.select("words", "n", F.explode("bands").alias("band"))
         # written, so that the joins deal both sides themselves and Spark can split a band with very many texts
         sizes = scratch.table(bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
@@ -198,7 +257,8 @@ def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, l
         degrees = scratch.table(met.groupBy("words").agg(F.sum("size").alias("degree")), "degrees")
         asked = scratch.table((met.select("words").unionAll(more.select(F.explode(F.array("a", "b")))) if more is not None else met.select("words")).distinct(), "asked")
         keyed = texts.select(words_key(source).alias("words"), source.alias("text"))
-        sets_of = lambda rows: scratch.table(rows.select("words", _shingles(_words(F.col("text")), shingle).alias("grams")), "sets")
+        shingled = lambda rows: rows.select("words", _shingles(_words(F.col("text")), shingle).alias("grams"))
+        sets_of = lambda rows: scratch.table(shingled(rows), "sets")
         # copies go before the shuffle, so that a text with very many of them meets no single task
         sets = sets_of(keyed.dropDuplicates(["words"]).join(asked, "words"))
 
@@ -224,7 +284,7 @@ def near_classes(texts: DataFrame, text: str = "text", shingle: int = SHINGLE, l
         links = links.unionAll(verified(again, sets))
         classes = components(links)
         scratch.drop(sets)
-        unmet = _unmet(sketch, classes, least, scratch)
+        unmet = _unmet(sketch, classes, least, lambda wanted: shingled(keyed.join(wanted, "words").dropDuplicates(["words"])), scratch)
         scratch.drop(sketch)
         if not unmet.isEmpty():
             wanted = scratch.table(unmet.select(F.explode(F.array("a", "b")).alias("words")).distinct(), "wanted")
