@@ -15,7 +15,8 @@ costs its sources times all sources of the language, and the rest is counted.
 Single terms of a group are ranked in their own rows.
 
 Texts are counted by task into rows (language, source, term, count, documents)
-before anything is shuffled. Vectors are dealt by (language, part), with the
+before anything is shuffled: terms are found in the bytes of many texts at once, numbered by Arrow
+(by their bytes, not by a hash) and counted by sorted numbers. Vectors are dealt by (language, part), with the
 list of the language's sources before them, and each part hands on one sum for
 each pair; so a language or source that holds most rows is spread (of a language with very
 many sources, blocks of pairs go to tasks of their own), and nothing
@@ -32,8 +33,6 @@ through Python's.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,54 +40,70 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, release, written
+from .common import Scratch, lower_ascii, release, slices, word_spans, written
 
 SCALE = 1_000_000_000
 MIN_DOCS = 3
 TOP_TERMS = 200
-#: Entries and bytes of terms that a task counts before it hands them on.
-TALLY_TERMS, TALLY_BYTES = 400_000, 64 << 20
+#: Occurrences of terms, and their bytes, that a task counts before it hands them on.
+TALLY_TERMS, TALLY_BYTES = 1 << 21, 64 << 20
+#: Rows of one batch of counts.
+TALLY_ROWS = 100_000
 #: Distinct vectors of one part.
 PART_VECTORS = 1 << 14
 #: Pairs whose sums a task holds at once; a language with more has its sources in several blocks.
 BLOCK_PAIRS = 1 << 22
 #: Cells of the matrix of counts that a task evaluates at once.
 CELLS = 1 << 21
-_WORDS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+").findall
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Bytes of terms: letters, and all beyond ASCII.
+_LETTERS = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """lang, source, term, n, docs: partial counts of each task; the same term may have several rows."""
     given = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c2) for c, c2 in ((lang, "lang"), (source, "source"), (text, "text"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        held = bytes_held = 0
-
-        def made() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, d) in seen.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n)), pa.array([source] * len(n)), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([d[t] for t in n], pa.int64())],
-                    names=["lang", "source", "term", "n", "docs"],
-                )
+    def tally(terms: list[pa.Array], docs: list[np.ndarray], group_of: list[int], names: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+        """Counts of the waiting terms, whose documents are numbered: first by document and term, then by group and term."""
+        found = pa.concat_arrays(terms).dictionary_encode()
+        size = len(found.dictionary)
+        both = np.concatenate(docs) * size + found.indices.to_numpy()
+        both.sort()
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        times, doc = np.diff(first, append=len(both)), both[first] // size
+        both = np.array(group_of, dtype=np.int64)[doc] * size + both[first] % size
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        n, d = np.add.reduceat(times[order], first), np.diff(first, append=len(both))
+        langs, sources = (pa.array(part, pa.string()) for part in zip(*names, strict=True))
+        for at in range(0, len(first), TALLY_ROWS):
+            some = slice(at, at + TALLY_ROWS)
+            group, term = np.divmod(both[first[some]], size)
+            yield pa.RecordBatch.from_arrays(
+                [langs.take(pa.array(group)), sources.take(pa.array(group)), found.dictionary.take(pa.array(term)), pa.array(n[some]), pa.array(d[some])],
+                names=["lang", "source", "term", "n", "docs"],
+            )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], int] = {}
+        terms, docs, group_of, held = [], [], [], [0, 0]
         for batch in batches:
-            for lang, source, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = Counter(_WORDS(one.as_py().translate(_LOWER)))
-                if not found:
-                    continue
-                n, d = seen.setdefault((lang, source), (Counter(), Counter()))
-                before = len(n)
-                n.update(found)
-                d.update(found.keys())
-                held += len(n) - before
-                bytes_held += sum(map(len, found)) if len(n) - before else 0
-                if held > TALLY_TERMS or bytes_held > TALLY_BYTES:
-                    yield from made()
-                    seen.clear()
-                    held = bytes_held = 0
-        yield from made()
+            own = [groups.setdefault(g, len(groups)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            for begin, end, data, offsets in slices(batch.column(2)):
+                starts, ends, at = word_spans(data, offsets, _LETTERS)
+                if len(starts):
+                    letters = lower_ascii(data[_LETTERS[data]])
+                    places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+                    terms.append(pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(letters)))
+                    docs.append(np.repeat(np.arange(len(group_of), len(group_of) + end - begin), np.diff(at)))
+                    group_of += own[begin:end]
+                    held = [held[0] + len(starts), held[1] + len(letters)]
+                if held[0] > TALLY_TERMS or held[1] > TALLY_BYTES:
+                    yield from tally(terms, docs, group_of, list(groups))
+                    terms, docs, group_of, held = [], [], [], [0, 0]
+        if terms:
+            yield from tally(terms, docs, group_of, list(groups))
         release()
 
     return given.mapInArrow(run, "lang string, source string, term string, n long, docs long")

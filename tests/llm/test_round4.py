@@ -1,9 +1,9 @@
-"""Near copies in DataFrame operations only, and texts that are almost near copies of very many others."""
+"""Near copies in DataFrame operations only, texts that are almost near copies of very many others, and terms counted by numbers."""
 
 import random
 
 import corpus_pipeline
-from colloquy.llm import common, near_copies
+from colloquy.llm import common, divergence, near_copies
 
 from .test_proofs import near_plainly
 
@@ -72,3 +72,22 @@ def test_almost_near_copies_make_few_rows(spark, monkeypatch):
     for native in (False, True):
         assert classes_of(df, native=native) == want
         assert made["met-in-prefix"] < 5 * len(texts), made
+
+
+def test_terms_are_counted_without_a_loop_over_them(spark):
+    """op11: a task counts 300,000 occurrences in few calls, and the counts are those of plain Python, whatever the bytes."""
+    from .test_round3 import LOWER, TERM
+
+    rng = random.Random(7)
+    words = ["Été", "漢字", "The", "the", "x", "😀", "a\u00a0b", "e\u0301", "İ"] + ["".join(rng.choice("abcXYZ") for _ in range(5)) for _ in range(200)]
+    docs = [(" ".join(rng.choices(words, k=3000)), rng.choice(["en", None]), rng.choice("ab")) for _ in range(100)] + [(None, "en", "a"), ("", "en", "a"), ("12 !", "en", "b"), ("the", "en", "b"), ("the", "en", "b")]
+    want = {}
+    for text, lang, source in docs:
+        found = TERM.findall((text or "").translate(LOWER))
+        for term in set(found):
+            n, d = want.get((lang or "", source, term), (0, 0))
+            want[lang or "", source, term] = n + found.count(term), d + 1
+    given = spark.createDataFrame(docs, "text string, lang string, source string").coalesce(1)
+    rows = divergence.term_counts(given).collect()
+    assert {(r.lang, r.source, r.term): (r.n, r.docs) for r in rows} == want and len(rows) == len(want)
+    assert not hasattr(divergence, "Counter")
