@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .distances import edits as _edits  # noqa: F401
+from .distances import edits_of
+
 #: Unicode white space around a text, which trim() alone leaves.
 _EDGES = r"(?U)^\s+|\s+$"
 _MARKS = "".join(map(chr, range(0x0300, 0x0370)))
@@ -151,74 +154,42 @@ def quote_exists(quote: Column | str, text: Column | str, least: float = QUOTE_L
     return sliding_containment(tokens(quote), tokens(text)) >= least
 
 
-def _edits(a: str, b: str, most: int | None = None) -> int:
-    """The edit distance, a column of the table at a time as the bits of two integers; most + 1 as soon as it must be more than ``most``."""
-    a, b = (a, b) if len(a) >= len(b) else (b, a)
-    m, n = len(a), len(b)
-    if most is not None and m - n > most:
-        return most + 1
-    if not n:
-        return m
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    all_, last = (1 << m) - 1, 1 << (m - 1)
-    up, down, found = all_, 0, m  # where a column grows and falls, and its last value
-    looks = {n // 2, 5 * n // 8, 3 * n // 4, 7 * n // 8} if most is not None and n >= 64 else ()
-    for j, c in enumerate(b, 1):
-        eq = at.get(c, 0)
-        x = eq | down
-        h = ((((eq & up) + up) ^ up) | eq) & all_
-        grows, falls = down | (all_ ^ (h | up)), up & h
-        if grows & last:
-            found += 1
-        elif falls & last:
-            found -= 1
-        grows, falls = (grows << 1 | 1) & all_, falls << 1 & all_
-        up, down = falls | (all_ ^ (x | grows)), grows & x
-        if j in looks:
-            bits = lambda v: np.unpackbits(np.frombuffer(v.to_bytes(-(-m // 8), "little"), dtype=np.uint8), count=m, bitorder="little").astype(np.int64)
-            column = j + np.cumsum(bits(up) - bits(down))
-            rest = np.abs((m - np.arange(1, m + 1)) - (n - j))
-            if min(int((column + rest).min()), j + abs(m - (n - j))) > most:
-                return most + 1
-    return found if most is None else min(found, most + 1)
-
-
-def edits(a: Column, b: Column, most: Column | None = None) -> Column:
-    """The edit distance of two texts, null if one is; with ``most``, anything above it is most + 1. Time grows with the product of the lengths over a machine word, and memory with one length."""
-
-    @F.pandas_udf("int")
-    def whole(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else _edits(p, q) for p, q in zip(x, y, strict=True)], dtype="Int32")
-
-    @F.pandas_udf("int")
-    def bounded(x: pd.Series, y: pd.Series, mosts: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else _edits(p, q, int(k)) for p, q, k in zip(x, y, mosts, strict=True)], dtype="Int32")
-
-    return whole(a, b) if most is None else bounded(a, b, most)
+def similarity(a: Column | str, b: Column | str, least: float | None = None) -> Column:
+    """1 less the edit distance over the longer length, case aside; 0 if one is empty or null. With ``least``, what is below it is only known to be so."""
+    return _similarity(F.lower(_col(a)), F.lower(_col(b)), least)
 
 
-def similarity(a: Column | str, b: Column | str, least: float | None = None) -> Column:
-    """1 less the edit distance over the longer length, case aside; 0 if one is empty. With ``least``, what is below it is only known to be so."""
-    x, y = F.lower(_col(a)), F.lower(_col(b))
-    longest = F.greatest(F.length(x), F.length(y))
-    most = None if least is None else F.floor(longest * F.lit(1 - least)).cast("int") + 1
-    return F.when((F.coalesce(F.length(x), F.lit(0)) == 0) | (F.coalesce(F.length(y), F.lit(0)) == 0), 0.0).otherwise(1 - edits(x, y, most) / longest)
+def _similarity(x: Column, y: Column, least: float | None) -> Column:
+    @F.pandas_udf("double")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.zeros(len(x))
+        some = ((x.str.len() > 0) & (y.str.len() > 0)).to_numpy(dtype=bool)
+        x, y = x[some].tolist(), y[some].tolist()
+        longest = np.fromiter((max(len(p), len(q)) for p, q in zip(x, y, strict=True)), dtype=np.int64, count=len(x))
+        out[some] = 1 - edits_of(x, y, None if least is None else np.floor(longest * (1 - least)).astype(np.int64) + 1) / longest
+        return pd.Series(out)
+
+    return of(x, y)
 
 
 def comparable(c: Column | str) -> Column:
     """White space collapsed, end punctuation off."""
-    return F.rtrim(strip(F.regexp_replace(_col(c), r"(?U)\s+", " ")), F.lit(".,;:?! "))
+    # a lone blank stays as it is, and only blanks are left at the edges
+    return F.rtrim(F.ltrim(F.regexp_replace(_col(c), r"(?U)\s(?:\s+|(?<! ))", " ")), F.lit(".,;:?! "))
 
 
 def is_revision(before: Column | str, after: Column | str) -> Column:
     """Whether the later caption text continues or corrects the earlier one."""
-    p, c = comparable(before), comparable(after)
-    grown = (F.length(c) >= F.length(p)) & F.startswith(F.lower(c), F.lower(p))
+    return goes_on(F.lower(comparable(before)), F.lower(comparable(after)))
+
+
+def goes_on(before: Column | str, after: Column | str) -> Column:
+    """is_revision() of comparable() texts in lower case. They are read several times: as columns of a step before, they are made once."""
+    p, c = _col(before), _col(after)
+    grown = F.startswith(c, p)
     # texts that go on need no distance
-    other = F.when(~grown, p)
-    return (F.length(p) > 0) & (grown | (similarity(other, c, REVISION_LEAST) >= REVISION_LEAST))
+    alike = _similarity(F.when(~grown, p), F.when(~grown, c), REVISION_LEAST)
+    return (p != "") & (grown | (alike >= REVISION_LEAST))
 
 
 def estimated_tokens(c: Column | str) -> Column:

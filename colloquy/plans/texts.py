@@ -37,9 +37,12 @@ def levenshtein_sim(spark, d):
 
 def revision(spark, d):
     """Whether a line continues, or corrects, its own first part; and the same for the line and its reverse."""
-    a = i.lines(spark, d).select("doc_id", "ord", F.regexp_replace("text", "[^ -~]", "?").alias("text"))
+    # files may be few, or hold the long lines together
+    a = i.lines(spark, d).select("doc_id", "ord", F.regexp_replace("text", "[^ -~]", "?").alias("text")).repartition("doc_id", "ord")
     cut = F.left("text", (F.length("text") * F.lit(2) / 5).cast("int"))
-    return a.select("doc_id", "ord", tx.is_revision(cut, F.col("text")).alias("grows"), tx.is_revision(F.col("text"), F.reverse("text")).alias("reversed"))
+    form = lambda c: F.lower(tx.comparable(c))
+    forms = a.select("doc_id", "ord", form(cut).alias("part"), form("text").alias("whole"), form(F.reverse("text")).alias("back"))
+    return forms.select("doc_id", "ord", tx.goes_on("part", "whole").alias("grows"), tx.goes_on("whole", "back").alias("reversed"))
 
 
 def turn_anchors(spark, d):

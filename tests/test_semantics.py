@@ -385,6 +385,58 @@ def test_edits_and_revisions_of_long_texts(spark):
     assert time.perf_counter() - t < 5
 
 
+def test_edits_of_many_pairs(monkeypatch):
+    """Pairs that go through the table together have the distances of the plain table, whatever their lengths, bounds, groups and looks; together they take far less time."""
+    import random
+    import time
+
+    from colloquy.functions import distances
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(11)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    pairs = []
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcdé\U0001f600 ", "a", "thequickbrownfx "])
+        a = text(letters, rng.choice([0, 1, 7, 8, 9, 63, 64, 65, 130, 180]))
+        near = "".join(c for c in a if rng.random() < 0.8) + text(letters, 3)
+        pairs.append((a, rng.choice([a, a[::-1], near, a[20:] + a[:20], text(letters, rng.randrange(0, 180))])))
+    a, b = zip(*pairs)
+    plain = [distance(x, y) for x, y in pairs]
+    most = [rng.choice([0, d, max(0, d - 1), d + 1, int(0.4 * max(len(x), len(y))) + 1, rng.randrange(0, 200)]) for (x, y), d in zip(pairs, plain)]
+    for size, look in ((1, 16), (64, 1), (32_768, 16), (32_768, 5)):
+        monkeypatch.setattr(distances, "COLUMN_BYTES", size)
+        monkeypatch.setattr(distances, "LOOK", look)
+        assert distances.edits_of(a, b).tolist() == plain
+        assert distances.edits_of(a, b, most).tolist() == [min(d, k + 1) for d, k in zip(plain, most)]
+    monkeypatch.undo()
+    lines = [text("thaneiors ", 400) for _ in range(1500)]
+    t0 = time.perf_counter()
+    together = distances.edits_of(lines, [x[::-1] for x in lines], [161] * len(lines))
+    t1 = time.perf_counter()
+    assert [distances.edits(x, x[::-1], 161) for x in lines[:300]] == together[:300].tolist()
+    assert t1 - t0 < time.perf_counter() - t1
+
+
+def test_revision_makes_forms_once(spark):
+    """White space is collapsed as one regular expression does, and a query makes each form once and deals lines over all tasks, also those of one file."""
+    from colloquy.plans import texts
+
+    rows = spark.createDataFrame([(f"{c}a{c}{c}b {c} d{c}?{c}.",) for c in map(chr, (*range(1, 0x2100), 0x3000, 0xFEFF, 0x1F600))] + [(None,), ("",), (" . ",)], "t string")
+    former = F.rtrim(tx.strip(F.regexp_replace("t", r"(?U)\s+", " ")), F.lit(".,;:?! "))
+    assert rows.filter(~tx.comparable("t").eqNullSafe(former)).count() == 0
+    out = texts.revision(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 4 and "RepartitionByExpression [doc_id" in plan
+
+
 def test_embeddings_are_made_in_pieces(spark):
     """A batch of many rows gives batches of few vectors; rows, columns and nulls stay."""
     rows = spark.range(1000).repartition(1).selectExpr("id", "CASE WHEN id % 7 <> 0 THEN concat('t', id) END AS text")
